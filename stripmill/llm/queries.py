@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stripmill.llm import simhash
+from stripmill.llm import simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_fingerprints": sketch.op2_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
