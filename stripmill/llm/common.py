@@ -5,12 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Rows an Arrow batch may hold: with documents of up to megabytes, a batch stays in bounds.
 BATCH_ROWS = 256
+_FACTORS = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: every bit of the result depends on all bits of x."""
+    with np.errstate(over="ignore"):
+        for factor in _FACTORS:
+            x = (x ^ (x >> np.uint64(33))) * factor
+    return x ^ (x >> np.uint64(33))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -54,14 +64,13 @@ def prefix_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str], va
     running sums within each chunk start from there. So no key, however hot, meets in one task.
     """
     totals = df.groupBy(*keys, chunk).agg(F.sum(value).alias("_chunk_sum"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    before = (Window.partitionBy(*keys) if keys else Window).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(*keys, chunk, F.coalesce(F.sum("_chunk_sum").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(*keys, chunk).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn("_within", F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    same = [rows[k].eqNullSafe(base[k]) for k in (*keys, chunk)]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
+    cond = rows[chunk].eqNullSafe(base[chunk])
+    for k in keys:
+        cond = cond & rows[k].eqNullSafe(base[k])
     kept = [rows[c] for c in df.columns]
     return rows.join(base, cond).select(*kept, (rows["_within"] + base["_base"]).alias(out))
 

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import partitions, small_batches
+from stripmill.llm.common import mix, partitions, small_batches
 
 #: Cells of the sketch that serves as fingerprint; three tables of equal size.
 BASE_CELLS = 12
@@ -41,15 +41,6 @@ BUCKETS = 8
 #: Documents, and bytes of text, that are worked on together.
 GROUP_ROWS, GROUP_BYTES = 128, 4 << 20
 LEAST = -(1 << 63)
-_HALVES = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: every bit of the result depends on all bits of x."""
-    with np.errstate(over="ignore"):
-        for factor in _HALVES:
-            x = (x ^ (x >> np.uint64(33))) * factor
-    return x ^ (x >> np.uint64(33))
 
 
 def paragraphs(data: bytes) -> list[bytes]:
