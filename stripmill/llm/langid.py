@@ -155,5 +155,21 @@ def predicted(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_predicted(filters), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _known(filters, text: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([filters.value.predict(x.as_py())[1] > 0 for x in batch.column(text)], pa.bool_()))
+
+    return run
+
+
+def known_documents(docs: DataFrame) -> DataFrame:
+    """The documents in one of the learnt languages, all columns: neither `und` nor without any known n-gram."""
+    spark = docs.sparkSession
+    filters = spark.sparkContext.broadcast(fit(docs))
+    small_batches(spark)
+    return docs.mapInArrow(_known(filters, docs.columns.index("text")), docs.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stripmill.llm import langid, mixing, sharding, simhash, sketch
+from stripmill.llm import decontaminate, langid, mixing, sharding, simhash, sketch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_fingerprints": sketch.op2_fingerprints,
     "op4_mixing": mixing.op4_mixing,
     "op5_language": langid.op5_language,
+    "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
 }
 
