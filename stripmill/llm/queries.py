@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stripmill.llm import decontaminate, langid, mixing, sharding, simhash, sketch, urls
+from stripmill.llm import decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language": langid.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
     "op7_sharding": sharding.op7_sharding,
+    "op8_html": htmltext.op8_html,
+    "op9_licenses": licenses.op9_licenses,
     "op10_url_filter": urls.op10_url_filter,
 }
 
