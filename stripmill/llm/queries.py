@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stripmill.llm import decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, urls
+from stripmill.llm import decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
     "op2_fingerprints": sketch.op2_fingerprints,
+    "op3_substrings": substrings.op3_substrings,
     "op4_mixing": mixing.op4_mixing,
     "op5_language": langid.op5_language,
     "op6_decontamination": decontaminate.op6_decontamination,
