@@ -1,4 +1,4 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, by operator, and their SQL for DuckDB."""
 
 from __future__ import annotations
 
@@ -7,16 +7,396 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stripmill.functions.similarity import best_shift, best_shift_or_zero, mean_shift
+from stripmill.operators import blocks as B
+from stripmill.operators import coo as C
+from stripmill.operators import evaluation as E
+from stripmill.operators import partition as P
+from stripmill.operators import product as M
+from stripmill.operators import synth as Y
+from stripmill.sources import tables as T
 
-def spmv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    matrix = lines.groupBy(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j")).agg(F.sum("l_quantity").alias("v"))
-    x = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("j"), (1 + F.col("s_suppkey") % 7).cast("double").alias("x"))
-    return matrix.join(x, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
 
+#: Similarity below which neighbours are cut, strips of the block queries, and percent for dense blocks.
+THRESHOLD, ROW_PARTS, COLUMN_PARTS, DENSITY = 0.26, 20, 10, 26.0
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"spmv": spmv}
-ORACLE_SQL: dict[str, str] = {
-    "spmv": """SELECT i, sum(v * x) AS y FROM (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)
-JOIN (SELECT s_suppkey AS j, CAST(1 + s_suppkey % 7 AS DOUBLE) AS x FROM supplier) USING (j) GROUP BY i""",
-}
+_PS = "ps AS (SELECT l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+_OP = "op AS (SELECT l_orderkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+_X = "x AS (SELECT s_suppkey AS j, CAST(1 + s_suppkey % 7 AS DOUBLE) AS x FROM supplier)"
+_DIM = "d AS (SELECT CAST(max(p_partkey) + 1 AS BIGINT) AS m, CAST((SELECT max(s_suppkey) + 1 FROM supplier) AS BIGINT) AS n FROM part)"
+
+
+def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# Products -------------------------------------------------------------------------------------
+
+
+@_query("spmv", f"WITH {_PS}, {_X} SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) GROUP BY i")
+def spmv(spark: SparkSession, sf: str) -> DataFrame:
+    return M.spmv(T.part_supplier(spark, sf).df, T.suppliers_vector(spark, sf))
+
+
+@_query("spmv_zero_filled", f"""WITH {_OP}, r AS (SELECT unnest(range(0, (SELECT CAST(max(o_orderkey) + 1 AS BIGINT) FROM orders))) AS i),
+p AS (SELECT i, sum(v * (1 + j % 5)) AS y FROM op GROUP BY i) SELECT r.i, coalesce(y, 0.0::DOUBLE) AS y FROM r LEFT JOIN p USING (i)""")
+def spmv_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = T.order_part(spark, sf)
+    x = C.domain(spark, matrix.columns, "j").select("j", (1 + F.col("j") % 5).cast("double").alias("x"))
+    return M.spmv_full(matrix, x)
+
+
+@_query("spmv_multi_matrix", f"""WITH {_PS}, {_OP}, a AS (SELECT 'ps' AS matrix_id, * FROM ps UNION ALL SELECT 'op', * FROM op)
+SELECT matrix_id, i, sum(v * (1 + j % 3)) AS y FROM a GROUP BY 1, 2""")
+def spmv_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    one, two = T.part_supplier(spark, sf), T.order_part(spark, sf)
+    both = one.df.withColumn("matrix_id", F.lit("ps")).unionByName(two.df.withColumn("matrix_id", F.lit("op")))
+    x = C.domain(spark, max(one.columns, two.columns), "j").select("j", (1 + F.col("j") % 3).cast("double").alias("x"))
+    return M.spmv(both, x, ("matrix_id",))
+
+
+@_query("spmm", f"WITH {_PS}, k AS (SELECT unnest(range(0, 8)) AS k) SELECT i, k, sum(v * (1 + (j * (k + 1)) % 7)) AS y FROM ps, k GROUP BY i, k")
+def spmm(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = T.part_supplier(spark, sf)
+    wide = C.domain(spark, matrix.columns, "j").select("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    return M.spmm(matrix.df, wide.select("j", "k", (1 + (F.col("j") * (F.col("k") + 1)) % 7).cast("double").alias("x")))
+
+
+@_query("spmm_wide", f"""WITH {_PS}, e AS (SELECT vec_id AS j, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS x FROM embeddings)
+SELECT i, k, round(sum(v * x::DOUBLE), 4) AS y FROM ps JOIN e USING (j) GROUP BY i, k""")
+def spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
+    x = T.embedding_rows(spark, sf)
+    width = len(x.select("xs").first().xs)
+    return M.spmm_wide(T.part_supplier(spark, sf).df, x, width).withColumn("y", F.round("y", 4))
+
+
+# Coordinate algebra ---------------------------------------------------------------------------
+
+
+@_query("coo_build", f"WITH {_PS} SELECT * FROM ps")
+def coo_build(spark: SparkSession, sf: str) -> DataFrame:
+    return T.part_supplier(spark, sf).df
+
+
+@_query("coo_customer_part", "SELECT o_custkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2")
+def coo_customer_part(spark: SparkSession, sf: str) -> DataFrame:
+    return T.customer_part(spark, sf).df
+
+
+@_query("coo_user_hour", "SELECT user_id AS i, date_diff('hour', TIMESTAMP '2024-01-01', ts) AS j, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2")
+def coo_user_hour(spark: SparkSession, sf: str) -> DataFrame:
+    return T.user_hour(spark, sf)
+
+
+@_query("coo_distinct", "SELECT DISTINCT l_partkey AS i, l_suppkey AS j, l_quantity AS v FROM lineitem")
+def coo_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    return C.distinct(T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v")))
+
+
+@_query("coo_transpose", f"WITH {_PS} SELECT j AS i, i AS j, v FROM ps")
+def coo_transpose(spark: SparkSession, sf: str) -> DataFrame:
+    return C.transposed(T.part_supplier(spark, sf).df)
+
+
+@_query("coo_symmetrize", f"WITH {_PS}, l AS (SELECT * FROM ps WHERE i >= j AND i < 100) SELECT i, j, v FROM l UNION ALL SELECT j, i, v FROM l WHERE i <> j")
+def coo_symmetrize(spark: SparkSession, sf: str) -> DataFrame:
+    return C.symmetrized(T.part_supplier(spark, sf).df.where("i >= j AND i < 100"))
+
+
+@_query("nonzero_filter", f"WITH {_PS} SELECT i, j, v - 25 AS v FROM ps WHERE v <> 25")
+def nonzero_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return C.nonzero(T.part_supplier(spark, sf).df.withColumn("v", F.col("v") - 25))
+
+
+@_query("bounds_checked", f"WITH {_PS} SELECT count(*) AS n, sum(v) AS total FROM ps")
+def bounds_checked(spark: SparkSession, sf: str) -> DataFrame:
+    return C.checked(T.part_supplier(spark, sf)).agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@_query("row_nnz", f"WITH {_PS} SELECT i AS k, count(*) AS nnz FROM ps WHERE v <> 0 GROUP BY 1")
+def row_nnz(spark: SparkSession, sf: str) -> DataFrame:
+    return C.counts(T.part_supplier(spark, sf).df, "i")
+
+
+@_query("col_nnz", f"WITH {_PS} SELECT j AS k, count(*) AS nnz FROM ps WHERE v <> 0 GROUP BY 1")
+def col_nnz(spark: SparkSession, sf: str) -> DataFrame:
+    return C.counts(T.part_supplier(spark, sf).df, "j")
+
+
+@_query("csr_indptr", f"""WITH {_OP}, r AS (SELECT unnest(range(0, (SELECT CAST(max(o_orderkey) + 2 AS BIGINT) FROM orders))) AS i),
+c AS (SELECT i + 1 AS i, count(*) AS n FROM op GROUP BY 1)
+SELECT r.i, CAST(sum(coalesce(n, 0)) OVER (ORDER BY r.i) AS BIGINT) AS ptr FROM r LEFT JOIN c USING (i)""")
+def csr_indptr(spark: SparkSession, sf: str) -> DataFrame:
+    return C.row_pointers(T.order_part(spark, sf))
+
+
+# Partitioning ---------------------------------------------------------------------------------
+
+
+def _neighbours(axis: str) -> str:
+    """CTEs m (pattern of parts x suppliers), s (k, na, nb, d0, df, db) along an axis."""
+    other = "i" if axis == "j" else "j"
+    size = "(SELECT n FROM d)" if axis == "j" else "(SELECT m FROM d)"
+    dot = lambda cond: f"(SELECT b.{axis} AS k, sum(a.v * b.v) AS t FROM m a JOIN m b ON b.{axis} = a.{axis} + 1 AND {cond} GROUP BY 1)"
+    return f"""{_PS}, {_DIM}, m AS (SELECT i, j, 1.0::DOUBLE AS v FROM ps WHERE v <> 0), c AS (SELECT {axis} AS k, count(*) AS n FROM m GROUP BY 1),
+r AS (SELECT unnest(range(1, {size})) AS k),
+s AS (SELECT r.k, coalesce(p.n, 0) AS na, coalesce(q.n, 0) AS nb, coalesce(e.t, 0) AS d0, coalesce(f.t, 0) AS df, coalesce(g.t, 0) AS db FROM r LEFT JOIN c p ON p.k = r.k - 1 LEFT JOIN c q ON q.k = r.k
+LEFT JOIN {dot(f"a.{other} = b.{other}")} e ON e.k = r.k LEFT JOIN {dot(f"a.{other} = b.{other} + 1")} f ON f.k = r.k LEFT JOIN {dot(f"b.{other} = a.{other} + 1")} g ON g.k = r.k)"""
+
+
+_MEAN = "(d0 + df + db) / nullif(3.0::DOUBLE * greatest(na, nb), 0)"
+_BEST = "greatest(d0, df, db) / nullif(greatest(na, nb)::DOUBLE, 0)"
+_OR_ZERO = f"CASE WHEN na = 0 OR nb = 0 THEN 0.0::DOUBLE ELSE {_BEST} END"
+_V1 = f"coalesce({_BEST} < {THRESHOLD}, false)"
+_V2 = f"(na = 0 AND nb > 0) OR (na > 0 AND {_OR_ZERO} < {THRESHOLD})"
+
+
+def _pattern(spark: SparkSession, sf: str) -> C.Matrix:
+    matrix = T.part_supplier(spark, sf)
+    return C.Matrix(C.pattern(matrix.df), matrix.rows, matrix.columns)
+
+
+for _axis, _of in (("j", "cols"), ("i", "rows")):
+    for _n, _measure, _sql in (("1", mean_shift, _MEAN), ("2", best_shift, _BEST), ("2_or_zero", best_shift_or_zero, _OR_ZERO)):
+        _query(f"similarity{_n}_{_of}", f"WITH {_neighbours(_axis)} SELECT k, na, nb, {_sql} AS sim FROM s")(lambda spark, sf, a=_axis, f=_measure: P.similarities(_pattern(spark, sf), a, f))
+    _query(f"cuts_v1_{_of}", f"WITH {_neighbours(_axis)} SELECT k, {_V1} AS cut FROM s")(lambda spark, sf, a=_axis: P.cuts_everywhere(_pattern(spark, sf), a, THRESHOLD, best_shift))
+    _query(f"cuts_v2_{_of}", f"WITH {_neighbours(_axis)} SELECT k, {_V2} AS cut FROM s")(lambda spark, sf, a=_axis: P.cuts_between_runs(_pattern(spark, sf), a, THRESHOLD))
+
+
+def _strips_sql(axis: str, cut: str) -> str:
+    return f"""{_neighbours(axis)}, z AS (SELECT 0::BIGINT AS k, false AS cut UNION ALL SELECT k, {cut} FROM s),
+st AS (SELECT k, CAST(sum(cut::BIGINT) OVER (ORDER BY k) AS BIGINT) AS strip FROM z), strips AS (SELECT strip, min(k) AS lo, max(k) + 1 AS hi FROM st GROUP BY strip)"""
+
+
+for _axis, _of in (("j", "cols"), ("i", "rows")):
+    _query(f"strips_{_of}", f"WITH {_strips_sql(_axis, _V2)} SELECT * FROM strips")(lambda spark, sf, a=_axis: P.strips(P.cuts_between_runs(_pattern(spark, sf), a, THRESHOLD), (lambda m: m.columns if a == "j" else m.rows)(T.part_supplier(spark, sf))))
+
+
+@_query("strips_uniform", f"WITH {_DIM} SELECT k AS strip, k * (m // {ROW_PARTS}) AS lo, (k + 1) * (m // {ROW_PARTS}) AS hi FROM d, (SELECT unnest(range(0, {ROW_PARTS})) AS k)")
+def strips_uniform(spark: SparkSession, sf: str) -> DataFrame:
+    return P.strips_uniform(spark, T.part_supplier(spark, sf).rows, ROW_PARTS)
+
+
+@_query("strips_random")
+def strips_random(spark: SparkSession, sf: str) -> DataFrame:
+    return P.strips_random(spark, T.part_supplier(spark, sf).rows, ROW_PARTS)
+
+
+# Blocks ---------------------------------------------------------------------------------------
+
+_MEMBERS = f"""{_PS}, {_DIM}, w AS (SELECT m // {ROW_PARTS} AS h, n // {COLUMN_PARTS} AS w FROM d),
+mem AS (SELECT i // h AS a, j // w AS b, i, j, v, (i // h) * h AS r0, (i // h + 1) * h AS r1, (j // w) * w AS c0, (j // w + 1) * w AS c1, (j % w) * h + i % h AS pos FROM ps, w WHERE v <> 0)"""
+_BLOCKS = f"""{_MEMBERS}, bl0 AS (SELECT a, b, r0, r1, c0, c1, count(*) AS nnz, (r1 - r0) * (c1 - c0) AS size FROM mem GROUP BY a, b, r0, r1, c0, c1),
+bl AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS bid, *, CAST(sum(size) OVER (ORDER BY a, b) - size AS BIGINT) AS "offset" FROM bl0)"""
+_SPLIT = f"{_BLOCKS}, ch AS (SELECT *, nnz * 100.0::DOUBLE / size > {DENSITY} AS is_dense FROM bl)"
+
+
+def _blocked(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame, DataFrame, DataFrame]:
+    matrix = T.part_supplier(spark, sf)
+    rows = P.strips_uniform(spark, matrix.rows, ROW_PARTS)
+    members, blocks = B.blocked(matrix, rows, P.strips_uniform(spark, matrix.columns, COLUMN_PARTS))
+    return matrix, rows, members, blocks
+
+
+@_query("block_assign", f"WITH {_MEMBERS} SELECT a, b, i, j, v, r0, r1, c0, c1, pos FROM mem")
+def block_assign(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocked(spark, sf)[2]
+
+
+@_query("block_stats", f"WITH {_BLOCKS} SELECT bid, a, b, nnz, size, nnz * 100.0::DOUBLE / size AS percent FROM bl")
+def block_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocked(spark, sf)[3].select("bid", "a", "b", "nnz", "size", (F.col("nnz") * 100.0 / F.col("size")).alias("percent"))
+
+
+@_query("block_offsets", f'WITH {_BLOCKS} SELECT bid, size, "offset" FROM bl')
+def block_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocked(spark, sf)[3].select("bid", "size", "offset")
+
+
+@_query("block_row_pointers", f"""WITH {_BLOCKS}, st AS (SELECT unnest(range(0, {ROW_PARTS})) AS a)
+SELECT st.a, coalesce(min(bid), -1) AS first, coalesce(max(bid) + 1, -1) AS last FROM st LEFT JOIN bl USING (a) GROUP BY st.a""")
+def block_row_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    _, rows, _, blocks = _blocked(spark, sf)
+    return B.strip_pointers(blocks, rows)
+
+
+@_query("block_values", f"""WITH {_SPLIT}, cell AS (SELECT bid, a, b, unnest(range(0, size)) AS pos FROM ch WHERE is_dense)
+SELECT bid, cell.pos, coalesce(v, 0.0::DOUBLE) AS v FROM cell LEFT JOIN mem ON mem.a = cell.a AND mem.b = cell.b AND mem.pos = cell.pos""")
+def block_values(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, members, blocks = _blocked(spark, sf)
+    cells = B.values(members, B.split(blocks, B.is_dense(DENSITY)))
+    return cells.select("bid", F.posexplode("vals").alias("pos", "v")).select("bid", F.col("pos").cast("long").alias("pos"), "v")
+
+
+@_query("blocks_to_coo", f"WITH {_PS} SELECT i, j, v FROM ps WHERE v <> 0")
+def blocks_to_coo(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, members, blocks = _blocked(spark, sf)
+    return B.to_coo(B.values(members, B.split(blocks, B.is_dense(0))))
+
+
+@_query("density_split", f"WITH {_SPLIT} SELECT bid, is_dense FROM ch")
+def density_split(spark: SparkSession, sf: str) -> DataFrame:
+    return B.split(_blocked(spark, sf)[3], B.is_dense(DENSITY)).select("bid", "is_dense")
+
+
+@_query("density_split_floor", f"WITH {_BLOCKS} SELECT bid, nnz > floor(size * {DENSITY}::DOUBLE / 100) AS is_dense FROM bl")
+def density_split_floor(spark: SparkSession, sf: str) -> DataFrame:
+    return B.split(_blocked(spark, sf)[3], B.is_dense_floor(DENSITY)).select("bid", "is_dense")
+
+
+@_query("dense_ordinal", f"WITH {_SPLIT} SELECT bid, CASE WHEN is_dense THEN CAST(sum(is_dense::BIGINT) OVER (ORDER BY bid) - 1 AS BIGINT) END AS dense_ordinal FROM ch")
+def dense_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    return B.split(_blocked(spark, sf)[3], B.is_dense(DENSITY)).select("bid", "dense_ordinal")
+
+
+@_query("residual_coo", f"WITH {_SPLIT} SELECT mem.i, mem.j, mem.v FROM mem JOIN ch USING (a, b) WHERE NOT is_dense")
+def residual_coo(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, members, blocks = _blocked(spark, sf)
+    return B.residual(members, B.split(blocks, B.is_dense(DENSITY)))
+
+
+def _hybrid(density: float) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        _, _, members, blocks = _blocked(spark, sf)
+        return B.hybrid_spmv(members, B.split(blocks, B.is_dense(density)), T.suppliers_vector(spark, sf))
+
+    return run
+
+
+for _name, _density in (("hybrid_spmv", DENSITY), ("all_sparse_spmv", 100.0), ("all_dense_spmv", 0.0)):
+    _query(_name, ORACLE_SQL["spmv"])(_hybrid(_density))
+
+
+@_query("kernel_spmv", f"WITH {_SPLIT}, {_X} SELECT i, sum(v * x) AS y FROM (SELECT mem.i, mem.j, mem.v FROM mem WHERE a < 4) JOIN x USING (j) GROUP BY i")
+def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, members, blocks = _blocked(spark, sf)
+    dense = B.values(members.where("a < 4"), B.split(blocks.where("a < 4"), B.is_dense(0)))
+    return B.kernel_spmv(dense, T.suppliers_vector(spark, sf))
+
+
+@_query("hybrid_spmm", ORACLE_SQL["spmm"])
+def hybrid_spmm(spark: SparkSession, sf: str) -> DataFrame:
+    matrix, _, members, blocks = _blocked(spark, sf)
+    wide = C.domain(spark, matrix.columns, "j").select("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
+    return B.hybrid_spmm(members, B.split(blocks, B.is_dense(DENSITY)), wide.select("j", "k", (1 + (F.col("j") * (F.col("k") + 1)) % 7).cast("double").alias("x")))
+
+
+@_query("partition_pipeline", f"""WITH {_strips_sql("j", _V2)}, mem AS (SELECT i // ((SELECT m FROM d) // {ROW_PARTS}) AS a, strip AS b, count(*) AS nnz, any_value(hi - lo) * ((SELECT m FROM d) // {ROW_PARTS}) AS size FROM m JOIN strips ON j >= lo AND j < hi GROUP BY 1, 2)
+SELECT a, b, nnz, size, nnz * 100.0::DOUBLE / size > {DENSITY} AS is_dense FROM mem""")
+def partition_pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = _pattern(spark, sf)
+    columns = P.strips(P.cuts_between_runs(matrix, "j", THRESHOLD), matrix.columns)
+    _, blocks = B.blocked(matrix, P.strips_uniform(spark, matrix.rows, ROW_PARTS), columns)
+    return B.split(blocks, B.is_dense(DENSITY)).select("a", "b", "nnz", "size", "is_dense")
+
+
+@_query("partition_report", f"""WITH {_SPLIT}, t AS (SELECT CAST(sum(nnz) AS BIGINT) AS nnz, CAST(sum(CASE WHEN is_dense THEN size ELSE nnz END) AS BIGINT) AS operated, count(*) AS num_blocks, CAST(sum(is_dense::BIGINT) AS BIGINT) AS num_dense_blocks FROM ch)
+SELECT nnz, operated - nnz AS extra_nnz, num_blocks, num_dense_blocks, round(nnz / (m * n)::DOUBLE, 2) AS old_density, round(operated / (m * n)::DOUBLE, 2) AS new_density FROM t, d""")
+def partition_report(spark: SparkSession, sf: str) -> DataFrame:
+    matrix, _, _, blocks = _blocked(spark, sf)
+    return B.report(B.split(blocks, B.is_dense(DENSITY)), matrix.rows * matrix.columns)
+
+
+@_query("strip_work", f"WITH {_SPLIT} SELECT a, CAST(sum(CASE WHEN is_dense THEN size ELSE 0 END) AS BIGINT) AS work FROM ch GROUP BY a")
+def strip_work(spark: SparkSession, sf: str) -> DataFrame:
+    return B.strip_work(B.split(_blocked(spark, sf)[3], B.is_dense(DENSITY)))
+
+
+# Evaluation -----------------------------------------------------------------------------------
+
+
+@_query("even_distribution", "SELECT n_nationkey, CAST(ntile(7) OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS part FROM nation")
+def even_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    return E.even_distribution(T.table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", 7)
+
+
+_TIMINGS = "t AS (SELECT event_type AS name, CAST([1, 2, 4, 8][user_id % 4 + 1] AS BIGINT) AS threads, event_id AS rep, value AS t FROM events)"
+
+
+@_query("timing_median", f"WITH {_TIMINGS} SELECT name, threads, median(t) AS median_t, list_sort(list(t))[count(*) // 2 + 1] AS upper_median_t FROM t GROUP BY 1, 2")
+def timing_median(spark: SparkSession, sf: str) -> DataFrame:
+    return E.medians(T.timings(spark, sf), "name", "threads")
+
+
+@_query("timing_decile_trim", f"""WITH {_TIMINGS}, q AS (SELECT name, threads, quantile_cont(t, 0.1) AS lo, quantile_cont(t, 0.9) AS hi, count(*) AS points FROM t GROUP BY 1, 2)
+SELECT name, threads, count(*) AS n, round(avg(t), 6) AS mean_t FROM t JOIN q USING (name, threads) WHERE points < 10 OR t BETWEEN lo AND hi GROUP BY 1, 2""")
+def timing_decile_trim(spark: SparkSession, sf: str) -> DataFrame:
+    return E.trimmed(T.timings(spark, sf), "name", "threads").withColumn("mean_t", F.round("mean_t", 6))
+
+
+@_query("timing_pivot", f"""WITH {_TIMINGS}, c AS (SELECT name, threads, count(*) AS n FROM t WHERE threads < 8 GROUP BY 1, 2)
+SELECT name, {', '.join(f"coalesce(CAST(max(n) FILTER (threads = {k}) AS VARCHAR), 'N/A') AS t_{k}" for k in (1, 2, 4, 8))} FROM c GROUP BY name""")
+def timing_pivot(spark: SparkSession, sf: str) -> DataFrame:
+    counted = T.timings(spark, sf).where("threads < 8").groupBy("name", "threads").agg(F.count("*").alias("t"))
+    return E.pivoted(counted, [1, 2, 4, 8])
+
+
+@_query("not_evaluated", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def not_evaluated(spark: SparkSession, sf: str) -> DataFrame:
+    done = T.table(spark, sf, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return E.not_evaluated(T.table(spark, sf, "part").select("p_partkey"), done, "p_partkey")
+
+
+@_query("allow_list", "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')")
+def allow_list(spark: SparkSession, sf: str) -> DataFrame:
+    return T.table(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
+
+
+@_query("deny_list", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 95)")
+def deny_list(spark: SparkSession, sf: str) -> DataFrame:
+    events = T.table(spark, sf, "events")
+    return E.not_evaluated(events.select("event_id", "user_id"), events.where("value > 95"), "user_id").select("event_id")
+
+
+@_query("error_rows", "SELECT event_id FROM events WHERE event_type NOT LIKE '%error%'")
+def error_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = T.table(spark, sf, "events").withColumn("said", F.upper("event_type"))
+    return E.without_errors(rows, "said").select("event_id")
+
+
+@_query("matrix_sizes", f"WITH {_PS}, {_OP}, a AS (SELECT 'ps' AS matrix_id, * FROM ps UNION ALL SELECT 'op', * FROM op UNION ALL SELECT 'one', 0, 0, 1.0) SELECT matrix_id, count(*) AS nnz FROM a GROUP BY 1 HAVING count(*) BETWEEN 1000 AND 20000000")
+def matrix_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    three = [T.part_supplier(spark, sf).df.withColumn("matrix_id", F.lit("ps")), T.order_part(spark, sf).df.withColumn("matrix_id", F.lit("op")), spark.range(1).select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("v"), F.lit("one").alias("matrix_id"))]
+    return E.sized(three[0].unionByName(three[1]).unionByName(three[2]), 1000)
+
+
+_TRAINING = """tr AS (SELECT * FROM (SELECT 1::BIGINT AS dim1, 1::BIGINT AS dim2, 100::BIGINT AS perc_zeros, 0::BIGINT AS nnz, 8.0::DOUBLE AS csr_time, 1.0::DOUBLE AS block_time)
+UNION ALL SELECT l_partkey + 1, l_suppkey + 1, l_orderkey % 100, l_partkey * (l_suppkey + 1), 8 + l_quantity, 1 + CAST(l_linenumber AS DOUBLE) * 4 FROM lineitem)"""
+
+
+def _training(spark: SparkSession, sf: str) -> DataFrame:
+    lines = T.table(spark, sf, "lineitem")
+    first = spark.range(1).select(*[F.lit(v).cast(k).alias(n) for n, v, k in (("dim1", 1, "long"), ("dim2", 1, "long"), ("perc_zeros", 100, "long"), ("nnz", 0, "long"), ("csr_time", 8, "double"), ("block_time", 1, "double"))])
+    rest = lines.select((F.col("l_partkey") + 1).alias("dim1"), (F.col("l_suppkey") + 1).alias("dim2"), (F.col("l_orderkey") % 100).alias("perc_zeros"), (F.col("l_partkey") * (F.col("l_suppkey") + 1)).alias("nnz"), (8 + F.col("l_quantity")).alias("csr_time"), (1 + F.col("l_linenumber").cast("double") * 4).alias("block_time"))
+    return first.unionByName(rest)
+
+
+@_query("label_rules", f"""WITH {_TRAINING}, st AS (SELECT min(csr_time) AS startup FROM tr WHERE dim1 = 1 AND dim2 = 1 AND nnz = 0)
+SELECT dim1, dim2, perc_zeros, nnz, csr_time, block_time, 100 - perc_zeros AS density, CAST(CASE WHEN 100 - perc_zeros <= 25 OR nnz < 800 OR (dim2 = 1 AND dim1 < 1300) THEN 0 ELSE ((csr_time - startup) / block_time >= 1.3)::INTEGER END AS INTEGER) AS target FROM tr, st""")
+def label_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return E.labelled(_training(spark, sf))
+
+
+@_query("param_grid", "SELECT a.x AS dim1, b.x AS dim2, c.x AS perc_zeros, a.x * b.x * (100 - c.x) // 100 AS nnz FROM (SELECT unnest(range(1, 25)) AS x) a, (SELECT unnest(range(1, 25)) AS x) b, (SELECT unnest(range(0, 100, 10)) AS x) c")
+def param_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return E.parameter_grid(spark, list(range(1, 25)), list(range(1, 25)), list(range(0, 100, 10)))
+
+
+@_query("rf_block_choice")
+def rf_block_choice(spark: SparkSession, sf: str) -> DataFrame:
+    model, _ = E.trained(E.labelled(_training(spark, sf)))
+    return E.classified(_blocked(spark, sf)[3], model).select("bid", "a", "b", "nnz", "size", "is_dense")
+
+
+@_query("synth_matrix")
+def synth_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return Y.generated(spark, 200, 300, 10, 10, 20, 25, 30)[0].df
