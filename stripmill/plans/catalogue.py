@@ -351,10 +351,10 @@ def allow_list(spark: SparkSession, sf: str) -> DataFrame:
     return T.table(spark, sf, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).select("o_orderkey")
 
 
-@_query("deny_list", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 95)")
+@_query("deny_list", "SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 250)")
 def deny_list(spark: SparkSession, sf: str) -> DataFrame:
     events = T.table(spark, sf, "events")
-    return E.not_evaluated(events.select("event_id", "user_id"), events.where("value > 95"), "user_id").select("event_id")
+    return E.not_evaluated(events.select("event_id", "user_id"), events.where("value > 250"), "user_id").select("event_id")
 
 
 @_query("error_rows", "SELECT event_id FROM events WHERE event_type NOT LIKE '%error%'")

@@ -82,7 +82,7 @@ def test_blocks(spark):
         chosen = B.split(blocks, B.is_dense(density))
         y = B.hybrid_spmv(members, chosen, Y.constant_vector(spark, 11))
         assert column(y, "y") == [7, 7, 11, 10, 13, 34, 23, 20, 9, 40, 21]
-        assert (B.residual(members, chosen).count() == 0) == (density == 0)
+        assert (B.residual(members, chosen).count() == 0) == (density < 66)
     chosen = B.split(blocks, B.is_dense(0))
     stored = B.values(members, chosen)
     assert stored.where("bid = 0").first().vals == [4, 1, 2, 5]
