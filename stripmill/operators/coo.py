@@ -35,6 +35,11 @@ def distinct(entries: DataFrame) -> DataFrame:
     return entries.select("i", "j", "v").distinct()
 
 
+def last_wins(entries: DataFrame, order: str) -> DataFrame:
+    """One row for each coordinate: of duplicates the last by the column `order`."""
+    return entries.groupBy("i", "j").agg(F.max_by("v", order).alias("v"))
+
+
 def nonzero(entries: DataFrame) -> DataFrame:
     return entries.where("v <> 0")
 

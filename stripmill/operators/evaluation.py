@@ -49,6 +49,15 @@ def sized(matrices: DataFrame, least: int = 10_000, most: int = 20_000_000) -> D
     return matrices.groupBy("matrix_id").agg(F.count("*").alias("nnz")).where(F.col("nnz").between(least, most))
 
 
+def differing(left: DataFrame, right: DataFrame, on: str, value: str) -> DataFrame:
+    """(on, left_value, right_value) where two results differ or one has no row: results of
+    different length are not equal."""
+    a = left.select(F.col(on).alias("_a"), F.col(value).alias("left_value"))
+    b = right.select(F.col(on).alias("_b"), F.col(value).alias("right_value"))
+    both = a.join(b, F.col("_a") == F.col("_b"), "full_outer")
+    return both.where(~F.col("left_value").eqNullSafe(F.col("right_value"))).select(F.coalesce("_a", "_b").alias(on), "left_value", "right_value")
+
+
 def even_distribution(items: DataFrame, order: str, parts: int) -> DataFrame:
     """Items with `part` (from 0): contiguous parts, the first of which take one more if it does not go
     even. Meant for lists of files or matrices; the numbering is one task's."""
@@ -97,6 +106,14 @@ def trained(rows: DataFrame, seed: int = 42, trees: int = 20) -> tuple[PipelineM
     return model, error
 
 
+def save_model(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load_model(path: str) -> PipelineModel:
+    return PipelineModel.load(path)
+
+
 def classified(blocks: DataFrame, model: PipelineModel) -> DataFrame:
     """Blocks with is_dense as the model says from height, width and percentage of nonzeros."""
     shaped = blocks.withColumns({"dim1": F.col("r1") - F.col("r0"), "dim2": F.col("c1") - F.col("c0"), "density": F.col("nnz") * 100.0 / F.col("size")})

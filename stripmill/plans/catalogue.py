@@ -102,14 +102,20 @@ def coo_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return C.distinct(T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v")))
 
 
+@_query("coo_last_wins", "SELECT l_partkey AS i, l_suppkey AS j, max_by(l_quantity, l_orderkey * 8 + l_linenumber) AS v FROM lineitem GROUP BY 1, 2")
+def coo_last_wins(spark: SparkSession, sf: str) -> DataFrame:
+    lines = T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
+    return C.last_wins(lines, "at")
+
+
 @_query("coo_transpose", f"WITH {_PS} SELECT j AS i, i AS j, v FROM ps")
 def coo_transpose(spark: SparkSession, sf: str) -> DataFrame:
     return C.transposed(T.part_supplier(spark, sf).df)
 
 
-@_query("coo_symmetrize", f"WITH {_PS}, l AS (SELECT * FROM ps WHERE i >= j AND i < 100) SELECT i, j, v FROM l UNION ALL SELECT j, i, v FROM l WHERE i <> j")
+@_query("coo_symmetrize", f"WITH {_PS}, l AS (SELECT * FROM ps WHERE i >= j) SELECT i, j, v FROM l UNION ALL SELECT j, i, v FROM l WHERE i <> j")
 def coo_symmetrize(spark: SparkSession, sf: str) -> DataFrame:
-    return C.symmetrized(T.part_supplier(spark, sf).df.where("i >= j AND i < 100"))
+    return C.symmetrized(T.part_supplier(spark, sf).df.where("i >= j"))
 
 
 @_query("nonzero_filter", f"WITH {_PS} SELECT i, j, v - 25 AS v FROM ps WHERE v <> 25")
@@ -276,11 +282,10 @@ for _name, _density in (("hybrid_spmv", DENSITY), ("all_sparse_spmv", 100.0), ("
     _query(_name, ORACLE_SQL["spmv"])(_hybrid(_density))
 
 
-@_query("kernel_spmv", f"WITH {_SPLIT}, {_X} SELECT i, sum(v * x) AS y FROM (SELECT mem.i, mem.j, mem.v FROM mem WHERE a < 4) JOIN x USING (j) GROUP BY i")
+@_query("kernel_spmv", ORACLE_SQL["spmv"])
 def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
     _, _, members, blocks = _blocked(spark, sf)
-    dense = B.values(members.where("a < 4"), B.split(blocks.where("a < 4"), B.is_dense(0)))
-    return B.kernel_spmv(dense, T.suppliers_vector(spark, sf))
+    return B.kernel_spmv(B.values(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
 
 
 @_query("hybrid_spmm", ORACLE_SQL["spmm"])
@@ -314,6 +319,14 @@ def strip_work(spark: SparkSession, sf: str) -> DataFrame:
 # Evaluation -----------------------------------------------------------------------------------
 
 
+@_query("result_compare", f"""WITH {_PS}, a AS (SELECT i, sum(v) AS y FROM ps GROUP BY i), b AS (SELECT i, sum(v * (1 + j % 2)) AS y FROM ps WHERE v > 70 GROUP BY i)
+SELECT coalesce(a.i, b.i) AS i, a.y AS left_value, b.y AS right_value FROM a FULL JOIN b ON a.i = b.i WHERE a.y IS DISTINCT FROM b.y""")
+def result_compare(spark: SparkSession, sf: str) -> DataFrame:
+    matrix = T.part_supplier(spark, sf)
+    x = lambda e: C.domain(spark, matrix.columns, "j").select("j", F.expr(e).cast("double").alias("x"))
+    return E.differing(M.spmv(matrix.df, x("1")), M.spmv(matrix.df.where("v > 70"), x("1 + j % 2")), "i", "y")
+
+
 @_query("even_distribution", "SELECT n_nationkey, CAST(ntile(7) OVER (ORDER BY n_nationkey) - 1 AS BIGINT) AS part FROM nation")
 def even_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return E.even_distribution(T.table(spark, sf, "nation").select("n_nationkey"), "n_nationkey", 7)
@@ -333,11 +346,11 @@ def timing_decile_trim(spark: SparkSession, sf: str) -> DataFrame:
     return E.trimmed(T.timings(spark, sf), "name", "threads").withColumn("mean_t", F.round("mean_t", 6))
 
 
-@_query("timing_pivot", f"""WITH {_TIMINGS}, c AS (SELECT name, threads, count(*) AS n FROM t WHERE threads < 8 GROUP BY 1, 2)
-SELECT name, {', '.join(f"coalesce(CAST(max(n) FILTER (threads = {k}) AS VARCHAR), 'N/A') AS t_{k}" for k in (1, 2, 4, 8))} FROM c GROUP BY name""")
+@_query("timing_pivot", f"""WITH {_TIMINGS}, c AS (SELECT name, threads, count(*) AS n FROM t GROUP BY 1, 2)
+SELECT name, {', '.join(f"coalesce(CAST(max(n) FILTER (threads = {k}) AS VARCHAR), 'N/A') AS t_{k}" for k in (1, 2, 4, 8, 16))} FROM c GROUP BY name""")
 def timing_pivot(spark: SparkSession, sf: str) -> DataFrame:
-    counted = T.timings(spark, sf).where("threads < 8").groupBy("name", "threads").agg(F.count("*").alias("t"))
-    return E.pivoted(counted, [1, 2, 4, 8])
+    counted = T.timings(spark, sf).groupBy("name", "threads").agg(F.count("*").alias("t"))
+    return E.pivoted(counted, [1, 2, 4, 8, 16])
 
 
 @_query("not_evaluated", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")

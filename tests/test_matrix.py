@@ -180,7 +180,15 @@ def test_evaluation(spark):
     assert [r["count"] for r in parts] == [3, 2, 2]
 
 
-def test_labels_and_forest(spark):
+def test_comparison_and_last_wins(spark):
+    left = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0)], "i long, y double")
+    right = spark.createDataFrame([(0, 1.0), (1, 2.5), (3, 3.0)], "i long, y double")
+    assert sorted(map(str, map(tuple, E.differing(left, right, "i", "y").collect()))) == ["(1, 2.0, 2.5)", "(2, 3.0, None)", "(3, None, 3.0)"]
+    twice = spark.createDataFrame([(0, 0, 1.0, 2), (0, 0, 5.0, 1)], "i long, j long, v double, n int")
+    assert C.last_wins(twice, "n").first().v == 1
+
+
+def test_labels_and_forest(spark, tmp_path):
     grid = E.parameter_grid(spark, [1, 40, 2000], [1, 50], [0, 50, 90])
     assert grid.count() == 18 and grid.where("dim1 = 40 and dim2 = 50 and perc_zeros = 50").first().nnz == 1000
     rows = grid.unionByName(spark.createDataFrame([(1, 1, 100, 0)], "dim1 long, dim2 long, perc_zeros long, nnz long"))
@@ -189,5 +197,6 @@ def test_labels_and_forest(spark):
     assert got[40, 50, 0] == 1 and got[40, 50, 90] == 0 and got[1, 1, 0] == 0 and got[2000, 1, 0] == 1
     model, error = E.trained(E.labelled(timed), trees=5)
     assert not math.isnan(error)
+    E.save_model(model, f"{tmp_path}/model")
     _, _, _, blocks = blocked(spark)
-    assert E.classified(blocks, model).where("is_dense").count() == 0
+    assert E.classified(blocks, E.load_model(f"{tmp_path}/model")).where("is_dense").count() == 0
