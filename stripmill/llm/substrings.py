@@ -14,9 +14,11 @@ cover. The cells' ranks are found first, by sorting them as bytes, and from them
 whole cells inside a suffix; then suffixes are compared by what is left, CELL bytes in the first
 and last cell, with ties settled by the rank. Memory is bounded by the batch.
 
-Buckets with more than BUCKET occurrences are not sorted in one task: their suffixes are
-aggregated by two 64-bit hashes over the cluster. Equality of anchors and contexts is by 64-bit
-hashes that must both agree.
+Buckets with more than BUCKET distinct contexts are not sorted in one task. As a suffix has at least
+HALF bytes more on one side of its anchor, they are dealt anew by the anchor with HALF bytes to its
+left, and with HALF to its right; contexts that no other shares these with drop out. The suffixes of
+what is still too large are aggregated by two 64-bit hashes over the cluster. Equality of
+anchors and contexts is by 64-bit hashes that must both agree.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; a repeated row, or an
 equal text, counts as another place; a document without doc_id keeps its row; an empty table gives an
@@ -44,7 +46,9 @@ ANCHOR, CELL = 64, 40
 REACH = LENGTH - ANCHOR
 STARTS = REACH + 1
 CELLS = -(-STARTS // CELL) + LENGTH // CELL
-#: Occurrences of an anchor above which its suffixes are aggregated by hash.
+#: Bytes that a suffix has on one side of its anchor at least.
+HALF = REACH // 2
+#: Distinct contexts of an anchor above which its bucket is dealt anew.
 BUCKET = 4096
 #: Contexts sorted together, about.
 BATCH = 1 << 14
@@ -101,7 +105,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(hashes[at]), _signed(contexts), _signed([_key(doc, data)] * len(at)), pa.array(at, pa.int32())], ["h", "context", "key", "place"])
 
 
-_CONTEXT_ROW = "h long, context long, often boolean, n long, before int, bytes binary"
+_CONTEXT_ROW = "h long, context long, often boolean, before int, bytes binary"
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +114,9 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             data = unpack.decompress(packed.as_py())
-            rows = [(w["h"], w["context"], w["often"], w["n"], min(w["place"], REACH), data[max(0, w["place"] - REACH) : w["place"] + LENGTH]) for w in wanted]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "context", "often", "n", "before", "bytes"])
+            rows = [(w["h"], w["context"], w["often"], min(w["place"], REACH), data[max(0, w["place"] - REACH) : w["place"] + LENGTH]) for w in wanted]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "context", "often", "before", "bytes"])
 
 
 def _ranks(rows: np.ndarray) -> np.ndarray:
@@ -165,16 +169,14 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over contexts in order of their bucket."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        h, context, before, data = zip(*rows)
-        marked = repeated(np.array(h, np.int64), np.array(before, np.int64), list(data))
-        found = [(h[k], context[k], *_spans(marked[k])) for k in np.flatnonzero(marked.any(axis=1)).tolist()]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], k) for c, k in enumerate(kinds)], ["h", "context", "low", "high"])
+        bucket, h, context, before, data = zip(*rows)
+        marked = repeated(np.array(bucket, np.int64), np.array(before, np.int64), list(data))
+        return _spanned([(h[k], context[k], marked[k]) for k in np.flatnonzero(marked.any(axis=1)).tolist()])
 
     rows: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:2] == rows[-1][:2]:
+            if rows and row[:3] == rows[-1][:3]:
                 continue  # shown by rows of equal key
             if len(rows) >= BATCH and row[0] != rows[-1][0]:
                 yield settle(rows)
@@ -184,15 +186,46 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(rows)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every suffix of each context."""
+def _spanned(found: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    rows = [(h, context, *_spans(marked)) for h, context, marked in found]
+    kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["h", "context", "low", "high"])
+
+
+_SIDE_ROW = "bucket long, side int, h long, context long, before int, bytes binary"
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts under the anchor with HALF bytes to its left (side 0) and to its right (side 1)."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
+        rows = []
         for h, context, before, data in zip(*(c.to_pylist() for c in batch.columns)):
-            starts = range(0, len(data) - LENGTH + 1)
-            both = [xxhash.xxh3_128_intdigest(data[s : s + LENGTH]) for s in starts if REACH - before + s < STARTS]
+            parts = [data[before - HALF : before + ANCHOR] if before >= HALF else b"", data[before : before + ANCHOR + HALF]]
+            rows += [(xxhash.xxh64_intdigest(x, side) - (1 << 63), side, h, context, before, data) for side, x in enumerate(parts) if len(x) == ANCHOR + HALF]
+        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["bucket", "side", "h", "context", "before", "bytes"])
+
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of every suffix of each context that has HALF bytes on its side of the anchor."""
+    for batch in batches:
+        for side, h, context, before, data in zip(*(c.to_pylist() for c in batch.columns)):
+            first = REACH - before
+            starts = [s for s in range(first, min(STARTS, first + len(data) - LENGTH + 1)) if (REACH - s >= HALF) == (side == 0)]
+            both = [xxhash.xxh3_128_intdigest(data[s - first : s - first + LENGTH]) for s in starts]
             n = len(both)
             if n:
-                yield pa.RecordBatch.from_arrays([_signed([x >> 64 for x in both]), _signed([x & (1 << 64) - 1 for x in both]), pa.array([h] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(range(REACH - before, REACH - before + n), pa.int32())], ["w", "x", "h", "context", "start"])
+                yield pa.RecordBatch.from_arrays([_signed([x >> 64 for x in both]), _signed([x & (1 << 64) - 1 for x in both]), pa.array([h] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(starts, pa.int32())], ["w", "x", "h", "context", "start"])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for h, context, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            marked = np.zeros(STARTS, bool)
+            marked[starts] = True
+            found.append((h, context, marked))
+        yield _spanned(found)
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,24 +263,31 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.mapInArrow(_anchored, _ANCHOR_ROW)
-    shared = cut_table(found.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n")).where("n > 1"))
-    places = cut_table(found.join(shared, found["h"] == shared["of"]).select("h", "context", "key", "place", (F.col("n") > bucket).alias("often")))
-    distinct = cut_table(places.groupBy("h", "context").agg(F.count("*").alias("n"), F.max("often").alias("often"), F.min(F.struct("key", "place")).alias("at")))
+    shared = cut_table(found.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
+    places = cut_table(found.join(shared, found["h"] == shared["of"]).select("h", "context", "key", "place"))
+    distinct = cut_table(places.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")))
     mixed = cut_table(distinct.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
     shown = distinct.join(mixed, distinct["h"] == mixed["of"])
-    wanted = shown.groupBy(F.col("at.key").alias("of")).agg(F.collect_list(F.struct("h", "context", "often", "n", F.col("at.place").alias("place"))).alias("wanted"))
+    wanted = shown.groupBy(F.col("at.key").alias("of")).agg(F.collect_list(F.struct("h", "context", (F.col("n_contexts") > bucket).alias("often"), F.col("at.place").alias("place"))).alias("wanted"))
     packed = texts.mapInArrow(_packed, "key long, doc_id long, packed binary")
     # rows with equal keys have equal texts: either shows the context, and both may
     contexts = packed.join(cut_table(wanted), F.col("key") == F.col("of")).select("packed", "wanted").mapInArrow(_fetched, _CONTEXT_ROW)
     contexts = cut_table(contexts)
-    rare = contexts.where("not often").select("h", "context", "before", "bytes").repartition("h").sortWithinPartitions("h", "context").mapInArrow(_sorted, _SPAN_ROW)
-    often = contexts.where("often").select("h", "context", "before", "bytes").dropDuplicates(["h", "context"]).mapInArrow(_suffixes, "w long, x long, h long, context long, start int")
+    rare = contexts.where("not often").select(F.col("h").alias("bucket"), "h", "context", "before", "bytes")
+    sides = contexts.where("often").select("h", "context", "before", "bytes").mapInArrow(_sides, _SIDE_ROW)
+    several = F.min("context") != F.max("context")
+    met = cut_table(sides.groupBy(F.col("bucket").alias("of")).agg(several.alias("several"), F.count("*").alias("n")).where("several").drop("several"))
+    dealt = sides.join(met, F.col("bucket") == F.col("of"))
+    rare = rare.unionByName(dealt.where(F.col("n") <= bucket).select("bucket", "h", "context", "before", "bytes"))
+    stretches = rare.repartition("bucket").sortWithinPartitions("bucket", "h", "context").mapInArrow(_sorted, _SPAN_ROW)
+    often = dealt.where(F.col("n") > bucket).select("side", "h", "context", "before", "bytes").mapInArrow(_suffixes, "w long, x long, h long, context long, start int")
     # a string shows up once for each of its anchors: only equal anchors at equal places compare
     suffix = ["w", "x", "h", "start"]
-    twice = cut_table(often.groupBy(*[F.col(c).alias(f"{c}2") for c in suffix]).agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    twice = cut_table(often.groupBy(*[F.col(c).alias(f"{c}2") for c in suffix]).agg(several.alias("several")).where("several").drop("several"))
     same = (F.col("w") == F.col("w2")) & (F.col("x") == F.col("x2")) & (F.col("h") == F.col("h2")) & (F.col("start") == F.col("start2"))
-    starts = often.join(twice, same).select("h", "context", (F.col("start") - REACH).alias("low"), (F.col("start") - REACH + LENGTH).alias("high"))
-    stretches = rare.select("h", "context", F.explode(F.arrays_zip("low", "high")).alias("s")).select("h", "context", "s.low", "s.high").unionByName(starts)
+    starts = often.join(twice, same).groupBy("h", "context").agg(F.collect_set("start").alias("starts"))
+    stretches = stretches.unionByName(starts.mapInArrow(_gathered, _SPAN_ROW))
+    stretches = stretches.select("h", "context", F.explode(F.arrays_zip("low", "high")).alias("s")).select("h", "context", "s.low", "s.high")
     # what is repeated as a whole: REACH and LENGTH are cut to the document's ends below
     whole = distinct.where("n > 1").select("h", "context", F.lit(-REACH).alias("low"), F.lit(LENGTH).alias("high"))
     spans = cut_table(stretches.unionByName(whole).groupBy(F.col("h").alias("h2"), F.col("context").alias("c2")).agg(F.collect_set(F.struct("low", "high")).alias("spans")))
