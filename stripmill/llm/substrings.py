@@ -14,10 +14,10 @@ cover. The cells' ranks are found first, by sorting them as bytes, and from them
 whole cells inside a suffix; then suffixes are compared by what is left, CELL bytes in the first
 and last cell, with ties settled by the rank. Memory is bounded by the batch.
 
-Buckets with more than BUCKET distinct contexts are not sorted in one task. As a suffix has at least
-HALF bytes more on one side of its anchor, they are dealt anew by the anchor with HALF bytes to its
-left, and with HALF to its right; contexts that no other shares these with drop out. The suffixes of
-what is still too large are aggregated by two 64-bit hashes over the cluster. Equality of
+As a suffix has at least HALF bytes on one side of its anchor, buckets are dealt by the anchor with HALF
+bytes to its left, for suffixes that have them, and with HALF to its right, for the others; contexts
+that no other shares these with drop out. The suffixes of buckets with more than BUCKET contexts
+are not sorted in one task but aggregated by two 64-bit hashes over the cluster. Equality of
 anchors and contexts is by 64-bit hashes that must both agree.
 
 Defined cases: a null text is empty; texts shorter than LENGTH lose nothing; a repeated row, or an
@@ -48,8 +48,8 @@ STARTS = REACH + 1
 CELLS = -(-STARTS // CELL) + LENGTH // CELL
 #: Bytes that a suffix has on one side of its anchor at least.
 HALF = REACH // 2
-#: Distinct contexts of an anchor above which its bucket is dealt anew.
-BUCKET = 4096
+#: Distinct contexts in a bucket above which its suffixes are aggregated by hash.
+BUCKET = 1 << 14
 #: Contexts sorted together, about.
 BATCH = 1 << 14
 
@@ -105,7 +105,7 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([_signed(hashes[at]), _signed(contexts), _signed([_key(doc, data)] * len(at)), pa.array(at, pa.int32())], ["h", "context", "key", "place"])
 
 
-_CONTEXT_ROW = "h long, context long, often boolean, before int, bytes binary"
+_CONTEXT_ROW = "h long, context long, before int, bytes binary"
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,9 +114,9 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
             data = unpack.decompress(packed.as_py())
-            rows = [(w["h"], w["context"], w["often"], min(w["place"], REACH), data[max(0, w["place"] - REACH) : w["place"] + LENGTH]) for w in wanted]
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "context", "often", "before", "bytes"])
+            rows = [(w["h"], w["context"], min(w["place"], REACH), data[max(0, w["place"] - REACH) : w["place"] + LENGTH]) for w in wanted]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "context", "before", "bytes"])
 
 
 def _ranks(rows: np.ndarray) -> np.ndarray:
@@ -124,15 +124,17 @@ def _ranks(rows: np.ndarray) -> np.ndarray:
     return np.unique(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), return_inverse=True)[1]
 
 
-def repeated(bucket: np.ndarray, before: np.ndarray, contexts: list[bytes]) -> np.ndarray:
-    """For distinct contexts of several buckets: which of their STARTS suffixes also start in another
-    context of the bucket."""
+def repeated(bucket: np.ndarray, side: np.ndarray, before: np.ndarray, contexts: list[bytes]) -> np.ndarray:
+    """For distinct contexts of several buckets: which of their STARTS suffixes, of those on the
+    bucket's side, also start in another context of the bucket."""
     n = len(contexts)
     length = np.fromiter(map(len, contexts), np.int64, n)
     text = np.zeros((n, CELLS * CELL), np.uint8)
     for k, (b, c) in enumerate(zip(before.tolist(), contexts)):
         text[k, REACH - b : REACH - b + len(c)] = np.frombuffer(c, np.uint8)
-    first, last = REACH - before, REACH - before + length - LENGTH  # suffixes that lie in the document
+    # suffixes that lie in the document, and have HALF bytes to the left of the anchor or have not
+    first = np.maximum(REACH - before, np.where(side == 0, 0, REACH - HALF + 1))
+    last = np.minimum(REACH - before + length - LENGTH, np.where(side == 0, REACH - HALF, STARTS))
     out = np.zeros((n, STARTS), bool)
     group = np.unique(bucket, return_inverse=True)[1].astype(np.int64)
     cell = np.stack([_ranks(text[:, k * CELL : (k + 1) * CELL]) for k in range(CELLS)], axis=1)
@@ -169,14 +171,14 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over contexts in order of their bucket."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        bucket, h, context, before, data = zip(*rows)
-        marked = repeated(np.array(bucket, np.int64), np.array(before, np.int64), list(data))
+        bucket, side, h, context, before, data = zip(*rows)
+        marked = repeated(np.array(bucket, np.int64), np.array(side, np.int64), np.array(before, np.int64), list(data))
         return _spanned([(h[k], context[k], marked[k]) for k in np.flatnonzero(marked.any(axis=1)).tolist()])
 
     rows: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if rows and row[:3] == rows[-1][:3]:
+            if rows and row[:4] == rows[-1][:4]:
                 continue  # shown by rows of equal key
             if len(rows) >= BATCH and row[0] != rows[-1][0]:
                 yield settle(rows)
@@ -268,18 +270,16 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     distinct = cut_table(places.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")))
     mixed = cut_table(distinct.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
     shown = distinct.join(mixed, distinct["h"] == mixed["of"])
-    wanted = shown.groupBy(F.col("at.key").alias("of")).agg(F.collect_list(F.struct("h", "context", (F.col("n_contexts") > bucket).alias("often"), F.col("at.place").alias("place"))).alias("wanted"))
+    wanted = shown.groupBy(F.col("at.key").alias("of")).agg(F.collect_list(F.struct("h", "context", F.col("at.place").alias("place"))).alias("wanted"))
     packed = texts.mapInArrow(_packed, "key long, doc_id long, packed binary")
     # rows with equal keys have equal texts: either shows the context, and both may
     contexts = packed.join(cut_table(wanted), F.col("key") == F.col("of")).select("packed", "wanted").mapInArrow(_fetched, _CONTEXT_ROW)
-    contexts = cut_table(contexts)
-    rare = contexts.where("not often").select(F.col("h").alias("bucket"), "h", "context", "before", "bytes")
-    sides = contexts.where("often").select("h", "context", "before", "bytes").mapInArrow(_sides, _SIDE_ROW)
+    sides = cut_table(contexts).mapInArrow(_sides, _SIDE_ROW)
     several = F.min("context") != F.max("context")
     met = cut_table(sides.groupBy(F.col("bucket").alias("of")).agg(several.alias("several"), F.count("*").alias("n")).where("several").drop("several"))
-    dealt = sides.join(met, F.col("bucket") == F.col("of"))
-    rare = rare.unionByName(dealt.where(F.col("n") <= bucket).select("bucket", "h", "context", "before", "bytes"))
-    stretches = rare.repartition("bucket").sortWithinPartitions("bucket", "h", "context").mapInArrow(_sorted, _SPAN_ROW)
+    dealt = cut_table(sides.join(met, F.col("bucket") == F.col("of")).drop("of"))
+    rare = dealt.where(F.col("n") <= bucket).select("bucket", "side", "h", "context", "before", "bytes")
+    stretches = rare.repartition("bucket").sortWithinPartitions("bucket", "side", "h", "context").mapInArrow(_sorted, _SPAN_ROW)
     often = dealt.where(F.col("n") > bucket).select("side", "h", "context", "before", "bytes").mapInArrow(_suffixes, "w long, x long, h long, context long, start int")
     # a string shows up once for each of its anchors: only equal anchors at equal places compare
     suffix = ["w", "x", "h", "start"]
