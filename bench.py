@@ -12,8 +12,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import SparkSession
 
-HEADLINE = ("spmv", "spmv_zero_filled", "spmm", "cuts_v2_cols", "block_values", "hybrid_spmv", "hybrid_spmm", "partition_report", "csr_indptr")
-RUNS = 3
+HEADLINE = ("spmv", "spmv_zero_filled", "spmm", "cuts_v2_cols", "block_values", "hybrid_spmv", "partition_report", "csr_indptr")
+RUNS = 2
 
 
 def main() -> None:
