@@ -240,16 +240,18 @@ def _banded(further: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 
 def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def compare(keys: np.ndarray, nodes: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-        label = near_pairs(keys, prints, WIDE_RADIUS)
+    def compare(keys: np.ndarray, nodes: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
+        met = np.flatnonzero(np.r_[False, keys[1:] == keys[:-1]] | np.r_[keys[1:] == keys[:-1], False])
+        keys, nodes = keys[met], nodes[met]
+        label = near_pairs(keys, np.frombuffer(b"".join([prints[k] for k in met.tolist()]), np.uint64).reshape(-1, WIDE_SIZE), WIDE_RADIUS)
         linked = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], ["a", "b"])
 
-    keys, nodes, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, WIDE_SIZE), np.uint64)
+    keys, nodes, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), []
     for batch in batches:
         keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)]
         nodes = np.r_[nodes, batch.column(1).to_numpy(zero_copy_only=False)]
-        prints = np.r_[prints, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, WIDE_SIZE)]
+        prints += batch.column(2).to_pylist()
         if len(keys) >= CHUNK_ROWS // 4 and keys[0] != keys[-1]:
             whole = int(np.searchsorted(keys, keys[-1]))
             yield compare(keys[:whole], nodes[:whole], prints[:whole])
@@ -272,14 +274,14 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_wide_prints, "doc_id long, print binary")
     rows = cut_table(rows.withColumn("node", F.xxhash64("print")))
     distinct = cut_table(rows.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("first")))
-    # keys first, without the prints; prints then travel only to buckets that are shared
+    # every row goes to its buckets with its print: what moves is in proportion to the documents,
+    # however many of them share buckets
     banded = distinct.select("node", "print").mapInArrow(_banded(0), "key long, node long, print binary")
-    shared = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n")).where("n > 1"))
-    met = banded.join(shared, banded["key"] == shared["of"])
-    pairs = met.where(F.col("n") <= bucket).select("key", "node", "print")
-    if not shared.where(F.col("n") > bucket).isEmpty():
-        hot = met.where(F.col("n") > bucket).select("node", "print", "key")
-        pairs = pairs.unionByName(hot.mapInArrow(_banded(FURTHER), "key long, node long, print binary"))
+    hot = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("of"))
+    pairs = banded
+    if not hot.isEmpty():
+        again = banded.join(hot, F.col("key") == F.col("of"), "left_semi").select("node", "print", "key")
+        pairs = banded.join(hot, F.col("key") == F.col("of"), "left_anti").unionByName(again.mapInArrow(_banded(FURTHER), "key long, node long, print binary"))
     edges = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_wide_links, "a long, b long")
     found = components(edges)
     rooted = distinct.join(found, distinct["node"] == found["node"], "left").select(distinct["node"], "first", F.coalesce("root", distinct["node"]).alias("root"))
