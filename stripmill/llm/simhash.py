@@ -24,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from stripmill.llm.common import components, cut, cut_table, mix, small_batches
 
@@ -37,9 +36,11 @@ BUCKET = 1024
 #: Rows compared at once; a bucket is never cut.
 CHUNK_ROWS = 1 << 17
 _VOTES = 1 << 15
-#: For similarity of 0.8 and more: words in a shingle, 64-bit words in a fingerprint, bits that may
-#: differ, bands, bits in a band, and bands by which large buckets are dealt anew.
-WIDE_SHINGLE, WIDE_SIZE, WIDE_RADIUS, BANDS, BAND_BITS, FURTHER = 5, 4, 44, 48, 20, 6
+#: For the shingle sets of near-duplicates: words in a shingle, least similarity as a fraction, bands, and
+#: min-hashes in a band.
+WIDE_SHINGLE, SIMILAR, BANDS, BAND_ROWS = 5, (4, 5), 25, 5
+#: Shingles of the documents that one task compares, about.
+BLOCK_SHINGLES = 1 << 18
 
 
 def majority(text: str | None, width: int = SHINGLE_WORDS, size: int = 1) -> np.ndarray:
@@ -201,102 +202,200 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
     return prints.join(by_print, prints.fp == by_print.p).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _wide_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [majority(x.as_py(), WIDE_SHINGLE, WIDE_SIZE).tobytes() for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["doc_id", "print"])
+def shingle_set(text: str | None) -> np.ndarray:
+    """Sorted distinct hashes of the text's WIDE_SHINGLE-word shingles, words as in majority(); none for a text without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = zip(*(words[k:] for k in range(WIDE_SHINGLE))) if len(words) > WIDE_SHINGLE else [words]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, grams), repeat(SEED)), np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """A key for each of BANDS bands: the number of the band and its BAND_ROWS min-hashes, mixed."""
+    if not len(shingles):
+        return np.zeros(0, np.uint64)
+    factors = np.random.default_rng(7).integers(0, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    with np.errstate(over="ignore"):
+        least = np.min([(mix(shingles[at : at + 4096]) * factors).min(axis=1) for at in range(0, len(shingles), 4096)], axis=0).reshape(BANDS, BAND_ROWS)
+        keys = np.arange(BANDS, dtype=np.uint64)
+        for k in range(BAND_ROWS):
+            keys = mix(mix(keys) + least[:, k])
+    return keys
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    data = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8 * WIDE_SIZE)
-    return np.unpackbits(data, axis=1, bitorder="little")
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [shingle_set(x.as_py()) for x in batch.column(2)]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), keys], ["_row", "doc_id", "node", "n", "keys"])
 
 
-def _bands() -> list[np.ndarray]:
-    rng = np.random.default_rng(7)
-    return [np.sort(rng.choice(64 * WIDE_SIZE, BAND_BITS, replace=False)) for _ in range(BANDS)]
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(3)], pa.binary())], ["comp", "node", "n", "shingles"])
+
+
+def similar_sets(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
+    """For each set the first one of its group, groups being those of `known` joined by pairs with a
+    Jaccard similarity of SIMILAR or more. Pairs within a group are not compared."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets], np.int64)
+    _, first, label = np.unique(known, return_index=True, return_inverse=True)
+    label = first[label.reshape(-1)]
+    _, gram = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True)
+    gram, owner = gram.reshape(-1), np.repeat(np.arange(n), sizes)
+    holders = owner[np.argsort(gram, kind="stable")]
+    begin = np.r_[0, np.cumsum(np.bincount(gram))]
+    ends = np.cumsum(sizes)
+    for i in range(n - 1):
+        if (label[i + 1 :] == label[i]).all():
+            if (label == label[i]).all():
+                break
+            continue
+        mine = gram[ends[i] - sizes[i] : ends[i]]
+        times = begin[mine + 1] - begin[mine]
+        met = holders[np.repeat(begin[mine] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum())]
+        shared = np.bincount(met, minlength=n)
+        near = np.flatnonzero((shared > 0) & (SIMILAR[1] * shared >= SIMILAR[0] * (sizes[i] + sizes - shared)))
+        joined = np.unique(label[near])
+        if len(joined) > 1:
+            label[np.isin(label, joined)] = joined[0]
+    return label
 
 
-def _banded(further: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, node, print) for each band; with further > 0, from rows that have a key, for each
-    of as many bands that narrow it down."""
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) that join the nodes of each run of rows (key, node, sub, shingles) as similar_sets does."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.int64(1) << np.arange(BAND_BITS, dtype=np.int64)
-        bands = _bands()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            bits = _bits(batch.column(1))
-            for number, band in enumerate(bands[:further] if further else bands):
-                key = bits[:, band].astype(np.int64) @ weights | np.int64(number << BAND_BITS)
-                if further:
-                    before = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-                    with np.errstate(over="ignore"):
-                        key = mix(mix(before) + key.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(1)], ["key", "node", "print"])
-
-    return run
+    def compare(nodes: list[int], subs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        label = similar_sets(sets, np.array(subs, np.int64))
+        at = np.array(nodes, np.int64)
+        linked = np.flatnonzero(at != at[label])
+        return pa.RecordBatch.from_arrays([pa.array(at[linked]), pa.array(at[label[linked]])], ["a", "b"])
 
+    key, nodes, subs, sets = None, [], [], []
+    for batch in batches:
+        for k, node, sub, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+            if k != key and len(nodes) > 1:
+                yield compare(nodes, subs, sets)
+            if k != key:
+                key, nodes, subs, sets = k, [], [], []
+            nodes.append(node)
+            subs.append(sub)
+            sets.append(np.frombuffer(data.as_py(), np.uint64))
+    if len(nodes) > 1:
+        yield compare(nodes, subs, sets)
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """Verified edges of rows (key, side, node, sub, shingles) with equal key; those of the first side are compared first."""
+    return cut_table(rows.repartition("key").sortWithinPartitions("key", "side", "node").select("key", "node", "sub", "shingles").mapInArrow(_verified, "a long, b long"))
+
+
+def _blocks(rows: DataFrame, by: str, bucket: int) -> DataFrame:
+    """(by, blocks): into how many blocks the rows of each group are cut to keep to the bounds of a task."""
+    many = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(bucket)), F.lit(1))
+    return cut_table(rows.groupBy(F.col(by).alias("of")).agg(many.cast("long").alias("blocks")))
+
+
+def _within_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    dealt = rows.join(blocks, F.col("comp") == F.col("of")).withColumn("key", F.xxhash64("comp", F.pmod(F.xxhash64("node"), "blocks")))
+    return _compared(dealt.select("key", F.lit(0).alias("side"), "node", F.col("node").alias("sub"), "shingles"))
+
+
+def _with_sub(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    found = components(edges).withColumnRenamed("node", "_node")
+    return rows.join(found, F.col("node") == F.col("_node"), "left").select(*rows.columns, F.coalesce("root", "node").alias("sub"))
+
+
+def verified_links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Edges (a, b) that join all rows (comp, node, n, shingles) of equal comp whose shingle sets have a
+    similarity of SIMILAR or more.
+
+    A comp within `bucket` documents and BLOCK_SHINGLES shingles is compared in one task. Larger ones are
+    cut into blocks: first each block is compared within, then one member for each group found, to join
+    copies across blocks. What is then outside the largest group of its comp is compared, block by block,
+    with all of that comp; only pairs already in one group are left out."""
+    blocks = _blocks(sets, "comp", bucket)
+    edges = _within_blocks(sets, blocks)
+    cutup = blocks.where("blocks > 1").select(F.col("of").alias("large"))
+    if cutup.isEmpty():
+        return edges
+    large = cut_table(sets.join(cutup, F.col("comp") == F.col("large"), "left_semi"))
+    reps = _with_sub(large, edges).where("node = sub").drop("sub")
+    edges = edges.unionByName(_within_blocks(reps, _blocks(reps, "comp", bucket)))
+    rows = cut_table(_with_sub(large, edges))
+    sizes = rows.groupBy("comp", "sub").agg(F.count("*").alias("size")).groupBy(F.col("comp").alias("c")).agg(F.max(F.struct("size", "sub"))["sub"].alias("main"), F.count("*").alias("subs"))
+    rows = cut_table(rows.join(cut_table(sizes.where("subs > 1")), F.col("comp") == F.col("c")).drop("c", "subs"))
+    main, rest = rows.where("sub = main"), rows.where("sub <> main")
+    if rest.isEmpty():
+        return edges
+    of_main = _blocks(main, "comp", bucket).select(F.col("of").alias("m"), F.col("blocks").alias("mains"))
+    of_rest = _blocks(rest, "comp", bucket).select(F.col("of").alias("r"), F.col("blocks").alias("rests"))
+    grid = cut_table(of_main.join(of_rest, F.col("m") == F.col("r")).select(F.col("m").alias("of"), "mains", "rests"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    main = main.join(grid, F.col("comp") == F.col("of")).withColumn("x", F.pmod(F.xxhash64("node"), "mains")).withColumn("y", every("rests"))
+    rest = rest.join(grid, F.col("comp") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("node"), "rests"))
+    across = rest.withColumn("x", every("mains")).withColumn("y", F.col("mine"))
+    among = rest.withColumn("other", every("rests")).withColumn("x", -1 - F.least("mine", "other")).withColumn("y", F.greatest("mine", "other"))
+    as_rows = lambda df, side: df.select(F.xxhash64("comp", "x", "y").alias("key"), F.lit(side).alias("side"), "node", "sub", "shingles")
+    return edges.unionByName(_compared(as_rows(across, 0).unionByName(as_rows(among, 0)).unionByName(as_rows(main, 1))))
+
+
+def candidates(distinct: DataFrame) -> DataFrame:
+    """(node, root), roots included, of the nodes, with their array `keys`, that share band keys directly or through others."""
+    banded = distinct.select("node", F.explode("keys").alias("key"))
+    stars = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many"))
+    found = cut_table(components(banded.join(stars, F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _grouped(numbered: DataFrame, bucket: int) -> DataFrame:
+    """(_row, doc_id, n, root) of every row of numbered, root being one for each group of similar documents."""
+    spark = numbered.sparkSession
+    small_batches(spark)
+    texts = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>"))
+    distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s")).select("node", "s.*"))
+    found = candidates(distinct).select(F.col("node").alias("_node"), "root")
+    members = cut_table(distinct.join(found, F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
+    met = texts.join(members, F.col("_row") == F.col("_of")).select("comp", "node", "n", "text")
+    sets = cut_table(met.mapInArrow(_sets, "comp long, node long, n long, shingles binary"))
+    ids = cut_table(components(verified_links(sets, bucket)).withColumnRenamed("node", "_node"))
+    return cut_table(rows.join(ids, F.col("node") == F.col("_node"), "left").select("_row", "doc_id", "n", F.coalesce("root", "node").alias("root")))
 
-def _wide_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def compare(keys: np.ndarray, nodes: np.ndarray, prints: list[bytes]) -> pa.RecordBatch:
-        met = np.flatnonzero(np.r_[False, keys[1:] == keys[:-1]] | np.r_[keys[1:] == keys[:-1], False])
-        keys, nodes = keys[met], nodes[met]
-        label = near_pairs(keys, np.frombuffer(b"".join([prints[k] for k in met.tolist()]), np.uint64).reshape(-1, WIDE_SIZE), WIDE_RADIUS)
-        linked = np.flatnonzero(label != np.arange(len(label)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[label[linked]])], ["a", "b"])
 
-    keys, nodes, prints = np.zeros(0, np.int64), np.zeros(0, np.int64), []
-    for batch in batches:
-        keys = np.r_[keys, batch.column(0).to_numpy(zero_copy_only=False)]
-        nodes = np.r_[nodes, batch.column(1).to_numpy(zero_copy_only=False)]
-        prints += batch.column(2).to_pylist()
-        if len(keys) >= CHUNK_ROWS // 4 and keys[0] != keys[-1]:
-            whole = int(np.searchsorted(keys, keys[-1]))
-            yield compare(keys[:whole], nodes[:whole], prints[:whole])
-            keys, nodes, prints = keys[whole:], nodes[whole:], prints[whole:]
-    if len(keys):
-        yield compare(keys, nodes, prints)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _row, a number for each row, written so that the numbers stay."""
+    return cut_table(docs.withColumn("_row", F.monotonically_increasing_id()))
 
 
 def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of every row of docs, where documents are linked whose sets of
-    WIDE_SHINGLE-word shingles have a similarity of about 0.8 or more.
-
-    At that similarity 64 bits tell too little, so fingerprints have 256 bits, of which 38 differ
-    on average at 0.8 and 128 in unrelated texts, and those within WIDE_RADIUS are linked. Candidates
-    share the BAND_BITS bits of one of BANDS bands: 84 % of pairs do at a similarity of 0.8, over
-    99 % at 0.9. Members of buckets over `bucket` fingerprints are dealt anew by their bucket and one
-    of FURTHER bands each."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_wide_prints, "doc_id long, print binary")
-    rows = cut_table(rows.withColumn("node", F.xxhash64("print")))
-    distinct = cut_table(rows.groupBy("node").agg(F.min("print").alias("print"), F.min("doc_id").alias("first")))
-    # every row goes to its buckets with its print: what moves is in proportion to the documents,
-    # however many of them share buckets
-    banded = distinct.select("node", "print").mapInArrow(_banded(0), "key long, node long, print binary")
-    hot = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.count("*").alias("n")).where(F.col("n") > bucket).select("of"))
-    pairs = banded
-    if not hot.isEmpty():
-        again = banded.join(hot, F.col("key") == F.col("of"), "left_semi").select("node", "print", "key")
-        pairs = banded.join(hot, F.col("key") == F.col("of"), "left_anti").unionByName(again.mapInArrow(_banded(FURTHER), "key long, node long, print binary"))
-    edges = pairs.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_wide_links, "a long, b long")
-    found = components(edges)
-    rooted = distinct.join(found, distinct["node"] == found["node"], "left").select(distinct["node"], "first", F.coalesce("root", distinct["node"]).alias("root"))
-    least = rooted.groupBy(F.col("root").alias("r")).agg(F.min("first").alias("component_id"))
-    ids = cut_table(rooted.join(least, F.col("root") == F.col("r")).select(F.col("node").alias("of"), "component_id"))
-    return rows.join(ids, rows["node"] == ids["of"]).select("doc_id", "component_id")
+    WIDE_SHINGLE-word shingles have a Jaccard similarity of SIMILAR or more.
+
+    Candidates share all BAND_ROWS min-hashes of one of BANDS bands, which pairs at a similarity of s miss
+    with a chance of (1 - s ** BAND_ROWS) ** BANDS: 0.00005 at 0.8, less above. Every link is then verified
+    on the shingle sets. No bucket is left out or cut: documents of a band key are joined to its least
+    node, and the groups so joined are compared as verified_links() says."""
+    rows = _grouped(_numbered(docs.select("doc_id", "text")), bucket)
+    least = cut_table(rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id")))
+    return rows.join(least, F.col("root") == F.col("r")).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the smallest doc_id of each group of similar ones, all columns; of repeated
-    rows one. Rows without doc_id stay only where no other of their group has one."""
-    kept = similar_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    met = docs.join(cut_table(kept), docs["doc_id"].cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return met.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
+    """One document of each group of similar ones, all columns: that with the smallest doc_id, and of
+    equal ids the first row; rows without doc_id only where no other of their group has one. Of texts without
+    words, which are one group, none stays if another row of its doc_id does."""
+    numbered = _numbered(docs)
+    rows = _grouped(numbered, BUCKET)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "n")
+    first = cut_table(rows.groupBy("root").agg(F.min(order).alias("s")).select("s.*"))
+    worded, bare = first.where("n > 0"), first.where("n = 0")
+    bare = bare.join(worded.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+    kept = worded.unionByName(bare).select(F.col("_row").alias("_kept"))
+    return numbered.join(cut_table(kept), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
