@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from stripmill.operators.coo import Matrix
 from stripmill.operators.product import spmm, spmv
 
-#: Cells of the largest block that is stored as an array; larger ones stay sparse.
+#: Cells of the largest array; larger blocks are stored as several.
 LARGEST = 1 << 22
 
 
@@ -73,12 +73,28 @@ def residual(members: DataFrame, chosen: DataFrame) -> DataFrame:
     return members.join(dense, ["a", "b"], "left_anti").select("i", "j", "v")
 
 
+def pieces(chosen: DataFrame) -> DataFrame:
+    """Dense blocks, those over LARGEST cut into runs of whole columns, or of a part of one column, that
+    keep to it; r0 r1 c0 c1 and size are the piece's, `first` is the address in the block where it begins."""
+    dense = chosen.where("is_dense").withColumn("_high", F.col("r1") - F.col("r0")).withColumn("_r", F.col("r0")).withColumn("_c", F.col("c0"))
+    tall, wide = F.least("_high", F.lit(LARGEST)), F.greatest(F.lit(1), F.floor(F.lit(LARGEST) / F.col("_high")))
+    cut = dense.withColumn("_tall", tall).withColumn("_wide", wide).withColumn("c0", F.explode(F.sequence("_c", F.col("c1") - 1, "_wide"))).withColumn("r0", F.explode(F.sequence("_r", F.col("r1") - 1, "_tall")))
+    cut = cut.withColumn("c1", F.least("c1", F.col("c0") + F.col("_wide"))).withColumn("r1", F.least("r1", F.col("r0") + F.col("_tall")))
+    cut = cut.withColumn("size", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))).withColumn("first", (F.col("c0") - F.col("_c")) * F.col("_high") + F.col("r0") - F.col("_r"))
+    return cut.select(*chosen.columns, "first")
+
+
 def values(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Dense blocks with `vals`, their cells column by column, zeros included."""
-    small = chosen.where(F.col("is_dense") & (F.col("size") <= LARGEST))
-    cells = members.groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("pos", "v"))).alias("cells"))
+    """Dense blocks, in pieces(), with `vals`, their cells column by column, zeros included."""
+    cut = pieces(chosen)
+    # a member's piece follows from its block's bounds: the same steps as in pieces(), so that the join is an equi-join
+    high, pos = F.col("r1") - F.col("r0"), F.col("pos")
+    column, row = F.expr("pos div (r1 - r0)"), F.col("pos") % high
+    tall, wide = F.least(high, F.lit(LARGEST)), F.greatest(F.lit(1), F.floor(F.lit(LARGEST) / high))
+    first = (column - column % wide) * high + row - row % tall
+    cells = members.select("a", "b", first.cast("long").alias("first"), pos, "v").groupBy("a", "b", "first").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("first")).alias("pos"), "v"))).alias("cells"))
     full = F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda p: F.coalesce(F.try_element_at("cells", p), F.lit(0.0)))
-    return small.join(cells, ["a", "b"]).withColumn("vals", full).drop("cells")
+    return cut.join(cells, ["a", "b", "first"], "left").withColumn("vals", full).drop("cells")
 
 
 def to_coo(blocks: DataFrame) -> DataFrame:
@@ -89,9 +105,8 @@ def to_coo(blocks: DataFrame) -> DataFrame:
 
 
 def hybrid_entries(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Nonzeros of dense blocks, read from their arrays, and the residual's; of blocks over LARGEST from their entries."""
-    large = members.join(chosen.where(F.col("is_dense") & (F.col("size") > LARGEST)).select("a", "b"), ["a", "b"], "left_semi").select("i", "j", "v")
-    return to_coo(values(members, chosen)).unionByName(residual(members, chosen)).unionByName(large)
+    """Nonzeros of dense blocks, read from their arrays, and the residual's."""
+    return to_coo(values(members, chosen)).unionByName(residual(members, chosen))
 
 
 def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame) -> DataFrame:
@@ -107,12 +122,12 @@ def kernel_spmv(blocks: DataFrame, x: DataFrame) -> DataFrame:
     """(i, y) of dense blocks against slices of x, with array functions: each output row is a dot
     product inside the block. Slower than hybrid_spmv on wide data; kept for plans that hold
     blocks as arrays throughout."""
-    columns = blocks.select("b", "c0", "c1").distinct()
-    points = columns.select("b", "c0", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("j"))
-    slices = points.join(x, "j", "left").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("s"))
-    slices = slices.select("b", F.transform("s", lambda s: s["x"]).alias("xs"))
+    columns = blocks.select("c0", "c1").distinct()
+    points = columns.select("c0", "c1", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("j"))
+    slices = points.join(x, "j", "left").groupBy("c0", "c1").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("s"))
+    slices = slices.select("c0", "c1", F.transform("s", lambda s: s["x"]).alias("xs"))
     expr = "transform(sequence(0, r1 - r0 - 1), r -> aggregate(sequence(0, c1 - c0 - 1), 0D, (s, c) -> s + element_at(vals, cast(c * (r1 - r0) + r + 1 as int)) * element_at(xs, cast(c + 1 as int))))"
-    parts = blocks.join(slices, "b").withColumn("ys", F.expr(expr)).select("r0", F.posexplode("ys").alias("r", "y"))
+    parts = blocks.join(slices, ["c0", "c1"]).withColumn("ys", F.expr(expr)).select("r0", F.posexplode("ys").alias("r", "y"))
     return parts.groupBy((F.col("r0") + F.col("r")).alias("i")).agg(F.sum("y").alias("y"))
 
 

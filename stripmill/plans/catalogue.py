@@ -240,7 +240,7 @@ SELECT bid, cell.pos, coalesce(v, 0.0::DOUBLE) AS v FROM cell LEFT JOIN mem ON m
 def block_values(spark: SparkSession, sf: str) -> DataFrame:
     _, _, members, blocks = _blocked(spark, sf)
     cells = B.values(members, B.split(blocks, B.is_dense(DENSITY)))
-    return cells.select("bid", F.posexplode("vals").alias("pos", "v")).select("bid", F.col("pos").cast("long").alias("pos"), "v")
+    return cells.select("bid", "first", F.posexplode("vals").alias("at", "v")).select("bid", (F.col("first") + F.col("at")).alias("pos"), "v")
 
 
 @_query("blocks_to_coo", f"WITH {_PS} SELECT i, j, v FROM ps WHERE v <> 0")

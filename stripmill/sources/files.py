@@ -108,7 +108,7 @@ def block_arrays(matrix: Matrix, members: DataFrame, chosen: DataFrame, rows: Da
     for r in offsets:
         at += r["size"]
         indx.append(at)
-    cells = B.values(members, chosen).select("bid", F.posexplode("vals").alias("pos", "v"))
+    cells = B.values(members, chosen).select("bid", "first", F.posexplode("vals").alias("at", "v")).select("bid", (F.col("first") + F.col("at")).alias("pos"), "v")
     rest = B.residual(members, chosen)
     ends = rest.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
     if ends.i is not None and (ends.i < matrix.rows - 1 or ends.j < matrix.columns - 1):
