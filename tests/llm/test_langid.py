@@ -51,3 +51,10 @@ def test_filters_have_no_false_negatives_and_many_languages():
         found = np.bitwise_and.reduce([table[at] for at in langid._positions(hashes, len(table))])
         assert ((found & masks[:, word]) == masks[:, word]).all()
     assert len(filters.counts("abcdef")) == 100
+
+
+def test_known_documents_are_in_a_learnt_language(spark):
+    learnt = corpus()
+    foreign = [(9000, "Быстрая лиса, 12, прыгает через ленивую собаку. " * 20, None, 0.0), (9001, "犬, 12. 猫, 34. " * 30, None, 0.0)]
+    kept = {r.doc_id for r in langid.known_documents(spark.createDataFrame(learnt + foreign, SCHEMA)).collect()}
+    assert kept == {d for d, *_ in learnt}
