@@ -10,9 +10,10 @@ that turn the item into a part of the document.
 The items' index goes to the workers by broadcast in slices of at most INDEX_CHARS characters;
 with more items than fit, the documents are scanned once a slice.
 
-Defined cases: null or empty texts contain nothing; items that are null or have fewer than
-LEAST_WORDS words are not looked for, as clean documents have such phrases too; equal items are each
-reported; of several occurrences in a document the one with fewest edits counts, then the first;
+Items of fewer than LEAST_WORDS words are found where their words stand one after another, without edits.
+
+Defined cases: null or empty texts contain nothing; items that are null or have no word are not
+looked for; equal items are each reported; of several occurrences in a document the one with fewest edits counts, then the first;
 rows with equal doc_id are reported each; empty tables give empty results; other columns are
 ignored.
 """
@@ -32,6 +33,7 @@ from stripmill.llm.common import mix, small_batches
 Q = 8
 #: Edits allowed, by the characters of the item.
 EDITS = 0.1
+#: Items with fewer words are matched exactly.
 LEAST_WORDS = 5
 #: Characters of items that are indexed at once.
 INDEX_CHARS = 2_000_000
@@ -70,7 +72,12 @@ class Index:
         # where the lemma would ask for less than one q-gram, fewer edits are allowed
         self.edits = np.minimum((length * EDITS).astype(np.int64), np.maximum(0, (length - Q) // Q))
         self.bound = length - Q + 1 - Q * self.edits
-        grams = [_grams(p) for p in self.points]
+        self.short: dict[tuple[str, ...], list[int]] = {}
+        for k, (_, t) in enumerate(items):
+            if t.count(" ") + 1 < LEAST_WORDS:
+                self.short.setdefault(tuple(t.split(" ")), []).append(k)
+        within = {k for found in self.short.values() for k in found}
+        grams = [_grams(p[:0] if k in within else p) for k, p in enumerate(self.points)]
         each = np.concatenate([*grams, np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])
@@ -84,14 +91,27 @@ class Index:
 
     def found(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the items in a text, places in the normalised text."""
-        points = _points(normal(text))
-        best: dict[int, tuple[int, int, int]] = {}
+        text = normal(text)
+        points = _points(text)
+        best = self._verbatim(text)
         for at in range(0, max(1, len(points)), WINDOW):
             for item, start, end, edits in self._within(points[at : at + WINDOW + 2 * self.longest]):
                 found = (edits, at + start, at + end)
                 best[item] = min(best.get(item, found), found)
         return [(item, start, end, edits) for item, (edits, start, end) in sorted(best.items())]
 
+    def _verbatim(self, text: str) -> dict[int, tuple[int, int, int]]:
+        """(edits, start, end) of the first place of each short item."""
+        best: dict[int, tuple[int, int, int]] = {}
+        words = text.split(" ") if text and self.short else []
+        for n in sorted({len(w) for w in self.short}) if words else []:
+            at = 0
+            for k, run in enumerate(zip(*(words[j:] for j in range(n)))):
+                for item in self.short.get(run, ()):
+                    best.setdefault(item, (0, at, at + len(self.points[item])))
+                at += len(words[k]) + 1
+        return best
+
     def _within(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         grams = _grams(points)
         at = np.flatnonzero(self.there[grams >> np.uint64(64 - _BITS)])
@@ -177,7 +197,7 @@ def indexes(items: DataFrame) -> list:
     out = []
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        kept = [(r.item_id, t) for r in part if (t := normal(r.text)).count(" ") + 1 >= LEAST_WORDS]
+        kept = [(r.item_id, t) for r in part if (t := normal(r.text))]
         if kept:
             out.append(spark.sparkContext.broadcast(Index(kept)))
     return out

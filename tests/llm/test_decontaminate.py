@@ -86,3 +86,12 @@ def test_slices_windows_and_empty_tables(spark, monkeypatch):
     assert dc.contaminated(table.limit(0), bench).collect() == dc.contaminated(table, bench.limit(0)).collect() == []
     assert dc.clean_documents(table, bench.limit(0)).count() == len(docs)
     assert np.all(index.bound > 0)
+
+
+def test_short_items_are_found_verbatim(spark):
+    docs = [(1, "Say Too, short! twice: too short."), (2, "too shortened"), (3, "x"), (4, "not at all"), (5, None)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(51, "too short"), (52, "X"), (53, " . "), (54, "too short")], "item_id long, text string")
+    got = sorted(map(tuple, dc.contaminated(table, bench).collect()))
+    assert got == [(1, 51, 4, 13, 0), (1, 54, 4, 13, 0), (3, 52, 0, 1, 0)]
+    assert sorted(r.doc_id for r in dc.clean_documents(table, bench).collect()) == [2, 4, 5]
