@@ -6,8 +6,9 @@ comments are left out with all they contain. A block's characters, less twice th
 count for the element it stands in, and half for the next one out; the best elements of a page vote
 for their path, the tags and classes from the root with digits generalised. Votes are summed
 for each host in Spark, and every page is read again: elements on the host's winning path give the
-text. A page on which they hold less than LEAST_PART of what its own best element holds has another
-layout, and takes its own best element.
+text, with those around or beside them, within the page's body, whose own text is SHARE of theirs. A page
+on which they hold less than LEAST_PART of what its own best elements hold has another layout, and
+takes its own.
 
 Defined cases: null or empty html gives an empty text; pages without host are a host; html that
 breaks off is read as far as it goes, an unfinished tag or comment is dropped; <br> is white space,
@@ -28,8 +29,9 @@ from pyspark.sql import functions as F
 from stripmill.llm.common import cut_table, small_batches
 from stripmill.llm.urls import host_of
 
-#: Elements of a page that vote, and the part of the best element's text that the host's must have.
-VOTES, LEAST_PART = 3, 0.25
+#: Elements of a page that vote, the part of the best elements' text that the host's must have, and the
+#: part of the winning path's votes that text outside of it needs to be taken as well.
+VOTES, LEAST_PART, SHARE = 8, 0.4, 0.1
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?=>|\Z)|[^>]*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 #: What these contain is not markup, and never text of the page.
@@ -122,7 +124,7 @@ class Page:
                 named = f"{has.get('class', '')} {has.get('id', '')}"
                 out = out or "hidden" in has or has.get("aria-hidden") == "true" or has.get("role", "").lower() in LEFT_OUT_ROLES or bool(re.search(r"display\s*:\s*none", has.get("style", ""))) or tag not in ("html", "body") and bool(WORDS.search(named))
                 if has.get("class"):
-                    name += "." + ".".join(sorted(set(re.sub(r"\d+", "#", has["class"]).lower().split())))
+                    name += "." + ".".join(sorted(set(re.sub(r"\d+", "#", has["class"]).replace("/", "|").lower().split())))
         if not out:
             self.parent.append(above)
             self.paths.append(f"{self.paths[above]}/{name}")
@@ -147,54 +149,70 @@ class Page:
             if self._stack[k][0] in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
                 return
 
-    def scores(self) -> dict[int, float]:
-        """Score of each element that holds text."""
-        out: dict[int, float] = {}
+    def scores(self) -> dict[int, tuple[float, float]]:
+        """Score of each element that holds text, and the part of it that is its own text."""
+        out: dict[int, tuple[float, float]] = {}
         for element, text, linked in self.blocks:
             worth = max(0, len(text) - 2 * linked)
             if self.leaf[element]:
                 element = self.parent[element]
-            for part in (1.0, 0.5):
+            for part, own in ((1.0, 1.0), (0.5, 0.0)):
                 if element > 0:
-                    out[element] = out.get(element, 0.0) + part * worth
+                    score, direct = out.get(element, (0.0, 0.0))
+                    out[element] = score + part * worth, direct + own * worth
                     element = self.parent[element]
         return out
 
-    def best(self) -> list[tuple[float, str]]:
-        """Scores and paths of the page's best elements, best first; an element outside comes after."""
-        found = sorted(((s, -len(self.paths[k]), self.paths[k]) for k, s in self.scores().items() if s > 0), reverse=True)
-        return [(s, path) for s, _, path in found[:VOTES]]
+    def best(self) -> list[tuple[float, str, float]]:
+        """Scores, paths and own scores of the page's best elements, best first; an element outside comes after."""
+        found = sorted(((s, -len(self.paths[k]), self.paths[k], own) for k, (s, own) in self.scores().items() if s > 0), reverse=True)
+        return [(s, path, own) for s, _, path, own in found[:VOTES]]
 
-    def within(self, path: str) -> list[str]:
-        """Blocks inside the elements on a path, in page order."""
+    def within(self, *paths: str) -> list[str]:
+        """Blocks inside the elements on any of the paths, in page order."""
         inside = [False] * len(self.paths)
         for k in range(1, len(self.paths)):
-            inside[k] = self.paths[k] == path or inside[self.parent[k]]
+            inside[k] = self.paths[k] in paths or inside[self.parent[k]]
         return [text for element, text, _ in self.blocks if inside[element]]
 
-    def text(self, host_path: str | None) -> str:
+    def text(self, host_path: str | None, beside: list[str] | None = None) -> str:
+        """beside: other paths with enough text on the host's pages."""
         best = self.best()
-        own = self.within(best[0][1]) if best else [text for _, text, _ in self.blocks]
-        found = self.within(host_path) if host_path else []
+        own = [text for _, text, _ in self.blocks]
+        if best:
+            top, path, _ = best[0]
+            own = self.within(*joined(path, [p for _, p, direct in best if direct >= SHARE * top]))
+        found = self.within(*joined(host_path, beside or [])) if host_path else []
         if not found or sum(map(len, found)) < LEAST_PART * sum(map(len, own)):
             found = own
         return "\n".join(found)
 
 
+def _outermost(path: str) -> bool:
+    return path.rsplit("/", 1)[-1].split(".")[0] in ("", "html", "body")
+
+
+def joined(path: str, others: list[str]) -> list[str]:
+    """The path with those of the others that are around it or have the same element around them, inside the body."""
+    above = path.rsplit("/", 1)[0]
+    return [path] + [p for p in others if (path.startswith(f"{p}/") and not _outermost(p)) or (p.rsplit("/", 1)[0] == above and not _outermost(above))]
+
+
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], float] = {}
+        votes: dict[tuple[str, str], tuple[float, float]] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
             best = Page(html.as_py()).best()
-            for score, path in best:
-                votes[host, path] = votes.get((host, path), 0.0) + score / best[0][0]
+            for score, path, own in best:
+                x, y = votes.get((host, path), (0.0, 0.0))
+                votes[host, path] = x + score / best[0][0], y + own / best[0][0]
         if votes:
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes]), pa.array([p for _, p in votes]), pa.array(votes.values(), pa.float64())], ["host", "path", "votes"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes]), pa.array([p for _, p in votes]), *(pa.array(x, pa.float64()) for x in zip(*votes.values()))], ["host", "path", "votes", "own"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(html.as_py()).text(path) for html, path in zip(batch.column(2), batch.column(3).to_pylist())]
+        texts = [Page(html.as_py()).text(path, beside) for html, path, beside in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist())]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
@@ -203,9 +221,12 @@ def extracted(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = rows.select("host", "html").mapInArrow(_voted, "host string, path string, votes double").groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
-    won = cut_table(votes.groupBy(F.col("host").alias("of")).agg(F.max(F.struct("votes", "path"))["path"].alias("path")))
-    return rows.join(won, rows["host"] == won["of"], "left").select("page_id", "url", "html", "path").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    votes = rows.select("host", "html").mapInArrow(_voted, "host string, path string, votes double, own double").groupBy("host", "path")
+    votes = cut_table(votes.agg(F.round(F.sum("votes"), 6).alias("votes"), F.round(F.sum("own"), 6).alias("own")))
+    top = votes.groupBy(F.col("host").alias("at")).agg(F.max(F.struct("votes", "path")).alias("top"))
+    near = votes.join(top, F.col("host") == F.col("at")).where((F.col("path") == F.col("top.path")) | (F.col("own") >= SHARE * F.col("top.votes")))
+    won = cut_table(near.groupBy(F.col("at").alias("of")).agg(F.first("top.path").alias("path"), F.array_sort(F.collect_list(F.when(F.col("path") != F.col("top.path"), F.col("path")))).alias("beside")))
+    return rows.join(won, rows["host"] == won["of"], "left").select("page_id", "url", "html", "path", "beside").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,3 +56,13 @@ def test_markup_cases():
     body = "<table><tr><td>a<td>b</tr></table><ul><li>one<li>two</ul><pre>x\n y</pre><P>p1<P>p<i>2</i><div>d</div>tail"
     assert Page(f"<article>{body}</article>").within("/article") == ["a", "b", "one", "two", "x y", "p1", "p2", "d", "tail"]
     assert Page("<main><p>a &lt b &notanentity; &#x41;</p>").within("/main") == ["a < b ¬anentity; A"]
+
+
+def test_all_parts_of_an_article_are_taken(spark):
+    lead, long = "lead text of the page " * 8, "body text of the page " * 40
+    parts = lambda k: f"<html><body><article><div class=lead><p>{lead}{k}</p></div><div class=body><p>{long}</p></div></article></body></html>"
+    listed = lambda k: f"<html><body><article><p>{lead}{k}</p><ul><li>{long}</li></ul></article><div class=x><p>outside</p></div></body></html>"
+    rows = [(k, f"http://a.org/{k}", parts(k), 1, "") for k in range(5)] + [(10 + k, f"http://b.org/{k}", listed(k), 1, "") for k in range(5)]
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {d: f"{lead}{d % 10}\n{long.strip()}" for d, *_ in rows}
+    assert Page(parts(7)).text(None) == f"{lead}7\n{long.strip()}"
