@@ -171,8 +171,9 @@ def read_dense(spark: SparkSession, path: str, width: int) -> DataFrame:
 
 def _numbers(spark: SparkSession, path: str) -> DataFrame:
     body: Column = F.regexp_replace("value", r"^[^\[]*\[|\].*$", "")
-    found = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split(body, ","), lambda x: F.trim(x) != "")).alias("pos", "x"))
-    return found.select("pos", F.trim("x").cast("double").alias("x"))
+    # a comma may end the line, and the line's end may follow the bracket: what is white space only is no number
+    fields = F.filter(F.split(F.regexp_replace(body, r"\s+", ""), ","), lambda x: x != "")
+    return spark.read.text(path, wholetext=True).select(F.posexplode(fields).alias("pos", "x")).select("pos", F.col("x").cast("double").alias("x"))
 
 
 def write_dense(values: DataFrame, path: str, *order: str) -> None:
