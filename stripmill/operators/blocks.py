@@ -8,43 +8,54 @@ from pyspark.sql.window import Window
 
 from stripmill.operators.coo import Matrix
 from stripmill.operators.product import spmm, spmv
+from stripmill.operators.running import running_sum, spread
+from stripmill.sources.scratch import kept
 
 #: Cells of the largest array; larger blocks are stored as several.
 LARGEST = 1 << 22
 
 
-def _points(strips: DataFrame, index: str, name: str, lo: str, hi: str) -> DataFrame:
+def _points(strips: DataFrame, index: str, name: str, lo: str, hi: str, keys: tuple[str, ...] = ()) -> DataFrame:
     """A row for each place of a strip, so that membership is an equi-join and not a range join."""
-    return strips.select(F.explode(F.sequence("lo", F.col("hi") - 1)).alias(index), F.col("strip").alias(name), F.col("lo").alias(lo), F.col("hi").alias(hi))
+    return spread(strips, "lo", "hi", index).select(*keys, index, F.col("strip").alias(name), F.col("lo").alias(lo), F.col("hi").alias(hi))
 
 
-def assigned(entries: DataFrame, rows: DataFrame, columns: DataFrame) -> DataFrame:
-    """Nonzeros with their block (a, b), its bounds r0 r1 c0 c1 and their address in it, column by column."""
-    met = entries.where("v <> 0").join(_points(rows, "i", "a", "r0", "r1"), "i").join(_points(columns, "j", "b", "c0", "c1"), "j")
+def assigned(entries: DataFrame, rows: DataFrame, columns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Nonzeros with their block (a, b), its bounds r0 r1 c0 c1 and their address in it, column by column.
+
+    Here and below keys, such as matrix_id, name the columns that keep several matrices in one table apart."""
+    met = entries.where("v <> 0").join(_points(rows, "i", "a", "r0", "r1", keys), [*keys, "i"]).join(_points(columns, "j", "b", "c0", "c1", keys), [*keys, "j"])
     address = (F.col("j") - F.col("c0")) * (F.col("r1") - F.col("r0")) + F.col("i") - F.col("r0")
-    return met.select("a", "b", "i", "j", "v", "r0", "r1", "c0", "c1", address.alias("pos"))
+    return met.select(*keys, "a", "b", "i", "j", "v", "r0", "r1", "c0", "c1", address.alias("pos"))
+
 
+def _in_strips(blocks: DataFrame, values: dict[str, Column], keys: tuple[str, ...]) -> DataFrame:
+    """Adds, for each named value, its sum over all blocks up to this one, by row strip, then column strip:
+    sums of the row strips run on in two levels, so that neither many strips nor a long one meet in one task."""
+    per = blocks.groupBy(*[F.col(k).alias(f"_{k}") for k in keys], F.col("a").alias("_a")).agg(*[F.sum(v).alias(f"_{n}") for n, v in values.items()])
+    base = running_sum(per, "_a", [f"_{n}" for n in values], [f"_upto_{n}" for n in values], tuple(f"_{k}" for k in keys))
+    own = Window.partitionBy(*keys, "a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
+    cond = F.col("a") == F.col("_a")
+    for k in keys:
+        cond = cond & (F.col(k) == F.col(f"_{k}"))
+    met = blocks.withColumns({f"_own_{n}": F.sum(v).over(own) for n, v in values.items()}).join(base, cond)
+    return met.select(*blocks.columns, *[(F.col(f"_upto_{n}") - F.col(f"_{n}") + F.col(f"_own_{n}")).alias(n) for n in values])
 
-def stats(members: DataFrame) -> DataFrame:
-    """(bid, a, b, r0, r1, c0, c1, nnz, size, offset) of the blocks that have a nonzero, numbered by
+
+def stats(members: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, bid, a, b, r0, r1, c0, c1, nnz, size, offset) of the blocks that have a nonzero, numbered by
     row strip, then column strip; offset is where a block's cells begin."""
-    blocks = members.groupBy("a", "b").agg(F.first("r0").alias("r0"), F.first("r1").alias("r1"), F.first("c0").alias("c0"), F.first("c1").alias("c1"), F.count("*").alias("nnz"))
+    blocks = members.groupBy(*keys, "a", "b").agg(F.first("r0").alias("r0"), F.first("r1").alias("r1"), F.first("c0").alias("c0"), F.first("c1").alias("c1"), F.count("*").alias("nnz"))
     blocks = blocks.withColumn("size", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0")))
-    # numbers and offsets run on across row strips: sums of strips first, a row for each
-    per = blocks.groupBy(F.col("a").alias("s")).agg(F.count("*").alias("n"), F.sum("size").alias("cells"))
-    before = Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    base = per.select("s", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("cells").over(before), F.lit(0)).alias("cells0"))
-    own = Window.partitionBy("a").orderBy("b")
-    numbered = blocks.withColumn("rn", F.row_number().over(own)).withColumn("upto", F.sum("size").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = numbered.join(base, F.col("a") == F.col("s"))
-    return joined.select((F.col("n0") + F.col("rn") - 1).alias("bid"), "a", "b", "r0", "r1", "c0", "c1", "nnz", "size", (F.col("cells0") + F.col("upto") - F.col("size")).alias("offset"))
+    numbered = _in_strips(blocks, {"nth": F.lit(1).cast("long"), "upto": F.col("size")}, keys)
+    return numbered.select(*keys, (F.col("nth") - 1).alias("bid"), "a", "b", "r0", "r1", "c0", "c1", "nnz", "size", (F.col("upto") - F.col("size")).alias("offset"))
 
 
-def strip_pointers(blocks: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, first, last) block numbers of every row strip, from first to before last; -1 where it has none."""
-    per = blocks.groupBy(F.col("a").alias("s")).agg(F.min("bid").alias("x"), (F.max("bid") + 1).alias("y"))
-    found = rows.join(per, F.col("strip") == F.col("s"), "left")
-    return found.select(F.col("strip").alias("a"), F.coalesce("x", F.lit(-1)).alias("first"), F.coalesce("y", F.lit(-1)).alias("last"))
+def strip_pointers(blocks: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, a, first, last) block numbers of every row strip, from first to before last; -1 where it has none."""
+    per = blocks.groupBy(*keys, F.col("a").alias("strip")).agg(F.min("bid").alias("x"), (F.max("bid") + 1).alias("y"))
+    found = rows.join(per, [*keys, "strip"], "left")
+    return found.select(*keys, F.col("strip").alias("a"), F.coalesce("x", F.lit(-1)).alias("first"), F.coalesce("y", F.lit(-1)).alias("last"))
 
 
 def is_dense(density: float) -> Column:
@@ -57,20 +68,17 @@ def is_dense_floor(density: float) -> Column:
     return F.col("nnz") > F.floor(F.col("size") * density / 100)
 
 
-def split(blocks: DataFrame, rule: Column) -> DataFrame:
+def split(blocks: DataFrame, rule: Column, keys: tuple[str, ...] = ()) -> DataFrame:
     """Blocks with is_dense, and dense_ordinal: the number among the dense ones, null for others."""
     chosen = blocks.withColumn("is_dense", rule)
-    per = chosen.groupBy(F.col("a").alias("s")).agg(F.sum(F.col("is_dense").cast("long")).alias("n"))
-    base = per.select("s", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n0"))
-    nth = F.sum(F.col("is_dense").cast("long")).over(Window.partitionBy("a").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
-    numbered = chosen.withColumn("nth", nth).join(base, F.col("a") == F.col("s"))
-    return numbered.select(*chosen.columns, F.when(F.col("is_dense"), F.col("n0") + F.col("nth") - 1).alias("dense_ordinal"))
+    numbered = _in_strips(chosen, {"nth": F.col("is_dense").cast("long")}, keys)
+    return numbered.select(*chosen.columns, F.when(F.col("is_dense"), F.col("nth") - 1).alias("dense_ordinal"))
 
 
-def residual(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """(i, j, v) of the nonzeros outside dense blocks."""
-    dense = chosen.where("is_dense").select("a", "b")
-    return members.join(dense, ["a", "b"], "left_anti").select("i", "j", "v")
+def residual(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, v) of the nonzeros outside dense blocks."""
+    dense = chosen.where("is_dense").select(*keys, "a", "b")
+    return members.join(dense, [*keys, "a", "b"], "left_anti").select(*keys, "i", "j", "v")
 
 
 def pieces(chosen: DataFrame) -> DataFrame:
@@ -84,38 +92,45 @@ def pieces(chosen: DataFrame) -> DataFrame:
     return cut.select(*chosen.columns, "first")
 
 
-def values(members: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Dense blocks, in pieces(), with `vals`, their cells column by column, zeros included."""
-    cut = pieces(chosen)
+def values(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Dense blocks, in pieces(), with `vals`, their cells column by column, zeros included.
+
+    Only members of dense blocks are gathered, at most LARGEST of them in one row."""
+    dense = members.join(chosen.where("is_dense").select(*keys, "a", "b"), [*keys, "a", "b"], "left_semi")
     # a member's piece follows from its block's bounds: the same steps as in pieces(), so that the join is an equi-join
     high, pos = F.col("r1") - F.col("r0"), F.col("pos")
     column, row = F.expr("pos div (r1 - r0)"), F.col("pos") % high
     tall, wide = F.least(high, F.lit(LARGEST)), F.greatest(F.lit(1), F.floor(F.lit(LARGEST) / high))
     first = (column - column % wide) * high + row - row % tall
-    cells = members.select("a", "b", first.cast("long").alias("first"), pos, "v").groupBy("a", "b", "first").agg(F.map_from_entries(F.collect_list(F.struct((F.col("pos") - F.col("first")).alias("pos"), "v"))).alias("cells"))
-    full = F.transform(F.sequence(F.lit(0).cast("long"), F.col("size") - 1), lambda p: F.coalesce(F.try_element_at("cells", p), F.lit(0.0)))
-    return cut.join(cells, ["a", "b", "first"], "left").withColumn("vals", full).drop("cells")
-
-
-def to_coo(blocks: DataFrame) -> DataFrame:
-    """(i, j, v) of the nonzeros in blocks with vals."""
+    cells = dense.select(*keys, "a", "b", first.cast("long").alias("first"), pos, "v").groupBy(*keys, "a", "b", "first")
+    cells = cells.agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("first")).alias("at"), "v"))).alias("cells"))
+    # each nonzero after the zeros since the one before; what is left of the piece is zeros
+    gap = "transform(cells, (c, k) -> concat(array_repeat(0D, cast(c.at - if(k = 0, -1L, cells[k - 1].at) - 1 as int)), array(c.v)))"
+    end = "array_repeat(0D, cast(size - 1 - coalesce(element_at(cells, -1).at, -1L) as int))"
+    met = pieces(chosen).join(cells, [*keys, "a", "b", "first"], "left").withColumn("cells", F.coalesce("cells", F.expr("cast(array() as array<struct<at: bigint, v: double>>)")))
+    full = F.expr(f"concat(flatten({gap}), if(size(cells) = 0, array_repeat(0D, cast(size as int)), {end}))")
+    return met.withColumn("vals", full).drop("cells")
+
+
+def to_coo(blocks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, v) of the nonzeros in blocks with vals."""
     height = F.col("r1") - F.col("r0")
-    cells = blocks.select("r0", "r1", "c0", F.posexplode("vals").alias("pos", "v")).where("v <> 0")
-    return cells.select((F.col("r0") + F.col("pos") % height).alias("i"), (F.col("c0") + F.expr("pos div (r1 - r0)")).alias("j"), "v")
+    cells = blocks.select(*keys, "r0", "r1", "c0", F.posexplode("vals").alias("pos", "v")).where("v <> 0")
+    return cells.select(*keys, (F.col("r0") + F.col("pos") % height).alias("i"), (F.col("c0") + F.expr("pos div (r1 - r0)")).alias("j"), "v")
 
 
-def hybrid_entries(members: DataFrame, chosen: DataFrame) -> DataFrame:
+def hybrid_entries(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Nonzeros of dense blocks, read from their arrays, and the residual's."""
-    return to_coo(values(members, chosen)).unionByName(residual(members, chosen))
+    return to_coo(values(members, chosen, keys), keys).unionByName(residual(members, chosen, keys))
 
 
-def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, y): partial products of dense blocks and of the residual, summed once."""
-    return spmv(hybrid_entries(members, chosen), x)
+def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, y): partial products of dense blocks and of the residual, summed once."""
+    return spmv(hybrid_entries(members, chosen, keys), x, keys)
 
 
-def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame) -> DataFrame:
-    return spmm(hybrid_entries(members, chosen), x)
+def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return spmm(hybrid_entries(members, chosen, keys), x, keys)
 
 
 def kernel_spmv(blocks: DataFrame, x: DataFrame) -> DataFrame:
@@ -123,7 +138,7 @@ def kernel_spmv(blocks: DataFrame, x: DataFrame) -> DataFrame:
     product inside the block. Slower than hybrid_spmv on wide data; kept for plans that hold
     blocks as arrays throughout."""
     columns = blocks.select("c0", "c1").distinct()
-    points = columns.select("c0", "c1", F.explode(F.sequence("c0", F.col("c1") - 1)).alias("j"))
+    points = spread(columns, "c0", "c1", "j")
     slices = points.join(x, "j", "left").groupBy("c0", "c1").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("s"))
     slices = slices.select("c0", "c1", F.transform("s", lambda s: s["x"]).alias("xs"))
     expr = "transform(sequence(0, r1 - r0 - 1), r -> aggregate(sequence(0, c1 - c0 - 1), 0D, (s, c) -> s + element_at(vals, cast(c * (r1 - r0) + r + 1 as int)) * element_at(xs, cast(c + 1 as int))))"
@@ -131,20 +146,28 @@ def kernel_spmv(blocks: DataFrame, x: DataFrame) -> DataFrame:
     return parts.groupBy((F.col("r0") + F.col("r")).alias("i")).agg(F.sum("y").alias("y"))
 
 
-def strip_work(chosen: DataFrame) -> DataFrame:
-    """(a, work): cells that the dense blocks of each row strip operate on."""
-    return chosen.groupBy("a").agg(F.sum(F.when(F.col("is_dense"), F.col("size")).otherwise(0)).alias("work"))
+def strip_work(chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, a, work): cells that the dense blocks of each row strip operate on."""
+    return chosen.groupBy(*keys, "a").agg(F.sum(F.when(F.col("is_dense"), F.col("size")).otherwise(0)).alias("work"))
 
 
-def report(chosen: DataFrame, cells: int) -> DataFrame:
+def report(chosen: DataFrame, cells: int | DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Nonzeros, extra operations, blocks, dense blocks, and the share of the matrix's cells that
-    nonzeros are and that is operated on."""
+    nonzeros are and that is operated on. With keys, cells is a table (keys, cells) and there is a row for each matrix."""
     operated = F.sum(F.when(F.col("is_dense"), F.col("size")).otherwise(F.col("nnz")))
-    found = chosen.agg(F.sum("nnz").alias("nnz"), operated.alias("operated"), F.count("*").alias("num_blocks"), F.sum(F.col("is_dense").cast("long")).alias("num_dense_blocks"))
-    return found.select("nnz", (F.col("operated") - F.col("nnz")).alias("extra_nnz"), "num_blocks", "num_dense_blocks", F.round(F.col("nnz") / F.lit(float(cells)), 2).alias("old_density"), F.round(F.col("operated") / F.lit(float(cells)), 2).alias("new_density"))
+    found = chosen.groupBy(*keys).agg(F.sum("nnz").alias("nnz"), operated.alias("operated"), F.count("*").alias("num_blocks"), F.sum(F.col("is_dense").cast("long")).alias("num_dense_blocks"))
+    found = found.join(cells, list(keys)) if keys else found.withColumn("cells", F.lit(cells))
+    share = lambda c: F.round(F.col(c) / F.col("cells").cast("double"), 2)
+    return found.select(*keys, "nnz", (F.col("operated") - F.col("nnz")).alias("extra_nnz"), "num_blocks", "num_dense_blocks", share("nnz").alias("old_density"), share("operated").alias("new_density"))
 
 
 def blocked(matrix: Matrix, rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members and blocks of a matrix under given strips."""
-    members = assigned(matrix.df, rows, columns)
-    return members, stats(members)
+    """Members and blocks of a matrix under given strips. Members are written once, as products and files read
+    them several times, and so are the blocks' statistics."""
+    return blocked_all(matrix.df, rows, columns, ())
+
+
+def blocked_all(entries: DataFrame, rows: DataFrame, columns: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """As blocked(), for many matrices in one table."""
+    members = kept(assigned(entries, rows, columns, keys))
+    return members, kept(stats(members, keys))

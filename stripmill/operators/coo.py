@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.operators.running import running_sum
+from stripmill.operators.running import running_sum, spread
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,18 @@ class Matrix:
     columns: int
 
 
+@dataclass(frozen=True)
+class Matrices:
+    """Many matrices in one table: entries (matrix_id, i, j, v) and their dimensions (matrix_id, rows, columns)."""
+
+    df: DataFrame
+    dims: DataFrame
+
+
+#: The columns that keep the matrices of Matrices apart.
+KEYS = ("matrix_id",)
+
+
 def from_dense(spark: SparkSession, values: list[list[float]]) -> Matrix:
     found = [(i, j, float(v)) for i, row in enumerate(values) for j, v in enumerate(row) if v]
     return Matrix(spark.createDataFrame(found, "i long, j long, v double"), len(values), len(values[0]) if values else 0)
@@ -36,8 +48,8 @@ def distinct(entries: DataFrame) -> DataFrame:
 
 
 def last_wins(entries: DataFrame, order: str) -> DataFrame:
-    """One row for each coordinate: of duplicates the last by the column `order`."""
-    return entries.groupBy("i", "j").agg(F.max_by("v", order).alias("v"))
+    """One row for each coordinate: of duplicates the last by the column `order`, of equally late ones the largest."""
+    return entries.groupBy("i", "j").agg(F.max(F.struct(order, "v"))["v"].alias("v"))
 
 
 def nonzero(entries: DataFrame) -> DataFrame:
@@ -66,15 +78,27 @@ def checked(matrix: Matrix) -> DataFrame:
     return matrix.df.withColumn("v", F.when(inside, F.col("v")).otherwise(outside.cast("double")))
 
 
-def counts(entries: DataFrame, axis: str) -> DataFrame:
-    """(k, nnz) of the rows (axis i) or columns (axis j) that have nonzeros."""
-    return nonzero(entries).groupBy(F.col(axis).alias("k")).agg(F.count("*").alias("nnz"))
+def counts(entries: DataFrame, axis: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, k, nnz) of the rows (axis i) or columns (axis j) that have nonzeros."""
+    return nonzero(entries).groupBy(*keys, F.col(axis).alias("k")).agg(F.count("*").alias("nnz"))
 
 
 def domain(spark: SparkSession, n: int, name: str = "k") -> DataFrame:
     return spark.range(n).select(F.col("id").alias(name))
 
 
+def slices(matrix: Matrix | Matrices, axis: str, name: str = "k") -> DataFrame:
+    """A row for each row (axis i) or column (axis j) of the matrix, or of each of the matrices."""
+    of = "rows" if axis == "i" else "columns"
+    if isinstance(matrix, Matrix):
+        return domain(matrix.df.sparkSession, getattr(matrix, of), name)
+    return spread(matrix.dims, F.lit(0).cast("long"), of, name).select(*KEYS, name)
+
+
+def keys_of(matrix: Matrix | Matrices) -> tuple[str, ...]:
+    return KEYS if isinstance(matrix, Matrices) else ()
+
+
 def row_pointers(matrix: Matrix) -> DataFrame:
     """CSR row pointers (i, ptr) for i from 0 to the number of rows."""
     n = matrix.df.sparkSession

@@ -2,27 +2,63 @@
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 FEATURES = ("dim1", "dim2", "density")
+#: Ranges that a group's values are cut into for finding a rank.
+PARTS = 64
+
+
+def ranked(rows: DataFrame, keys: tuple[str, ...], at: dict[str, str], value: str = "t") -> DataFrame:
+    """(keys, total, names) with the value that has a given rank in its group: `at` names ranks from 0 as SQL over `total`.
+
+    In two levels: values, counted once each, go to PARTS ranges cut at approximate quantiles, whose counts say
+    in which range a rank lies; only inside a range are values put in order, so no group meets in one task."""
+    share = ",".join(str(k / PARTS) for k in range(1, PARTS))
+    same = lambda names: " AND ".join(f"{k} <=> _{k}" for k in names) or "true"
+    as_ = [F.col(k).alias(f"_{k}") for k in keys]
+    counted = rows.where(f"{value} IS NOT NULL").groupBy(*keys, F.col(value).alias("x")).agg(F.count("*").alias("n"))
+    groups = rows.where(f"{value} IS NOT NULL").groupBy(*as_).agg(F.expr(f"percentile_approx({value}, array({share}), 1000)").alias("edges"), F.count("*").alias("total"))
+    placed = counted.join(groups, F.expr(same(keys))).drop(*[f"_{k}" for k in keys]).withColumn("range", F.expr("size(filter(edges, e -> e < x))")).drop("edges")
+    ranges = placed.groupBy(*as_, F.col("range").alias("_range"), F.col("total").alias("_total")).agg(F.sum("n").alias("many"))
+    before = Window.partitionBy(*[f"_{k}" for k in keys]).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("many").over(before), F.lit(0)))
+    met = placed.join(ranges, F.expr(f"{same(keys)} AND range = _range"))
+    wanted = " OR ".join(f"({e.replace('total', '_total')}) >= before AND ({e.replace('total', '_total')}) < before + many" for e in at.values())
+    inside = Window.partitionBy(*keys, "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    upto = met.where(wanted).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    return upto.groupBy(*keys, "total").agg(*[F.max(F.when(F.expr(f"({e}) >= upto - n AND ({e}) < upto"), F.col("x"))).alias(name) for name, e in at.items()])
+
+
+def _between(share: float) -> tuple[dict[str, str], Column]:
+    """Ranks and expression of an interpolated percentile."""
+    position = f"({share}D * (total - 1))"
+    name = f"p{round(share * 100)}"
+    low, high = f"{name}_low", f"{name}_high"
+    return {low: f"floor({position})", high: f"ceil({position})"}, F.expr(f"{low} + ({high} - {low}) * ({position} - floor({position}))")
 
 
 def medians(timings: DataFrame, *keys: str) -> DataFrame:
     """(keys, median_t, upper_median_t): the interpolated median, and the element above the middle."""
-    upper = F.element_at(F.array_sort(F.collect_list("t")), (F.expr("count(*) div 2") + 1).cast("int"))
-    return timings.groupBy(*keys).agg(F.percentile("t", 0.5).alias("median_t"), upper.alias("upper_median_t"))
+    at, median = _between(0.5)
+    found = ranked(timings, keys, at | {"upper": "total div 2"})
+    return found.select(*keys, median.alias("median_t"), F.col("upper").alias("upper_median_t"))
 
 
 def trimmed(timings: DataFrame, *keys: str, least: int = 10) -> DataFrame:
     """(keys, n, mean_t): the mean between the 10th and 90th percentile, both included; groups of
     fewer than `least` points keep all."""
-    ends = timings.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.percentile("t", 0.1).alias("lo"), F.percentile("t", 0.9).alias("hi"), F.count("*").alias("points"))
+    low_at, low = _between(0.1)
+    high_at, high = _between(0.9)
+    ends = ranked(timings, keys, low_at | high_at).select(*[F.col(k).alias(f"_{k}") for k in keys], low.alias("lo"), high.alias("hi"), F.col("total").alias("points"))
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
@@ -67,16 +103,25 @@ def even_distribution(items: DataFrame, order: str, parts: int) -> DataFrame:
 def least_loaded(work: list[int], parts: int) -> list[list[int]]:
     """Indices dealt to parts, largest work first to the least loaded (the first of equals); items
     without work are dropped, and there are no more parts than items."""
-    order = sorted((k for k, w in enumerate(work) if w), key=lambda k: -work[k])
-    out: list[list[int]] = [[] for _ in range(min(len(order), parts))]
-    load = [0] * len(out)
-    for k in order:
-        at = load.index(min(load))
-        out[at].append(k)
-        load[at] += work[k]
+    items = sorted((-w, k) for k, w in enumerate(work) if w)
+    out: list[list[int]] = [[] for _ in range(min(len(items), parts))]
+    loads = [(0, part) for part in range(len(out))]
+    for minus, k in items:
+        load, part = heappop(loads)
+        out[part].append(k)
+        heappush(loads, (load - minus, part))
     return out
 
 
+def dealt(work: DataFrame, item: str, parts: int) -> DataFrame:
+    """(item, work, part) of the rows (item, work) that have work, dealt as least_loaded() does, items of equal work in order.
+
+    One choice depends on all before it, so the rows, one for each row strip of a matrix, come to the driver."""
+    rows = work.where("work > 0").select(F.col(item).cast("long"), F.col("work").cast("long")).orderBy(item).collect()
+    found = [(rows[k][0], rows[k][1], part) for part, members in enumerate(least_loaded([r[1] for r in rows], parts)) for k in members]
+    return work.sparkSession.createDataFrame(found, f"{item} long, work long, part long")
+
+
 def labelled(training: DataFrame, speedup: float = 1.3) -> DataFrame:
     """Adds density and target to (dim1, dim2, perc_zeros, nnz, csr_time, block_time): 1 where
     storing the block densely is faster by `speedup`, once the start-up time is taken off, but 0 for
@@ -91,8 +136,9 @@ def labelled(training: DataFrame, speedup: float = 1.3) -> DataFrame:
 
 def parameter_grid(spark: SparkSession, heights: list[int], widths: list[int], zeros: list[int]) -> DataFrame:
     """(dim1, dim2, perc_zeros, nnz): every combination, with the number of nonzeros to expect."""
-    of = lambda values, name: spark.createDataFrame([(v,) for v in values], f"{name} long")
-    grid = of(heights, "dim1").crossJoin(of(widths, "dim2")).crossJoin(of(zeros, "perc_zeros"))
+    grid = spark.range(1).select()
+    for name, values in (("dim1", heights), ("dim2", widths), ("perc_zeros", zeros)):
+        grid = grid.select("*", F.explode(F.array(*[F.lit(v).cast("long") for v in values])).alias(name))
     return grid.withColumn("nnz", F.expr("(dim1 * dim2 * (100 - perc_zeros)) div 100"))
 
 

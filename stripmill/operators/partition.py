@@ -10,54 +10,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stripmill.functions.scatter import scattered
 from stripmill.functions.similarity import Similarity, best_shift_or_zero
-from stripmill.operators.coo import Matrix, counts, domain
+from stripmill.operators.coo import Matrices, Matrix, counts, keys_of, slices
 from stripmill.operators.running import running_sum
 
 
-def _slices(matrix: Matrix, axis: str) -> tuple[DataFrame, int]:
-    """Entries as (k, p, v): slice, place in it, value; and the number of slices."""
-    other = "i" if axis == "j" else "j"
-    n = matrix.columns if axis == "j" else matrix.rows
-    return matrix.df.where("v <> 0").select(F.col(axis).alias("k"), F.col(other).alias("p"), "v"), n
+# Partitions by hand of six public matrices, as boundaries of row strips and of column strips.
+_BCSSTK04 = [0, 5, 11, 17, 24, 30, 35, 42, 45, 54, 60, 65, 71, 77, 84, 90, 95, 101, 108, 114, 120, 125, 132]
+_BCSPWR06 = [0, 208, 288, 340, 392, 445, 500, 576, 840, 995, 1032, 1088, 1118, 1154, 1236, 1296, 1340, 1356, 1424, 1454]
+MANUAL_STRIPS = {
+    "bcsstk04": (_BCSSTK04, _BCSSTK04),
+    "bcspwr06": (_BCSPWR06, _BCSPWR06),
+    "bibd_12_5": ([0, 10, 20, 30, 40, 66], [0, 118, 203, 260, 295, 315, 330, 360, 414, 470, 504, 540, 595, 631, 651, 666, 701, 721, 736, 756, 771, 792]),
+    "bibd_12_4": ([0, 10, 20, 30, 37, 45, 66], [0, 45, 81, 109, 130, 165, 201, 250, 265, 285, 313, 334, 349, 359, 369, 390, 425, 460, 480, 495]),
+    "bibd_9_5": ([0, 8, 15, 20, 26, 36], [0, 15, 35, 55, 70, 90, 105, 120, 126]),
+    "bibd_11_5": ([0, 10, 19, 35, 55], [0, 30, 50, 82, 103, 205, 335, 462]),
+}
 
 
-def similarities(matrix: Matrix, axis: str, similarity: Similarity) -> DataFrame:
-    """(k, na, nb, sim) for every k from 1: slice k-1 against slice k; sim is null if undefined."""
-    spark = matrix.df.sparkSession
-    entries, n = _slices(matrix, axis)
+def similarities(matrix: Matrix | Matrices, axis: str, similarity: Similarity) -> DataFrame:
+    """(k, na, nb, sim) for every k from 1: slice k-1 against slice k; sim is null if undefined.
+
+    Of Matrices, here and below, with their matrix_id: many are cut in one query."""
+    keys, other = keys_of(matrix), "i" if axis == "j" else "j"
+    entries = matrix.df.where("v <> 0").select(*keys, F.col(axis).alias("k"), F.col(other).alias("p"), "v")
     near = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), (F.col("p") + s).alias("q")) for s in (-1, 0, 1)]))
-    left = entries.select((F.col("k") + 1).alias("k"), F.col("v").alias("w"), near.alias("to")).select("k", F.col("to.q").alias("p"), "w", "to.shift")
+    left = entries.select(*keys, (F.col("k") + 1).alias("k"), F.col("v").alias("w"), near.alias("to")).select(*keys, "k", F.col("to.q").alias("p"), "w", "to.shift")
     dot = lambda s: F.coalesce(F.sum(F.when(F.col("shift") == s, F.col("w") * F.col("v"))), F.lit(0.0))
-    dots = left.join(entries, ["k", "p"]).groupBy("k").agg(dot(0).alias("d0"), dot(-1).alias("df"), dot(1).alias("db"))
-    size = counts(matrix.df, axis)
-    before = size.select((F.col("k") + 1).alias("k"), F.col("nnz").alias("na"))
-    here = size.select("k", F.col("nnz").alias("nb"))
-    found = domain(spark, n).where("k > 0").join(before, "k", "left").join(here, "k", "left").join(dots, "k", "left").fillna(0)
+    dots = left.join(entries, [*keys, "k", "p"]).groupBy(*keys, "k").agg(dot(0).alias("d0"), dot(-1).alias("df"), dot(1).alias("db"))
+    size = counts(matrix.df, axis, keys)
+    before = size.select(*keys, (F.col("k") + 1).alias("k"), F.col("nnz").alias("na"))
+    here = size.select(*keys, "k", F.col("nnz").alias("nb"))
+    met = slices(matrix, axis).where("k > 0")
+    for found in (before, here, dots):
+        met = met.join(found, [*keys, "k"], "left")
+    met = met.fillna(0, ["d0", "df", "db", "na", "nb"])
     columns = [F.col(c) for c in ("d0", "df", "db", "na", "nb")]
-    return found.select("k", "na", "nb", similarity(*columns).alias("sim"))
+    return met.select(*keys, "k", "na", "nb", similarity(*columns).alias("sim"))
 
 
-def cuts_everywhere(matrix: Matrix, axis: str, threshold: float, similarity: Similarity) -> DataFrame:
+def cuts_everywhere(matrix: Matrix | Matrices, axis: str, threshold: float, similarity: Similarity) -> DataFrame:
     """(k, cut): cut where neighbours are less similar than the threshold; never between two empty ones."""
     found = similarities(matrix, axis, similarity)
-    return found.select("k", F.coalesce(F.col("sim") < threshold, F.lit(False)).alias("cut"))
+    return found.select(*keys_of(matrix), "k", F.coalesce(F.col("sim") < threshold, F.lit(False)).alias("cut"))
 
 
-def cuts_between_runs(matrix: Matrix, axis: str, threshold: float, similarity: Similarity = best_shift_or_zero) -> DataFrame:
+def cuts_between_runs(matrix: Matrix | Matrices, axis: str, threshold: float, similarity: Similarity = best_shift_or_zero) -> DataFrame:
     """As cuts_everywhere, but a run of empty slices is one strip of its own."""
     found = similarities(matrix, axis, similarity)
     begins = (F.col("na") == 0) & (F.col("nb") > 0)
     differs = (F.col("na") > 0) & (F.coalesce("sim", F.lit(0.0)) < threshold)
-    return found.select("k", (begins | differs).alias("cut"))
+    return found.select(*keys_of(matrix), "k", (begins | differs).alias("cut"))
 
 
-def strips(cuts: DataFrame, n: int) -> DataFrame:
-    """(strip, lo, hi) from cuts (k, cut) over slices 0 to n-1."""
-    first = domain(cuts.sparkSession, min(1, n)).select("k", F.lit(False).alias("cut"))
-    marks = first.unionByName(cuts.select("k", "cut")).withColumn("c", F.col("cut").cast("long"))
-    numbered = running_sum(marks, "k", "c", "strip")
-    return numbered.groupBy("strip").agg(F.min("k").alias("lo"), (F.max("k") + 1).alias("hi"))
+def strips(cuts: DataFrame, n: int | DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, strip, lo, hi) from cuts (keys, k, cut) over slices 0 to n-1; with keys, n is a table (keys, n)."""
+    sizes = n if isinstance(n, DataFrame) else cuts.sparkSession.range(1).select(F.lit(n).alias("n"))
+    first = sizes.where("n > 0").select(*keys, F.lit(0).cast("long").alias("k"), F.lit(False).alias("cut"))
+    marks = first.unionByName(cuts.select(*keys, "k", "cut")).withColumn("c", F.col("cut").cast("long"))
+    numbered = running_sum(marks, "k", "c", "strip", keys)
+    return numbered.groupBy(*keys, "strip").agg(F.min("k").alias("lo"), (F.max("k") + 1).alias("hi"))
 
 
 def strips_at(spark: SparkSession, boundaries: list[int]) -> DataFrame:
@@ -67,6 +80,12 @@ def strips_at(spark: SparkSession, boundaries: list[int]) -> DataFrame:
     return spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(zip(boundaries, boundaries[1:]))], "strip long, lo long, hi long")
 
 
+def strips_by_hand(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame]:
+    """Row and column strips of one of the matrices in MANUAL_STRIPS."""
+    rows, columns = MANUAL_STRIPS[name]
+    return strips_at(spark, rows), strips_at(spark, columns)
+
+
 def strips_uniform(spark: SparkSession, n: int, parts: int) -> DataFrame:
     """(strip, lo, hi) of equal width; parts must divide n."""
     if parts < 1 or n % parts:
@@ -79,11 +98,13 @@ def strips_random(spark: SparkSession, n: int, parts: int, seed: int = 0) -> Dat
     """(strip, lo, hi) with parts - 1 distinct random cuts, the same for the same seed."""
     if not 2 <= parts <= n:
         raise ValueError("parts must be from 2 to n")
-    chosen = spark.range(1, n).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(parts - 1)
+    chosen = spark.range(1, n).orderBy(scattered("id", seed), "id").limit(parts - 1)
     marks = spark.range(1, n).join(chosen.withColumn("cut", F.lit(True)), "id", "left").select(F.col("id").alias("k"), F.coalesce("cut", F.lit(False)).alias("cut"))
     return strips(marks, n)
 
 
-def partitioned(matrix: Matrix, threshold: float = 0.2, similarity: Similarity = best_shift_or_zero, cutter=cuts_between_runs) -> tuple[DataFrame, DataFrame]:
+def partitioned(matrix: Matrix | Matrices, threshold: float = 0.2, similarity: Similarity = best_shift_or_zero, cutter=cuts_between_runs) -> tuple[DataFrame, DataFrame]:
     """Row and column strips; the cutter and the similarity may be the user's."""
-    return strips(cutter(matrix, "i", threshold, similarity), matrix.rows), strips(cutter(matrix, "j", threshold, similarity), matrix.columns)
+    keys = keys_of(matrix)
+    size = lambda of: matrix.dims.select(*keys, F.col(of).alias("n")) if keys else getattr(matrix, of)
+    return tuple(strips(cutter(matrix, axis, threshold, similarity), size(of), keys) for axis, of in (("i", "rows"), ("j", "columns")))

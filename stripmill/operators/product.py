@@ -1,7 +1,7 @@
 """Products of a sparse matrix with a vector or with many at once.
 
 The plan is an equi-join on the inner index and a sum by row, which Spark aggregates partially before
-the shuffle. Spark broadcasts a vector that it knows to be small and otherwise joins by shuffle; no
+the shuffle. Products are linear, so entries of equal coordinates need not be added up before. Spark broadcasts a vector that it knows to be small and otherwise joins by shuffle; no
 side is broadcast unasked.
 """
 
@@ -28,9 +28,9 @@ def spmv_full(matrix: Matrix, x: DataFrame) -> DataFrame:
     return zero_filled(spmv(matrix.df, x), matrix.rows)
 
 
-def spmm(entries: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, k, y) for a right matrix (j, k, x); of any width."""
-    return entries.where("v <> 0").join(x, "j").groupBy("i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+def spmm(entries: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, k, y) for a right matrix (j, k, x); of any width."""
+    return entries.where("v <> 0").join(x, "j").groupBy(*keys, "i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
 def spmm_wide(entries: DataFrame, x: DataFrame, width: int) -> DataFrame:

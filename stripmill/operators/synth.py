@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stripmill.functions.scatter import scattered
 from stripmill.operators.coo import Matrix
 from stripmill.operators.partition import strips_random, strips_uniform
+from stripmill.operators.running import spread
 
 #: Ones in a sparse block.
 SPARSE_ONES = 10
@@ -23,14 +25,15 @@ def generated(spark: SparkSession, rows: int, columns: int, row_parts: int, colu
         raise ValueError("strips do not divide the matrix")
     cut = strips_uniform if uniform else lambda s, n, p: strips_random(s, n, p, seed)
     high, wide = cut(spark, rows, row_parts), cut(spark, columns, column_parts)
-    chosen = spark.range(total).orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "id"), "id").limit(dense + sparse)
-    ranked = chosen.select("id", (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.lit("block"), "id"), "id")) <= dense).alias("is_dense"))
+    by = scattered("id", seed + 1)
+    chosen = spark.range(total).orderBy(by, "id").limit(dense + sparse)
+    ranked = chosen.join(spark.range(total).orderBy(by, "id").limit(dense).withColumn("first", F.lit(True)), "id", "left").select("id", F.col("first").isNotNull().alias("is_dense"))
     placed = ranked.select("id", "is_dense", F.expr(f"id div {column_parts}").alias("a"), (F.col("id") % column_parts).alias("b"))
     placed = placed.join(high.select(F.col("strip").alias("a"), F.col("lo").alias("r0"), F.col("hi").alias("r1")), "a").join(wide.select(F.col("strip").alias("b"), F.col("lo").alias("c0"), F.col("hi").alias("c1")), "b")
     size = (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))
     ones = F.when(F.col("is_dense"), size - F.expr(f"((r1 - r0) * (c1 - c0) * {percent_zeros}) div 100")).otherwise(F.least(F.lit(SPARSE_ONES), size))
-    cells = placed.withColumn("ones", ones).withColumn("pos", F.explode(F.sequence(F.lit(0).cast("long"), size - 1)))
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(seed), "id", "pos"), "pos"))
+    cells = spread(placed.withColumn("ones", ones), F.lit(0).cast("long"), size, "pos")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(scattered("pos", f"id + {seed}"), "pos"))
     kept = cells.withColumn("nth", nth).where(F.col("nth") <= F.col("ones"))
     df = kept.select((F.col("r0") + F.col("pos") % (F.col("r1") - F.col("r0"))).alias("i"), (F.col("c0") + F.expr("pos div (r1 - r0)")).alias("j"), F.lit(1.0).alias("v"))
     return Matrix(df, rows, columns), high, wide

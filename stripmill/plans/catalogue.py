@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,11 @@ from stripmill.operators import evaluation as E
 from stripmill.operators import partition as P
 from stripmill.operators import product as M
 from stripmill.operators import synth as Y
+from stripmill.operators.running import spread
+from stripmill.functions.scatter import scatter_sql
+from stripmill.sources import files as S
 from stripmill.sources import tables as T
+from stripmill.sources.scratch import kept, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,31 +49,41 @@ def _query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 @_query("spmv", f"WITH {_PS}, {_X} SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) GROUP BY i")
 def spmv(spark: SparkSession, sf: str) -> DataFrame:
-    return M.spmv(T.part_supplier(spark, sf).df, T.suppliers_vector(spark, sf))
+    return M.spmv(T.part_supplier_lines(spark, sf), T.suppliers_vector(spark, sf))
 
 
 @_query("spmv_zero_filled", f"""WITH {_OP}, r AS (SELECT unnest(range(0, (SELECT CAST(max(o_orderkey) + 1 AS BIGINT) FROM orders))) AS i),
 p AS (SELECT i, sum(v * (1 + j % 5)) AS y FROM op GROUP BY i) SELECT r.i, coalesce(y, 0.0::DOUBLE) AS y FROM r LEFT JOIN p USING (i)""")
 def spmv_zero_filled(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = T.order_part(spark, sf)
-    x = C.domain(spark, matrix.columns, "j").select("j", (1 + F.col("j") % 5).cast("double").alias("x"))
-    return M.spmv_full(matrix, x)
+    rows, columns = T.sizes(spark, sf, ("orders", "o_orderkey"), ("part", "p_partkey"))
+    x = C.domain(spark, columns, "j").select("j", (1 + F.col("j") % 5).cast("double").alias("x"))
+    return M.spmv_full(C.Matrix(T.order_part_lines(spark, sf), rows, columns), x)
 
 
 @_query("spmv_multi_matrix", f"""WITH {_PS}, {_OP}, a AS (SELECT 'ps' AS matrix_id, * FROM ps UNION ALL SELECT 'op', * FROM op)
 SELECT matrix_id, i, sum(v * (1 + j % 3)) AS y FROM a GROUP BY 1, 2""")
 def spmv_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    one, two = T.part_supplier(spark, sf), T.order_part(spark, sf)
-    both = one.df.withColumn("matrix_id", F.lit("ps")).unionByName(two.df.withColumn("matrix_id", F.lit("op")))
-    x = C.domain(spark, max(one.columns, two.columns), "j").select("j", (1 + F.col("j") % 3).cast("double").alias("x"))
+    both = T.part_supplier_lines(spark, sf).withColumn("matrix_id", F.lit("ps")).unionByName(T.order_part_lines(spark, sf).withColumn("matrix_id", F.lit("op")))
+    x = C.domain(spark, max(T.sizes(spark, sf, ("supplier", "s_suppkey"), ("part", "p_partkey"))), "j").select("j", (1 + F.col("j") % 3).cast("double").alias("x"))
     return M.spmv(both, x, ("matrix_id",))
 
 
+def _right(spark: SparkSession, rows: int, width: int = 8) -> DataFrame:
+    """A right matrix (j, k, x)."""
+    wide = spread(C.domain(spark, rows, "j"), F.lit(0).cast("long"), F.lit(width).cast("long"), "k")
+    return wide.select("j", "k", (1 + (F.col("j") * (F.col("k") + 1)) % 7).cast("double").alias("x"))
+
+
 @_query("spmm", f"WITH {_PS}, k AS (SELECT unnest(range(0, 8)) AS k) SELECT i, k, sum(v * (1 + (j * (k + 1)) % 7)) AS y FROM ps, k GROUP BY i, k")
 def spmm(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = T.part_supplier(spark, sf)
-    wide = C.domain(spark, matrix.columns, "j").select("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
-    return M.spmm(matrix.df, wide.select("j", "k", (1 + (F.col("j") * (F.col("k") + 1)) % 7).cast("double").alias("x")))
+    return M.spmm(T.part_supplier_lines(spark, sf), _right(spark, T.sizes(spark, sf, ("supplier", "s_suppkey"))[0]))
+
+
+@_query("spmm_multi_matrix", """WITH f AS (SELECT l_returnflag AS matrix_id, l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3), k AS (SELECT unnest(range(0, 8)) AS k)
+SELECT matrix_id, i, k, sum(v * (1 + (j * (k + 1)) % 7)) AS y FROM f, k GROUP BY 1, 2, 3""")
+def spmm_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    many = T.by_flag(spark, sf)
+    return M.spmm(many.df, _right(spark, T.sizes(spark, sf, ("supplier", "s_suppkey"))[0]), C.KEYS)
 
 
 @_query("spmm_wide", f"""WITH {_PS}, e AS (SELECT vec_id AS j, unnest(range(0, len(embedding))) AS k, unnest(embedding) AS x FROM embeddings)
@@ -76,7 +91,7 @@ SELECT i, k, round(sum(v * x::DOUBLE), 4) AS y FROM ps JOIN e USING (j) GROUP BY
 def spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
     x = T.embedding_rows(spark, sf)
     width = len(x.select("xs").first().xs)
-    return M.spmm_wide(T.part_supplier(spark, sf).df, x, width).withColumn("y", F.round("y", 4))
+    return M.spmm_wide(T.part_supplier_lines(spark, sf), x, width).withColumn("y", F.round("y", 4))
 
 
 # Coordinate algebra ---------------------------------------------------------------------------
@@ -102,7 +117,7 @@ def coo_distinct(spark: SparkSession, sf: str) -> DataFrame:
     return C.distinct(T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v")))
 
 
-@_query("coo_last_wins", "SELECT l_partkey AS i, l_suppkey AS j, max_by(l_quantity, l_orderkey * 8 + l_linenumber) AS v FROM lineitem GROUP BY 1, 2")
+@_query("coo_last_wins", "SELECT l_partkey AS i, l_suppkey AS j, max_by(l_quantity, (l_orderkey * 8 + l_linenumber, l_quantity)) AS v FROM lineitem GROUP BY 1, 2")
 def coo_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     lines = T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("at"))
     return C.last_wins(lines, "at")
@@ -148,12 +163,12 @@ def csr_indptr(spark: SparkSession, sf: str) -> DataFrame:
 # Partitioning ---------------------------------------------------------------------------------
 
 
-def _neighbours(axis: str) -> str:
-    """CTEs m (pattern of parts x suppliers), s (k, na, nb, d0, df, db) along an axis."""
+def _neighbours(axis: str, value: str = "1.0::DOUBLE") -> str:
+    """CTEs m (pattern of parts x suppliers, or its values), s (k, na, nb, d0, df, db) along an axis."""
     other = "i" if axis == "j" else "j"
     size = "(SELECT n FROM d)" if axis == "j" else "(SELECT m FROM d)"
     dot = lambda cond: f"(SELECT b.{axis} AS k, sum(a.v * b.v) AS t FROM m a JOIN m b ON b.{axis} = a.{axis} + 1 AND {cond} GROUP BY 1)"
-    return f"""{_PS}, {_DIM}, m AS (SELECT i, j, 1.0::DOUBLE AS v FROM ps WHERE v <> 0), c AS (SELECT {axis} AS k, count(*) AS n FROM m GROUP BY 1),
+    return f"""{_PS}, {_DIM}, m AS (SELECT i, j, {value} AS v FROM ps WHERE v <> 0), c AS (SELECT {axis} AS k, count(*) AS n FROM m GROUP BY 1),
 r AS (SELECT unnest(range(1, {size})) AS k),
 s AS (SELECT r.k, coalesce(p.n, 0) AS na, coalesce(q.n, 0) AS nb, coalesce(e.t, 0) AS d0, coalesce(f.t, 0) AS df, coalesce(g.t, 0) AS db FROM r LEFT JOIN c p ON p.k = r.k - 1 LEFT JOIN c q ON q.k = r.k
 LEFT JOIN {dot(f"a.{other} = b.{other}")} e ON e.k = r.k LEFT JOIN {dot(f"a.{other} = b.{other} + 1")} f ON f.k = r.k LEFT JOIN {dot(f"b.{other} = a.{other} + 1")} g ON g.k = r.k)"""
@@ -174,6 +189,7 @@ def _pattern(spark: SparkSession, sf: str) -> C.Matrix:
 for _axis, _of in (("j", "cols"), ("i", "rows")):
     for _n, _measure, _sql in (("1", mean_shift, _MEAN), ("2", best_shift, _BEST), ("2_or_zero", best_shift_or_zero, _OR_ZERO)):
         _query(f"similarity{_n}_{_of}", f"WITH {_neighbours(_axis)} SELECT k, na, nb, {_sql} AS sim FROM s")(lambda spark, sf, a=_axis, f=_measure: P.similarities(_pattern(spark, sf), a, f))
+        _query(f"similarity{_n}_values_{_of}", f"WITH {_neighbours(_axis, 'v')} SELECT k, na, nb, round({_sql}, 6) AS sim FROM s")(lambda spark, sf, a=_axis, f=_measure: P.similarities(T.part_supplier(spark, sf), a, f).withColumn("sim", F.round("sim", 6)))
     _query(f"cuts_v1_{_of}", f"WITH {_neighbours(_axis)} SELECT k, {_V1} AS cut FROM s")(lambda spark, sf, a=_axis: P.cuts_everywhere(_pattern(spark, sf), a, THRESHOLD, best_shift))
     _query(f"cuts_v2_{_of}", f"WITH {_neighbours(_axis)} SELECT k, {_V2} AS cut FROM s")(lambda spark, sf, a=_axis: P.cuts_between_runs(_pattern(spark, sf), a, THRESHOLD))
 
@@ -192,7 +208,8 @@ def strips_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return P.strips_uniform(spark, T.part_supplier(spark, sf).rows, ROW_PARTS)
 
 
-@_query("strips_random")
+@_query("strips_random", f"""WITH {_DIM}, r AS (SELECT unnest(range(1, (SELECT m FROM d))) AS id), cut AS (SELECT id FROM r ORDER BY {scatter_sql("id", 0)}, id LIMIT {ROW_PARTS - 1}),
+e AS (SELECT 0::BIGINT AS lo UNION ALL SELECT id FROM cut) SELECT row_number() OVER (ORDER BY lo) - 1 AS strip, lo, coalesce(lead(lo) OVER (ORDER BY lo), (SELECT m FROM d)) AS hi FROM e""")
 def strips_random(spark: SparkSession, sf: str) -> DataFrame:
     return P.strips_random(spark, T.part_supplier(spark, sf).rows, ROW_PARTS)
 
@@ -291,8 +308,7 @@ def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
 @_query("hybrid_spmm", ORACLE_SQL["spmm"])
 def hybrid_spmm(spark: SparkSession, sf: str) -> DataFrame:
     matrix, _, members, blocks = _blocked(spark, sf)
-    wide = C.domain(spark, matrix.columns, "j").select("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("k"))
-    return B.hybrid_spmm(members, B.split(blocks, B.is_dense(DENSITY)), wide.select("j", "k", (1 + (F.col("j") * (F.col("k") + 1)) % 7).cast("double").alias("x")))
+    return B.hybrid_spmm(members, B.split(blocks, B.is_dense(DENSITY)), _right(spark, matrix.columns))
 
 
 @_query("partition_pipeline", f"""WITH {_strips_sql("j", _V2)}, mem AS (SELECT i // ((SELECT m FROM d) // {ROW_PARTS}) AS a, strip AS b, count(*) AS nnz, any_value(hi - lo) * ((SELECT m FROM d) // {ROW_PARTS}) AS size FROM m JOIN strips ON j >= lo AND j < hi GROUP BY 1, 2)
@@ -410,6 +426,273 @@ def rf_block_choice(spark: SparkSession, sf: str) -> DataFrame:
     return E.classified(_blocked(spark, sf)[3], model).select("bid", "a", "b", "nnz", "size", "is_dense")
 
 
-@_query("synth_matrix")
+#: Rows, columns, row strips, column strips, dense blocks, percent of zeros in them, and sparse blocks.
+SYNTHETIC = (200, 300, 10, 10, 20, 25, 30)
+
+
+def _synth_sql(m: int, n: int, a: int, b: int, dense: int, zeros: int, sparse: int) -> str:
+    size = m // a * (n // b)
+    return f"""WITH g AS (SELECT unnest(range(0, {a * b})) AS id), o AS (SELECT id, row_number() OVER (ORDER BY {scatter_sql("id", 1)}, id) AS nth FROM g),
+c AS (SELECT id, unnest(range(0, {size})) AS pos, CASE WHEN nth <= {dense} THEN {size - size * zeros // 100} ELSE {min(size, Y.SPARSE_ONES)} END AS ones FROM o WHERE nth <= {dense + sparse}),
+p AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY {scatter_sql("pos", "id + 0")}, pos) AS nr FROM c)
+SELECT id // {b} * {m // a} + pos % {m // a} AS i, id % {b} * {n // b} + pos // {m // a} AS j, 1.0::DOUBLE AS v FROM p WHERE nr <= ones"""
+
+
+@_query("synth_matrix", _synth_sql(*SYNTHETIC))
 def synth_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    return Y.generated(spark, 200, 300, 10, 10, 20, 25, 30)[0].df
+    return Y.generated(spark, *SYNTHETIC)[0].df
+
+
+@_query("strips_by_hand", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS matrix_id, '{axis}' AS axis, unnest(range(0, {len(edges) - 1})) AS strip, unnest({edges[:-1]}::BIGINT[]) AS lo, unnest({edges[1:]}::BIGINT[]) AS hi" for name, both in P.MANUAL_STRIPS.items() for axis, edges in zip("ij", both)) + ")")
+def strips_by_hand(spark: SparkSession, sf: str) -> DataFrame:
+    found = [strips.select(F.lit(name).alias("matrix_id"), F.lit(axis).alias("axis"), "strip", "lo", "hi") for name in P.MANUAL_STRIPS for axis, strips in zip("ij", P.strips_by_hand(spark, name))]
+    return reduce(DataFrame.unionByName, found)
+
+
+@_query("strip_deal", f"""WITH RECURSIVE {_SPLIT}, wk AS (SELECT a, CAST(sum(CASE WHEN is_dense THEN size ELSE 0 END) AS BIGINT) AS work FROM ch GROUP BY a),
+o AS (SELECT a, work, row_number() OVER (ORDER BY work DESC, a) AS nth FROM wk WHERE work > 0),
+r AS (SELECT 0::BIGINT AS nth, -1::BIGINT AS a, 0::BIGINT AS work, -1::BIGINT AS part, list_resize([0::BIGINT], CAST(least(4, (SELECT count(*) FROM o)) AS BIGINT), 0::BIGINT) AS loads
+UNION ALL SELECT o.nth, o.a, o.work, CAST(list_position(loads, list_min(loads)) - 1 AS BIGINT), list_transform(loads, lambda x, k: CASE WHEN k = list_position(loads, list_min(loads)) THEN x + o.work ELSE x END) FROM r JOIN o ON o.nth = r.nth + 1)
+SELECT a, work, part FROM r WHERE nth > 0""")
+def strip_deal(spark: SparkSession, sf: str) -> DataFrame:
+    return E.dealt(B.strip_work(B.split(_blocked(spark, sf)[3], B.is_dense(DENSITY))), "a", 4)
+
+
+# Irregular strips: one row or one column wide, and row strips without entries -----------------------
+
+#: Rows without entries: the first ones.
+EMPTY_ROWS = 5
+_IRREGULAR = f"""{_PS}, {_DIM}, q AS (SELECT * FROM ps WHERE i >= {EMPTY_ROWS} AND v <> 0),
+re AS (SELECT DISTINCT unnest([0, 1, 3, {EMPTY_ROWS}, {EMPTY_ROWS + 1}, {EMPTY_ROWS + 2}, {EMPTY_ROWS + 9}, m // 3, m // 2, m - 1, m])::BIGINT AS e FROM d), ce AS (SELECT DISTINCT unnest([0, 1, 2, 5, n // 2, n // 2 + 1, n - 1, n])::BIGINT AS e FROM d),
+rs AS (SELECT row_number() OVER (ORDER BY e) - 1 AS strip, e AS lo, lead(e) OVER (ORDER BY e) AS hi FROM re), cs AS (SELECT row_number() OVER (ORDER BY e) - 1 AS strip, e AS lo, lead(e) OVER (ORDER BY e) AS hi FROM ce),
+im AS (SELECT rs.strip AS a, cs.strip AS b, i, j, v, rs.lo AS r0, rs.hi AS r1, cs.lo AS c0, cs.hi AS c1 FROM q JOIN rs ON i >= rs.lo AND i < rs.hi JOIN cs ON j >= cs.lo AND j < cs.hi),
+ib0 AS (SELECT a, b, r0, r1, c0, c1, count(*) AS nnz, (r1 - r0) * (c1 - c0) AS size FROM im GROUP BY ALL), ib AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS bid, *, CAST(sum(size) OVER (ORDER BY a, b) - size AS BIGINT) AS "offset" FROM ib0)"""
+
+
+def _irregular(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame, DataFrame, DataFrame, DataFrame]:
+    whole = T.part_supplier(spark, sf)
+    matrix = C.Matrix(whole.df.where(F.col("i") >= EMPTY_ROWS), whole.rows, whole.columns)
+    m, n = matrix.rows, matrix.columns
+    rows = P.strips_at(spark, sorted({0, 1, 3, EMPTY_ROWS, EMPTY_ROWS + 1, EMPTY_ROWS + 2, EMPTY_ROWS + 9, m // 3, m // 2, m - 1, m}))
+    columns = P.strips_at(spark, sorted({0, 1, 2, 5, n // 2, n // 2 + 1, n - 1, n}))
+    return matrix, rows, columns, *B.blocked(matrix, rows, columns)
+
+
+@_query("irregular_blocks", f'WITH {_IRREGULAR} SELECT bid, a, b, r0, r1, c0, c1, nnz, size, "offset" FROM ib')
+def irregular_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return _irregular(spark, sf)[4]
+
+
+@_query("irregular_row_pointers", f"WITH {_IRREGULAR} SELECT rs.strip AS a, coalesce(min(bid), -1) AS first, coalesce(max(bid) + 1, -1) AS last FROM rs LEFT JOIN ib ON a = rs.strip WHERE rs.hi IS NOT NULL GROUP BY 1")
+def irregular_row_pointers(spark: SparkSession, sf: str) -> DataFrame:
+    _, rows, _, _, blocks = _irregular(spark, sf)
+    return B.strip_pointers(blocks, rows)
+
+
+@_query("irregular_values", f"""WITH {_IRREGULAR}, cell AS (SELECT bid, a, b, unnest(range(0, size)) AS pos FROM ib)
+SELECT bid, cell.pos, coalesce(v, 0.0::DOUBLE) AS v FROM cell LEFT JOIN im ON im.a = cell.a AND im.b = cell.b AND (im.j - c0) * (r1 - r0) + im.i - r0 = cell.pos""")
+def irregular_values(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, members, blocks = _irregular(spark, sf)
+    cells = B.values(members, B.split(blocks, B.is_dense(0)))
+    return cells.select("bid", "first", F.posexplode("vals").alias("at", "v")).select("bid", (F.col("first") + F.col("at")).alias("pos"), "v")
+
+
+@_query("irregular_kernel_spmv", f"WITH {_PS}, {_X}, {_DIM}, r AS (SELECT DISTINCT i FROM ps WHERE i >= {EMPTY_ROWS}) SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) JOIN r USING (i) GROUP BY i")
+def irregular_kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
+    matrix, _, _, members, blocks = _irregular(spark, sf)
+    y = B.kernel_spmv(B.values(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
+    return y.join(matrix.df.select("i").distinct(), "i", "left_semi")
+
+
+@_query("irregular_hybrid_spmv", f"WITH {_PS}, {_X} SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) WHERE i >= {EMPTY_ROWS} GROUP BY i")
+def irregular_hybrid_spmv(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, members, blocks = _irregular(spark, sf)
+    return B.hybrid_spmv(members, kept(B.split(blocks, B.is_dense(DENSITY))), T.suppliers_vector(spark, sf))
+
+
+# The whole path: both axes cut by similarity, blocks chosen, values and residual stored, product from them ---
+
+
+def _learned(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame, DataFrame, DataFrame, DataFrame]:
+    whole = T.part_supplier(spark, sf)
+    matrix = C.Matrix(kept(whole.df), whole.rows, whole.columns)
+    rows, columns = map(kept, P.partitioned(C.Matrix(C.pattern(matrix.df), matrix.rows, matrix.columns), THRESHOLD))
+    return matrix, rows, columns, *B.blocked(matrix, rows, columns)
+
+
+@_query("learned_spmv", ORACLE_SQL["spmv"])
+def learned_spmv(spark: SparkSession, sf: str) -> DataFrame:
+    _, _, _, members, blocks = _learned(spark, sf)
+    return B.hybrid_spmv(members, kept(B.split(blocks, B.is_dense(DENSITY))), T.suppliers_vector(spark, sf))
+
+
+def _learned_strips(axis: str, name: str) -> str:
+    return f"{name} AS ({_strips(axis)} SELECT * FROM strips)"
+
+
+def _strips(axis: str) -> str:
+    return f"WITH {_strips_sql(axis, _V2)}"
+
+
+_LEARNED = f"""{_PS}, {_DIM}, {_learned_strips("i", "rs")}, {_learned_strips("j", "cs")},
+lb AS (SELECT rs.strip AS a, cs.strip AS b, count(*) AS nnz, any_value((rs.hi - rs.lo) * (cs.hi - cs.lo)) AS size FROM ps JOIN rs ON i >= rs.lo AND i < rs.hi JOIN cs ON j >= cs.lo AND j < cs.hi WHERE v <> 0 GROUP BY 1, 2)"""
+
+
+@_query("learned_blocks", f"WITH {_LEARNED} SELECT a, b, nnz, size, nnz * 100.0::DOUBLE / size > {DENSITY} AS is_dense FROM lb")
+def learned_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return B.split(_learned(spark, sf)[4], B.is_dense(DENSITY)).select("a", "b", "nnz", "size", "is_dense")
+
+
+# Many matrices in one table -----------------------------------------------------------------------
+
+_FLAGS = "f AS (SELECT l_returnflag AS matrix_id, l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
+_FLAG_STRIPS = lambda axis: f"""m AS (SELECT matrix_id, i, j, 1.0::DOUBLE AS v FROM f WHERE v <> 0), c AS (SELECT matrix_id, {axis} AS k, count(*) AS n FROM m GROUP BY 1, 2),
+r AS (SELECT matrix_id, k FROM (SELECT DISTINCT matrix_id FROM f), (SELECT unnest(range(1, (SELECT {"n" if axis == "j" else "m"} FROM d))) AS k)),
+s AS (SELECT r.matrix_id, r.k, coalesce(p.n, 0) AS na, coalesce(q.n, 0) AS nb, {", ".join(f"coalesce({t}.t, 0) AS {n}" for t, n in (("e", "d0"), ("g", "df"), ("h", "db")))} FROM r
+LEFT JOIN c p ON p.matrix_id = r.matrix_id AND p.k = r.k - 1 LEFT JOIN c q ON q.matrix_id = r.matrix_id AND q.k = r.k
+{" ".join(f"LEFT JOIN (SELECT a.matrix_id, b.{axis} AS k, sum(a.v * b.v) AS t FROM m a JOIN m b ON a.matrix_id = b.matrix_id AND b.{axis} = a.{axis} + 1 AND {cond} GROUP BY 1, 2) {t} ON {t}.matrix_id = r.matrix_id AND {t}.k = r.k" for t, cond in (("e", "a.{0} = b.{0}".format("i" if axis == "j" else "j")), ("g", "a.{0} = b.{0} + 1".format("i" if axis == "j" else "j")), ("h", "b.{0} = a.{0} + 1".format("i" if axis == "j" else "j"))))}),
+z AS (SELECT DISTINCT matrix_id, 0::BIGINT AS k, false AS cut FROM f UNION ALL SELECT matrix_id, k, {_V2} FROM s),
+st AS (SELECT matrix_id, k, CAST(sum(cut::BIGINT) OVER (PARTITION BY matrix_id ORDER BY k) AS BIGINT) AS strip FROM z) SELECT matrix_id, strip, min(k) AS lo, max(k) + 1 AS hi FROM st GROUP BY 1, 2"""
+
+
+@_query("strips_multi_matrix", f"WITH {_FLAGS}, {_DIM}, {_FLAG_STRIPS('j')}")
+def strips_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    many = T.by_flag(spark, sf)
+    cuts = P.cuts_between_runs(C.Matrices(many.df.withColumn("v", F.lit(1.0)), many.dims), "j", THRESHOLD)
+    return P.strips(cuts, many.dims.select(*C.KEYS, F.col("columns").alias("n")), C.KEYS)
+
+
+def _blocked_many(spark: SparkSession, sf: str) -> tuple[C.Matrices, DataFrame, DataFrame]:
+    many = T.by_flag(spark, sf)
+    rows, columns = T.sizes(spark, sf, ("part", "p_partkey"), ("supplier", "s_suppkey"))
+    each = lambda strips: many.dims.select(*C.KEYS).crossJoin(F.broadcast(strips))  # noqa: E731  a few strips for every matrix
+    members, blocks = B.blocked_all(many.df, each(P.strips_uniform(spark, rows, ROW_PARTS)), each(P.strips_uniform(spark, columns, COLUMN_PARTS)), C.KEYS)
+    return many, members, kept(B.split(blocks, B.is_dense(DENSITY / 3), C.KEYS))
+
+
+_MANY = f"""{_FLAGS}, {_DIM}, w AS (SELECT m // {ROW_PARTS} AS h, n // {COLUMN_PARTS} AS w FROM d), mem AS (SELECT matrix_id, i // h AS a, j // w AS b, count(*) AS nnz, any_value(h * w) AS size FROM f, w WHERE v <> 0 GROUP BY 1, 2, 3),
+ch AS (SELECT *, row_number() OVER (PARTITION BY matrix_id ORDER BY a, b) - 1 AS bid, nnz * 100.0::DOUBLE / size > {DENSITY / 3} AS is_dense FROM mem)"""
+
+
+@_query("blocks_multi_matrix", f"WITH {_MANY} SELECT matrix_id, bid, a, b, nnz, size, is_dense FROM ch")
+def blocks_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    return _blocked_many(spark, sf)[2].select("matrix_id", "bid", "a", "b", "nnz", "size", "is_dense")
+
+
+@_query("blocks_to_coo_multi_matrix", f"WITH {_FLAGS} SELECT matrix_id, i, j, v FROM f WHERE v <> 0")
+def blocks_to_coo_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    _, members, chosen = _blocked_many(spark, sf)
+    return B.hybrid_entries(members, chosen, C.KEYS)
+
+
+@_query("hybrid_spmv_multi_matrix", f"WITH {_FLAGS}, {_X} SELECT matrix_id, i, sum(v * x) AS y FROM f JOIN x USING (j) GROUP BY 1, 2")
+def hybrid_spmv_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    _, members, chosen = _blocked_many(spark, sf)
+    return B.hybrid_spmv(members, chosen, T.suppliers_vector(spark, sf), C.KEYS)
+
+
+@_query("partition_report_multi_matrix", f"""WITH {_MANY}, t AS (SELECT matrix_id, CAST(sum(nnz) AS BIGINT) AS nnz, CAST(sum(CASE WHEN is_dense THEN size ELSE nnz END) AS BIGINT) AS operated, count(*) AS num_blocks, CAST(sum(is_dense::BIGINT) AS BIGINT) AS num_dense_blocks FROM ch GROUP BY 1)
+SELECT matrix_id, nnz, operated - nnz AS extra_nnz, num_blocks, num_dense_blocks, round(nnz / (m * n)::DOUBLE, 2) AS old_density, round(operated / (m * n)::DOUBLE, 2) AS new_density FROM t, d""")
+def partition_report_multi_matrix(spark: SparkSession, sf: str) -> DataFrame:
+    many, _, chosen = _blocked_many(spark, sf)
+    return B.report(chosen, many.dims.select(*C.KEYS, (F.col("rows") * F.col("columns")).alias("cells")), C.KEYS)
+
+
+# Files: written, read again ------------------------------------------------------------------------
+
+
+@_query("file_matrix_market", f"WITH {_PS} SELECT i, j, v FROM ps WHERE v <> 0")
+def file_matrix_market(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/part_supplier.mtx"
+    S.write_matrix_market(T.part_supplier(spark, sf), path)
+    return S.read_matrix_market(spark, path).df
+
+
+@_query("file_collection", f"WITH {_PS}, {_OP} SELECT 'ps' AS matrix_id, i, j, v FROM ps WHERE v <> 0 UNION ALL SELECT 'op', i, j, v FROM op WHERE v <> 0")
+def file_collection(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch(spark)
+    S.write_matrix_market(T.part_supplier(spark, sf), f"{folder}/ps/ps.mtx")
+    S.write_matrix_market(T.order_part(spark, sf), f"{folder}/op/op.mtx")
+    return S.read_collection(spark, folder).df
+
+
+@_query("file_sizes", f"WITH {_PS}, {_OP} SELECT 'ps' AS matrix_id, m AS rows, n AS columns, (SELECT count(*) FROM ps WHERE v <> 0) AS nnz FROM (SELECT CAST(max(p_partkey) + 1 AS BIGINT) AS m, CAST((SELECT max(s_suppkey) + 1 FROM supplier) AS BIGINT) AS n FROM part)")
+def file_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch(spark)
+    S.write_matrix_market(T.part_supplier(spark, sf), f"{folder}/ps/ps.mtx")
+    found = S.read_collection(spark, folder)
+    return found.dims.join(found.df.groupBy("matrix_id").agg(F.count("*").alias("nnz")), "matrix_id")
+
+
+def _block_file(names: tuple[str, ...], density: float) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        matrix = T.part_supplier(spark, sf)
+        rows, columns = P.strips_uniform(spark, matrix.rows, ROW_PARTS), P.strips_uniform(spark, matrix.columns, COLUMN_PARTS)
+        members, blocks = B.blocked(matrix, rows, columns)
+        path = f"{scratch(spark)}/part_supplier.{'vbr' if names is S.VBR else 'vbrc'}"
+        S.write_lines(S.block_lines(matrix, members, kept(B.split(blocks, B.is_dense(density))), rows, columns), names, path)
+        return S.read_blocks(spark, path).df
+
+    return run
+
+
+for _name, _names, _density in (("file_vbr", S.VBR, 0.0), ("file_vbrc", S.VBRC, DENSITY)):
+    _query(_name, f"WITH {_PS} SELECT i, j, v FROM ps WHERE v <> 0")(_block_file(_names, _density))
+
+
+@_query("file_pattern", f"WITH {_PS} SELECT i, j, 1.0::DOUBLE AS v FROM ps WHERE v <> 0")
+def file_pattern(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/part_supplier.smtx"
+    S.write_pattern(T.part_supplier(spark, sf), path)
+    return S.read_pattern(spark, path).df
+
+
+@_query("file_pattern_to_matrix_market", f"WITH {_PS} SELECT i, j, 1.0::DOUBLE AS v FROM ps WHERE v <> 0")
+def file_pattern_to_matrix_market(spark: SparkSession, sf: str) -> DataFrame:
+    folder = scratch(spark)
+    S.write_pattern(T.part_supplier(spark, sf), f"{folder}/part_supplier.smtx")
+    S.pattern_to_matrix_market(spark, f"{folder}/part_supplier.smtx", f"{folder}/part_supplier.mtx")
+    return S.read_matrix_market(spark, f"{folder}/part_supplier.mtx").df
+
+
+@_query("file_vector", f"WITH {_X} SELECT * FROM x")
+def file_vector(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/x.vector"
+    S.write_dense(T.suppliers_vector(spark, sf), path, "j")
+    return S.read_vector(spark, path)
+
+
+@_query("file_dense", "SELECT s_suppkey AS j, k, CAST(1 + (s_suppkey * (k + 1)) % 7 AS DOUBLE) AS x FROM supplier, (SELECT unnest(range(0, 8)) AS k)")
+def file_dense(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/x.matrix"
+    S.write_dense(_right(spark, T.sizes(spark, sf, ("supplier", "s_suppkey"))[0]), path, "j", "k")
+    return S.read_dense(spark, path, 8)
+
+
+@_query("file_result", f"WITH {_PS}, {_X} SELECT printf('%.6f', y) AS value, count(*) AS n FROM (SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) GROUP BY i) GROUP BY 1")
+def file_result(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/y.txt"
+    S.write_result(M.spmv(T.part_supplier_lines(spark, sf), T.suppliers_vector(spark, sf)), path)
+    return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@_query("file_timings", "SELECT event_type AS name, user_id % 3 AS rep, event_id + user_id % 3 + 0.5::DOUBLE AS t FROM events WHERE event_id % 2 = 0")
+def file_timings(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/timings"
+    at = (F.col("user_id") % 3).cast("int")
+    events = T.table(spark, sf, "events").where("event_id % 2 = 0")
+    # the measurement stands in the field of its repetition; fields before it hold an error
+    events.select(F.concat_ws(",", "event_type", F.array_repeat(F.lit("ERROR"), at), (F.col("event_id") + at + 0.5).cast("decimal(30,1)").cast("string")).alias("value")).write.text(path)
+    return S.read_timings(spark, path)
+
+
+@_query("file_table", f"WITH {_TRAINING} SELECT dim1, dim2, perc_zeros, nnz, csr_time, block_time FROM tr")
+def file_table(spark: SparkSession, sf: str) -> DataFrame:
+    path = f"{scratch(spark)}/training.csv"
+    S.write_table(_training(spark, sf), path)
+    return S.read_table(spark, path, "dim1 long, dim2 long, perc_zeros long, nnz long, csr_time double, block_time double")
+
+
+@_query("constant_vectors", "SELECT j, k, 1.5::DOUBLE AS x FROM (SELECT unnest(range(0, 100)) AS j), (SELECT unnest(range(0, 16)) AS k)")
+def constant_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return Y.constant_matrix(spark, 100, 16, 1.5)

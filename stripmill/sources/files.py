@@ -1,18 +1,22 @@
 """Readers and writers of matrix files: Matrix Market, pattern files, block formats, dense vectors.
 
-A file's data lines are read and parsed by Spark; only headers and block boundaries, a few lines, come to
-the driver. The text formats name their whole arrays on one line each, so writing them gathers a
-matrix in one task: they are for exchange of matrices of that size. Parquet of entries, strips
-and blocks is the format at scale.
+A file's data lines are read and parsed by Spark; only the header of a single matrix comes to the driver. The
+text formats name their whole arrays on one line each, so writing them gathers a matrix in one task:
+they are for exchange of matrices of that size. Parquet of entries, strips and blocks is the format at scale.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stripmill.operators import blocks as B
-from stripmill.operators.coo import Matrix, row_pointers, symmetrized
+from stripmill.operators.coo import Matrices, Matrix, row_pointers, symmetrized
+from stripmill.operators.running import running_sum, spread
+from stripmill.sources.scratch import kept
 
 VBR = ("val", "indx", "bindx", "rpntr", "cpntr", "bpntrb", "bpntre")
 VBRC = ("val", "csr_val", "indptr", "indices", "indx", "bindx", "rpntr", "cpntr", "bpntrb", "bpntre", "ublocks")
@@ -47,13 +51,33 @@ def read_matrix_market(spark: SparkSession, path: str) -> Matrix:
     return Matrix(symmetrized(entries, sign) if sign else entries, rows, columns)
 
 
+def _one_file(lines: DataFrame, path: str) -> None:
+    """Column value of the rows (at, place, value), by at and place, as lines of one file: in a directory of the given
+    name, or, if the name has the suffix of a file, as that file."""
+    spark = lines.sparkSession
+    ordered = lines.coalesce(1).sortWithinPartitions("at", "place").select("value")
+    if "." not in path.rsplit("/", 1)[-1]:
+        ordered.write.mode("overwrite").text(path)
+        return
+    ordered.write.mode("overwrite").text(f"{path}.parts")
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    part = next(f.getPath() for f in files.listStatus(of(f"{path}.parts")) if f.getPath().getName().startswith("part-"))
+    files.delete(of(path), False)
+    if not files.rename(part, of(path)):
+        raise OSError(f"cannot write {path}")
+    files.delete(of(f"{path}.parts"), True)
+
+
 def write_matrix_market(matrix: Matrix, path: str) -> None:
-    """One file in a directory: header, then nonzeros by row and column."""
+    """Header, then nonzeros by row and column, in one file: `path` itself if it has a suffix, else in a directory."""
     entries = matrix.df.where("v <> 0")
     spark = entries.sparkSession
-    head = spark.createDataFrame([(-2, 0, "%%MatrixMarket matrix coordinate real general"), (-1, 0, f"{matrix.rows} {matrix.columns} {entries.count()}")], "i long, j long, value string")
-    body = entries.select("i", "j", F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
-    head.unionByName(body).coalesce(1).sortWithinPartitions("i", "j").select("value").write.mode("overwrite").text(path)
+    size = entries.agg(F.concat_ws(" ", F.lit(matrix.rows), F.lit(matrix.columns), F.count("*")).alias("value"))
+    head = spark.range(1).select(F.lit(-2).cast("long").alias("at"), F.lit(0).cast("long").alias("place"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value"))
+    head = head.unionByName(size.select(F.lit(-1).cast("long").alias("at"), F.lit(0).cast("long").alias("place"), "value"))
+    body = entries.select(F.col("i").cast("long").alias("at"), F.col("j").cast("long").alias("place"), F.concat_ws(" ", F.col("i") + 1, F.col("j") + 1, "v").alias("value"))
+    _one_file(head.unionByName(body), path)
 
 
 def matrix_files(spark: SparkSession, folder: str, named_as_folder: bool = False) -> DataFrame:
@@ -63,72 +87,120 @@ def matrix_files(spark: SparkSession, folder: str, named_as_folder: bool = False
     return (rows.where("name = parent") if named_as_folder else rows).select("path", "name")
 
 
+def _lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(path, at, value): lines with a number that rises within each file, as the parts of a file are read in order."""
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", "true") if pattern else spark.read
+    return reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), "value")
+
+
 def read_matrices(spark: SparkSession, folder: str) -> DataFrame:
     """(matrix_id, i, j, v) of all Matrix Market files below a folder."""
-    out = spark.createDataFrame([], "matrix_id string, i long, j long, v double")
-    for row in matrix_files(spark, folder).collect():  # a row for each file
-        out = out.unionByName(read_matrix_market(spark, row.path).df.select(F.lit(row.name).alias("matrix_id"), "i", "j", "v"))
-    return out
+    return read_collection(spark, folder).df
+
+
+def read_collection(spark: SparkSession, folder: str) -> Matrices:
+    """All Matrix Market files below a folder, matrix_id being a file's name. One plan reads every file: banners and size
+    lines, two for each file, are joined with the entries of their file."""
+    lines = _lines(spark, folder, "*.mtx")
+    words = F.split(F.lower(F.trim("value")), r"\s+")
+    banners = lines.where(F.col("value").startswith("%%MatrixMarket")).groupBy(F.col("path").alias("of")).agg(F.min(F.struct("at", words.alias("w")))["w"].alias("w"))
+    data = lines.where(~F.col("value").startswith("%") & (F.trim("value") != "")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    heads = data.groupBy(F.col("path").alias("of")).agg(F.min(F.struct("at", "f")).alias("size")).join(banners, "of", "left")
+    sign = F.create_map(*[F.lit(x) for pair in SYMMETRIES.items() for x in pair])
+    fits = F.coalesce((F.size("w") == 5) & (F.col("w")[1] == "matrix") & (F.col("w")[2] == "coordinate") & F.col("w")[3].isin(*KINDS) & F.col("w")[4].isin(*SYMMETRIES), F.lit(False))
+    whole = lambda k: F.col("size.f")[k].cast("long")
+    square = fits & ((F.col("w")[4] == "general") | (whole(0) == whole(1)))
+    said = F.concat(F.lit("not a Matrix Market file that can be read: "), F.col("of"))
+    heads = heads.select(F.col("of"), F.when(square, F.regexp_extract("of", r"([^/]+)\.mtx$", 1)).otherwise(F.raise_error(said)).alias("matrix_id"), whole(0).alias("rows"), whole(1).alias("columns"), F.col("size.at").alias("head"), (F.col("w")[3] == "pattern").alias("bare"), sign[F.col("w")[4]].alias("sign"))
+    met = data.join(heads, F.col("path") == F.col("of")).where("at <> head")
+    value = F.when(F.col("bare"), F.lit(1.0)).otherwise(F.col("f")[2].cast("double"))
+    entry = met.select("matrix_id", (F.col("f")[0].cast("long") - 1).alias("i"), (F.col("f")[1].cast("long") - 1).alias("j"), value.alias("v"), "sign")
+    once = F.array(F.struct("i", "j", "v"))
+    both = F.concat(once, F.array(F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (F.col("v") * F.col("sign")).alias("v"))))
+    mirrored = F.when((F.col("sign") != 0) & (F.col("i") != F.col("j")), both).otherwise(once)
+    entries = entry.select("matrix_id", F.explode(mirrored).alias("e")).select("matrix_id", "e.i", "e.j", "e.v")
+    return Matrices(entries, heads.select("matrix_id", "rows", "columns"))
 
 
 def read_pattern(spark: SparkSession, path: str) -> Matrix:
-    """A pattern file: `rows,columns,nnz`, row pointers, column indices; values are 1."""
-    lines = [r.value for r in spark.read.text(path).collect()]  # three lines
-    rows, columns, _ = (int(x) for x in lines[0].split(","))
-    table = spark.createDataFrame([(lines[1], lines[2] if len(lines) > 2 else "")], "p string, c string")
-    numbers = lambda c: F.transform(F.filter(F.split(F.trim(c), r"\s+"), lambda x: x != ""), lambda x: x.cast("long"))
-    both = table.select(numbers("p").alias("p"), numbers("c").alias("c"))
-    spans = both.select("p", F.posexplode(F.slice("p", 2, rows)).alias("i", "end")).select(F.col("i").cast("long").alias("i"), F.element_at("p", F.col("i") + 1).alias("begin"), "end").where("begin < end")
-    places = spans.select("i", F.explode(F.sequence("begin", F.col("end") - 1)).alias("at"))
-    columns_at = both.select(F.posexplode("c").alias("at", "j"))
-    return Matrix(places.join(columns_at, "at").select("i", "j", F.lit(1.0).alias("v")), rows, columns)
+    """A pattern file: `rows,columns,nnz`, row pointers, column indices; values are 1. Only the first line comes to the driver."""
+    lines = _lines(spark, path).withColumn("line", F.row_number().over(Window.orderBy("at")))  # three lines
+    rows, columns, _ = (int(x) for x in lines.where("line = 1").first().value.split(","))
+    numbers = F.posexplode(F.filter(F.split("value", r"\s+"), lambda x: x != "")).alias("pos", "x")
+    of = lambda line: lines.where(F.col("line") == line).select(numbers).select(F.col("pos").cast("long").alias("pos"), F.col("x").cast("long").alias("x"))
+    ends = of(2).select((F.col("pos") - 1).alias("i"), F.col("x").alias("end"))
+    places = spread(of(2).select(F.col("pos").alias("i"), F.col("x").alias("begin")).join(ends, "i").where(F.col("i") < rows), "begin", "end", "pos")
+    return Matrix(places.join(of(3), "pos").select("i", F.col("x").alias("j"), F.lit(1.0).alias("v")), rows, columns)
+
+
+def write_pattern(matrix: Matrix, path: str) -> None:
+    """The nonzeros' places as a pattern file."""
+    entries = matrix.df.where("v <> 0")
+    lines = [entries.agg(F.concat_ws(",", F.lit(matrix.rows), F.lit(matrix.columns), F.count("*")).alias("value")), _line(row_pointers(Matrix(entries, matrix.rows, matrix.columns)), "ptr", "i", by=" "), _line(entries, "j", "i", "j", by=" ")]
+    _written(lines, path)
+
+
+def pattern_to_matrix_market(spark: SparkSession, path: str, to: str) -> None:
+    """A pattern file as a Matrix Market file of ones."""
+    write_matrix_market(read_pattern(spark, path), to)
 
 
-def _list(df: DataFrame, value: str, *order: str) -> str:
-    """Values in order, with commas between: one row on the driver."""
-    row = df.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda s: s["_v"].cast("string")), ",").alias("s")).first()
-    return row.s or ""
+def _line(df: DataFrame, value: str, *order: str, by: str = ",") -> DataFrame:
+    """One row (value): the values in order, as one line."""
+    gathered = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v")))), lambda s: s["_v"].cast("string"))
+    return df.agg(F.array_join(gathered, by).alias("value"))
+
+
+def _written(lines: list[DataFrame], path: str) -> None:
+    numbered = [line.select(F.lit(k).cast("long").alias("at"), F.lit(0).cast("long").alias("place"), "value") for k, line in enumerate(lines)]
+    _one_file(reduce(DataFrame.unionByName, numbered), path)
 
 
 def write_arrays(spark: SparkSession, arrays: dict[str, str], names: tuple[str, ...], path: str) -> None:
-    rows = [(k, f"{name}=[{arrays[name]}]") for k, name in enumerate(names)]
-    spark.createDataFrame(rows, "k int, value string").coalesce(1).sortWithinPartitions("k").select("value").write.mode("overwrite").text(path)
+    constant = lambda text: spark.range(1).select(F.lit(text).alias("value"))
+    write_lines({name: constant(arrays[name]) for name in names}, names, path)
 
 
-def block_arrays(matrix: Matrix, members: DataFrame, chosen: DataFrame, rows: DataFrame, columns: DataFrame) -> dict[str, str]:
-    """The arrays of the block formats. bindx and bpntr describe all blocks, val and indx the dense
-    ones; the residual is in CSR form, padded with a zero in the last cell if its row or column is
+def write_lines(arrays: dict[str, DataFrame], names: tuple[str, ...], path: str) -> None:
+    """Arrays, each a table of one row (value), as lines name=[...]; they don't pass the driver."""
+    _written([arrays[name].select(F.concat(F.lit(f"{name}=["), F.coalesce("value", F.lit("")), F.lit("]")).alias("value")) for name in names], path)
+
+
+def block_lines(matrix: Matrix, members: DataFrame, chosen: DataFrame, rows: DataFrame, columns: DataFrame) -> dict[str, DataFrame]:
+    """The arrays of the block formats, each a table of one row (value). bindx and bpntr describe all blocks, val and
+    indx the dense ones; the residual is in CSR form, padded with a zero in the last cell if its row or column is
     unused."""
-    spark = chosen.sparkSession
-    bounds = lambda s: _list(s.select("lo").unionByName(s.agg(F.max("hi").alias("lo"))), "lo", "lo")
+    bounds = lambda s: _line(s.select("lo").unionByName(s.agg(F.max("hi").alias("lo"))), "lo", "lo")
     pointers = B.strip_pointers(chosen, rows)
-    dense = chosen.where("is_dense")
-    offsets = dense.select(F.col("dense_ordinal").alias("n"), "size").sort("n").collect()  # a row for each block of a file
-    indx, at = [0], 0
-    for r in offsets:
-        at += r["size"]
-        indx.append(at)
+    dense = chosen.where("is_dense").select(F.col("dense_ordinal").alias("n"), "size")
+    ends = running_sum(dense, "n", "size", "end").select((F.col("n") + 1).alias("n"), "end")
+    ends = ends.unionByName(chosen.sparkSession.range(1).select(F.col("id").alias("n"), F.lit(0).cast("long").alias("end")))
     cells = B.values(members, chosen).select("bid", "first", F.posexplode("vals").alias("at", "v")).select("bid", (F.col("first") + F.col("at")).alias("pos"), "v")
     rest = B.residual(members, chosen)
-    ends = rest.agg(F.max("i").alias("i"), F.max("j").alias("j")).first()
-    if ends.i is not None and (ends.i < matrix.rows - 1 or ends.j < matrix.columns - 1):
-        rest = rest.unionByName(spark.createDataFrame([(matrix.rows - 1, matrix.columns - 1, 0.0)], "i long, j long, v double"))
-    empty = ends.i is None
+    last = rest.agg(F.max("i").alias("i"), F.max("j").alias("j")).where((F.col("i") < matrix.rows - 1) | (F.col("j") < matrix.columns - 1))
+    rest = rest.unionByName(last.select(F.lit(matrix.rows - 1).cast("long").alias("i"), F.lit(matrix.columns - 1).cast("long").alias("j"), F.lit(0.0).alias("v")))
+    some = rest.agg(F.count("*").alias("some"))  # without residual there are no pointers either
+    indptr = _line(row_pointers(Matrix(rest, matrix.rows, matrix.columns)), "ptr", "i").crossJoin(some)
     return {
-        "val": _list(cells, "v", "bid", "pos"),
-        "indx": ",".join(map(str, indx)),
-        "bindx": _list(chosen, "b", "bid"),
+        "val": _line(cells, "v", "bid", "pos"),
+        "indx": _line(ends, "end", "n"),
+        "bindx": _line(chosen, "b", "bid"),
         "rpntr": bounds(rows),
         "cpntr": bounds(columns),
-        "bpntrb": _list(pointers, "first", "a"),
-        "bpntre": _list(pointers, "last", "a"),
-        "csr_val": _list(rest, "v", "i", "j"),
-        "indptr": "" if empty else _list(row_pointers(Matrix(rest, matrix.rows, matrix.columns)), "ptr", "i"),
-        "indices": _list(rest, "j", "i", "j"),
-        "ublocks": _list(chosen.where("not is_dense"), "bid", "bid"),
+        "bpntrb": _line(pointers, "first", "a"),
+        "bpntre": _line(pointers, "last", "a"),
+        "csr_val": _line(rest, "v", "i", "j"),
+        "indptr": indptr.select(F.when(F.col("some") > 0, F.col("value")).otherwise("").alias("value")),
+        "indices": _line(rest, "j", "i", "j"),
+        "ublocks": _line(chosen.where("not is_dense"), "bid", "bid"),
     }
 
 
+def block_arrays(matrix: Matrix, members: DataFrame, chosen: DataFrame, rows: DataFrame, columns: DataFrame) -> dict[str, str]:
+    """block_lines() on the driver, for matrices of that size."""
+    return {name: line.first().value or "" for name, line in block_lines(matrix, members, chosen, rows, columns).items()}
+
+
 def read_arrays(spark: SparkSession, path: str) -> DataFrame:
     """(name, pos, v) of every array in a block file."""
     parts = F.regexp_extract("value", r"^\s*(\w+)\s*=\s*\[(.*)\]\s*$", 1), F.regexp_extract("value", r"^\s*(\w+)\s*=\s*\[(.*)\]\s*$", 2)
@@ -138,21 +210,21 @@ def read_arrays(spark: SparkSession, path: str) -> DataFrame:
 
 def read_blocks(spark: SparkSession, path: str) -> Matrix:
     """The matrix in a block file, with or without a sparse part: entries of dense blocks and of the residual."""
-    arrays = read_arrays(spark, path).persist()
+    arrays = kept(read_arrays(spark, path))
     of = lambda name, column: arrays.where(F.col("name") == name).select("pos", F.col("v").alias(column))
     bounds = lambda name, s, lo, hi: of(name, lo).join(of(name, hi).select((F.col("pos") - 1).alias("pos"), hi), "pos").select(F.col("pos").alias(s), F.col(lo).cast("long").alias(lo), F.col(hi).cast("long").alias(hi))
     first, last = of("bpntrb", "x").withColumnRenamed("pos", "a"), of("bpntre", "y").withColumnRenamed("pos", "a")
-    numbered = first.join(last, "a").where("x >= 0").select("a", F.explode(F.sequence(F.col("x").cast("long"), F.col("y").cast("long") - 1)).alias("bid"))
+    numbered = spread(first.join(last, "a").where("x >= 0"), F.col("x").cast("long"), F.col("y").cast("long"), "bid").select("a", "bid")
     columns = of("bindx", "b").select(F.col("pos").alias("bid"), F.col("b").cast("long").alias("b"))
     left_out = of("ublocks", "u").select(F.col("u").cast("long").alias("bid"))
     dense = numbered.join(columns, "bid").join(left_out, "bid", "left_anti")
-    dense = dense.withColumn("n", F.row_number().over(B.Window.orderBy("bid")).cast("long") - 1)
+    dense = running_sum(dense.withColumn("one", F.lit(1).cast("long")), "bid", "one", "n").withColumn("n", F.col("n") - 1)
     offset = bounds("indx", "n", "begin", "end")
     placed = dense.join(offset, "n").join(bounds("rpntr", "a", "r0", "r1"), "a").join(bounds("cpntr", "b", "c0", "c1"), "b")
-    at = placed.select("*", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos")).join(of("val", "v"), "pos").where("v <> 0")
+    at = spread(placed, "begin", "end", "pos").join(of("val", "v"), "pos").where("v <> 0")
     inside = F.col("pos") - F.col("begin")
     entries = at.select((F.col("r0") + inside % (F.col("r1") - F.col("r0"))).alias("i"), (F.col("c0") + F.floor(inside / (F.col("r1") - F.col("r0")))).alias("j"), "v")
-    spans = bounds("indptr", "i", "begin", "end").where("begin < end").select("i", F.explode(F.sequence("begin", F.col("end") - 1)).alias("pos"))
+    spans = spread(bounds("indptr", "i", "begin", "end"), "begin", "end", "pos").select("i", "pos")
     rest = spans.join(of("indices", "j"), "pos").join(of("csr_val", "v"), "pos").where("v <> 0").select("i", F.col("j").cast("long").alias("j"), "v")
     size = arrays.where(F.col("name").isin("rpntr", "cpntr")).groupBy("name").agg(F.max("v").alias("n")).collect()
     n = {r.name: int(r.n) for r in size}
@@ -178,13 +250,12 @@ def _numbers(spark: SparkSession, path: str) -> DataFrame:
 
 def write_dense(values: DataFrame, path: str, *order: str) -> None:
     """One comma-separated line of column x in the given order."""
-    line = _list(values, "x", *order)
-    values.sparkSession.createDataFrame([(line,)], "value string").write.mode("overwrite").text(path)
+    _written([_line(values, "x", *order)], path)
 
 
 def write_result(y: DataFrame, path: str) -> None:
     """One value of y a line, by row."""
-    y.coalesce(1).sortWithinPartitions("i").select(F.format_string("%f", F.col("y")).alias("value")).write.mode("overwrite").text(path)
+    _one_file(y.select(F.col("i").cast("long").alias("at"), F.lit(0).cast("long").alias("place"), F.format_string("%f", F.col("y")).alias("value")), path)
 
 
 def read_timings(spark: SparkSession, path: str) -> DataFrame:

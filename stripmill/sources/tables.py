@@ -2,36 +2,56 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.operators.coo import Matrix, built
+from stripmill.operators.coo import Matrices, Matrix, built
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _size(df: DataFrame, key: str) -> int:
-    return int(df.agg(F.max(key)).first()[0]) + 1
+def part_supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(i, j, v): quantity of a part from a supplier, a row for each line; lines of equal coordinates add up."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+
+
+def order_part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
+
+
+def sizes(spark: SparkSession, sf_dir: str, *keys: tuple[str, str]) -> list[int]:
+    """One more than the largest key of each (table, key), found in one job."""
+    found = [table(spark, sf_dir, name).agg(F.max(key).alias("n")).select(F.lit(k).alias("k"), "n") for k, (name, key) in enumerate(keys)]
+    whole = {r.k: int(r.n) + 1 for r in reduce(DataFrame.unionByName, found).collect()}
+    return [whole[k] for k in range(len(keys))]
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> Matrix:
     """Quantity of each part from each supplier."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
-    return Matrix(built(lines), _size(table(spark, sf_dir, "part"), "p_partkey"), _size(table(spark, sf_dir, "supplier"), "s_suppkey"))
+    return Matrix(built(part_supplier_lines(spark, sf_dir)), *sizes(spark, sf_dir, ("part", "p_partkey"), ("supplier", "s_suppkey")))
 
 
 def order_part(spark: SparkSession, sf_dir: str) -> Matrix:
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
-    return Matrix(built(lines), _size(table(spark, sf_dir, "orders"), "o_orderkey"), _size(table(spark, sf_dir, "part"), "p_partkey"))
+    return Matrix(built(order_part_lines(spark, sf_dir)), *sizes(spark, sf_dir, ("orders", "o_orderkey"), ("part", "p_partkey")))
+
+
+def by_flag(spark: SparkSession, sf_dir: str) -> Matrices:
+    """The parts x suppliers matrices of the lines with each return flag, which is the matrix_id."""
+    rows, columns = sizes(spark, sf_dir, ("part", "p_partkey"), ("supplier", "s_suppkey"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("matrix_id"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+    dims = lines.select("matrix_id").distinct().select("matrix_id", F.lit(rows).cast("long").alias("rows"), F.lit(columns).cast("long").alias("columns"))
+    return Matrices(lines.groupBy("matrix_id", "i", "j").agg(F.sum("v").alias("v")), dims)
 
 
 def customer_part(spark: SparkSession, sf_dir: str) -> Matrix:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("j"), F.col("l_quantity").alias("v"))
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("i"))
     entries = lines.join(orders, "l_orderkey").select("i", "j", "v")
-    return Matrix(built(entries), _size(table(spark, sf_dir, "customer"), "c_custkey"), _size(table(spark, sf_dir, "part"), "p_partkey"))
+    return Matrix(built(entries), *sizes(spark, sf_dir, ("customer", "c_custkey"), ("part", "p_partkey")))
 
 
 def user_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
