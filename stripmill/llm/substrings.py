@@ -52,34 +52,51 @@ HALF = REACH // 2
 BUCKET = 1 << 14
 #: Contexts sorted together, about.
 BATCH = 1 << 14
+#: Bytes of texts whose anchors are looked for together, about.
+TOGETHER = 1 << 16
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of all ANCHOR-grams."""
-    h, factor, width = data.astype(np.uint64), 0x9E3779B97F4A7C15, 1
+def gram_ranks(data: np.ndarray) -> np.ndarray:
+    """32-bit hashes of all ANCHOR-grams, never zero, by which anchors are chosen."""
+    h, factor, width = data.astype(np.uint32), 0x9E3779B1, 1
     with np.errstate(over="ignore"):
         while width < ANCHOR:
-            h = h[:-width] * np.uint64(factor) + h[width:]
-            factor, width = factor * factor % (1 << 64), 2 * width
-    return mix(h)
-
-
-def _sliding(x: np.ndarray, width: int, op: np.ufunc, rest: np.uint64) -> np.ndarray:
-    """op over every window of the given width."""
-    n = len(x) - width + 1
-    padded = np.full(-(-len(x) // width) * width, rest)
-    padded[: len(x)] = x
-    blocks = padded.reshape(-1, width)
-    ahead = op.accumulate(blocks, axis=1).ravel()
-    back = op.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(back[:n], ahead[width - 1 : width - 1 + n])
-
-
-def anchors(hashes: np.ndarray) -> np.ndarray:
-    """Places whose hash is the smallest in some string of LENGTH bytes; all of them, if equal."""
-    least = _sliding(hashes, STARTS, np.minimum, np.uint64(2**64 - 1))
-    wide = np.concatenate([np.zeros(STARTS - 1, np.uint64), least, np.zeros(STARTS - 1, np.uint64)])
-    return np.flatnonzero(_sliding(wide, STARTS, np.maximum, np.uint64(0)) == hashes)
+            h = h[:-width] * np.uint32(factor) + h[width:]
+            factor, width = factor * factor % (1 << 32), 2 * width
+        for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h ^= h >> np.uint32(shift)
+            h *= np.uint32(by)
+    return h | np.uint32(1)
+
+
+def gram_hashes(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the ANCHOR-grams at some places."""
+    h = np.zeros(len(at), np.uint64)
+    for word in np.lib.stride_tricks.sliding_window_view(data, ANCHOR)[at].view(np.uint64).T:
+        h = mix(h ^ word) + np.uint64(ANCHOR)
+    return h
+
+
+def _sliding(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
+    """op, a minimum or maximum, over every window of the given width."""
+    n, have = len(x) - width + 1, 1
+    while 2 * have <= width:
+        x = op(x[:-have], x[have:])
+        have *= 2
+    return op(x[:n], x[width - have : width - have + n])
+
+
+def anchors(data: np.ndarray, lengths: list[int]) -> np.ndarray:
+    """Places in texts that stand end to end whose rank is the smallest in some string of LENGTH bytes of a text; all
+    of them, if equal. Every text has LENGTH bytes at least."""
+    ranks = gram_ranks(data)
+    least = _sliding(ranks, STARTS, np.minimum)
+    end = 0
+    for n in lengths:
+        end += n
+        least[end - LENGTH + 1 : end] = 0  # strings that go on in the next text
+    around = np.zeros(STARTS - 1, np.uint32)
+    return np.flatnonzero(_sliding(np.concatenate([around, least, around]), STARTS, np.maximum) == ranks)
 
 
 def _key(doc: int | None, data: bytes) -> int:
@@ -90,19 +107,41 @@ def _signed(values) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-_ANCHOR_ROW = "h long, context long, key long, place int"
+_ANCHORS_ROW = "key long, h array<long>, context array<long>, place array<int>"
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text of LENGTH bytes or more; short texts are worked on together."""
     for batch in batches:
+        rows, size = [], 0
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             data = (text.as_py() or "").encode()
-            if len(data) < LENGTH:
-                continue
-            hashes = gram_hashes(np.frombuffer(data, np.uint8))
-            at = anchors(hashes)
-            contexts = [xxhash.xxh64_intdigest(data[max(0, p - REACH) : p + LENGTH], min(p, REACH) * (LENGTH + 1) + min(len(data) - p, LENGTH)) for p in at.tolist()]
-            yield pa.RecordBatch.from_arrays([_signed(hashes[at]), _signed(contexts), _signed([_key(doc, data)] * len(at)), pa.array(at, pa.int32())], ["h", "context", "key", "place"])
+            if len(data) >= LENGTH:
+                rows.append((_key(doc, data), data))
+                size += len(data)
+            if size >= TOGETHER:
+                yield _anchors_of(rows)
+                rows, size = [], 0
+        if rows:
+            yield _anchors_of(rows)
+
+
+def _anchors_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    data = np.frombuffer(b"".join(text for _, text in rows), np.uint8)
+    lengths = [len(text) for _, text in rows]
+    at = anchors(data, lengths)
+    ends = np.cumsum(lengths)
+    cuts = np.r_[0, np.searchsorted(at, ends)]
+    place = at - np.repeat(ends - lengths, np.diff(cuts))
+    contexts, hashed = [], xxhash.xxh64_intdigest
+    for (_, text), first, last in zip(rows, cuts.tolist(), cuts[1:].tolist()):
+        n = len(text)
+        for p in place[first:last].tolist():
+            # the ends of the text, if they are near, belong to the context
+            contexts.append(hashed(text[max(0, p - REACH) : p + LENGTH], min(p, REACH) * (LENGTH + 1) + min(n - p, LENGTH)))
+    offsets = pa.array(cuts, pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (_signed(gram_hashes(data, at)), _signed(contexts), pa.array(place, pa.int32()))]
+    return pa.RecordBatch.from_arrays([_signed([key for key, _ in rows]), *lists], ["key", "h", "context", "place"])
 
 
 _CONTEXT_ROW = "h long, context long, before int, bytes binary"
@@ -264,8 +303,9 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = texts.mapInArrow(_anchored, _ANCHOR_ROW)
-    shared = cut_table(found.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
+    anchored = cut_table(texts.mapInArrow(_anchored, _ANCHORS_ROW))  # read twice
+    found = anchored.select("key", F.explode(F.arrays_zip("h", "context", "place")).alias("x")).select("x.h", "x.context", "key", "x.place")
+    shared = cut_table(anchored.select(F.explode("h").alias("h")).groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
     places = cut_table(found.join(shared, found["h"] == shared["of"]).select("h", "context", "key", "place"))
     distinct = cut_table(places.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")))
     mixed = cut_table(distinct.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
