@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,27 +30,94 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: spark.checkpoint.dir where the cluster names one, else our own."""
+    """The checkpoint folder: spark.checkpoint.dir where the cluster names one, else one below the warehouse, which
+    executors share as well."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stripmill-checkpoint-"))
+        if not named:
+            named = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoint-{uuid.uuid4().hex}"
+            _at_exit(spark, named)
+        sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
 
+def _files(spark: SparkSession, path: str):
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return of, of.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _at_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the session's JVM ends."""
+    of, files = _files(spark, path)
+    files.mkdirs(of)
+    files.deleteOnExit(of)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: a lost executor costs only the work since here."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_scopes: list[list[str]] = []
+
+
 def cut_table(df: DataFrame) -> DataFrame:
     """Like cut(), as a Parquet table, so that Spark knows its size: it broadcasts the table only
-    below spark.sql.autoBroadcastJoinThreshold and otherwise joins by shuffle."""
+    below spark.sql.autoBroadcastJoinThreshold and otherwise joins by shuffle. The table goes with the scope
+    that it was made in, or with the session's JVM."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _at_exit(spark, path)
+    df.write.option("compression", "zstd").parquet(f"{path}/rows")
+    if _scopes:
+        _scopes[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(f"{path}/rows")
+    out._path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes tables of cut_table() that nothing will read again."""
+    for table in tables:
+        of, files = _files(table.sparkSession, table._path)
+        files.delete(of, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables written inside are removed at the end, but for those that the function given here has marked."""
+    kept: list[str] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table._path)
+        return table
+
+    _scopes.append([])
+    try:
+        yield keep
+    finally:
+        for path in _scopes.pop():
+            if path not in kept:
+                of, files = _files(spark, path)
+                files.delete(of, True)
+            elif _scopes:
+                _scopes[-1].append(path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns, maps left out: rows with equal ones are the same row, or as good as."""
+    of = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return [F.xxhash64(F.lit(seed), *of) for seed in (1, 2)]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -76,24 +144,27 @@ def prefix_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str], va
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b) of longs, as (node, root) with root the smallest node.
+    """Connected components of edges (a, b) of longs, as a table (node, root) with root the smallest node.
 
     Alternates large-star and small-star steps until the edges are a star around each smallest
-    node. Every step is one partial aggregation and one equi-join; each result is checkpointed.
-    No component is gathered anywhere.
+    node. Every step is one partial aggregation and one equi-join, whose skew over the centre of a large star
+    adaptive execution splits; each result is written. No component is gathered anywhere.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = cut_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("u"), F.least("a", "low").alias("m"))
         large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = cut(large.where("a <> b").distinct())
+        large = cut_table(large.where("a <> b").distinct())
         # here a > b in every row, so a node's neighbours below it are its rows
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
-        now = cut(small.where("a <> b").distinct())
+        before, now = now, cut_table(small.where("a <> b").distinct())
+        release(before, large)
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            out._path = now._path
+            return out
         seen = state

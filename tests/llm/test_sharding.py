@@ -52,3 +52,63 @@ def test_odd_rows(spark):
     assert sharding.sharded(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, None, 0, 0), (None, None, 0, 0), (1, "a", 0, 0)]
     check(rows, sharding.sharded(spark.createDataFrame(rows, SCHEMA)).collect(), sharding.SHARDS)
+
+
+def rounds(spark, rows, shards):
+    """Rows before and after each round of moves."""
+    now = sharding.started(spark.createDataFrame(rows, SCHEMA).repartition(3), shards)
+    out = [now.collect()]
+    while (moved := sharding._propagate(now, 8, shards)) is not None and len(out) < 6:
+        now = spark.createDataFrame(moved.collect(), moved.schema)
+        out.append(now.collect())
+    return out
+
+
+def cut_by_hand(rows):
+    parts, n = defaultdict(Counter), Counter()
+    for r in rows:
+        if not r.alone:
+            parts[r.g][r.shard] += r.size
+            n[r.g, r.shard] += 1
+    return sum(sum(n[g, s] for s in p) - max((w, n[g, s]) for s, w in p.items())[1] for g, p in parts.items())
+
+
+def test_rounds_cut_fewer_links_within_capacity(spark):
+    rng = random.Random(8)
+    rows = [(k, f"text {k} " * rng.randrange(1, 60), 0, 0) for k in range(1500)]
+    for g in range(150):
+        rows += [(2000 + 40 * g + k, f"group {g} " * rng.randrange(5, 40) if k == 0 else rows[-1][1], 0, 0) for k in range(rng.randrange(2, 30))]
+    rows += [(90_000 + k, "one large group", 0, 0) for k in range(2500)]
+    steps = rounds(spark, rows, 6)
+    assert len({r.shard for r in steps[0] if r.g == next(x.g for x in steps[0] if x.hot)}) == 6  # the start knows no links
+    cuts = [cut_by_hand(step) for step in steps]
+    assert [sharding.cut_links(spark.createDataFrame(steps[k])) for k in (0, -1)] == [cuts[0], cuts[-1]]
+    assert all(b <= a for a, b in zip(cuts, cuts[1:])) and cuts[-1] < 0.5 * cuts[0]
+    mean = sum(r.size for r in steps[0]) / 6
+    for before, after in zip(steps, steps[1:]):
+        old = {r.doc_id: r for r in before}
+        votes = defaultdict(Counter)
+        for r in before:
+            if not r.alone:
+                votes[r.g][r.shard] += r.size
+        most = {g: max(v.values()) for g, v in votes.items()}
+        loads = Counter()
+        for r in after:
+            loads[r.shard] += 0 if r.alone else r.size
+            # who moves goes where most of the group's bytes are
+            assert r.shard == old[r.doc_id].shard or not r.alone and votes[r.g][r.shard] == most[r.g]
+        started = Counter()
+        for r in before:
+            started[r.shard] += 0 if r.alone else r.size
+        largest = max(r.size for r in before)
+        assert all(loads[s] <= max(started[s], (1 + sharding.SLACK) * mean) + 6 * largest for s in range(6))
+
+
+def test_flows_keep_to_the_capacity():
+    asked = {(0, 1): 50, (1, 0): 30, (2, 1): 40, (1, 2): 10, (0, 2): 5}
+    loads = [100, 100, 100]
+    found = sharding.flows(asked, loads, 105)
+    assert all(found[i][j] <= asked.get((i, j), 0) for i in range(3) for j in range(3))
+    assert all(loads[j] + sum(found[i][j] - found[j][i] for i in range(3)) <= 106.1 for j in range(3))
+    assert sum(map(sum, found)) > 70
+    assert sharding.flows({(0, 1): 10}, [50, 50], 1000)[0][1] == 10
