@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import components, cut, cut_table, mix, small_batches
+from stripmill.llm.common import components, cut, cut_table, fresh, mix, scope, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -347,7 +347,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
     """(node, root), roots included, of the nodes, with their array `keys`, that share band keys directly or through others."""
     banded = distinct.select("node", F.explode("keys").alias("key"))
     stars = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many"))
-    found = cut_table(components(banded.join(stars, F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b"))))
+    found = components(banded.join(stars, F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b")))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -356,19 +356,22 @@ def _grouped(numbered: DataFrame, bucket: int) -> DataFrame:
     spark = numbered.sparkSession
     small_batches(spark)
     texts = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>"))
-    distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s")).select("node", "s.*"))
-    found = candidates(distinct).select(F.col("node").alias("_node"), "root")
-    members = cut_table(distinct.join(found, F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
-    met = texts.join(members, F.col("_row") == F.col("_of")).select("comp", "node", "n", "text")
-    sets = cut_table(met.mapInArrow(_sets, "comp long, node long, n long, shingles binary"))
-    ids = cut_table(components(verified_links(sets, bucket)).withColumnRenamed("node", "_node"))
-    return cut_table(rows.join(ids, F.col("node") == F.col("_node"), "left").select("_row", "doc_id", "n", F.coalesce("root", "node").alias("root")))
+    with scope(spark) as keep:
+        rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>"))
+        distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s")).select("node", "s.*"))
+        found = candidates(distinct).select(F.col("node").alias("_node"), "root")
+        members = cut_table(distinct.join(found, F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
+        # the members grow with the documents, so they are never broadcast, not even where they are few
+        met = texts.join(members.hint("merge"), F.col("_row") == F.col("_of")).select("comp", "node", "n", "text")
+        sets = cut_table(met.mapInArrow(_sets, "comp long, node long, n long, shingles binary"))
+        ids = components(verified_links(sets, bucket)).withColumnRenamed("node", "_node")
+        return keep(cut_table(rows.join(ids, F.col("node") == F.col("_node"), "left").select("_row", "doc_id", "n", F.coalesce("root", "node").alias("root"))))
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _row, a number for each row, written so that the numbers stay."""
-    return cut_table(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written so that the numbers stay, and the name of that column."""
+    name = fresh(docs, "_row")
+    return cut_table(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 
 def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -379,7 +382,7 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     with a chance of (1 - s ** BAND_ROWS) ** BANDS: 0.00005 at 0.8, less above. Every link is then verified
     on the shingle sets. No bucket is left out or cut: documents of a band key are joined to its least
     node, and the groups so joined are compared as verified_links() says."""
-    rows = _grouped(_numbered(docs.select("doc_id", "text")), bucket)
+    rows = _grouped(_numbered(docs.select("doc_id", "text"))[0], bucket)
     least = cut_table(rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id")))
     return rows.join(least, F.col("root") == F.col("r")).select("doc_id", "component_id")
 
@@ -388,14 +391,16 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of similar ones, all columns: that with the smallest doc_id, and of
     equal ids the first row; rows without doc_id only where no other of their group has one. Of texts without
     words, which are one group, none stays if another row of its doc_id does."""
-    numbered = _numbered(docs)
-    rows = _grouped(numbered, BUCKET)
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "n")
-    first = cut_table(rows.groupBy("root").agg(F.min(order).alias("s")).select("s.*"))
-    worded, bare = first.where("n > 0"), first.where("n = 0")
-    bare = bare.join(worded.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
-    kept = worded.unionByName(bare).select(F.col("_row").alias("_kept"))
-    return numbered.join(cut_table(kept), F.col("_row") == F.col("_kept"), "left_semi").select(*docs.columns)
+    with scope(docs.sparkSession) as keep:
+        numbered, name = _numbered(docs)
+        keep(numbered)
+        rows = _grouped(numbered.select(F.col(name).alias("_row"), "doc_id", "text"), BUCKET)
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "n")
+        first = cut_table(rows.groupBy("root").agg(F.min(order).alias("s")).select("s.*"))
+        worded, bare = first.where("n > 0"), first.where("n = 0")
+        bare = bare.join(worded.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
+        kept = keep(cut_table(worded.unionByName(bare).select(F.col("_row").alias(name))))
+        return numbered.join(kept, name, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
