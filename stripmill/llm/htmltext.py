@@ -1,19 +1,25 @@
 """Main text of web pages by consensus of their host's pages.
 
-Each page is read once into blocks of text and the elements that contain them. Elements known by
-tag, role, class or id to be menus, headers, footers, sidebars, notices, adverts, forms or reader
-comments are left out with all they contain. A block's characters, less twice those in links,
-count for the element it stands in, and half for the next one out; the best elements of a page vote
-for their path, the tags and classes from the root with digits generalised. Votes are summed
-for each host in Spark, and every page is read again: elements on the host's winning path give the
-text, with those around or beside them, within the page's body, whose own text is SHARE of theirs. A page
-on which they hold less than LEAST_PART of what its own best elements hold has another layout, and
-takes its own.
+Each page is read once into blocks of text and the elements that contain them. A block's characters,
+less twice those in links, count for the element it stands in, and half for the next one out; the best
+elements of a page vote for their path, the tags and classes from the root with digits generalised.
+Votes are summed for each host in Spark, and every page is read again: elements on the host's winning
+path give the text, with those around or beside them, within the page's body, whose own text is
+SHARE of theirs. A page on which they hold less than LEAST_PART of what its own best elements hold has
+another layout, and takes its own.
+
+Menus, footers, sidebars, dialogs and hidden elements, known by their tag, role or hiding, are left out with all
+they contain, and so is a header outside of an article or main element; inside it holds the headline and stays.
+An element that is only named like a notice, an advert, a sidebar or reader comments by a class or id, or a form, is
+suspect: text counts PENALTY for each suspect element around it, and the vote decides. Suspect elements inside of
+what wins are left out; one that wins itself, as it may on a host whose pages have their article in it, is taken.
+A page takes suspect elements of its own only if its host's path is suspect.
 
 Defined cases: null or empty html gives an empty text; pages without host are a host; html that
 breaks off is read as far as it goes, an unfinished tag or comment is dropped; <br> is white space,
-not the end of a block; a page whose every element is left out has an empty text; repeated
-rows each get a result; an empty table gives an empty result; other columns are ignored.
+not the end of a block; a page whose every element is left out has an empty text; of paths with equal votes the
+one with the greater hash wins; texts and nesting may be of any length and depth; repeated rows each get a result;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +29,11 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import cut_table, small_batches
+from stripmill.llm.common import cut_table, partitions, scope, small_batches
 from stripmill.llm.urls import host_of
 
 #: Elements of a page that vote, the part of the best elements' text that the host's must have, and the
@@ -34,19 +41,42 @@ from stripmill.llm.urls import host_of
 VOTES, LEAST_PART, SHARE = 8, 0.4, 0.1
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*(?=>|\Z)|[^>]*)(>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: What a block counts for each suspect element around it.
+PENALTY = 0.05
 #: What these contain is not markup, and never text of the page.
-RAW = frozenset("script style noscript template iframe textarea title svg math object video audio canvas select".split())
-LEFT_OUT = frozenset("head nav header footer aside form menu dialog button".split())
-LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar note".split())
+RAW = frozenset("script style noscript template iframe textarea title svg select annotation annotation-xml".split())
+LEFT_OUT = frozenset("head nav header footer aside menu dialog button".split())
+LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search menu menubar dialog alert alertdialog toolbar".split())
 LEAF = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dt dd td th figcaption caption summary address".split())
-BLOCK = LEAF | LEFT_OUT | frozenset("html body div article section main ul ol dl table thead tbody tfoot tr figure details fieldset center hgroup".split())
+BLOCK = LEAF | LEFT_OUT | frozenset("html body div article section main form ul ol dl table thead tbody tfoot tr figure details fieldset center hgroup".split())
+OUTERMOST = frozenset(("", "html", "body"))
 VOID = frozenset("br img hr input meta link area base col embed source track wbr param".split())
 #: An element that opens ends an open one of these, unless one of the others stands between.
 ENDS = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tr": ("tr", "table"), "body": ("head", "body")}
+#: Parts of class names and ids that make an element suspect.
 WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|nav\w*|menus?|breadcrumbs?|sidebar\w*|side|aside|widgets?|related|recommend\w*|share|sharing|social|comment\w*|repl(?:y|ies)|respond|disqus|footer|foot|header|masthead|topbar|login|signup|register|pagination|pager|toolbar|hidden|skip|search)(?=$|[\s_\d-])",
+    r"ad|ads|adv|advert\w*|adsense|adbox|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscri\w*|nav\w*|menus?|breadcrumbs?|sidebar\w*|side|aside|widgets?|related|recommend\w*|share|sharing|social|comment\w*|repl(?:y|ies)|respond|disqus|footer|foot|header|masthead|topbar|login|signup|register|pagination|pager|toolbar|hidden|skip|search",
     re.I,
 )
+#: Class names that say what an element holds, whatever else it is called; and parts of names that tell of a state.
+CONTENT = frozenset("article content main post entry story body text".split())
+STATES = frozenset("has with without no is on off xs sm md lg xl".split())
+
+
+def suspect(names: str) -> bool:
+    """Whether an element's classes and id name it like something that is not the article."""
+    names = names.lower().split()
+    if any(n in CONTENT for n in names):
+        return False
+    parts = [[p.rstrip("0123456789") for p in re.split(r"[_-]+", n)] for n in names]
+    return any(not STATES.intersection(n) and any(WORDS.fullmatch(p) for p in n) for n in parts)
+
+
+def path_key(path: str, above: int = 0) -> int:
+    """A 63-bit hash of a path, from that of the path above it."""
+    for name in path.strip("/").split("/"):
+        above = xxhash.xxh64_intdigest(name, above) >> 1
+    return above
 
 
 class Page:
@@ -54,10 +84,11 @@ class Page:
 
     def __init__(self, html: str | None):
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters in links
-        self.parent, self.paths, self.leaf = [-1], [""], [False]
+        self.parent, self.keys, self.leaf, self.outermost = [-1], [0], [False], [True]
+        self.suspects = [0]  # suspect elements around each element, itself included
         self._stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, element, left out
         self._parts: list[str] = []
-        self._linked, self._link = 0, False
+        self._linked, self._link, self._articles = 0, False, 0
         self._read(html or "")
 
     def _flush(self) -> None:
@@ -111,27 +142,35 @@ class Page:
             ended, between = ENDS[tag]
             for k in range(len(self._stack) - 1, 0, -1):
                 if self._stack[k][0] in ended.split():
-                    del self._stack[k:]
+                    self._drop(k)
                     break
                 if self._stack[k][0] in between.split():
                     break
         _, above, out = self._stack[-1]
-        name = tag
+        name, doubtful = tag, tag == "form"
         if not out:
-            out = tag in LEFT_OUT
+            out = tag in LEFT_OUT and not (tag == "header" and self._articles)
             if attributes.strip():
                 has = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-                named = f"{has.get('class', '')} {has.get('id', '')}"
-                out = out or "hidden" in has or has.get("aria-hidden") == "true" or has.get("role", "").lower() in LEFT_OUT_ROLES or bool(re.search(r"display\s*:\s*none", has.get("style", ""))) or tag not in ("html", "body") and bool(WORDS.search(named))
+                out = out or "hidden" in has or has.get("aria-hidden") == "true" or has.get("role", "").lower() in LEFT_OUT_ROLES or bool(re.search(r"display\s*:\s*none", has.get("style", "")))
+                doubtful = doubtful or has.get("role", "").lower() in ("form", "note") or tag not in ("html", "body") and suspect(f"{has.get('class', '')} {has.get('id', '')}")
                 if has.get("class"):
                     name += "." + ".".join(sorted(set(re.sub(r"\d+", "#", has["class"]).replace("/", "|").lower().split())))
         if not out:
             self.parent.append(above)
-            self.paths.append(f"{self.paths[above]}/{name}")
+            self.keys.append(path_key(name, self.keys[above]))
             self.leaf.append(tag in LEAF)
-            above = len(self.paths) - 1
+            self.outermost.append(tag in OUTERMOST)
+            self.suspects.append(self.suspects[above] + doubtful)
+            above = len(self.keys) - 1
+            self._articles += tag in ("article", "main")
         self._stack.append((tag, above, out))
 
+    def _drop(self, at: int) -> None:
+        """Ends the open elements from a place in the stack on."""
+        self._articles -= sum(tag in ("article", "main") and not out for tag, _, out in self._stack[at:])
+        del self._stack[at:]
+
     def _close(self, tag: str) -> None:
         if tag not in BLOCK:
             if tag == "a":
@@ -143,7 +182,7 @@ class Page:
         self._link = False
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
-                del self._stack[k:]
+                self._drop(k)
                 return
             # an end tag in a table's cell or in what is left out does not reach beyond it
             if self._stack[k][0] in ("td", "th") and tag not in ("tr", "table", "tbody", "thead", "tfoot", "body", "html"):
@@ -153,7 +192,7 @@ class Page:
         """Score of each element that holds text, and the part of it that is its own text."""
         out: dict[int, tuple[float, float]] = {}
         for element, text, linked in self.blocks:
-            worth = max(0, len(text) - 2 * linked)
+            worth = max(0, len(text) - 2 * linked) * PENALTY ** self.suspects[element]
             if self.leaf[element]:
                 element = self.parent[element]
             for part, own in ((1.0, 1.0), (0.5, 0.0)):
@@ -163,70 +202,101 @@ class Page:
                     element = self.parent[element]
         return out
 
-    def best(self) -> list[tuple[float, str, float]]:
-        """Scores, paths and own scores of the page's best elements, best first; an element outside comes after."""
-        found = sorted(((s, -len(self.paths[k]), self.paths[k], own) for k, (s, own) in self.scores().items() if s > 0), reverse=True)
-        return [(s, path, own) for s, _, path, own in found[:VOTES]]
+    def best(self) -> list[tuple[float, int, float, int]]:
+        """Scores, paths, own scores and suspect elements around the page's best elements, best first; an element
+        outside comes after."""
+        found = sorted(((s, k, own) for k, (s, own) in self.scores().items() if s > 0), reverse=True)
+        return [(s, self.keys[k], own, self.suspects[k]) for s, k, own in found[:VOTES]]
 
-    def within(self, *paths: str) -> list[str]:
-        """Blocks inside the elements on any of the paths, in page order."""
-        inside = [False] * len(self.paths)
-        for k in range(1, len(self.paths)):
-            inside[k] = self.paths[k] in paths or inside[self.parent[k]]
+    def within(self, *paths: str | int) -> list[str]:
+        """Blocks inside the elements on any of the paths, in page order, but for suspect ones inside of these."""
+        return self._inside({path_key(p) if isinstance(p, str) else p for p in paths})
+
+    def _inside(self, paths: set[int]) -> list[str]:
+        inside = [False] * len(self.keys)
+        for k in range(1, len(self.keys)):
+            above = self.parent[k]
+            inside[k] = self.keys[k] in paths or inside[above] and self.suspects[k] == self.suspects[above]
         return [text for element, text, _ in self.blocks if inside[element]]
 
-    def text(self, host_path: str | None, beside: list[str] | None = None) -> str:
-        """beside: other paths with enough text on the host's pages."""
-        best = self.best()
-        own = [text for _, text, _ in self.blocks]
+    def _joined(self, path: int, others: set[int]) -> list[str]:
+        """Blocks inside the elements on the path and on those of the others that are around it, or have the same
+        element around them, inside the body."""
+        taken, beside = {path}, set()
+        for k in range(1, len(self.keys)):
+            if self.keys[k] == path:
+                above = self.parent[k]
+                if not self.outermost[above]:
+                    beside.add(self.keys[above])
+                while above > 0 and not self.outermost[above]:
+                    if self.keys[above] in others:
+                        taken.add(self.keys[above])
+                    above = self.parent[above]
+        for k in range(1, len(self.keys)):
+            if self.keys[k] in others and self.keys[self.parent[k]] in beside and self.suspects[k] == self.suspects[self.parent[k]]:
+                taken.add(self.keys[k])
+        return self._inside(taken)
+
+    def text(self, host_path: str | int | None, beside: list[int] | None = None, doubtful: bool = True) -> str:
+        """beside: other paths with enough text on the host's pages; doubtful: whether suspect elements may be the page's own."""
+        if isinstance(host_path, str):
+            host_path = path_key(host_path)
+        best = [x for x in self.best() if doubtful or not x[3]]
         if best:
-            top, path, _ = best[0]
-            own = self.within(*joined(path, [p for _, p, direct in best if direct >= SHARE * top]))
-        found = self.within(*joined(host_path, beside or [])) if host_path else []
+            top, path, *_ = best[0]
+            own = self._joined(path, {p for _, p, direct, _ in best if direct >= SHARE * top})
+        else:
+            own = [text for element, text, _ in self.blocks if not self.suspects[element]]
+        found = self._joined(host_path, set(beside or ())) if host_path is not None else []
         if not found or sum(map(len, found)) < LEAST_PART * sum(map(len, own)):
             found = own
         return "\n".join(found)
 
 
-def _outermost(path: str) -> bool:
-    return path.rsplit("/", 1)[-1].split(".")[0] in ("", "html", "body")
-
-
-def joined(path: str, others: list[str]) -> list[str]:
-    """The path with those of the others that are around it or have the same element around them, inside the body."""
-    above = path.rsplit("/", 1)[0]
-    return [path] + [p for p in others if (path.startswith(f"{p}/") and not _outermost(p)) or (p.rsplit("/", 1)[0] == above and not _outermost(above))]
-
-
 def _voted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes: dict[tuple[str, str], tuple[float, float]] = {}
+        votes: dict[tuple[str, int, bool], tuple[float, float]] = {}
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1)):
             best = Page(html.as_py()).best()
-            for score, path, own in best:
-                x, y = votes.get((host, path), (0.0, 0.0))
-                votes[host, path] = x + score / best[0][0], y + own / best[0][0]
+            for score, path, own, suspects in best:
+                x, y = votes.get((host, path, suspects > 0), (0.0, 0.0))
+                votes[host, path, suspects > 0] = x + score / best[0][0], y + own / best[0][0]
         if votes:
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes]), pa.array([p for _, p in votes]), *(pa.array(x, pa.float64()) for x in zip(*votes.values()))], ["host", "path", "votes", "own"])
+            hosts, paths, doubtful = zip(*votes)
+            columns = [pa.array(hosts, pa.string()), pa.array(paths, pa.int64()), pa.array(doubtful, pa.bool_()), *(pa.array(x, pa.float64()) for x in zip(*votes.values()))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "path", "doubtful", "votes", "own"])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [Page(html.as_py()).text(path, beside) for html, path, beside in zip(batch.column(2), batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+        won = zip(batch.column(2), *(batch.column(k).to_pylist() for k in (3, 4, 5)))
+        texts = [Page(html.as_py()).text(path, beside, doubtful is not False) for html, path, beside, doubtful in won]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages."""
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
-    votes = rows.select("host", "html").mapInArrow(_voted, "host string, path string, votes double, own double").groupBy("host", "path")
-    votes = cut_table(votes.agg(F.round(F.sum("votes"), 6).alias("votes"), F.round(F.sum("own"), 6).alias("own")))
-    top = votes.groupBy(F.col("host").alias("at")).agg(F.max(F.struct("votes", "path")).alias("top"))
-    near = votes.join(top, F.col("host") == F.col("at")).where((F.col("path") == F.col("top.path")) | (F.col("own") >= SHARE * F.col("top.votes")))
-    won = cut_table(near.groupBy(F.col("at").alias("of")).agg(F.first("top.path").alias("path"), F.array_sort(F.collect_list(F.when(F.col("path") != F.col("top.path"), F.col("path")))).alias("beside")))
-    return rows.join(won, rows["host"] == won["of"], "left").select("page_id", "url", "html", "path", "beside").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    with scope(spark) as keep:
+        votes = rows.select("host", "html").mapInArrow(_voted, "host string, path long, doubtful boolean, votes double, own double").groupBy("host", "path")
+        votes = cut_table(votes.agg(F.round(F.sum("votes"), 6).alias("votes"), F.round(F.sum("own"), 6).alias("own"), F.max("doubtful").alias("doubtful")))
+        top = votes.groupBy(F.col("host").alias("at")).agg(F.max(F.struct("votes", "path", "doubtful")).alias("top"))
+        near = votes.join(top, F.col("host") == F.col("at")).where((F.col("path") == F.col("top.path")) | (F.col("own") >= SHARE * F.col("top.votes")))
+        others = F.array_sort(F.collect_list(F.when(F.col("path") != F.col("top.path"), F.col("path"))))
+        # hosts with more than their share of the pages are few, so the rest can be shuffled by host
+        pages_of = rows.groupBy(F.col("host").alias("h")).agg(F.count("*").alias("many"))
+        share = max(1000, rows.count() // (4 * partitions(spark)))
+        won = near.groupBy(F.col("at").alias("of")).agg(F.first("top.path").alias("path"), others.alias("beside"), F.first("top.doubtful").alias("doubtful"))
+        won = keep(cut_table(won.join(pages_of, F.col("of") == F.col("h")).withColumn("hot", F.col("many") > share).drop("h", "many")))
+    hot = won.where("hot").select(F.col("of").alias("hot_host"), F.struct("path", "beside", "doubtful").alias("x"))
+    cold = won.where("not hot").select("of", F.struct("path", "beside", "doubtful").alias("y"))
+    met = rows.join(F.broadcast(hot), F.col("host") == F.col("hot_host"), "left")
+    spread = F.when(F.col("hot_host").isNotNull(), F.concat(F.lit("/"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("host"))  # no host has a slash
+    met = met.withColumn("by", spread).join(cold, F.col("by") == F.col("of"), "left").withColumn("w", F.coalesce("x", "y"))
+    return met.select("page_id", "url", "html", "w.path", "w.beside", "w.doubtful").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,3 +66,30 @@ def test_all_parts_of_an_article_are_taken(spark):
     got = {r.page_id: r.text for r in extracted(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {d: f"{lead}{d % 10}\n{long.strip()}" for d, *_ in rows}
     assert Page(parts(7)).text(None) == f"{lead}7\n{long.strip()}"
+
+
+def test_named_containers_are_decided_by_the_vote(spark):
+    text = "words of the article, one after another. " * 20
+    names = ["content has-sidebar", "post with-comments", "main social-post", "hidden-xs article", "widgets-on article", "layout sidebar-left"]
+    side = "<div class='sidebar'><p>beside it, much shorter</p></div>"
+    rows = [(10 * k + n, f"http://h{k}.org/{n}", f"<html><body><div class='{name}'><p>{text}{n}</p><div class='comments'><p>a reader</p></div></div>{side}</body></html>", 1, "") for k, name in enumerate(names) for n in range(4)]
+    only = (900, "http://h0.org/900", f"<html><body><div class='cookie-notice'><p>{text}</p></div></body></html>", 1, "")
+    got = {r.page_id: r.text for r in extracted(spark.createDataFrame([*rows, only], SCHEMA)).collect()}
+    assert got == {d: f"{text}{d % 10}" for d, *_ in rows} | {900: ""}
+
+
+def test_headlines_formulas_and_forms():
+    body = "<article><header><h1>Headline</h1></header><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> be given.</p><form><p>your mail</p></form></article>"
+    assert Page(f"<body><header><h1>Site</h1></header>{body}</body>").text(None) == "Headline\nLet x=1 be given."
+    assert Page("<body><form><div><p>a whole page inside a form</p></div></form></body>").text(None) == "a whole page inside a form"
+    assert Page("<article><p>see <object><a>the file</a></object> <video>no film</video></p></article>").text(None) == "see the file no film"
+
+
+def test_deep_nesting_takes_little_memory():
+    import tracemalloc
+
+    html = "<div class=level>" * 16_000 + "<p>deep inside</p>"
+    tracemalloc.start()
+    assert Page(html).text(None) == "deep inside"
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
