@@ -1,9 +1,11 @@
 """License scans, in DataFrame operations only.
 
 Every line of a document, as a header, and every whole text, as a license file, is compared with
-license templates by the cosine of sparse TF-IDF vectors. The document frequencies are counted
-over all documents. A line that shares none of a template's heaviest terms, those without which
-the cosine cannot reach the threshold, is not looked at further; no other line is left out.
+license templates, headers and whole license texts, by the cosine of sparse TF-IDF vectors. The
+document frequencies are counted over all documents. A line that shares none of a header's heaviest
+terms, those without which the cosine cannot reach the threshold, is not looked at further, and neither is a whole
+text, unless its terms hold the threshold's square of the squared weights of a license text, which by
+Cauchy and Schwarz the cosine asks for. Nothing else is left out.
 
 A document with a line, or a whole text, that reaches THRESHOLD has that license. A document whose
 whole text does is a license file: its license holds for its directory and all below, and
@@ -13,7 +15,7 @@ their directory's result.
 
 Terms outside the templates weigh as much as the templates' mean. Counts weigh 1 + ln(count).
 
-Defined cases: null and empty texts have no license of their own; ties between templates go to
+Defined cases: null and empty texts have no license of their own; texts may be of any length; ties between templates go to
 the first by name; of several license files in a directory the one with the highest cosine counts,
 then the smallest doc_id; repeated rows each get a result; a null source is the directory `_`; an
 empty table gives an empty result; other columns are ignored.
@@ -21,13 +23,18 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections import Counter
+from functools import cache
+from itertools import accumulate
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import cut, cut_table
+from stripmill.llm.common import cut, cut_table, scope
 
 THRESHOLD = 0.7
 #: License statements: headers as they stand in files, and the opening of the license texts.
@@ -48,6 +55,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Whole license texts, a file for each in a folder, named as the license.
+TEXTS = Path(__file__).parent / "templates"
 _NOT_TERM = r"[^\p{L}\p{N}]+"
 
 
@@ -59,21 +68,27 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _NOT_TERM), lambda t: t != "")
 
 
+@cache
+def templates() -> list[tuple[str, list[str]]]:
+    """Licenses with their templates' terms: headers, then whole texts."""
+    whole = [(path.stem, path.read_text()) for path in sorted(TEXTS.glob("*.txt"))]
+    return [(name, terms(text)) for name, text in [*TEMPLATES, *whole]]
+
+
 def weights(documents: int, counts: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
     """Weight of each template term by the number of documents that have it, and the templates as
     vectors of length 1."""
-    idf = {t: math.log((1 + documents) / (1 + counts.get(t, 0))) + 1 for _, text in TEMPLATES for t in terms(text)}
+    idf = {t: math.log((1 + documents) / (1 + counts.get(t, 0))) + 1 for _, found in templates() for t in found}
     out = []
-    for name, text in TEMPLATES:
-        found = terms(text)
-        vector = {t: (1 + math.log(found.count(t))) * idf[t] for t in dict.fromkeys(found)}
+    for name, found in templates():
+        vector = {t: (1 + math.log(n)) * idf[t] for t, n in Counter(found).items()}
         length = math.sqrt(sum(w * w for w in vector.values()))
         out.append((name, {t: w / length for t, w in vector.items()}))
     return idf, out
 
 
 def heavy_terms(vectors: list[tuple[str, dict[str, float]]]) -> list[str]:
-    """Terms of which a text must have at least one to reach THRESHOLD with any template."""
+    """Terms of which a text must have at least one to reach THRESHOLD with any of the templates."""
     out = set()
     for _, vector in vectors:
         rest = sum(w * w for w in vector.values())
@@ -85,30 +100,49 @@ def heavy_terms(vectors: list[tuple[str, dict[str, float]]]) -> list[str]:
     return sorted(out)
 
 
-def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    made = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row)]) for row in rows])
+def least_terms(vectors: list[tuple[str, dict[str, float]]]) -> int:
+    """Different terms that a text must have at least to reach THRESHOLD with any of the templates."""
+    few = []
+    for _, vector in vectors:
+        held = list(accumulate(sorted((w * w for w in vector.values()), reverse=True)))
+        few.append(1 + sum(x < THRESHOLD**2 for x in held))
+    return min(few)
+
+
+def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table, bounded by the templates, from a literal."""
+    names = [field.split(":")[0] for field in schema.split(", ")]
+    made = F.from_json(F.lit(json.dumps([dict(zip(names, row)) for row in rows])), f"array<struct<{schema}>>")
     return F.broadcast(spark.range(1).select(F.explode(made).alias("r")).select("r.*"))
 
 
 def _scores(rows: DataFrame) -> DataFrame:
     """(key, whole, license, score) for the whole texts and lines of rows (key, text) that reach THRESHOLD."""
     spark = rows.sparkSession
-    spelt = sorted({t for _, text in TEMPLATES for t in terms(text)})
-    found = rows.select(F.explode(F.array_intersect(_terms(F.col("text")), F.array(*map(F.lit, spelt)))).alias("t")).groupBy("t").agg(F.count("*")).collect()
-    idf, vectors = weights(rows.count(), {t: n for t, n in found})
-    heavy = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(heavy_terms(vectors))})(?:$|[^\p{{L}}\p{{N}}])"
+    spelt = sorted({t for _, found in templates() for t in found})
+    known = F.array_intersect(_terms(F.col("text")), F.split(F.lit(" ".join(spelt)), " "))
+    has = cut_table(rows.select("key", known.alias("has")))
+    found = has.select(F.explode("has").alias("t")).groupBy("t").agg(F.count("*")).collect()  # a row for each template term
+    idf, vectors = weights(has.count(), {t: n for t, n in found})
+    headers, wholes = vectors[: len(TEMPLATES)], vectors[len(TEMPLATES) :]
+    # whole texts that may be a license text
+    share = _table(spark, [(k, t, w * w) for k, (_, v) in enumerate(wholes) for t, w in v.items()], "number:int, t:string, v:double")
+    held = has.where(F.size("has") >= least_terms(wholes)).select("key", F.explode("has").alias("term")).join(share, F.col("term") == F.col("t"))
+    held = held.groupBy("key", "number").agg(F.sum("v").alias("held")).where(F.col("held") >= THRESHOLD**2 - 1e-9)
+    texts = rows.select("key", "text").join(cut_table(held.select(F.col("key").alias("of")).distinct()), F.col("key") == F.col("of"), "left_semi")
+    # lines, and whole texts, that may be a header
+    heavy = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(heavy_terms(headers))})(?:$|[^\p{{L}}\p{{N}}])"
     likely = rows.select("key", "text").where(F.lower("text").rlike(heavy))
     lines = likely.select("key", F.explode(F.split("text", "\n")).alias("part")).where(F.lower("part").rlike(heavy)).withColumn("whole", F.lit(False))
-    parts = lines.unionByName(likely.select("key", F.col("text").alias("part"), F.lit(True).alias("whole"))).distinct()
+    parts = lines.unionByName(likely.unionByName(texts).select("key", F.col("text").alias("part"), F.lit(True).alias("whole"))).distinct()
     parts = cut(parts.select("key", "whole", F.xxhash64("part").alias("unit"), _terms(F.col("part")).alias("terms")))
     unit = ["key", "whole", "unit"]
     counted = parts.select(*unit, F.explode("terms").alias("term")).groupBy(*unit, "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    known = _table(spark, sorted(idf.items()), ["t", "idf"])
-    weighed = counted.join(known, F.col("term") == F.col("t"), "left")
+    weighed = counted.join(_table(spark, sorted(idf.items()), "t:string, idf:double"), F.col("term") == F.col("t"), "left")
     weighed = weighed.select(*unit, "term", (F.col("tf") * F.coalesce("idf", F.lit(sum(idf.values()) / len(idf)))).alias("w"))
-    of = [(k, name, t, w) for k, (name, v) in enumerate(vectors) for t, w in v.items()]
+    of = _table(spark, [(k, name, t, w) for k, (name, v) in enumerate(vectors) for t, w in v.items()], "number:int, license:string, t:string, v:double")
     length = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    dots = weighed.join(_table(spark, of, ["number", "license", "t", "v"]), F.col("term") == F.col("t")).groupBy(*unit, "number", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = weighed.join(of, F.col("term") == F.col("t")).groupBy(*unit, "number", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     lengths = weighed.groupBy(*[F.col(c).alias(f"_{c}") for c in unit]).agg(length.alias("length"))
     same = (F.col("key") == F.col("_key")) & (F.col("whole") == F.col("_whole")) & (F.col("unit") == F.col("_unit"))
     return dots.join(lengths, same).select("key", "whole", "license", F.round(F.col("dot") / F.col("length"), 9).alias("score")).where(F.col("score") >= THRESHOLD)
@@ -128,9 +162,10 @@ def scanned(files: DataFrame) -> DataFrame:
     `file`, `header`, `inherited` or null."""
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("doc_id", "path", "text"))
-    scores = cut(_scores(rows))
-    own = scores.groupBy("key").agg(_best("score", "license").alias("b"), F.max("whole").alias("is_file"))
-    own = cut_table(own.select(F.col("key").alias("of"), F.col("b.n").alias("license"), (-F.col("b.s")).alias("score"), "is_file"))
+    with scope(rows.sparkSession) as keep:
+        scores = cut(_scores(rows))
+        own = scores.groupBy("key").agg(_best("score", "license").alias("b"), F.max("whole").alias("is_file"))
+        own = keep(cut_table(own.select(F.col("key").alias("of"), F.col("b.n").alias("license"), (-F.col("b.s")).alias("score"), "is_file")))
     narrow = rows.select("doc_id", "path", "key", directory(F.col("path")).alias("dir"))
     met = narrow.join(own, F.col("key") == F.col("of"), "left").drop("of")
     licensed = met.where("is_file").groupBy(F.col("dir").alias("of")).agg(F.min(F.struct((-F.col("score")).alias("s"), "doc_id", "license"))["license"].alias("given"))

@@ -20,6 +20,11 @@ def corpus():
         if k % 16 == 0:
             lines = [rng.choice(licenses.TEMPLATES)[1].upper()]
         rows.append((k, "/".join(["ab"[k % 2], *[str(rng.randrange(2)) for _ in range(k % 4)], f"f{k}"]), "\n".join(lines), "x", 1))
+    for k, path in enumerate(sorted(licenses.TEXTS.glob("*.txt"))):
+        text = path.read_text().replace("<year>", "2020").replace("<copyright holders>", "Some One")
+        rows.append((300 + k, f"w{k}/LICENSE", text, "x", 1))
+        rows.append((400 + k, f"w{k}/src/deep/f", "beta beta", "x", 1))
+    rows.append((450, "half/LICENSE", licenses.TEXTS.joinpath("GPL-3.0.txt").read_text()[:2500], "x", 1))
     odd = [(500, "a/0/n", None, "x", 1), (501, "top", "", "x", 1), (502, "a/0/1/long", "beta " * 60_000 + "\nReleased under the MIT License.", "x", 1), (3, "b/1/f", "same", "x", 1), (3, "b/1/f", "same", "x", 1), (None, "b/f", "plain", "x", 1)]
     return rows + odd
 
@@ -66,6 +71,14 @@ def test_against_brute_force(spark):
     assert {w[3] for w in want} == {"file", "header", "inherited", None}
 
 
+def test_whole_license_texts_are_files_and_inherited(spark):
+    wanted = ["Apache-2.0", "GPL-3.0", "MIT"]
+    rows = [(k, f"{name}/LICENSE", licenses.TEXTS.joinpath(f"{name}.txt").read_text().replace("<copyright holders>", "Some One"), "x", 1) for k, name in enumerate(wanted)]
+    rows += [(10 + k, f"{name}/src/a", f"plain words {k}", "x", 1) for k, name in enumerate(wanted)] + [(20 + k, f"other/{k}", f"more words {k}", "x", 1) for k in range(30)]
+    got = {r.doc_id: (r.license, r.found) for r in licenses.scanned(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: (n, "file") for k, n in enumerate(wanted)} | {10 + k: (n, "inherited") for k, n in enumerate(wanted)} | {20 + k: (None, None) for k in range(30)}
+
+
 def test_documents_and_empty(spark):
     docs = spark.createDataFrame([(None, None, "All rights reserved.", 1), (12345, "s", "plain", 2)], "doc_id long, source string, text string, path int")
     got = sorted((r.path, r.license) for r in licenses.scanned(licenses.document_paths(docs)).collect())
