@@ -28,7 +28,7 @@ empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import cut_table, mix, small_batches
+from stripmill.llm.common import cut_table, mix, release, scope, small_batches
 
 LENGTH = 200
 #: Bytes of an anchor, a power of two; and of a cell, a divisor of LENGTH.
@@ -302,11 +302,17 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of docs."""
     small_batches(docs.sparkSession)
+    with scope(docs.sparkSession) as keep:
+        return _deduplicated(docs, bucket, keep)
+
+
+def _deduplicated(docs: DataFrame, bucket: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     anchored = cut_table(texts.mapInArrow(_anchored, _ANCHORS_ROW))  # read twice
     found = anchored.select("key", F.explode(F.arrays_zip("h", "context", "place")).alias("x")).select("x.h", "x.context", "key", "x.place")
     shared = cut_table(anchored.select(F.explode("h").alias("h")).groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n")).where("n > 1").select("of"))
     places = cut_table(found.join(shared, found["h"] == shared["of"]).select("h", "context", "key", "place"))
+    release(anchored, shared)
     distinct = cut_table(places.groupBy("h", "context").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")))
     mixed = cut_table(distinct.groupBy(F.col("h").alias("of")).agg(F.count("*").alias("n_contexts")).where("n_contexts > 1"))
     shown = distinct.join(mixed, distinct["h"] == mixed["of"])
@@ -314,10 +320,12 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     packed = texts.mapInArrow(_packed, "key long, doc_id long, packed binary")
     # rows with equal keys have equal texts: either shows the context, and both may
     contexts = packed.join(cut_table(wanted), F.col("key") == F.col("of")).select("packed", "wanted").mapInArrow(_fetched, _CONTEXT_ROW)
-    sides = cut_table(contexts).mapInArrow(_sides, _SIDE_ROW)
+    shows = cut_table(contexts)
+    sides = shows.mapInArrow(_sides, _SIDE_ROW)
     several = F.min("context") != F.max("context")
     met = cut_table(sides.groupBy(F.col("bucket").alias("of")).agg(several.alias("several"), F.count("*").alias("n")).where("several").drop("several"))
     dealt = cut_table(sides.join(met, F.col("bucket") == F.col("of")).drop("of"))
+    release(shows, met)
     rare = dealt.where(F.col("n") <= bucket).select("bucket", "side", "h", "context", "before", "bytes")
     stretches = rare.repartition("bucket").sortWithinPartitions("bucket", "side", "h", "context").mapInArrow(_sorted, _SPAN_ROW)
     often = dealt.where(F.col("n") > bucket).select("side", "h", "context", "before", "bytes").mapInArrow(_suffixes, "w long, x long, h long, context long, start int")
@@ -333,7 +341,7 @@ def deduplicated(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     spans = cut_table(stretches.unionByName(whole).groupBy(F.col("h").alias("h2"), F.col("context").alias("c2")).agg(F.collect_set(F.struct("low", "high")).alias("spans")))
     met = places.join(spans, (F.col("h") == F.col("h2")) & (F.col("context") == F.col("c2"))).select("key", "place", F.explode("spans").alias("s"))
     of_doc = met.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.struct(F.greatest(F.lit(0), F.col("place") + F.col("s.low")).alias("low"), (F.col("place") + F.col("s.high")).alias("high"))).alias("spans"))
-    return packed.join(cut_table(of_doc), F.col("key") == F.col("of"), "left").select("doc_id", "packed", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return packed.join(keep(cut_table(of_doc)), F.col("key") == F.col("of"), "left").select("doc_id", "packed", "spans").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
