@@ -39,6 +39,8 @@ LEAST_WORDS = 5
 INDEX_CHARS = 2_000_000
 #: Characters of a document that are worked on at once, besides an overlap.
 WINDOW = 1 << 20
+#: Shared q-grams that are listed at once, about.
+MATCHES = 1 << 20
 _WORD = re.compile(r"\w+")
 _BITS = 22
 
@@ -112,41 +114,101 @@ class Index:
                 at += len(words[k]) + 1
         return best
 
-    def _within(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        grams = _grams(points)
+    def _needless(self, points: np.ndarray) -> np.ndarray:
+        """Places in the midst of a long stretch that repeats a period of up to Q characters: whatever aligns there aligns
+        with the same edits nearer to the stretch's beginning."""
+        out, edge = np.zeros(len(points), bool), 2 * self.longest + Q
+        for period in range(1, Q + 1):
+            differs = np.flatnonzero(points[period:] != points[:-period])
+            begins, ends = np.r_[0, differs + 1 + period], np.r_[differs + period, len(points)]
+            for low, high in zip(*(x[ends - begins > 2 * edge].tolist() for x in (begins, ends))):
+                out[low + edge : high - edge] = True
+        return out
+
+    def _matches(self, grams: np.ndarray, needless: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place, diagonal) of all shared q-grams, at most about MATCHES at a time."""
         at = np.flatnonzero(self.there[grams >> np.uint64(64 - _BITS)])
+        if needless is not None:
+            at = at[~needless[at]]
         if not len(at) or not len(self.grams):
             return
         number = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         real = self.grams[number] == grams[at]
         at, number = at[real], number[real]
         times = self.first[number + 1] - self.first[number]
-        which = np.repeat(self.first[number] - np.r_[0, np.cumsum(times)[:-1]], times) + np.arange(times.sum()) if len(at) else np.zeros(0, np.int64)
-        item, place = self.item[which].astype(np.int64), self.place[which].astype(np.int64)
-        enough = np.bincount(item, minlength=len(self.ids)) >= self.bound
-        kept = enough[item]
-        item, place, diagonal = item[kept], place[kept], (np.repeat(at, times) - self.place[which])[kept]
-        if not len(item):
-            return
-        band = diagonal // (self.edits[item] + 1)
-        # each q-gram stands in two bands; first all q-grams count, then, in the few bands with enough, each of the item's once
-        span = int(band.max() - band.min()) + 2
-        low_band = int(band.min()) - 1
-        code = item * span + (band - low_band)
-        code, place = np.r_[code, code - 1], np.r_[place, place]
-        order = np.argsort(code, kind="stable")
-        code, place = code[order], place[order]
-        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-        size = np.diff(np.r_[first, len(code)])
-        likely = size >= self.bound[code[first] // span]
-        for f, n in zip(first[likely].tolist(), size[likely].tolist()):
-            k, b = divmod(int(code[f]), span)
-            if len(np.unique(place[f : f + n])) < self.bound[k]:
+        upto = np.cumsum(times)
+        cuts = np.r_[0, np.searchsorted(upto, np.arange(MATCHES, upto[-1] if len(upto) else 0, MATCHES), side="right"), len(at)]
+        for low, high in zip(cuts.tolist(), cuts[1:].tolist()):
+            if low < high:
+                n = times[low:high]
+                which = np.repeat(self.first[number[low:high]] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                place = self.place[which].astype(np.int64)
+                yield self.item[which].astype(np.int64), place, np.repeat(at[low:high], n) - place
+
+    def _bands(self, points: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, band of diagonals, different q-grams of the item in it) where there are enough for the bound.
+
+        q-grams that stand in a place and in the item many times match by the product, so matches are gone through in
+        parts, three times: for the items with enough, for their bands with enough, and for the q-grams in these."""
+        grams = _grams(points)
+        parts = self._matches(grams)
+        first = next(parts, None)
+        if first is None:
+            return []
+        second = next(parts, None)
+        # a single part, as usual, is kept; several are made anew each time
+        needless = None if second is None else self._needless(points)
+        again = (lambda: iter([first])) if second is None else (lambda: self._matches(grams, needless))
+        count = np.zeros(len(self.ids), np.int64)
+        for item, _, _ in again():
+            count += np.bincount(item, minlength=len(count))
+        enough = count >= self.bound
+        if not enough.any():
+            return []
+        # each q-gram stands in two bands
+        span = len(points) + self.longest + 4
+
+        def coded() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for item, place, diagonal in again():
+                kept = enough[item]
+                item, place, diagonal = item[kept], place[kept], diagonal[kept]
+                code = item * span + diagonal // (self.edits[item] + 1) + self.longest + 2
+                yield np.r_[code, code - 1], np.r_[place, place]
+
+        codes, sizes = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for code, _ in coded():
+            code, size = np.unique(code, return_counts=True)
+            codes, back = np.unique(np.r_[codes, code], return_inverse=True)
+            sizes = np.bincount(back, np.r_[sizes, size], len(codes)).astype(np.int64)
+        likely = codes[sizes >= self.bound[codes // span]]
+        if not len(likely):
+            return []
+        pairs = np.zeros(0, np.int64)
+        for code, place in coded():
+            nth = np.minimum(np.searchsorted(likely, code), len(likely) - 1)
+            real = likely[nth] == code
+            pairs = np.unique(np.r_[pairs, nth[real] * (self.longest + 1) + place[real]])
+        different = np.bincount(pairs // (self.longest + 1), minlength=len(likely))
+        return [(c // span, c % span - self.longest - 2, n) for c, n in zip(likely.tolist(), different.tolist()) if n >= self.bound[c // span]]
+
+    def _within(self, points: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(item, start, end, edits) of each item's first place with fewest edits."""
+        best: dict[int, int] = {}
+        seen: set[tuple[int, bytes]] = set()
+        for k, band, n in self._bands(points):
+            # a band that comes later must have fewer edits, which asks for more q-grams
+            budget = min(int(self.edits[k]), best.get(k, len(points)) - 1)
+            if budget < 0 or n < len(self.points[k]) - Q + 1 - Q * budget:
+                continue
+            low, high = band * int(self.edits[k] + 1), (band + 2) * int(self.edits[k] + 1) - 1
+            # the same stretch of text before gave all that this one can
+            stretch = k, points[max(0, low - budget) : high + budget + len(self.points[k])].tobytes()
+            if stretch in seen:
                 continue
-            b += low_band
-            low, high = b * int(self.edits[k] + 1), (b + 2) * int(self.edits[k] + 1) - 1
-            aligned = align(self.points[k], points, low, high, int(self.edits[k]))
+            seen.add(stretch)
+            aligned = align(self.points[k], points, low, high, budget)
             if aligned:
+                best[k] = aligned[2]
                 yield k, *aligned
 
 

@@ -95,3 +95,28 @@ def test_short_items_are_found_verbatim(spark):
     got = sorted(map(tuple, dc.contaminated(table, bench).collect()))
     assert got == [(1, 51, 4, 13, 0), (1, 54, 4, 13, 0), (3, 52, 0, 1, 0)]
     assert sorted(r.doc_id for r in dc.clean_documents(table, bench).collect()) == [2, 4, 5]
+
+
+def test_long_repetitive_texts_take_bounded_time_and_memory():
+    import time
+    import tracemalloc
+
+    index = dc.Index([(1, "q r s t u " + "a" * 300), (2, "a" * 300 + " v w x y z")])
+    text = "b " + "a" * 300_000 + " " + "ab" * 100_000
+    tracemalloc.start()
+    began = time.perf_counter()
+    found = index.found(text)
+    assert time.perf_counter() - began < 60 and tracemalloc.get_traced_memory()[1] < 600 << 20
+    tracemalloc.stop()
+    assert [k for k, *_ in found] == [0, 1] and all(0 < e <= 31 for *_, e in found)
+
+
+def test_matches_in_parts_give_the_same(monkeypatch):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("ab", k=3)) for _ in range(n))
+    items = [(k, say(20)) for k in range(6)]
+    texts = [say(200) + " " + items[k % 6][1] + " " + say(100) for k in range(12)]
+    index = dc.Index(items)
+    whole = [index.found(t) for t in texts]
+    monkeypatch.setattr(dc, "MATCHES", 50)
+    assert [index.found(t) for t in texts] == whole and all(whole)
