@@ -4,15 +4,17 @@ A list of rules, each a host with a path, decides urls outright: a rule fits its
 subdomains if the url's path starts with the rule's, and the longest fitting rule wins. Urls that
 it decides are the labelled examples: FP-growth mines the frequent combinations of their tokens
 with their verdicts, and combinations that foretell a verdict with enough confidence become
-association rules. A rule is pruned if leaving out one of its tokens loses no confidence. The
-remaining rules stand in an inverted index under their rarest token; the distinct token sets of
+association rules. A rule is pruned if leaving out one of its tokens loses no confidence. So a token whose urls all
+have one verdict is a rule by itself and needs no mining, and tokens that stand in the same urls are mined as one;
+without these two a long url with frequent tokens would have as many frequent combinations as it has subsets. What is
+left grows with the subsets of tokens of both verdicts that do not stand together. The remaining rules stand in an inverted index under their rarest token; the distinct token sets of
 all other urls look their tokens up there, and the most confident rule whose tokens they all have
 decides. Where none fits the more frequent label decides, or `allow` where nothing is labelled.
 
 Tokens: scheme, labels of the host, path segments (digits after a number's first as #) and names of
 query parameters.
 
-Defined cases: a null url, or one without ://, has empty host and path and no tokens, and fits no
+Defined cases: a url may be of any length; a null url, or one without ://, has empty host and path and no tokens, and fits no
 rule; equal urls get equal verdicts, each row its own; ties between association rules go to the
 greater support, then the fewer tokens, then `block`; an empty table gives an empty result;
 other columns are ignored.
@@ -20,11 +22,13 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import cut, cut_table
+from stripmill.llm.common import cut, cut_table, scope
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: Share of the labelled urls that must have a combination, and of its urls that must have the verdict.
@@ -63,10 +67,32 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.when(url.contains("://"), F.array_sort(F.array_distinct(found))).otherwise(F.array().cast("array<string>"))
 
 
-def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """Association rules (tokens, says, confidence, n) from rows of (tokens, verdict)."""
-    items = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    frequent = cut(FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n")))
+def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Association rules (tokens, says, confidence, n) from rows of (tokens, verdict), and (token, like) of all frequent
+    tokens: rules name tokens by the first of those that stand in the same urls."""
+    rows = cut(labelled.select("tokens", "verdict")).withColumn("id", F.monotonically_increasing_id())
+    least = math.ceil(support * rows.count())
+    each = rows.select("id", "verdict", F.explode("tokens").alias("token"))
+    sign = lambda seed: F.sum(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit((1 << 31) - 1)))  # noqa: E731  one for each set of urls
+    tokens = each.groupBy("token").agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("long")).alias("blocks"), sign(1).alias("x"), sign(2).alias("y"))
+    tokens = cut_table(tokens.where(F.col("n") >= least))
+    pure = tokens.where("blocks = 0 OR blocks = n")
+    rules = pure.select(F.array("token").alias("tokens"), F.when(F.col("blocks") == 0, "allow").otherwise("block").alias("says"), F.lit(1.0).alias("confidence"), "n")
+    mixed = tokens.where("blocks > 0 AND blocks < n")
+    first = mixed.groupBy("n", "blocks", "x", "y").agg(F.min("token").alias("like"))
+    like = cut_table(mixed.join(first, ["n", "blocks", "x", "y"]).select("token", "like"))
+    known = like.unionByName(pure.select("token", F.col("token").alias("like")))
+    # a token is frequent in a share of the urls, so there are at most 1 / support times as many as tokens in a url
+    items = each.join(F.broadcast(like.withColumnRenamed("token", "t")), F.col("token") == F.col("t")).groupBy("id", "verdict").agg(F.collect_set("like").alias("tokens"))
+    items = cut(items.select(F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items")))
+    if not (n := items.count()):
+        return rules.where(F.col("confidence") >= confidence), known
+    found = _rules(cut(FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n).fit(items).freqItemsets.select(F.array_sort("items").alias("items"), F.col("freq").alias("n"))), confidence)
+    return found.unionByName(rules), known
+
+
+def _rules(frequent: DataFrame, confidence: float) -> DataFrame:
+    """Association rules from frequent combinations, without those that a shorter one makes needless."""
     label = F.filter("items", lambda x: x.startswith(_LABEL))
     both = frequent.where(F.size(label) == 1).select(F.filter("items", lambda x: ~x.startswith(_LABEL)).alias("tokens"), F.substring(label[0], 2, 1000).alias("says"), "n").where("size(tokens) > 0")
     alone = frequent.where(F.size(label) == 0).select(F.col("items").alias("of"), F.col("n").alias("of_n"))
@@ -78,6 +104,12 @@ def mined(labelled: DataFrame, support: float = SUPPORT, confidence: float = CON
     return rules.join(needless, (F.col("tokens") == F.col("t")) & (F.col("says") == F.col("s")), "left_anti")
 
 
+def named_alike(patterns: DataFrame, known: DataFrame) -> DataFrame:
+    """Patterns (key, tokens) with their frequent tokens as the rules name them."""
+    each = patterns.select("key", F.explode("tokens").alias("t"))
+    return each.join(F.broadcast(known), F.col("t") == F.col("token")).groupBy("key").agg(F.collect_set("like").alias("tokens"))
+
+
 def matched(patterns: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, says) of the patterns (key, tokens) that a rule decides."""
     rules = cut(rules)
@@ -109,7 +141,9 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     decided = rows.where("rule is not null").select("page_id", "host", "path", "rule", "verdict")
     rest = rows.where("rule is null").select("page_id", "host", "path", "rule", spelt.alias("tokens")).withColumn("at", key)
     if counts:
-        says = cut_table(matched(patterns, mined(labelled)).select(F.col("key").alias("of"), "says"))
+        with scope(pages.sparkSession) as keep:
+            found, known = mined(labelled)
+            says = keep(cut_table(matched(cut(named_alike(patterns, known)), found).select(F.col("key").alias("of"), "says")))
         rest = rest.join(says, F.col("at") == F.col("of"), "left")
     else:
         rest = rest.withColumn("says", F.lit(None).cast("string"))

@@ -77,3 +77,12 @@ def test_no_labels_and_no_rows(spark):
     assert urls.judged(spark.createDataFrame([], SCHEMA)).collect() == []
     (one,) = urls.judged(spark.createDataFrame([(1, "http://a.net/x", 1, "x")], SCHEMA)).collect()
     assert tuple(one) == (1, "a.net", "/x", None, "allow")
+
+
+def test_long_urls_of_few_labels(spark):
+    """Thirty segments that stand together, in urls of both verdicts, have 2 ** 30 frequent combinations."""
+    long = "/".join(f"seg{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(30))
+    rows = [(k, f"http://a{k}.com/{['fr', 'de'][k % 3 == 0]}/{long}/{k}", 1, "x") for k in range(200)]
+    rows += [(1000, f"http://b.net/{long}", 1, "x"), (1001, "http://b.net/de/x", 1, "x"), (1002, "http://b.net/other", 1, "x")]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {k: ["allow", "block"][k % 3 == 0] for k in range(200)} | {1000: "allow", 1001: "block", 1002: "allow"}
