@@ -9,9 +9,10 @@ count decides.
 
 Training takes rows whose crc32 of doc_id as text, modulo 4, is not 2 and whose lang is not null.
 The classifier is fitted to a sample of about SAMPLE_DOCS of them for each language, chosen by a
-hash of doc_id; nothing else is bounded. Prediction sees the text only.
+hash of doc_id, and to the SAMPLE_GRAMS n-grams that are most frequent in it; nothing else is bounded. Prediction sees the text only.
 
-Defined cases: a text that is null or has no letter gets `und` and score 0; a text with letters but
+Defined cases: a text that is null or has no letter gets `und` and score 0; texts may be of any length, and all of a
+text counts; a text with letters but
 no known n-gram gets the most frequent language with score 0; with no labelled rows every
 text gets `und`; a null doc_id is neither learnt from nor held out; equal counts go to the language
 that is more frequent, then first by name; repeated rows each get a result; an empty table gives an
@@ -45,7 +46,14 @@ LEAST_COUNT = 3
 LEAST_SHARE = 0.4
 #: Table entries for each n-gram, and entries that an n-gram sets.
 ROOM, HASHES = 8, 3
-LETTER = re.compile(r"[^\W\d_]")
+#: n-grams of the sample that the filters are made of at most, the most frequent.
+SAMPLE_GRAMS = 1 << 21
+_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Fractions and Roman numerals are word characters, but no letters."""
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
 
 
 def grams(text: str) -> np.ndarray:
@@ -96,7 +104,7 @@ class Filters:
         return np.maximum(0, (np.array(found) - len(hashes) * self.false) / (1 - self.false))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return UNKNOWN, 0.0
         counts = self.counts(text)
         best = int(counts.argmax())
@@ -104,7 +112,7 @@ class Filters:
 
     def known(self, text: str | None) -> bool:
         """Whether the text is in one of the languages: the winner contains LEAST_SHARE of its n-grams."""
-        if not self.languages or not text or not LETTER.search(text):
+        if not self.languages or not text or not has_letter(text):
             return False
         return bool(self.counts(text).max() >= LEAST_SHARE * len(grams(text)))
 
@@ -132,6 +140,7 @@ def fit(docs: DataFrame) -> Filters:
     sample = rows.where(F.col("text").isNotNull() & (chance < bar[F.col("lang")])).select(number[F.col("lang")].alias("language"), "text")
     each = sample.mapInArrow(_counted, "language int, gram long, n long").groupBy("gram", "language").agg(F.sum("n").alias("n"))
     each = each.groupBy("gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("by")).where(F.col("n") >= LEAST_COUNT)
+    each = each.orderBy(F.col("n").desc(), "gram").limit(SAMPLE_GRAMS)
     table = each.select("gram", F.map_keys("by").alias("k"), F.map_values("by").alias("n")).toArrow()
     hashes = table.column(0).to_numpy().view(np.uint64)
     lengths = np.diff(np.r_[0, np.cumsum(np.fromiter(map(len, table.column(1)), np.int64, len(hashes)))])

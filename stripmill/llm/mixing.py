@@ -11,8 +11,8 @@ blocks are then joined by index with the documents that they overlap.
 A target is at most twice its source's size, so a source is passed over twice at most, and no word
 is taken more than twice.
 
-Defined cases: a null text has size 0, and documents of size 0 are never taken; null is a source,
-after all others; repeated rows are mixed each for itself; with equal doc_ids, which of the rows
+Defined cases: a null text has size 0, and documents of size 0 are never taken; texts may be of any length; null is a
+source, after all others; repeated rows are mixed each for itself; with equal doc_ids, which of the rows
 comes first is fixed by their size; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -25,7 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import cut, mix, partitions, prefix_sums, small_batches
+from stripmill.llm.common import cut, cut_table, fresh, mix, partitions, prefix_sums, row_keys, scope, small_batches
+from stripmill.operators.running import spread
 
 BLOCK = 256
 SHARDS = 64
@@ -148,9 +149,10 @@ class Plan:
 
 
 def _sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text, the first column, gives way to its size, the last."""
     for batch in batches:
-        sizes = [len(x.as_py().split()) if x.is_valid else 0 for x in batch.column(2).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], ["doc_id", "source", "size"])
+        sizes = [len(x.as_py().split()) if x.is_valid else 0 for x in batch.column(0).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(sizes, pa.int64())], [*batch.schema.names[1:], "size"])
 
 
 def _slots(plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -167,20 +169,21 @@ def _slots(plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch
 class Mixture:
     """The mix of a table of documents: `slots` (slot, shard, number, block, words) and `rows`, one
     for each document: doc_id, source_size, target, size, start (its place among its source's
-    words), taken, and copies (how often its first word is taken)."""
+    words), taken, copies (how often its first word is taken), and `keys`, columns of longs that come along and settle
+    the order where doc_id and size don't."""
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, keys: tuple[str, ...] = ()):
         spark = docs.sparkSession
         small_batches(spark)
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-        rows = cut(texts.mapInArrow(_sized, "doc_id long, source string, size long"))
+        texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *keys)
+        rows = cut(texts.mapInArrow(_sized, ", ".join(["doc_id long, source string", *[f"`{k}` long" for k in keys], "size long"])))
         found = sorted(((s is None, s or "", s, n) for s, n in rows.groupBy("source").agg(F.sum("size")).collect()), key=lambda x: x[:2])
         plan = Plan([x[2] for x in found], [x[3] for x in found])
         table = spark.createDataFrame([(k, s, n, t) for k, (_, _, s, n), t in zip(range(len(found)), found, plan.targets)], "number long, of string, source_size long, target double")
         table = F.broadcast(table) if len(found) <= BROADCAST_SOURCES else table
-        rows = rows.join(table, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "number", "source_size", "target", "size")
+        rows = rows.join(table, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "number", "source_size", "target", "size", *keys)
         n = 4 * partitions(spark)
-        placed = prefix_sums(rows.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))), ["number"], "chunk", ["doc_id", "size"], "size", "start")
+        placed = prefix_sums(rows.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))), ["number"], "chunk", ["doc_id", "size", *keys], "size", "start")
         shared = spark.sparkContext.broadcast(plan)
         self.slots = spark.range(plan.total).mapInArrow(_slots(shared), "slot long, shard long, number long, block long, words long")
         first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")
@@ -191,8 +194,8 @@ class Mixture:
         met = pieces.join(self.slots, (F.col("n") == F.col("number")) & (F.col("b") == F.col("block")), "left")
         words = F.when(F.col("words").isNotNull(), F.greatest(F.lit(0), F.least("high", "words") - F.col("low")))
         head = (F.col("b") == first) & (F.col("words") > F.col("low"))
-        taken = met.groupBy("n", "start", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.count(F.when(head, 1)).alias("copies"))
-        out = ["doc_id", "size", "source_size", "target", "start", "taken", "copies"]
+        taken = met.groupBy("n", "start", "doc_id", "size", "source_size", "target", *keys).agg(F.coalesce(F.sum(words), F.lit(0)).alias("taken"), F.count(F.when(head, 1)).alias("copies"))
+        out = ["doc_id", "size", "source_size", "target", "start", "taken", "copies", *keys]
         nothing = rows.where("size = 0").withColumns({"start": F.lit(None).cast("long"), "taken": F.lit(0).cast("long"), "copies": F.lit(0).cast("long")})
         self.rows = taken.select(*out).unionByName(nothing.select(*out))
 
@@ -203,10 +206,23 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Every document as often as the mix takes its first word: none, once or twice."""
-    times = Mixture(docs).rows.groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0").select(F.col("doc_id").alias("_id"), F.col("n").alias("_n"))
-    met = docs.join(times, docs["doc_id"].cast("long").eqNullSafe(times["_id"]))
-    return met.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    """Every document as often as the mix takes its first word: none, once or twice. Rows are told apart by all their
+    columns; of rows that are the same in all, one stands for the others and comes as often as all of them."""
+    spark = docs.sparkSession
+    one, two, n = fresh(docs, "_one"), fresh(docs, "_two"), fresh(docs, "_n")
+    keyed = docs.withColumns(dict(zip((one, two), row_keys(docs))))
+    with scope(spark) as keep:
+        times = Mixture(keyed, (one, two)).rows.groupBy(one, two).agg(F.sum("copies").alias(n), F.count("*").alias("rows")).where(F.col(n) > 0)
+        times = keep(cut_table(times))
+    columns = [f"`{c}`" for c in docs.columns]
+    single, several = times.where("rows = 1").drop("rows"), times.where("rows > 1").drop("rows")
+    out = keyed.join(single, [one, two]).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
+    if not several.isEmpty():
+        # any of them, found by partial aggregation, as the same row may stand in a large share of the table
+        each = keyed.join(several, [one, two], "left_semi").groupBy(one, two).agg(F.first(F.struct(*columns)).alias("row"))
+        numbered = spread(each.join(several, [one, two]), F.lit(0).cast("long"), n, n)
+        out = out.select(*columns).unionByName(numbered.select("row.*"))
+    return out.select(*columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

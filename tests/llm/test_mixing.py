@@ -87,3 +87,16 @@ def test_documents_and_odd_rows(spark):
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).collect() == []
     nulls = spark.createDataFrame([(1, None, None, 0), (None, None, None, 0)], SCHEMA)
     assert [(r.size, r.target, r.taken) for r in mixing.mixed(nulls).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_rows_of_one_id_are_taken_each_for_itself(spark):
+    rows = [(1, "x " * (10 + k), "b", k) for k in range(60)] + [(2, "the same row", "a", 0)] * 9 + [(3, "other " * 4000, "a", 1)]
+    schema = "doc_id long, text string, source string, _n long"
+    docs = spark.createDataFrame(rows, schema)
+    keyed = docs.withColumns(dict(zip(("k1", "k2"), mixing.row_keys(docs))))
+    of = {(r.k1, r.k2): (r.doc_id, r.text, r.source, r["_n"]) for r in keyed.collect()}
+    want = Counter()
+    for r in mixing.Mixture(keyed, ("k1", "k2")).rows.collect():
+        want[of[r.k1, r.k2]] += r.copies
+    got = Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
+    assert got == +want and {n for r, n in got.items() if r[0] == 1} == {1, 2} and got[rows[60]] > 2
