@@ -97,6 +97,14 @@ def spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
 # Coordinate algebra ---------------------------------------------------------------------------
 
 
+_LITERAL = [[2, 0, 0, 1], [0, 3, 0, 0], [0, 0, 0, 0]]
+
+
+@_query("coo_literal", f"SELECT * FROM (VALUES {', '.join(f'({i}, {j}, {v}.0::DOUBLE)' for i, row in enumerate(_LITERAL) for j, v in enumerate(row) if v)}) AS t(i, j, v)")
+def coo_literal(spark: SparkSession, sf: str) -> DataFrame:
+    return C.from_dense(spark, _LITERAL).df
+
+
 @_query("coo_build", f"WITH {_PS} SELECT * FROM ps")
 def coo_build(spark: SparkSession, sf: str) -> DataFrame:
     return T.part_supplier(spark, sf).df
@@ -203,6 +211,11 @@ for _axis, _of in (("j", "cols"), ("i", "rows")):
     _query(f"strips_{_of}", f"WITH {_strips_sql(_axis, _V2)} SELECT * FROM strips")(lambda spark, sf, a=_axis: P.strips(P.cuts_between_runs(_pattern(spark, sf), a, THRESHOLD), (lambda m: m.columns if a == "j" else m.rows)(T.part_supplier(spark, sf))))
 
 
+for _axis, _of in (("j", "cols"), ("i", "rows")):
+    # with another cutter and another measure
+    _query(f"strips_everywhere_{_of}", f"WITH {_strips_sql(_axis, _V1)} SELECT * FROM strips")(lambda spark, sf, a=_axis: P.partitioned(_pattern(spark, sf), THRESHOLD, best_shift, P.cuts_everywhere)[a == "j"])
+
+
 @_query("strips_uniform", f"WITH {_DIM} SELECT k AS strip, k * (m // {ROW_PARTS}) AS lo, (k + 1) * (m // {ROW_PARTS}) AS hi FROM d, (SELECT unnest(range(0, {ROW_PARTS})) AS k)")
 def strips_uniform(spark: SparkSession, sf: str) -> DataFrame:
     return P.strips_uniform(spark, T.part_supplier(spark, sf).rows, ROW_PARTS)
@@ -290,7 +303,7 @@ def residual_coo(spark: SparkSession, sf: str) -> DataFrame:
 def _hybrid(density: float) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         _, _, members, blocks = _blocked(spark, sf)
-        return B.hybrid_spmv(members, B.split(blocks, B.is_dense(density)), T.suppliers_vector(spark, sf))
+        return B.hybrid_spmv(members, kept(B.split(blocks, B.is_dense(density))), T.suppliers_vector(spark, sf))
 
     return run
 
@@ -308,7 +321,7 @@ def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
 @_query("hybrid_spmm", ORACLE_SQL["spmm"])
 def hybrid_spmm(spark: SparkSession, sf: str) -> DataFrame:
     matrix, _, members, blocks = _blocked(spark, sf)
-    return B.hybrid_spmm(members, B.split(blocks, B.is_dense(DENSITY)), _right(spark, matrix.columns))
+    return B.hybrid_spmm(members, kept(B.split(blocks, B.is_dense(DENSITY))), _right(spark, matrix.columns))
 
 
 @_query("partition_pipeline", f"""WITH {_strips_sql("j", _V2)}, mem AS (SELECT i // ((SELECT m FROM d) // {ROW_PARTS}) AS a, strip AS b, count(*) AS nnz, any_value(hi - lo) * ((SELECT m FROM d) // {ROW_PARTS}) AS size FROM m JOIN strips ON j >= lo AND j < hi GROUP BY 1, 2)
@@ -415,6 +428,24 @@ def label_rules(spark: SparkSession, sf: str) -> DataFrame:
     return E.labelled(_training(spark, sf))
 
 
+_CLEAR = "c AS (SELECT a.x AS dim1, b.x AS dim2, d.x AS density FROM (SELECT unnest(range(40, 200, 20)) AS x) a, (SELECT unnest(range(40, 200, 20)) AS x) b, (SELECT unnest([5, 10, 15, 85, 90, 95]) AS x) d)"
+
+
+@_query("forest_choice", f"WITH {_CLEAR} SELECT dim1, dim2, density, density > 50 AS is_dense FROM c")
+def forest_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks far from where storing them densely begins to pay, by a forest that was trained, saved and loaded."""
+    sides = list(range(40, 200, 10))
+    grid = E.parameter_grid(spark, sides, sides, list(range(0, 100, 5)))
+    timed = grid.select("*", (8 + 100 - F.col("perc_zeros")).cast("double").alias("csr_time"), F.lit(40.0).alias("block_time"))
+    start = spark.range(1).select(*[F.lit(v).cast("long").alias(n) for n, v in (("dim1", 1), ("dim2", 1), ("perc_zeros", 100), ("nnz", 0))], F.lit(8.0).alias("csr_time"), F.lit(1.0).alias("block_time"))
+    path = f"{scratch(spark)}/forest"
+    E.save_model(E.trained(E.labelled(timed.unionByName(start)))[0], path)
+    clear = E.parameter_grid(spark, list(range(40, 200, 20)), list(range(40, 200, 20)), [5, 10, 15, 85, 90, 95]).withColumnRenamed("perc_zeros", "density")
+    zero = F.lit(0).cast("long")
+    blocks = clear.select("density", zero.alias("r0"), F.col("dim1").alias("r1"), zero.alias("c0"), F.col("dim2").alias("c1"), F.col("density").alias("nnz"), F.lit(100).alias("size"))
+    return E.classified(blocks, E.load_model(path)).select(F.col("r1").alias("dim1"), F.col("c1").alias("dim2"), "density", "is_dense")
+
+
 @_query("param_grid", "SELECT a.x AS dim1, b.x AS dim2, c.x AS perc_zeros, a.x * b.x * (100 - c.x) // 100 AS nnz FROM (SELECT unnest(range(1, 25)) AS x) a, (SELECT unnest(range(1, 25)) AS x) b, (SELECT unnest(range(0, 100, 10)) AS x) c")
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
     return E.parameter_grid(spark, list(range(1, 25)), list(range(1, 25)), list(range(0, 100, 10)))
