@@ -5,8 +5,8 @@ fingerprints go to buckets by bits that two of them within the radius must share
 and m blocks of bits, any such pair agrees in m - r blocks), and each run of buckets is compared
 bit-sliced: bit planes stand vertically, 64 pairs to a machine word, distances are kept in
 carry-save counters of a few planes, and words are abandoned once all their pairs exceed the radius.
-Buckets over BUCKET fingerprints take an exact way that is linear in their size: fingerprints
-within two bits of each other share a value that is at most one flip from both.
+The fingerprints of a bucket over BUCKET are dealt anew, in the same way, by blocks of the bits that the bucket leaves
+open, until the buckets are small or few bits are left open, which bounds their size.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows
 with equal texts, or repeated rows, each keep their row; a null doc_id takes part in links but is
@@ -17,22 +17,23 @@ gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import components, cut, cut_table, fresh, mix, scope, small_batches
+from stripmill.llm.common import components, cut, cut_table, fresh, hot_share, joined, mix, scope, small_batches
 
 SEED = 42
 SHINGLE_WORDS = 3
 RADIUS = 2
 BLOCKS = 4
-#: Buckets with more fingerprints are linked by shared single-bit flips instead of pair by pair.
-BUCKET = 1024
+#: Buckets with more fingerprints are dealt anew; open bits with fewer values are not.
+BUCKET, LEAST_OPEN = 1024, 1 << 8
 #: Rows compared at once; a bucket is never cut.
 CHUNK_ROWS = 1 << 17
 _VOTES = 1 << 15
@@ -156,50 +157,57 @@ def _links(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _bucket_keys(radius: int, blocks: int) -> list[Column]:
-    """Hashes over fp of every choice of blocks that a pair within the radius may share."""
-    edges = [64 * k // blocks for k in range(blocks + 1)]
-    keys = []
-    for number, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum((1 << edges[b + 1]) - (1 << edges[b]) for b in chosen)
-        keys.append(F.xxhash64(F.lit(number), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))))
-    return keys
+def _deals(bits: tuple[int, ...], radius: int, blocks: int) -> list[tuple[int, ...]]:
+    """For every choice of blocks of the given bits that a pair within the radius may share: the bits left open."""
+    edges = [len(bits) * k // blocks for k in range(blocks + 1)]
+    parts = [bits[edges[k] : edges[k + 1]] for k in range(blocks)]
+    return [tuple(b for k in open_ for b in parts[k]) for open_ in combinations(range(blocks), radius)]
+
+
+def _mask(open_: tuple[int, ...]) -> int:
+    """The bits that are not open, as a long."""
+    shared = (1 << 64) - 1 - sum(1 << b for b in open_)
+    return shared - (1 << 64) if shared >> 63 else shared
 
 
 def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of column fp that join all those within `radius`
     bits: a star for each group in a bucket, never all its pairs."""
-    if radius % 2:
-        raise ValueError("the exact way for large buckets asks for an even radius")
-    keys = _bucket_keys(radius, blocks)
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
-    shared = cut_table(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    met = rows.join(shared, "key")
-    pairs = met.where(F.col("n") <= bucket).select("key", "fp")
-    small = pairs.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(radius), "a long, b long")
-    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(64)])
-    out = small
-    if not shared.where(F.col("n") > bucket).isEmpty():
-        # two fingerprints are within the radius just if half as many flips of each reach a common value
-        hot = met.where(F.col("n") > bucket).select("fp").distinct()
-        near = hot
-        for k in range(radius // 2):
-            near = near.select("fp", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("fp" if k == 0 else "value")))).alias("value")).distinct()
-        stars = near.groupBy("value").agg(F.collect_set("fp").alias("s")).where("size(s) > 1")
-        out = out.unionByName(stars.select(F.explode("s").alias("a"), F.array_min("s").alias("b")).where("a <> b"))
-    return out
+    if blocks <= radius:
+        raise ValueError("a pair within the radius must share a block")
+    found, rows, level = [], prints.select("fp", F.lit(0).alias("at")), [tuple(range(64))]
+    while True:
+        # each row's bucket leaves the bits level[at] open; it goes to a bucket for each deal of these
+        deals = [_deals(bits, radius, blocks) for bits in level]
+        number = [sum(map(len, deals[:k])) for k in range(len(deals))]
+        table = F.array(*[F.array(*[F.struct(F.lit(number[k] + n).alias("at"), F.lit(_mask(open_)).alias("mask")) for n, open_ in enumerate(deal)]) for k, deal in enumerate(deals)])
+        dealt = rows.select("fp", F.explode(F.element_at(table, F.col("at") + 1)).alias("d"))
+        dealt = dealt.select("fp", F.col("d.at").alias("at"), F.xxhash64(F.col("d.mask"), F.col("fp").bitwiseAND(F.col("d.mask"))).alias("key"))
+        level = [open_ for deal in deals for open_ in deal]
+        shared = cut_table(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+        met = dealt.join(shared, "key")
+        left = max(map(len, level))
+        last = left < blocks or 1 << left <= LEAST_OPEN
+        small = met if last else met.where(F.col("n") <= bucket)
+        found.append(cut_table(small.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_links(radius), "a long, b long")))
+        if last or shared.where(F.col("n") > bucket).isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        rows = cut_table(met.where(F.col("n") > bucket).select("fp", "at").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs."""
-    prints = cut(fingerprints(docs, width))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    found = components(links(distinct, radius, blocks, bucket))
-    rooted = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = rooted.join(least, "root").select(F.col("fp").alias("p"), "component_id")
-    by_print = cut_table(by_print)
-    return prints.join(by_print, prints.fp == by_print.p).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    spark = docs.sparkSession
+    with scope(spark) as keep:
+        prints = cut(fingerprints(docs, width))
+        share = hot_share(spark, prints.count())
+        distinct = cut_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")))
+        ids = components(links(distinct, radius, blocks, bucket))
+        rooted = cut_table(distinct.join(ids, distinct.fp == ids.node, "left").select("fp", "first", "many", F.coalesce("root", "fp").alias("root")))
+        least = rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"), (F.count("*") > share).alias("hot"))
+        by_print = joined(rooted, "root", cut_table(least), "of").select(F.col("fp").alias("of"), "component_id", (F.col("many") > share).alias("hot"))
+        by_print = keep(cut_table(by_print))
+    return joined(prints, "fp", by_print, "of").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -358,14 +366,16 @@ def _grouped(numbered: DataFrame, bucket: int) -> DataFrame:
     texts = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     with scope(spark) as keep:
         rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>"))
-        distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s")).select("node", "s.*"))
+        share = hot_share(spark, rows.count())
+        distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s"), (F.count("*") > share).alias("hot")).select("node", "s.*", "hot"))
         found = candidates(distinct).select(F.col("node").alias("_node"), "root")
         members = cut_table(distinct.join(found, F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
         # the members grow with the documents, so they are never broadcast, not even where they are few
         met = texts.join(members.hint("merge"), F.col("_row") == F.col("_of")).select("comp", "node", "n", "text")
         sets = cut_table(met.mapInArrow(_sets, "comp long, node long, n long, shingles binary"))
-        ids = components(verified_links(sets, bucket)).withColumnRenamed("node", "_node")
-        return keep(cut_table(rows.join(ids, F.col("node") == F.col("_node"), "left").select("_row", "doc_id", "n", F.coalesce("root", "node").alias("root"))))
+        ids = components(verified_links(sets, bucket)).withColumnRenamed("node", "of")
+        ids = cut_table(distinct.select(F.col("node").alias("n1"), "hot").join(ids, F.col("n1") == F.col("of")).select("of", "root", "hot"))
+        return keep(cut_table(joined(rows, "node", ids, "of").select("_row", "doc_id", "n", F.coalesce("root", "node").alias("root"))))
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -383,8 +393,9 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     on the shingle sets. No bucket is left out or cut: documents of a band key are joined to its least
     node, and the groups so joined are compared as verified_links() says."""
     rows = _grouped(_numbered(docs.select("doc_id", "text"))[0], bucket)
-    least = cut_table(rows.groupBy(F.col("root").alias("r")).agg(F.min("doc_id").alias("component_id")))
-    return rows.join(least, F.col("root") == F.col("r")).select("doc_id", "component_id")
+    share = hot_share(docs.sparkSession, rows.count())
+    least = cut_table(rows.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id"), (F.count("*") > share).alias("hot")))
+    return joined(rows, "root", least, "of").select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
