@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from stripmill.operators.running import spread
+
 #: Rows an Arrow batch may hold: with documents of up to megabytes, a batch stays in bounds.
 BATCH_ROWS = 256
 _FACTORS = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -145,6 +147,21 @@ def joined(rows: DataFrame, key: str, table: DataFrame, of: str) -> DataFrame:
     return met.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in others])
 
 
+def taken(keyed: DataFrame, names: tuple[str, str], times: DataFrame) -> DataFrame:
+    """Rows of keyed, without its columns `names` of row_keys(), as often as the table times (names, n, rows) says: n times
+    in all for the `rows` rows that are the same. One of these stands for the others, found by partial
+    aggregation, as the same row may stand in a large share of the table."""
+    columns = [f"`{c}`" for c in keyed.columns if c not in names]
+    n = fresh(keyed, "_n")
+    times = times.withColumnRenamed("n", n)
+    single, several = times.where("rows = 1").drop("rows"), times.where("rows > 1").drop("rows")
+    out = keyed.join(single, list(names)).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(*columns)
+    if several.isEmpty():
+        return out
+    each = keyed.join(several, list(names), "left_semi").groupBy(*names).agg(F.first(F.struct(*columns)).alias("row"))
+    return out.unionByName(spread(each.join(several, list(names)), F.lit(0).cast("long"), n, n).select("row.*"))
+
+
 def prefix_sums(df: DataFrame, keys: list[str], chunk: str, order: list[str], value: str, out: str) -> DataFrame:
     """Adds, for each row, the sum of `value` over the rows before it within `keys`, where rows are
     ordered by (chunk, order).

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import cut, cut_table, fresh, mix, partitions, prefix_sums, row_keys, scope, small_batches
-from stripmill.operators.running import spread
+from stripmill.llm.common import cut, cut_table, fresh, mix, partitions, prefix_sums, row_keys, scope, small_batches, taken
 
 BLOCK = 256
 SHARDS = 64
@@ -209,20 +208,11 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """Every document as often as the mix takes its first word: none, once or twice. Rows are told apart by all their
     columns; of rows that are the same in all, one stands for the others and comes as often as all of them."""
     spark = docs.sparkSession
-    one, two, n = fresh(docs, "_one"), fresh(docs, "_two"), fresh(docs, "_n")
+    one, two = fresh(docs, "_one"), fresh(docs, "_two")
     keyed = docs.withColumns(dict(zip((one, two), row_keys(docs))))
     with scope(spark) as keep:
-        times = Mixture(keyed, (one, two)).rows.groupBy(one, two).agg(F.sum("copies").alias(n), F.count("*").alias("rows")).where(F.col(n) > 0)
-        times = keep(cut_table(times))
-    columns = [f"`{c}`" for c in docs.columns]
-    single, several = times.where("rows = 1").drop("rows"), times.where("rows > 1").drop("rows")
-    out = keyed.join(single, [one, two]).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n))))
-    if not several.isEmpty():
-        # any of them, found by partial aggregation, as the same row may stand in a large share of the table
-        each = keyed.join(several, [one, two], "left_semi").groupBy(one, two).agg(F.first(F.struct(*columns)).alias("row"))
-        numbered = spread(each.join(several, [one, two]), F.lit(0).cast("long"), n, n)
-        out = out.select(*columns).unionByName(numbered.select("row.*"))
-    return out.select(*columns)
+        times = Mixture(keyed, (one, two)).rows.groupBy(one, two).agg(F.sum("copies").alias("n"), F.count("*").alias("rows")).where("n > 0")
+        return taken(keyed, (one, two), keep(cut_table(times)))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm.common import components, cut, cut_table, fresh, hot_share, joined, mix, scope, small_batches
+from stripmill.llm.common import components, cut, cut_table, fresh, hot_share, joined, mix, row_keys, scope, small_batches, taken
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -242,7 +242,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(3)], pa.binary())], ["comp", "node", "n", "shingles"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([shingle_set(x.as_py()).tobytes() for x in batch.column(4)], pa.binary())], ["comp", "node", "n", "blocks", "shingles"])
 
 
 def similar_sets(sets: list[np.ndarray], known: np.ndarray) -> np.ndarray:
@@ -302,37 +302,38 @@ def _compared(rows: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, by: str, bucket: int) -> DataFrame:
-    """(by, blocks): into how many blocks the rows of each group are cut to keep to the bounds of a task."""
+    """(of, blocks): into how many blocks the rows of each group are cut to keep to the bounds of a task."""
     many = F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES)), F.ceil(F.count("*") / F.lit(bucket)), F.lit(1))
-    return cut_table(rows.groupBy(F.col(by).alias("of")).agg(many.cast("long").alias("blocks")))
+    return rows.groupBy(F.col(by).alias("of")).agg(many.cast("long").alias("blocks"))
 
 
-def _within_blocks(rows: DataFrame, blocks: DataFrame) -> DataFrame:
-    dealt = rows.join(blocks, F.col("comp") == F.col("of")).withColumn("key", F.xxhash64("comp", F.pmod(F.xxhash64("node"), "blocks")))
+def _within_blocks(rows: DataFrame) -> DataFrame:
+    dealt = rows.withColumn("key", F.xxhash64("comp", F.pmod(F.xxhash64("node"), "blocks")))
     return _compared(dealt.select("key", F.lit(0).alias("side"), "node", F.col("node").alias("sub"), "shingles"))
 
 
 def _with_sub(rows: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges).withColumnRenamed("node", "_node")
+    """rows with `sub`, their group by the edges, by a merge join: what grows with the documents is not broadcast."""
+    found = components(edges).withColumnRenamed("node", "_node").hint("merge")
     return rows.join(found, F.col("node") == F.col("_node"), "left").select(*rows.columns, F.coalesce("root", "node").alias("sub"))
 
 
 def verified_links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (a, b) that join all rows (comp, node, n, shingles) of equal comp whose shingle sets have a
-    similarity of SIMILAR or more.
+    """Edges (a, b) that join all rows (comp, node, n, blocks, shingles) of equal comp whose shingle sets have a
+    similarity of SIMILAR or more; blocks as _blocks() says.
 
     A comp within `bucket` documents and BLOCK_SHINGLES shingles is compared in one task. Larger ones are
     cut into blocks: first each block is compared within, then one member for each group found, to join
     copies across blocks. What is then outside the largest group of its comp is compared, block by block,
     with all of that comp; only pairs already in one group are left out."""
-    blocks = _blocks(sets, "comp", bucket)
-    edges = _within_blocks(sets, blocks)
-    cutup = blocks.where("blocks > 1").select(F.col("of").alias("large"))
-    if cutup.isEmpty():
+    edges = _within_blocks(sets)
+    large = sets.where("blocks > 1")
+    if large.isEmpty():
         return edges
-    large = cut_table(sets.join(cutup, F.col("comp") == F.col("large"), "left_semi"))
-    reps = _with_sub(large, edges).where("node = sub").drop("sub")
-    edges = edges.unionByName(_within_blocks(reps, _blocks(reps, "comp", bucket)))
+    large = cut_table(large)
+    reps = cut_table(_with_sub(large, edges).where("node = sub").drop("sub", "blocks"))
+    anew = cut_table(_blocks(reps, "comp", bucket))  # large groups only, each of BLOCK_SHINGLES shingles or `bucket` documents
+    edges = edges.unionByName(_within_blocks(reps.join(anew, F.col("comp") == F.col("of")).drop("of")))
     rows = cut_table(_with_sub(large, edges))
     sizes = rows.groupBy("comp", "sub").agg(F.count("*").alias("size")).groupBy(F.col("comp").alias("c")).agg(F.max(F.struct("size", "sub"))["sub"].alias("main"), F.count("*").alias("subs"))
     rows = cut_table(rows.join(cut_table(sizes.where("subs > 1")), F.col("comp") == F.col("c")).drop("c", "subs"))
@@ -355,7 +356,7 @@ def candidates(distinct: DataFrame) -> DataFrame:
     """(node, root), roots included, of the nodes, with their array `keys`, that share band keys directly or through others."""
     banded = distinct.select("node", F.explode("keys").alias("key"))
     stars = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many"))
-    found = components(banded.join(stars, F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    found = components(banded.join(stars.hint("merge"), F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b")))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -363,25 +364,26 @@ def _grouped(numbered: DataFrame, bucket: int) -> DataFrame:
     """(_row, doc_id, n, root) of every row of numbered, root being one for each group of similar documents."""
     spark = numbered.sparkSession
     small_batches(spark)
-    texts = numbered.select("_row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = numbered.select("_row", "doc_id", "text")
     with scope(spark) as keep:
         rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>"))
         share = hot_share(spark, rows.count())
         distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s"), (F.count("*") > share).alias("hot")).select("node", "s.*", "hot"))
         found = candidates(distinct).select(F.col("node").alias("_node"), "root")
-        members = cut_table(distinct.join(found, F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
-        # the members grow with the documents, so they are never broadcast, not even where they are few
-        met = texts.join(members.hint("merge"), F.col("_row") == F.col("_of")).select("comp", "node", "n", "text")
-        sets = cut_table(met.mapInArrow(_sets, "comp long, node long, n long, shingles binary"))
+        # what grows with the documents is never broadcast, not even where it is small: the plan is that of large inputs
+        members = cut_table(distinct.join(found.hint("merge"), F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
+        members = members.join(_blocks(members, "comp", bucket).hint("merge"), F.col("comp") == F.col("of")).drop("of")
+        met = texts.join(members.hint("merge"), F.col("_row") == F.col("_of")).select("comp", "node", "n", "blocks", "text")
+        sets = cut_table(met.mapInArrow(_sets, "comp long, node long, n long, blocks long, shingles binary"))
         ids = components(verified_links(sets, bucket)).withColumnRenamed("node", "of")
         ids = cut_table(distinct.select(F.col("node").alias("n1"), "hot").join(ids, F.col("n1") == F.col("of")).select("of", "root", "hot"))
         return keep(cut_table(joined(rows, "node", ids, "of").select("_row", "doc_id", "n", F.coalesce("root", "node").alias("root"))))
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """docs with a number for each row, written so that the numbers stay, and the name of that column."""
-    name = fresh(docs, "_row")
-    return cut_table(docs.withColumn(name, F.monotonically_increasing_id())), name
+def _numbered(docs: DataFrame, *more: str) -> DataFrame:
+    """(_row, doc_id, text, more) of docs with a number for each row, written so that the numbers stay."""
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return cut_table(rows)
 
 
 def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -392,7 +394,7 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     with a chance of (1 - s ** BAND_ROWS) ** BANDS: 0.00005 at 0.8, less above. Every link is then verified
     on the shingle sets. No bucket is left out or cut: documents of a band key are joined to its least
     node, and the groups so joined are compared as verified_links() says."""
-    rows = _grouped(_numbered(docs.select("doc_id", "text"))[0], bucket)
+    rows = _grouped(_numbered(docs), bucket)
     share = hot_share(docs.sparkSession, rows.count())
     least = cut_table(rows.groupBy(F.col("root").alias("of")).agg(F.min("doc_id").alias("component_id"), (F.count("*") > share).alias("hot")))
     return joined(rows, "root", least, "of").select("doc_id", "component_id")
@@ -402,16 +404,22 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """One document of each group of similar ones, all columns: that with the smallest doc_id, and of
     equal ids the first row; rows without doc_id only where no other of their group has one. Of texts without
     words, which are one group, none stays if another row of its doc_id does."""
+    one, two = fresh(docs, "_one"), fresh(docs, "_two")
+    keyed = docs.withColumns(dict(zip((one, two), row_keys(docs))))
     with scope(docs.sparkSession) as keep:
-        numbered, name = _numbered(docs)
-        keep(numbered)
-        rows = _grouped(numbered.select(F.col(name).alias("_row"), "doc_id", "text"), BUCKET)
+        numbered = _numbered(keyed, one, two)
+        rows = _grouped(numbered, BUCKET)
         order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row", "n")
         first = cut_table(rows.groupBy("root").agg(F.min(order).alias("s")).select("s.*"))
         worded, bare = first.where("n > 0"), first.where("n = 0")
         bare = bare.join(worded.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
-        kept = keep(cut_table(worded.unionByName(bare).select(F.col("_row").alias(name))))
-        return numbered.join(kept, name, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+        kept = worded.unionByName(bare).select(F.col("_row").alias("_kept"))
+        # the rows that stay are found again by what they hold: of rows that are the same in all columns one stays
+        same = numbered.groupBy(F.col(one).alias("_a"), F.col(two).alias("_b")).agg(F.count("*").alias("rows")).where("rows > 1")
+        kept = numbered.join(kept.hint("merge"), F.col("_row") == F.col("_kept")).select(one, two)
+        kept = kept.join(cut_table(same), (F.col(one) == F.col("_a")) & (F.col(two) == F.col("_b")), "left")
+        kept = keep(cut_table(kept.select(one, two, F.lit(1).cast("long").alias("n"), F.coalesce("rows", F.lit(1)).alias("rows"))))
+    return taken(keyed, (one, two), kept)
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
