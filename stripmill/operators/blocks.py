@@ -162,12 +162,17 @@ def report(chosen: DataFrame, cells: int | DataFrame, keys: tuple[str, ...] = ()
 
 
 def blocked(matrix: Matrix, rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members and blocks of a matrix under given strips. Members are written once, as products and files read
-    them several times, and so are the blocks' statistics."""
+    """Members and blocks of a matrix under given strips."""
     return blocked_all(matrix.df, rows, columns, ())
 
 
 def blocked_all(entries: DataFrame, rows: DataFrame, columns: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """As blocked(), for many matrices in one table."""
-    members = kept(assigned(entries, rows, columns, keys))
+    members = assigned(entries, rows, columns, keys)
+    return members, stats(members, keys)
+
+
+def stored(members: DataFrame, keys: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Members and blocks, written once: products and files read them several times."""
+    members = kept(members)
     return members, kept(stats(members, keys))

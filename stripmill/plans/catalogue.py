@@ -269,7 +269,7 @@ def block_row_pointers(spark: SparkSession, sf: str) -> DataFrame:
 SELECT bid, cell.pos, coalesce(v, 0.0::DOUBLE) AS v FROM cell LEFT JOIN mem ON mem.a = cell.a AND mem.b = cell.b AND mem.pos = cell.pos""")
 def block_values(spark: SparkSession, sf: str) -> DataFrame:
     _, _, members, blocks = _blocked(spark, sf)
-    cells = B.values(members, B.split(blocks, B.is_dense(DENSITY)))
+    cells = B.values(members, kept(B.split(blocks, B.is_dense(DENSITY))))
     return cells.select("bid", "first", F.posexplode("vals").alias("at", "v")).select("bid", (F.col("first") + F.col("at")).alias("pos"), "v")
 
 
@@ -302,7 +302,7 @@ def residual_coo(spark: SparkSession, sf: str) -> DataFrame:
 
 def _hybrid(density: float) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        _, _, members, blocks = _blocked(spark, sf)
+        members, blocks = B.stored(_blocked(spark, sf)[2])
         return B.hybrid_spmv(members, kept(B.split(blocks, B.is_dense(density))), T.suppliers_vector(spark, sf))
 
     return run
@@ -314,13 +314,14 @@ for _name, _density in (("hybrid_spmv", DENSITY), ("all_sparse_spmv", 100.0), ("
 
 @_query("kernel_spmv", ORACLE_SQL["spmv"])
 def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, members, blocks = _blocked(spark, sf)
+    members, blocks = B.stored(_blocked(spark, sf)[2])
     return B.kernel_spmv(B.values(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
 
 
 @_query("hybrid_spmm", ORACLE_SQL["spmm"])
 def hybrid_spmm(spark: SparkSession, sf: str) -> DataFrame:
-    matrix, _, members, blocks = _blocked(spark, sf)
+    matrix, _, members, _ = _blocked(spark, sf)
+    members, blocks = B.stored(members)
     return B.hybrid_spmm(members, kept(B.split(blocks, B.is_dense(DENSITY))), _right(spark, matrix.columns))
 
 
@@ -506,7 +507,7 @@ def _irregular(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame, DataF
     m, n = matrix.rows, matrix.columns
     rows = P.strips_at(spark, sorted({0, 1, 3, EMPTY_ROWS, EMPTY_ROWS + 1, EMPTY_ROWS + 2, EMPTY_ROWS + 9, m // 3, m // 2, m - 1, m}))
     columns = P.strips_at(spark, sorted({0, 1, 2, 5, n // 2, n // 2 + 1, n - 1, n}))
-    return matrix, rows, columns, *B.blocked(matrix, rows, columns)
+    return matrix, rows, columns, *B.stored(B.blocked(matrix, rows, columns)[0])
 
 
 @_query("irregular_blocks", f'WITH {_IRREGULAR} SELECT bid, a, b, r0, r1, c0, c1, nnz, size, "offset" FROM ib')
@@ -548,7 +549,7 @@ def _learned(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame, DataFra
     whole = T.part_supplier(spark, sf)
     matrix = C.Matrix(kept(whole.df), whole.rows, whole.columns)
     rows, columns = map(kept, P.partitioned(C.Matrix(C.pattern(matrix.df), matrix.rows, matrix.columns), THRESHOLD))
-    return matrix, rows, columns, *B.blocked(matrix, rows, columns)
+    return matrix, rows, columns, *B.stored(B.blocked(matrix, rows, columns)[0])
 
 
 @_query("learned_spmv", ORACLE_SQL["spmv"])
@@ -597,7 +598,8 @@ def _blocked_many(spark: SparkSession, sf: str) -> tuple[C.Matrices, DataFrame,
     many = T.by_flag(spark, sf)
     rows, columns = T.sizes(spark, sf, ("part", "p_partkey"), ("supplier", "s_suppkey"))
     each = lambda strips: many.dims.select(*C.KEYS).crossJoin(F.broadcast(strips))  # noqa: E731  a few strips for every matrix
-    members, blocks = B.blocked_all(many.df, each(P.strips_uniform(spark, rows, ROW_PARTS)), each(P.strips_uniform(spark, columns, COLUMN_PARTS)), C.KEYS)
+    members, _ = B.blocked_all(many.df, each(P.strips_uniform(spark, rows, ROW_PARTS)), each(P.strips_uniform(spark, columns, COLUMN_PARTS)), C.KEYS)
+    members, blocks = B.stored(members, C.KEYS)
     return many, members, kept(B.split(blocks, B.is_dense(DENSITY / 3), C.KEYS))
 
 
@@ -659,7 +661,7 @@ def _block_file(names: tuple[str, ...], density: float) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         matrix = T.part_supplier(spark, sf)
         rows, columns = P.strips_uniform(spark, matrix.rows, ROW_PARTS), P.strips_uniform(spark, matrix.columns, COLUMN_PARTS)
-        members, blocks = B.blocked(matrix, rows, columns)
+        members, blocks = B.stored(B.blocked(matrix, rows, columns)[0])
         path = f"{scratch(spark)}/part_supplier.{'vbr' if names is S.VBR else 'vbrc'}"
         S.write_lines(S.block_lines(matrix, members, kept(B.split(blocks, B.is_dense(density))), rows, columns), names, path)
         return S.read_blocks(spark, path).df
