@@ -185,15 +185,16 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b) of longs, as a table (node, root) with root the smallest node.
 
     Alternates large-star and small-star steps until the edges are a star around each smallest
-    node. Every step is one partial aggregation and one equi-join, whose skew over the centre of a large star
-    adaptive execution splits; each result is written. No component is gathered anywhere.
+    node. Every step is one partial aggregation and one equi-join; each result is written. No component is
+    gathered anywhere, nor are the edges of a large star in one task.
     """
+    spark = edges.sparkSession
     now = cut_table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    seen, n = None, now.count()
     while True:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("u"), F.least("a", "low").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.min("b").alias("low"), (F.count("*") > hot_share(spark, 2 * n)).alias("hot")).select(F.col("a").alias("u"), F.least("a", "low").alias("m"), "hot")
+        large = joined(both.where("b > a"), "a", low, "u").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut_table(large.where("a <> b").distinct())
         # here a > b in every row, so a node's neighbours below it are its rows
         low = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
@@ -205,4 +206,4 @@ def components(edges: DataFrame) -> DataFrame:
             out = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
             out._path = now._path
             return out
-        seen = state
+        seen, n = state, state.n

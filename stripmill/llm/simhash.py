@@ -8,6 +8,9 @@ carry-save counters of a few planes, and words are abandoned once all their pair
 The fingerprints of a bucket over BUCKET are dealt anew, in the same way, by blocks of the bits that the bucket leaves
 open, until the buckets are small or few bits are left open, which bounds their size.
 
+For near-duplicates by shingle sets at a similarity of SIMILAR, which prints of this width can't tell, documents meet by
+bands of min-hashes instead, and every link is verified on the sets: see similar_components() and one_of_each().
+
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows
 with equal texts, or repeated rows, each keep their row; a null doc_id takes part in links but is
 never a component id unless nothing else is in the component (then the id is null); an empty table
