@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm import decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, substrings, urls
+from stripmill.llm import decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, substrings, tokencount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": htmltext.op8_html,
     "op9_licenses": licenses.op9_licenses,
     "op10_url_filter": urls.op10_url_filter,
+    "op11_token_counts": tokencount.op11_token_counts,
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
