@@ -132,7 +132,7 @@ def hot_share(spark: SparkSession, rows: int) -> int:
 
 
 def joined(rows: DataFrame, key: str, table: DataFrame, of: str) -> DataFrame:
-    """rows with the columns of table, null where it has no row for the key; table has one row for each key, a long, and a
+    """rows with the columns of table, null where it has no row for the key; table has one row for each key, a long or a string, and a
     column `hot` that marks keys with more than hot_share() of the rows.
 
     Hot keys' few rows of the table are broadcast, and the rows that they meet are spread in the join of the others, so
@@ -142,7 +142,7 @@ def joined(rows: DataFrame, key: str, table: DataFrame, of: str) -> DataFrame:
     few = F.broadcast(table.where("hot").select(F.col(of).alias("_hot"), what.alias("_few")))
     many = table.where("not hot").select(F.col(of).alias("_cold"), what.alias("_many"))
     met = rows.join(few, F.col(key) == F.col("_hot"), "left")
-    met = met.withColumn("_by", F.when(F.col("_hot").isNotNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(key)))
+    met = met.withColumn("_by", F.when(F.col("_hot").isNotNull(), F.xxhash64(F.monotonically_increasing_id()).cast(rows.schema[key].dataType)).otherwise(F.col(key)))
     met = met.join(many, (F.col("_by") == F.col("_cold")) & F.col("_hot").isNull(), "left").withColumn("_found", F.coalesce("_few", "_many"))
     return met.select(*rows.columns, *[F.col(f"_found.{c}").alias(c) for c in others])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stripmill.llm import alignment, decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, substrings, tokencount, urls
+from stripmill.llm import alignment, conversations, decontaminate, htmltext, langid, licenses, mixing, sharding, simhash, sketch, substrings, tokencount, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": simhash.op1_simhash,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses.op9_licenses,
     "op10_url_filter": urls.op10_url_filter,
     "op11_token_counts": tokencount.op11_token_counts,
+    "op12_conversations": conversations.op12_conversations,
     "op13_alignment": alignment.op13_alignment,
 }
 
