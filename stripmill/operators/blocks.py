@@ -7,24 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from stripmill.operators.coo import Matrix
-from stripmill.operators.product import spmm, spmv
-from stripmill.operators.running import running_sum, spread
+from stripmill.operators.interval import Uniform, located
+from stripmill.operators.kernel import block_products, filled, nonzeros, summed_columns, unpacked, wide_rows
+from stripmill.operators.running import running_sum
 from stripmill.sources.scratch import kept
 
 #: Cells of the largest array; larger blocks are stored as several.
 LARGEST = 1 << 22
 
 
-def _points(strips: DataFrame, index: str, name: str, lo: str, hi: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """A row for each place of a strip, so that membership is an equi-join and not a range join."""
-    return spread(strips, "lo", "hi", index).select(*keys, index, F.col("strip").alias(name), F.col("lo").alias(lo), F.col("hi").alias(hi))
-
-
-def assigned(entries: DataFrame, rows: DataFrame, columns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def assigned(entries: DataFrame, rows: DataFrame | Uniform, columns: DataFrame | Uniform, keys: tuple[str, ...] = ()) -> DataFrame:
     """Nonzeros with their block (a, b), its bounds r0 r1 c0 c1 and their address in it, column by column.
 
     Here and below keys, such as matrix_id, name the columns that keep several matrices in one table apart."""
-    met = entries.where("v <> 0").join(_points(rows, "i", "a", "r0", "r1", keys), [*keys, "i"]).join(_points(columns, "j", "b", "c0", "c1", keys), [*keys, "j"])
+    met = located(located(entries.where("v <> 0"), "i", rows, ("a", "r0", "r1"), keys), "j", columns, ("b", "c0", "c1"), keys)
     address = (F.col("j") - F.col("c0")) * (F.col("r1") - F.col("r0")) + F.col("i") - F.col("r0")
     return met.select(*keys, "a", "b", "i", "j", "v", "r0", "r1", "c0", "c1", address.alias("pos"))
 
@@ -92,8 +88,8 @@ def pieces(chosen: DataFrame) -> DataFrame:
     return cut.select(*chosen.columns, "first")
 
 
-def values(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Dense blocks, in pieces(), with `vals`, their cells column by column, zeros included.
+def packed(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Dense blocks, in pieces(), with `cells`: their values as doubles in binary, column by column, zeros included.
 
     Only members of dense blocks are gathered, at most LARGEST of them in one row."""
     dense = members.join(chosen.where("is_dense").select(*keys, "a", "b"), [*keys, "a", "b"], "left_semi")
@@ -102,48 +98,52 @@ def values(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) ->
     column, row = F.expr("pos div (r1 - r0)"), F.col("pos") % high
     tall, wide = F.least(high, F.lit(LARGEST)), F.greatest(F.lit(1), F.floor(F.lit(LARGEST) / high))
     first = (column - column % wide) * high + row - row % tall
-    cells = dense.select(*keys, "a", "b", first.cast("long").alias("first"), pos, "v").groupBy(*keys, "a", "b", "first")
-    cells = cells.agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("first")).alias("at"), "v"))).alias("cells"))
-    # each nonzero after the zeros since the one before; what is left of the piece is zeros
-    gap = "transform(cells, (c, k) -> concat(array_repeat(0D, cast(c.at - if(k = 0, -1L, cells[k - 1].at) - 1 as int)), array(c.v)))"
-    end = "array_repeat(0D, cast(size - 1 - coalesce(element_at(cells, -1).at, -1L) as int))"
-    met = pieces(chosen).join(cells, [*keys, "a", "b", "first"], "left").withColumn("cells", F.coalesce("cells", F.expr("cast(array() as array<struct<at: bigint, v: double>>)")))
-    full = F.expr(f"concat(flatten({gap}), if(size(cells) = 0, array_repeat(0D, cast(size as int)), {end}))")
-    return met.withColumn("vals", full).drop("cells")
+    # inside of the piece, whose columns are as high as it is
+    c0, r0 = column - column % wide, row - row % tall
+    at = (column - c0) * F.least(tall, high - r0) + row - r0
+    cells = dense.select(*keys, "a", "b", first.cast("long").alias("first"), F.struct(at.cast("int").alias("at"), "v").alias("cell")).groupBy(*keys, "a", "b", "first").agg(F.collect_list("cell").alias("_cells"))
+    met = pieces(chosen).join(cells, [*keys, "a", "b", "first"], "left").select(*chosen.columns, "first", F.col("_cells.at").alias("_at"), F.col("_cells.v").alias("_v"))
+    return filled(met)
+
+
+def values(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """As packed(), with the cells as an array `vals`."""
+    return unpacked(packed(members, chosen, keys))
 
 
 def to_coo(blocks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, j, v) of the nonzeros in blocks with vals."""
-    height = F.col("r1") - F.col("r0")
-    cells = blocks.select(*keys, "r0", "r1", "c0", F.posexplode("vals").alias("pos", "v")).where("v <> 0")
-    return cells.select(*keys, (F.col("r0") + F.col("pos") % height).alias("i"), (F.col("c0") + F.expr("pos div (r1 - r0)")).alias("j"), "v")
+    """(keys, i, j, v) of the nonzeros in blocks with cells or vals."""
+    return nonzeros(blocks, keys)
 
 
 def hybrid_entries(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Nonzeros of dense blocks, read from their arrays, and the residual's."""
-    return to_coo(values(members, chosen, keys), keys).unionByName(residual(members, chosen, keys))
+    """Nonzeros of dense blocks, read from their cells, and the residual's."""
+    return nonzeros(packed(members, chosen, keys), keys).unionByName(residual(members, chosen, keys))
 
 
 def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, y): partial products of dense blocks and of the residual, summed once."""
-    return spmv(hybrid_entries(members, chosen, keys), x, keys)
+    """(keys, i, y): dense blocks are multiplied as blocks, the residual by a join; their partial sums meet in one aggregation."""
+    dense = block_products(packed(members, chosen, keys), x, 1, keys).select(*keys, "i", F.col("ys")[0].alias("y"))
+    rest = residual(members, chosen, keys).join(x, "j").select(*keys, "i", (F.col("v") * F.col("x")).alias("y"))
+    return dense.unionByName(rest).groupBy(*keys, "i").agg(F.sum("y").alias("y"))
+
+
+def hybrid_spmm_wide(members: DataFrame, chosen: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, k, y) for a right matrix whose rows are arrays (j, xs) of the given width, as hybrid_spmv()."""
+    dense = block_products(packed(members, chosen, keys), x, width, keys)
+    rest = residual(members, chosen, keys).join(x, "j").groupBy(*keys, "i").agg(F.array(*[F.sum(F.col("v") * F.element_at("xs", k + 1).cast("double")) for k in range(width)]).alias("ys"))
+    return summed_columns(dense.unionByName(rest), width, keys)
 
 
-def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    return spmm(hybrid_entries(members, chosen, keys), x, keys)
+def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
+    """(keys, i, k, y) for a right matrix (j, k, x) with columns 0 to width - 1, which are counted if not given; absent means zero."""
+    width = width or (x.agg(F.max("k")).first()[0] or 0) + 1
+    return hybrid_spmm_wide(members, chosen, wide_rows(x, width), width, keys)
 
 
 def kernel_spmv(blocks: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, y) of dense blocks against slices of x, with array functions: each output row is a dot
-    product inside the block. Slower than hybrid_spmv on wide data; kept for plans that hold
-    blocks as arrays throughout."""
-    columns = blocks.select("c0", "c1").distinct()
-    points = spread(columns, "c0", "c1", "j")
-    slices = points.join(x, "j", "left").groupBy("c0", "c1").agg(F.array_sort(F.collect_list(F.struct("j", F.coalesce("x", F.lit(0.0)).alias("x")))).alias("s"))
-    slices = slices.select("c0", "c1", F.transform("s", lambda s: s["x"]).alias("xs"))
-    expr = "transform(sequence(0, r1 - r0 - 1), r -> aggregate(sequence(0, c1 - c0 - 1), 0D, (s, c) -> s + element_at(vals, cast(c * (r1 - r0) + r + 1 as int)) * element_at(xs, cast(c + 1 as int))))"
-    parts = blocks.join(slices, ["c0", "c1"]).withColumn("ys", F.expr(expr)).select("r0", F.posexplode("ys").alias("r", "y"))
-    return parts.groupBy((F.col("r0") + F.col("r")).alias("i")).agg(F.sum("y").alias("y"))
+    """(i, y) of blocks with cells or vals, all treated as dense."""
+    return block_products(blocks, x, 1).groupBy("i").agg(F.sum(F.col("ys")[0]).alias("y"))
 
 
 def strip_work(chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -161,12 +161,12 @@ def report(chosen: DataFrame, cells: int | DataFrame, keys: tuple[str, ...] = ()
     return found.select(*keys, "nnz", (F.col("operated") - F.col("nnz")).alias("extra_nnz"), "num_blocks", "num_dense_blocks", share("nnz").alias("old_density"), share("operated").alias("new_density"))
 
 
-def blocked(matrix: Matrix, rows: DataFrame, columns: DataFrame) -> tuple[DataFrame, DataFrame]:
+def blocked(matrix: Matrix, rows: DataFrame | Uniform, columns: DataFrame | Uniform) -> tuple[DataFrame, DataFrame]:
     """Members and blocks of a matrix under given strips."""
     return blocked_all(matrix.df, rows, columns, ())
 
 
-def blocked_all(entries: DataFrame, rows: DataFrame, columns: DataFrame, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def blocked_all(entries: DataFrame, rows: DataFrame | Uniform, columns: DataFrame | Uniform, keys: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """As blocked(), for many matrices in one table."""
     members = assigned(entries, rows, columns, keys)
     return members, stats(members, keys)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stripmill.functions.scatter import scattered
 from stripmill.functions.similarity import Similarity, best_shift_or_zero
+from stripmill.operators.interval import Uniform
 from stripmill.operators.coo import Matrices, Matrix, counts, keys_of, slices
 from stripmill.operators.running import running_sum
 
@@ -88,10 +89,7 @@ def strips_by_hand(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame
 
 def strips_uniform(spark: SparkSession, n: int, parts: int) -> DataFrame:
     """(strip, lo, hi) of equal width; parts must divide n."""
-    if parts < 1 or n % parts:
-        raise ValueError(f"{parts} strips do not divide {n}")
-    width = n // parts
-    return spark.range(parts).select(F.col("id").alias("strip"), (F.col("id") * width).alias("lo"), ((F.col("id") + 1) * width).alias("hi"))
+    return Uniform(n, parts).table(spark)
 
 
 def strips_random(spark: SparkSession, n: int, parts: int, seed: int = 0) -> DataFrame:

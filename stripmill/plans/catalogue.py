@@ -15,6 +15,7 @@ from stripmill.operators import evaluation as E
 from stripmill.operators import partition as P
 from stripmill.operators import product as M
 from stripmill.operators import synth as Y
+from stripmill.operators.interval import Uniform
 from stripmill.operators.running import spread
 from stripmill.functions.scatter import scatter_sql
 from stripmill.sources import files as S
@@ -238,9 +239,9 @@ _SPLIT = f"{_BLOCKS}, ch AS (SELECT *, nnz * 100.0::DOUBLE / size > {DENSITY} AS
 
 def _blocked(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame, DataFrame, DataFrame]:
     matrix = T.part_supplier(spark, sf)
-    rows = P.strips_uniform(spark, matrix.rows, ROW_PARTS)
-    members, blocks = B.blocked(matrix, rows, P.strips_uniform(spark, matrix.columns, COLUMN_PARTS))
-    return matrix, rows, members, blocks
+    rows = Uniform(matrix.rows, ROW_PARTS)
+    members, blocks = B.blocked(matrix, rows, Uniform(matrix.columns, COLUMN_PARTS))
+    return matrix, rows.table(spark), members, blocks
 
 
 @_query("block_assign", f"WITH {_MEMBERS} SELECT a, b, i, j, v, r0, r1, c0, c1, pos FROM mem")
@@ -276,7 +277,7 @@ def block_values(spark: SparkSession, sf: str) -> DataFrame:
 @_query("blocks_to_coo", f"WITH {_PS} SELECT i, j, v FROM ps WHERE v <> 0")
 def blocks_to_coo(spark: SparkSession, sf: str) -> DataFrame:
     _, _, members, blocks = _blocked(spark, sf)
-    return B.to_coo(B.values(members, B.split(blocks, B.is_dense(0))))
+    return B.to_coo(B.packed(members, B.split(blocks, B.is_dense(0))))
 
 
 @_query("density_split", f"WITH {_SPLIT} SELECT bid, is_dense FROM ch")
@@ -315,14 +316,14 @@ for _name, _density in (("hybrid_spmv", DENSITY), ("all_sparse_spmv", 100.0), ("
 @_query("kernel_spmv", ORACLE_SQL["spmv"])
 def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
     members, blocks = B.stored(_blocked(spark, sf)[2])
-    return B.kernel_spmv(B.values(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
+    return B.kernel_spmv(B.packed(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
 
 
 @_query("hybrid_spmm", ORACLE_SQL["spmm"])
 def hybrid_spmm(spark: SparkSession, sf: str) -> DataFrame:
     matrix, _, members, _ = _blocked(spark, sf)
     members, blocks = B.stored(members)
-    return B.hybrid_spmm(members, kept(B.split(blocks, B.is_dense(DENSITY))), _right(spark, matrix.columns))
+    return B.hybrid_spmm(members, kept(B.split(blocks, B.is_dense(DENSITY))), _right(spark, matrix.columns), width=8)
 
 
 @_query("partition_pipeline", f"""WITH {_strips_sql("j", _V2)}, mem AS (SELECT i // ((SELECT m FROM d) // {ROW_PARTS}) AS a, strip AS b, count(*) AS nnz, any_value(hi - lo) * ((SELECT m FROM d) // {ROW_PARTS}) AS size FROM m JOIN strips ON j >= lo AND j < hi GROUP BY 1, 2)
@@ -531,9 +532,8 @@ def irregular_values(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("irregular_kernel_spmv", f"WITH {_PS}, {_X}, {_DIM}, r AS (SELECT DISTINCT i FROM ps WHERE i >= {EMPTY_ROWS}) SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) JOIN r USING (i) GROUP BY i")
 def irregular_kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
-    matrix, _, _, members, blocks = _irregular(spark, sf)
-    y = B.kernel_spmv(B.values(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
-    return y.join(matrix.df.select("i").distinct(), "i", "left_semi")
+    _, _, _, members, blocks = _irregular(spark, sf)
+    return B.kernel_spmv(B.packed(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
 
 
 @_query("irregular_hybrid_spmv", f"WITH {_PS}, {_X} SELECT i, sum(v * x) AS y FROM ps JOIN x USING (j) WHERE i >= {EMPTY_ROWS} GROUP BY i")
