@@ -64,12 +64,16 @@ def located(points: DataFrame, index: str, strips: DataFrame | Uniform, names: t
             found = _halves(at, [(r.strip, r.lo, r.hi) for r in sorted(edges, key=lambda r: r.lo)])
             inside = points.withColumn("_strip", found).where("_strip IS NOT NULL")
             return inside.select(*points.columns, F.col("_strip.strip").alias(name), F.col("_strip.lo").alias(low), F.col("_strip.hi").alias(high))
-    size = strips.agg(F.sum(F.col("hi") - F.col("lo")).alias("n"), F.count("*").alias("many")).first()
+    return binned(points, index, strips.select(*keys, "lo", "hi", F.col("strip").alias(name), F.col("lo").alias(low), F.col("hi").alias(high)), list(names), keys)
+
+
+def binned(points: DataFrame, index: str, ranges: DataFrame, columns: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """The points with the columns of each range (keys, lo, hi, ...) that they lie in; ranges may overlap."""
+    size = ranges.agg(F.sum(F.col("hi") - F.col("lo")).alias("n"), F.count("*").alias("many")).first()
     bin_ = max(1, (size.n or 0) // max(1, size.many))
-    of = strips.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("strip").alias(name), F.col("lo").alias(low), F.col("hi").alias(high))
-    bins = spread(of, F.expr(f"`{low}` div {bin_}"), F.expr(f"(`{high}` - 1) div {bin_} + 1"), "_bin")
-    cond = (F.expr(f"`{index}` div {bin_}") == F.col("_bin")) & (at >= F.col(low)) & (at < F.col(high))
+    of = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *columns)
+    bins = spread(of, F.expr(f"_lo div {bin_}"), F.expr(f"(_hi - 1) div {bin_} + 1"), "_bin")
+    cond = (F.expr(f"`{index}` div {bin_}") == F.col("_bin")) & (F.col(index) >= F.col("_lo")) & (F.col(index) < F.col("_hi"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
-    return points.join(bins, cond).select(*points.columns, *names)
-
+    return points.join(bins, cond).select(*points.columns, *columns)

@@ -18,6 +18,7 @@ from stripmill.operators import synth as Y
 from stripmill.operators.interval import Uniform
 from stripmill.operators.running import spread
 from stripmill.functions.scatter import scatter_sql
+from stripmill.operators.saved import chained, loads, product, saving
 from stripmill.sources import files as S
 from stripmill.sources import tables as T
 from stripmill.sources.scratch import kept, scratch
@@ -575,6 +576,97 @@ def learned_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return B.split(_learned(spark, sf)[4], B.is_dense(DENSITY)).select("a", "b", "nnz", "size", "is_dense")
 
 
+# Inspected once, multiplied many times; blocks times wide right sides -----------------------------
+
+#: Columns of a range, so that the vector is cut into three parts and more, and work of a place.
+_SPAN, _PLACE = 40, 4000
+
+
+@_query("placed_spmv", ORACLE_SQL["spmv"])
+def placed_spmv(spark: SparkSession, sf: str) -> DataFrame:
+    members, blocks = B.stored(_blocked(spark, sf)[2])
+    with saving(members, kept(B.split(blocks, B.is_dense(DENSITY))), _SPAN, _PLACE) as saved:
+        return kept(product(saved, T.suppliers_vector(spark, sf)))
+
+
+@_query("placed_loads", f"WITH {_SPLIT} SELECT CAST(sum(CASE WHEN is_dense THEN size ELSE nnz END) AS BIGINT) AS work, true AS balanced FROM ch")
+def placed_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """The work of all places, and whether none has more than its share and one tile: no tile here has more work than a block has cells."""
+    matrix, _, members, _ = _blocked(spark, sf)
+    members, blocks = B.stored(members)
+    with saving(members, kept(B.split(blocks, B.is_dense(DENSITY))), _SPAN, _PLACE) as saved:
+        most = _PLACE + matrix.rows // ROW_PARTS * (matrix.columns // COLUMN_PARTS)
+        return kept(loads(saved).agg(F.sum("work").alias("work"), (F.max("work") <= most).alias("balanced")))
+
+
+#: Products of each query, and what their results are scaled by, a power of two so that sums stay exact.
+TIMES, SCALE = 3, 1 / 1024
+_SYMMETRIC = f"{_PS}, sy AS (SELECT i, j, v FROM ps WHERE i >= j UNION ALL SELECT j, i, v FROM ps WHERE i > j)"
+
+
+def _symmetric(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    whole = T.part_supplier(spark, sf)
+    entries = C.symmetrized(whole.df.where("i >= j"))
+    edges = sorted({0, whole.columns, *range(0, whole.rows, max(1, whole.rows // 20)), whole.rows})
+    strips = P.strips_at(spark, edges)
+    return B.stored(B.assigned(entries, strips, strips))
+
+
+@_query("chained_products", f"""WITH {_SYMMETRIC}, x0 AS (SELECT CAST(s_suppkey AS BIGINT) AS j, CAST(1 + s_suppkey % 7 AS DOUBLE) AS x FROM supplier),
+{", ".join(f"x{k} AS (SELECT i AS j, sum(v * x) / 1024 AS x FROM sy JOIN x{k - 1} USING (j) GROUP BY i)" for k in range(1, TIMES + 1))} SELECT j AS i, x AS y FROM x{TIMES}""")
+def chained_products(spark: SparkSession, sf: str) -> DataFrame:
+    """The vector that TIMES products with one symmetric matrix lead to; the matrix is written once and not shuffled by any."""
+    members, blocks = _symmetric(spark, sf)
+    with saving(members, kept(B.split(blocks, B.is_dense(DENSITY)))) as saved:
+        return chained(saved, T.suppliers_vector(spark, sf), TIMES, SCALE)
+
+
+@_query("repeated_products", f"""WITH {_PS}, r AS (SELECT unnest(range(0, 5)) AS run) SELECT run, i, sum(v * (1 + (j + run) % 7)) AS y FROM ps, r GROUP BY 1, 2""")
+def repeated_products(spark: SparkSession, sf: str) -> DataFrame:
+    """Five vectors, one after the other, with the same saved matrix."""
+    matrix, _, members, _ = _blocked(spark, sf)
+    members, blocks = B.stored(members)
+    with saving(members, kept(B.split(blocks, B.is_dense(DENSITY)))) as saved:
+        x = lambda run: C.domain(spark, matrix.columns, "j").select("j", (1 + (F.col("j") + run) % 7).cast("double").alias("x"))
+        return kept(reduce(DataFrame.unionByName, [product(saved, x(run)).select(F.lit(run).cast("long").alias("run"), "i", "y") for run in range(5)]))
+
+
+@_query("hybrid_spmm_wide", ORACLE_SQL["spmm_wide"])
+def hybrid_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
+    x = T.embedding_rows(spark, sf)
+    members, blocks = B.stored(_blocked(spark, sf)[2])
+    width = len(x.select("xs").first().xs)
+    return B.hybrid_spmm_wide(members, kept(B.split(blocks, B.is_dense(DENSITY))), x, width).withColumn("y", F.round("y", 4))
+
+
+#: Columns of the right side of a dense matrix: suppliers by weeks, of which most cells are filled.
+WEEKS = 64
+_SW = "sw AS (SELECT l_suppkey AS i, date_diff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) // 7 AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2)"
+_SPMM_WEEKS = f"WITH {_SW}, k AS (SELECT unnest(range(0, {WEEKS})) AS k) SELECT i, k, sum(v * (1 + (j * (k + 1)) % 7)) AS y FROM sw, k GROUP BY i, k"
+
+
+def _weeks(spark: SparkSession, sf: str) -> tuple[C.Matrix, DataFrame]:
+    matrix = T.supplier_week(spark, sf)
+    x = C.domain(spark, matrix.columns, "j").select("j", F.transform(F.sequence(F.lit(1), F.lit(WEEKS)), lambda k: (1 + (F.col("j") * k) % 7).cast("double")).alias("xs"))
+    return matrix, x
+
+
+@_query("weeks_spmm_wide", _SPMM_WEEKS)
+def weeks_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
+    matrix, x = _weeks(spark, sf)
+    return M.spmm_wide(matrix.df, x, WEEKS)
+
+
+@_query("block_spmm_wide", _SPMM_WEEKS)
+def block_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """All blocks as dense ones: the work is that of the block product alone."""
+    matrix, x = _weeks(spark, sf)
+    rows = P.strips_at(spark, sorted({*range(0, matrix.rows, max(1, -(-matrix.rows // ROW_PARTS))), matrix.rows}))
+    members, blocks = B.blocked(matrix, rows, P.strips_at(spark, sorted({*range(0, matrix.columns, 64), matrix.columns})))
+    chosen = B.split(blocks, B.is_dense(0))
+    return B.hybrid_spmm_wide(kept(members), kept(chosen), x, WEEKS)
+
+
 # Many matrices in one table -----------------------------------------------------------------------
 
 _FLAGS = "f AS (SELECT l_returnflag AS matrix_id, l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"

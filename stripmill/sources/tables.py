@@ -39,6 +39,14 @@ def order_part(spark: SparkSession, sf_dir: str) -> Matrix:
     return Matrix(built(order_part_lines(spark, sf_dir)), *sizes(spark, sf_dir, ("orders", "o_orderkey"), ("part", "p_partkey")))
 
 
+def supplier_week(spark: SparkSession, sf_dir: str) -> Matrix:
+    """Quantity that each supplier shipped in each week since 1992: most cells are filled."""
+    week = F.expr("datediff(cast(l_shipdate as date), date'1992-01-01') div 7")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), week.cast("long").alias("j"), F.col("l_quantity").alias("v"))
+    columns = lines.agg(F.max("j")).first()[0]
+    return Matrix(built(lines), sizes(spark, sf_dir, ("supplier", "s_suppkey"))[0], int(columns or 0) + 1)
+
+
 def by_flag(spark: SparkSession, sf_dir: str) -> Matrices:
     """The parts x suppliers matrices of the lines with each return flag, which is the matrix_id."""
     rows, columns = sizes(spark, sf_dir, ("part", "p_partkey"), ("supplier", "s_suppkey"))
