@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from stripmill.operators.coo import Matrix
 from stripmill.operators.interval import Uniform, located
-from stripmill.operators.kernel import block_products, filled, nonzeros, summed_columns, unpacked, wide_rows
+from stripmill.operators.kernel import block_products, by_columns, filled, nonzeros, unpacked, wide_rows
 from stripmill.operators.running import running_sum
 from stripmill.sources.scratch import kept
 
@@ -47,6 +47,12 @@ def stats(members: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return numbered.select(*keys, (F.col("nth") - 1).alias("bid"), "a", "b", "r0", "r1", "c0", "c1", "nnz", "size", (F.col("upto") - F.col("size")).alias("offset"))
 
 
+def densities(members: DataFrame, rule: Column, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Blocks that have a nonzero, with nnz, size and is_dense, but without the numbers of stats() and split(), which products don't need."""
+    blocks = members.groupBy(*keys, "a", "b").agg(*[F.first(c).alias(c) for c in ("r0", "r1", "c0", "c1")], F.count("*").alias("nnz"))
+    return blocks.withColumn("size", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))).withColumn("is_dense", rule)
+
+
 def strip_pointers(blocks: DataFrame, rows: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, a, first, last) block numbers of every row strip, from first to before last; -1 where it has none."""
     per = blocks.groupBy(*keys, F.col("a").alias("strip")).agg(F.min("bid").alias("x"), (F.max("bid") + 1).alias("y"))
@@ -80,16 +86,15 @@ def residual(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ())
 def pieces(chosen: DataFrame) -> DataFrame:
     """Dense blocks, those over LARGEST cut into runs of whole columns, or of a part of one column, that
     keep to it; r0 r1 c0 c1 and size are the piece's, `first` is the address in the block where it begins."""
-    dense = chosen.where("is_dense").withColumn("_high", F.col("r1") - F.col("r0")).withColumn("_r", F.col("r0")).withColumn("_c", F.col("c0"))
-    tall, wide = F.least("_high", F.lit(LARGEST)), F.greatest(F.lit(1), F.floor(F.lit(LARGEST) / F.col("_high")))
-    cut = dense.withColumn("_tall", tall).withColumn("_wide", wide).withColumn("c0", F.explode(F.sequence("_c", F.col("c1") - 1, "_wide"))).withColumn("r0", F.explode(F.sequence("_r", F.col("r1") - 1, "_tall")))
-    cut = cut.withColumn("c1", F.least("c1", F.col("c0") + F.col("_wide"))).withColumn("r1", F.least("r1", F.col("r0") + F.col("_tall")))
-    cut = cut.withColumn("size", (F.col("r1") - F.col("r0")) * (F.col("c1") - F.col("c0"))).withColumn("first", (F.col("c0") - F.col("_c")) * F.col("_high") + F.col("r0") - F.col("_r"))
-    return cut.select(*chosen.columns, "first")
+    names = dict(high="r1 - r0", tall=f"least(r1 - r0, {LARGEST})", wide=f"greatest(1, {LARGEST} div (r1 - r0))")
+    dense = chosen.where("is_dense").selectExpr("*", *[f"{e} AS _{n}" for n, e in names.items()])
+    cut = dense.withColumn("_c", F.explode(F.expr("sequence(c0, c1 - 1, _wide)"))).withColumn("_r", F.explode(F.expr("sequence(r0, r1 - 1, _tall)")))
+    own = dict(r0="_r", r1="least(r1, _r + _tall)", c0="_c", c1="least(c1, _c + _wide)", size="(least(r1, _r + _tall) - _r) * (least(c1, _c + _wide) - _c)")
+    return cut.selectExpr(*[f"{own[c]} AS {c}" if c in own else c for c in chosen.columns], "(_c - c0) * _high + _r - r0 AS first")
 
 
-def packed(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Dense blocks, in pieces(), with `cells`: their values as doubles in binary, column by column, zeros included.
+def packed(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = (), cut: DataFrame | None = None) -> DataFrame:
+    """Dense blocks, in pieces(), which may be given, with `cells`: their values as doubles in binary, column by column, zeros included.
 
     Only members of dense blocks are gathered, at most LARGEST of them in one row."""
     dense = members.join(chosen.where("is_dense").select(*keys, "a", "b"), [*keys, "a", "b"], "left_semi")
@@ -102,7 +107,7 @@ def packed(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) ->
     c0, r0 = column - column % wide, row - row % tall
     at = (column - c0) * F.least(tall, high - r0) + row - r0
     cells = dense.select(*keys, "a", "b", first.cast("long").alias("first"), F.struct(at.cast("int").alias("at"), "v").alias("cell")).groupBy(*keys, "a", "b", "first").agg(F.collect_list("cell").alias("_cells"))
-    met = pieces(chosen).join(cells, [*keys, "a", "b", "first"], "left").select(*chosen.columns, "first", F.col("_cells.at").alias("_at"), F.col("_cells.v").alias("_v"))
+    met = (pieces(chosen) if cut is None else cut).join(cells, [*keys, "a", "b", "first"], "left").select(*chosen.columns, "first", F.col("_cells.at").alias("_at"), F.col("_cells.v").alias("_v"))
     return filled(met)
 
 
@@ -123,16 +128,19 @@ def hybrid_entries(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...]
 
 def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, y): dense blocks are multiplied as blocks, the residual by a join; their partial sums meet in one aggregation."""
-    dense = block_products(packed(members, chosen, keys), x, 1, keys).select(*keys, "i", F.col("ys")[0].alias("y"))
+    cut = pieces(chosen)
+    dense = block_products(packed(members, chosen, keys, cut), x, 1, keys, cut).select(*keys, "i", F.col("ys")[0].alias("y"))
     rest = residual(members, chosen, keys).join(x, "j").select(*keys, "i", (F.col("v") * F.col("x")).alias("y"))
     return dense.unionByName(rest).groupBy(*keys, "i").agg(F.sum("y").alias("y"))
 
 
 def hybrid_spmm_wide(members: DataFrame, chosen: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, k, y) for a right matrix whose rows are arrays (j, xs) of the given width, as hybrid_spmv()."""
-    dense = block_products(packed(members, chosen, keys), x, width, keys)
-    rest = residual(members, chosen, keys).join(x, "j").groupBy(*keys, "i").agg(F.array(*[F.sum(F.col("v") * F.element_at("xs", k + 1).cast("double")) for k in range(width)]).alias("ys"))
-    return summed_columns(dense.unionByName(rest), width, keys)
+    cut = pieces(chosen)
+    dense = by_columns(block_products(packed(members, chosen, keys, cut), x, width, keys, cut), keys)
+    # a row for each column, and not a sum for each: code for many sums is too long to be compiled
+    rest = by_columns(residual(members, chosen, keys).join(x, "j").select(*keys, "i", F.transform(F.col("xs").cast("array<double>"), lambda e: e * F.col("v")).alias("ys")), keys)
+    return dense.unionByName(rest).groupBy(*keys, "i", "k").agg(F.sum("y").alias("y"))
 
 
 def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:
@@ -141,9 +149,9 @@ def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple
     return hybrid_spmm_wide(members, chosen, wide_rows(x, width), width, keys)
 
 
-def kernel_spmv(blocks: DataFrame, x: DataFrame) -> DataFrame:
-    """(i, y) of blocks with cells or vals, all treated as dense."""
-    return block_products(blocks, x, 1).groupBy("i").agg(F.sum(F.col("ys")[0]).alias("y"))
+def kernel_spmv(blocks: DataFrame, x: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
+    """(i, y) of blocks with cells or vals, all treated as dense; ranges (c0, c1) of their columns, if they are known otherwise."""
+    return block_products(blocks, x, 1, (), ranges).groupBy("i").agg(F.sum(F.col("ys")[0]).alias("y"))
 
 
 def strip_work(chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -1,21 +1,21 @@
 """Which strip an index lies in: an interval join without a row for each index.
 
-Uniform strips need arithmetic only. Of a few strips the boundaries become an expression that goes through them by halves, inside
-the stage that reads the entries. More strips are sent to bins of the index, about as many as there are strips, so
-that the join is an equi-join on the bin with a table of about three rows a strip, which Spark broadcasts if it is small.
+Uniform strips need arithmetic only. Others are sent to bins of the index, about as many as there are strips, so that the join is an equi-join
+on the bin with a table of about three rows a strip. Up to FEW strips are counted and the table is broadcast, so that entries stay where they are; beyond
+that Spark knows its size and decides.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripmill.operators.running import spread
 
-#: Strips whose boundaries become an expression.
-FEW = 64
+#: Strips whose bins are broadcast.
+FEW = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -38,15 +38,6 @@ class Uniform:
         return spark.range(self.parts).select(F.col("id").alias("strip"), (F.col("id") * self.width).alias("lo"), ((F.col("id") + 1) * self.width).alias("hi"))
 
 
-def _halves(index: Column, edges: list[tuple[int, int, int]]) -> Column:
-    """The strip (strip, lo, hi) of an index, null outside of all; edges are disjoint and in order."""
-    if len(edges) == 1:
-        strip, lo, hi = (F.lit(x).cast("long") for x in edges[0])
-        return F.when((index >= lo) & (index < hi), F.struct(strip.alias("strip"), lo.alias("lo"), hi.alias("hi")))
-    half = len(edges) // 2
-    return F.when(index < F.lit(edges[half][1]).cast("long"), _halves(index, edges[:half])).otherwise(_halves(index, edges[half:]))
-
-
 def located(points: DataFrame, index: str, strips: DataFrame | Uniform, names: tuple[str, str, str], keys: tuple[str, ...] = (), few: int = FEW) -> DataFrame:
     """The points inside of a strip, with the strip's number and bounds under the three names. Strips (keys, strip, lo, hi) of
     one key must not overlap."""
@@ -56,14 +47,12 @@ def located(points: DataFrame, index: str, strips: DataFrame | Uniform, names: t
         k = F.expr(f"`{index}` div {max(1, strips.width)}")
         return points.where((at >= 0) & (at < strips.n)).select("*", k.alias(name), (k * strips.width).alias(low), ((k + 1) * strips.width).alias(high))
     strips = strips.where("lo < hi")
+    own = [F.col("strip").alias(name), F.col("lo").alias(low), F.col("hi").alias(high)]
     if not keys:
-        edges = strips.select("lo", "hi", "strip").limit(few + 1).collect()  # a few rows, or too many
-        if not edges:
-            return points.limit(0).select("*", *[F.lit(0).cast("long").alias(n) for n in names])
+        edges = strips.select("strip", "lo", "hi").limit(few + 1).collect()
         if len(edges) <= few:
-            found = _halves(at, [(r.strip, r.lo, r.hi) for r in sorted(edges, key=lambda r: r.lo)])
-            inside = points.withColumn("_strip", found).where("_strip IS NOT NULL")
-            return inside.select(*points.columns, F.col("_strip.strip").alias(name), F.col("_strip.lo").alias(low), F.col("_strip.hi").alias(high))
+            bin_ = max(1, sum(e.hi - e.lo for e in edges) // max(1, len(edges)))
+            return _joined(points, index, F.broadcast(_bins(points.sparkSession.createDataFrame(edges, strips.select("strip", "lo", "hi").schema).select("lo", "hi", *own), list(names), bin_)), list(names), bin_)
     return binned(points, index, strips.select(*keys, "lo", "hi", F.col("strip").alias(name), F.col("lo").alias(low), F.col("hi").alias(high)), list(names), keys)
 
 
@@ -71,9 +60,16 @@ def binned(points: DataFrame, index: str, ranges: DataFrame, columns: list[str],
     """The points with the columns of each range (keys, lo, hi, ...) that they lie in; ranges may overlap."""
     size = ranges.agg(F.sum(F.col("hi") - F.col("lo")).alias("n"), F.count("*").alias("many")).first()
     bin_ = max(1, (size.n or 0) // max(1, size.many))
+    return _joined(points, index, _bins(ranges, columns, bin_, keys), columns, bin_, keys)
+
+
+def _bins(ranges: DataFrame, columns: list[str], width: int, keys: tuple[str, ...] = ()) -> DataFrame:
     of = ranges.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), *columns)
-    bins = spread(of, F.expr(f"_lo div {bin_}"), F.expr(f"(_hi - 1) div {bin_} + 1"), "_bin")
-    cond = (F.expr(f"`{index}` div {bin_}") == F.col("_bin")) & (F.col(index) >= F.col("_lo")) & (F.col(index) < F.col("_hi"))
+    return spread(of, F.expr(f"_lo div {width}"), F.expr(f"(_hi - 1) div {width} + 1"), "_bin")
+
+
+def _joined(points: DataFrame, index: str, bins: DataFrame, columns: list[str], width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    cond = (F.expr(f"`{index}` div {width}") == F.col("_bin")) & (F.col(index) >= F.col("_lo")) & (F.col(index) < F.col("_hi"))
     for k in keys:
         cond = cond & (F.col(k) == F.col(f"_{k}"))
     return points.join(bins, cond).select(*points.columns, *columns)

@@ -176,9 +176,10 @@ def _multiply(width: int, keys: tuple[str, ...]) -> Callable[[Iterator[pa.Record
     return run
 
 
-def block_products(blocks: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, ys): partial sums of blocks with cells or vals times x, which is (j, x), or (j, xs) with arrays of the given width."""
-    met = blocks.select(*keys, "r0", "r1", "c0", "c1", _cells(blocks)).join(slices(blocks, x), ["c0", "c1"])
+def block_products(blocks: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = (), ranges: DataFrame | None = None) -> DataFrame:
+    """(keys, i, ys): partial sums of blocks with cells or vals times x, which is (j, x), or (j, xs) with arrays of the given width.
+    Ranges have the blocks' (c0, c1), for where reading the blocks for them would cost more."""
+    met = blocks.select(*keys, "r0", "r1", "c0", "c1", _cells(blocks)).join(slices(blocks if ranges is None else ranges, x), ["c0", "c1"])
     schema = T.StructType([*[blocks.schema[k] for k in keys], T.StructField("i", T.LongType()), T.StructField("ys", T.ArrayType(T.DoubleType()))])
     return met.mapInArrow(_multiply(width, keys), schema)
 
@@ -188,7 +189,6 @@ def wide_rows(x: DataFrame, width: int) -> DataFrame:
     return x.groupBy("j").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("k") == k, F.col("x"))), F.lit(0.0)) for k in range(width)]).alias("xs"))
 
 
-def summed_columns(parts: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def by_columns(parts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, k, y) from partial sums (keys, i, ys)."""
-    sums = parts.groupBy(*keys, "i").agg(*[F.sum(F.col("ys")[k]).alias(f"y{k}") for k in range(width)])
-    return sums.select(*keys, "i", F.posexplode(F.array(*[f"y{k}" for k in range(width)])).alias("k", "y")).select(*keys, "i", F.col("k").cast("long").alias("k"), "y")
+    return parts.select(*keys, "i", F.posexplode("ys").alias("k", "y")).select(*keys, "i", F.col("k").cast("long").alias("k"), "y")

@@ -33,9 +33,9 @@ def spmm(entries: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     return entries.where("v <> 0").join(x, "j").groupBy(*keys, "i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
-def spmm_wide(entries: DataFrame, x: DataFrame, width: int) -> DataFrame:
+def spmm_wide(entries: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """As spmm, with the right matrix's rows as arrays (j, xs): the join moves each row once, and
     one shuffled row for each i carries a sum per column."""
     sums = [F.sum(F.col("v") * F.element_at("xs", k + 1).cast("double")).alias(f"y{k}") for k in range(width)]
-    wide = entries.where("v <> 0").join(x, "j").groupBy("i").agg(*sums)
-    return wide.select("i", F.posexplode(F.array(*[f"y{k}" for k in range(width)])).alias("k", "y")).select("i", F.col("k").cast("long").alias("k"), "y")
+    wide = entries.where("v <> 0").join(x, "j").groupBy(*keys, "i").agg(*sums)
+    return wide.select(*keys, "i", F.posexplode(F.array(*[f"y{k}" for k in range(width)])).alias("k", "y")).select(*keys, "i", F.col("k").cast("long").alias("k"), "y")

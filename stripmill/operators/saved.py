@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from stripmill.operators.blocks import packed
 from stripmill.operators.interval import binned
-from stripmill.operators.kernel import CELLS, doubles, groups, lists, multiplied, numbers, summed_columns
+from stripmill.operators.kernel import CELLS, by_columns, doubles, groups, lists, multiplied, numbers
 from stripmill.sources.scratch import kept, removed, scratch
 
 #: Cells or entries of a place, at most but for one tile a round; entries of a tile; columns of a range.
@@ -167,7 +167,7 @@ def product(saved: Saved, x: DataFrame, width: int = 1) -> DataFrame:
     parts = saved.tiles.groupBy("place").cogroup(sent.groupBy("place")).applyInArrow(_product(width), "i long, ys array<double>")
     if "x" in x.columns:
         return parts.groupBy("i").agg(F.sum(F.col("ys")[0]).alias("y"))
-    return summed_columns(parts, width)
+    return by_columns(parts).groupBy("i", "k").agg(F.sum("y").alias("y"))
 
 
 def chained(saved: Saved, x: DataFrame, times: int, scale: float = 1.0) -> DataFrame:

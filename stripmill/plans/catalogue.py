@@ -302,10 +302,17 @@ def residual_coo(spark: SparkSession, sf: str) -> DataFrame:
     return B.residual(members, B.split(blocks, B.is_dense(DENSITY)))
 
 
+def _split_blocks(spark: SparkSession, sf: str, density: float) -> tuple[C.Matrix, DataFrame, DataFrame]:
+    """A matrix, its members, and its blocks, of which there are no more than ROW_PARTS * COLUMN_PARTS, so that they may be broadcast."""
+    matrix = T.part_supplier(spark, sf)
+    members = B.assigned(matrix.df, Uniform(matrix.rows, ROW_PARTS), Uniform(matrix.columns, COLUMN_PARTS))
+    return matrix, members, F.broadcast(B.densities(members, B.is_dense(density)))
+
+
 def _hybrid(density: float) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        members, blocks = B.stored(_blocked(spark, sf)[2])
-        return B.hybrid_spmv(members, kept(B.split(blocks, B.is_dense(density))), T.suppliers_vector(spark, sf))
+        _, members, chosen = _split_blocks(spark, sf, density)
+        return B.hybrid_spmv(members, chosen, T.suppliers_vector(spark, sf))
 
     return run
 
@@ -316,15 +323,15 @@ for _name, _density in (("hybrid_spmv", DENSITY), ("all_sparse_spmv", 100.0), ("
 
 @_query("kernel_spmv", ORACLE_SQL["spmv"])
 def kernel_spmv(spark: SparkSession, sf: str) -> DataFrame:
-    members, blocks = B.stored(_blocked(spark, sf)[2])
-    return B.kernel_spmv(B.packed(members, B.split(blocks, B.is_dense(0))), T.suppliers_vector(spark, sf))
+    _, members, chosen = _split_blocks(spark, sf, 0)
+    cut = B.pieces(chosen)
+    return B.kernel_spmv(B.packed(members, chosen, (), cut), T.suppliers_vector(spark, sf), cut)
 
 
 @_query("hybrid_spmm", ORACLE_SQL["spmm"])
 def hybrid_spmm(spark: SparkSession, sf: str) -> DataFrame:
-    matrix, _, members, _ = _blocked(spark, sf)
-    members, blocks = B.stored(members)
-    return B.hybrid_spmm(members, kept(B.split(blocks, B.is_dense(DENSITY))), _right(spark, matrix.columns), width=8)
+    matrix, members, chosen = _split_blocks(spark, sf, DENSITY)
+    return B.hybrid_spmm(members, chosen, _right(spark, matrix.columns), width=8)
 
 
 @_query("partition_pipeline", f"""WITH {_strips_sql("j", _V2)}, mem AS (SELECT i // ((SELECT m FROM d) // {ROW_PARTS}) AS a, strip AS b, count(*) AS nnz, any_value(hi - lo) * ((SELECT m FROM d) // {ROW_PARTS}) AS size FROM m JOIN strips ON j >= lo AND j < hi GROUP BY 1, 2)
@@ -634,9 +641,9 @@ def repeated_products(spark: SparkSession, sf: str) -> DataFrame:
 @_query("hybrid_spmm_wide", ORACLE_SQL["spmm_wide"])
 def hybrid_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
     x = T.embedding_rows(spark, sf)
-    members, blocks = B.stored(_blocked(spark, sf)[2])
+    _, members, chosen = _split_blocks(spark, sf, DENSITY)
     width = len(x.select("xs").first().xs)
-    return B.hybrid_spmm_wide(members, kept(B.split(blocks, B.is_dense(DENSITY))), x, width).withColumn("y", F.round("y", 4))
+    return B.hybrid_spmm_wide(members, chosen, x, width).withColumn("y", F.round("y", 4))
 
 
 #: Columns of the right side of a dense matrix: suppliers by weeks, of which most cells are filled.
@@ -661,10 +668,9 @@ def weeks_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
 def block_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
     """All blocks as dense ones: the work is that of the block product alone."""
     matrix, x = _weeks(spark, sf)
-    rows = P.strips_at(spark, sorted({*range(0, matrix.rows, max(1, -(-matrix.rows // ROW_PARTS))), matrix.rows}))
-    members, blocks = B.blocked(matrix, rows, P.strips_at(spark, sorted({*range(0, matrix.columns, 64), matrix.columns})))
-    chosen = B.split(blocks, B.is_dense(0))
-    return B.hybrid_spmm_wide(kept(members), kept(chosen), x, WEEKS)
+    edges = lambda n, parts: P.strips_at(spark, sorted({*range(0, n, max(1, -(-n // parts))), n}))
+    members = B.assigned(matrix.df, edges(matrix.rows, ROW_PARTS), edges(matrix.columns, COLUMN_PARTS))
+    return B.hybrid_spmm_wide(members, F.broadcast(B.densities(members, B.is_dense(0))), x, WEEKS)
 
 
 # Many matrices in one table -----------------------------------------------------------------------
