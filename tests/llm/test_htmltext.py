@@ -93,3 +93,36 @@ def test_deep_nesting_takes_little_memory():
     assert Page(html).text(None) == "deep inside"
     assert tracemalloc.get_traced_memory()[1] < 50 << 20
     tracemalloc.stop()
+
+
+def test_the_whole_article_is_taken():
+    para = "words of one section, as long as those of any other. " * 6
+    four = "".join(f"<div class='{n}'><section class='inner'><p>{n} {para}</p></section></div>" for n in ("intro", "method", "results", "end"))
+    want = "\n".join(f"{n} {para.strip()}" for n in ("intro", "method", "results", "end"))
+    for open_, close in (("<main>", "</main>"), ("<div class=page>", "</div>"), ("<div class=a><div class=b>", "</div></div>")):
+        html = f"<body><nav><p>menu</p></nav>{open_}{four}{close}<div class='ad'><p>buy</p></div></body>"
+        assert Page(html).text(None) == want
+        # the host's vote, whichever of the four wins
+        for _, path, _, _ in Page(html).best():
+            assert Page(html).text(path) == want
+    short = f"<body><div class=page><div class=lead><p>Short lead.</p></div><div class=body><p>{para * 9}</p></div><ul class=more><li><a href=x>a link</a></li></ul></div></body>"
+    assert Page(short).text(None) == f"Short lead.\n{(para * 9).strip()}"
+
+
+def test_names_that_only_contain_a_suspect_word_are_no_reason():
+    para = "what a section says, and it is part of the article. " * 3
+    for name in ("side-effects", "promotion-board", "related-work", "consent-law", "menu-planning"):
+        html = f"<body><main><p>{para * 5}</p><div class='{name}'><p>{name}: {para}</p></div></main></body>"
+        assert Page(html).text(None) == f"{(para * 5).strip()}\n{name}: {para.strip()}"
+    for name in ("related-posts", "comment-list", "cookie-notice", "newsletter-signup", "share-buttons", "ad-box", "sidebar", "menu"):
+        html = f"<body><main><p>{para * 5}</p><div class='{name}'><p>{name}: {para}</p></div></main></body>"
+        assert Page(html).text(None) == (para * 5).strip()
+
+
+def test_reading_is_linear():
+    import time
+
+    began = time.perf_counter()
+    for html in ("<div>" * 64_000 + "</section>" * 64_000, "<section><table><tr><td>" + "<div>" * 64_000 + "</section>" * 64_000, "<ul>" + "<li><div>" * 64_000 + "</ol>" * 64_000, "<div><p>x" * 64_000):
+        Page(html + "<p>text").text(None)
+    assert time.perf_counter() - began < 40
