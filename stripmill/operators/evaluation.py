@@ -143,8 +143,10 @@ def parameter_grid(spark: SparkSession, heights: list[int], widths: list[int], z
 
 
 def trained(rows: DataFrame, seed: int = 42, trees: int = 20) -> tuple[PipelineModel, float]:
-    """A forest that tells dense blocks by FEATURES, and its mean squared error on a held-out fifth."""
-    train, test = rows.randomSplit([0.8, 0.2], seed)
+    """A forest that tells dense blocks by FEATURES, and its mean squared error on a held-out fifth. A hash of the row decides which rows
+    these are, so they don't depend on how the rows lie in partitions; equal rows are on one side."""
+    held_out = F.pmod(F.xxhash64(F.lit(seed), *FEATURES, "target"), F.lit(5)) == 0
+    train, test = rows.where(~held_out), rows.where(held_out)
     forest = RandomForestClassifier(featuresCol="features", labelCol="target", numTrees=trees, seed=seed)
     model = Pipeline(stages=[VectorAssembler(inputCols=list(FEATURES), outputCol="features"), forest]).fit(train)
     found = model.transform(test).select("prediction", F.col("target").cast("double").alias("target"))
@@ -160,6 +162,30 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+def forest_sql(spark: SparkSession, path: str) -> str:
+    """A saved forest as an SQL condition on FEATURES: whether the trees' shares for dense outweigh those against. It needs no model where it
+    runs, and Spark compiles it with the rest of its stage. Of the forest's nodes, as many as it was given room for, all come to the driver."""
+    trees: dict[int, dict[int, object]] = {}
+    for row in spark.read.parquet(f"{path}/stages/*RandomForest*/data").collect():
+        trees.setdefault(row.treeID, {})[row.nodeData.id] = row.nodeData
+
+    def written(nodes: dict[int, object], at: int) -> str:
+        node = nodes[at]
+        if node.leftChild < 0:
+            against, for_ = node.impurityStats
+            return f"{(for_ - against) / (for_ + against)!r}D"
+        name, most = FEATURES[node.split.featureIndex], node.split.leftCategoriesOrThreshold[0]
+        return f"CASE WHEN {name} <= {most!r}D THEN {written(nodes, node.leftChild)} ELSE {written(nodes, node.rightChild)} END"
+
+    return " + ".join(f"({written(nodes, 0)})" for _, nodes in sorted(trees.items())) + " > 0"
+
+
+def classified_by_sql(blocks: DataFrame, rule: str) -> DataFrame:
+    """As classified(), by a condition of forest_sql()."""
+    shaped = blocks.withColumns({"dim1": F.col("r1") - F.col("r0"), "dim2": F.col("c1") - F.col("c0"), "density": F.col("nnz") * 100.0 / F.col("size")})
+    return shaped.withColumn("is_dense", F.expr(rule)).select(*blocks.columns, "is_dense")
+
+
 def classified(blocks: DataFrame, model: PipelineModel) -> DataFrame:
     """Blocks with is_dense as the model says from height, width and percentage of nonzeros."""
     shaped = blocks.withColumns({"dim1": F.col("r1") - F.col("r0"), "dim2": F.col("c1") - F.col("c0"), "density": F.col("nnz") * 100.0 / F.col("size")})

@@ -22,6 +22,7 @@ from stripmill.operators.saved import chained, loads, product, saving
 from stripmill.sources import files as S
 from stripmill.sources import tables as T
 from stripmill.sources.scratch import kept, scratch
+from stripmill.streaming.products import corrections, summed, written_until_now
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,8 +464,27 @@ def param_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query("rf_block_choice")
 def rf_block_choice(spark: SparkSession, sf: str) -> DataFrame:
-    model, _ = E.trained(E.labelled(_training(spark, sf)))
-    return E.classified(_blocked(spark, sf)[3], model).select("bid", "a", "b", "nnz", "size", "is_dense")
+    path = f"{scratch(spark)}/forest"
+    E.save_model(E.trained(E.labelled(_training(spark, sf)))[0], path)
+    return E.classified_by_sql(_blocked(spark, sf)[3], E.forest_sql(spark, path)).select("bid", "a", "b", "nnz", "size", "is_dense")
+
+
+#: A fifth of the lines is held out by a hash; of it those are asked that lie far from where storing densely begins to pay.
+_HELD_OUT = scatter_sql("l_orderkey * 8 + l_linenumber", 5) + " % 5 = 0"
+_FAR = "(l_orderkey % 100 < 15 OR l_orderkey % 100 >= 85)"
+
+
+@_query("forest_rows", f"SELECT l_orderkey, l_linenumber, l_orderkey % 100 < 50 AS is_dense FROM lineitem WHERE {_HELD_OUT} AND {_FAR}")
+def forest_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A forest trained on four fifths of the lines, as blocks that were timed, tells the others as a condition."""
+    lines = T.table(spark, sf, "lineitem")
+    shape = lines.select("l_orderkey", "l_linenumber", (40 + F.col("l_partkey") % 160).alias("dim1"), (40 + F.col("l_suppkey") % 160).alias("dim2"), (F.col("l_orderkey") % 100).alias("perc_zeros"), F.expr(_HELD_OUT).alias("held_out"))
+    timed = shape.where("not held_out").selectExpr("dim1", "dim2", "perc_zeros", "(dim1 * dim2 * (100 - perc_zeros)) div 100 AS nnz", "CAST(108 - perc_zeros AS double) AS csr_time", "40D AS block_time")
+    start = spark.range(1).selectExpr("1L AS dim1", "1L AS dim2", "100L AS perc_zeros", "0L AS nnz", "8D AS csr_time", "1D AS block_time")
+    path = f"{scratch(spark)}/forest"
+    E.save_model(E.trained(E.labelled(timed.unionByName(start)))[0], path)
+    asked = shape.where("held_out").where(_FAR).withColumn("density", 100 - F.col("perc_zeros"))
+    return asked.select("l_orderkey", "l_linenumber", F.expr(E.forest_sql(spark, path)).alias("is_dense"))
 
 
 #: Rows, columns, row strips, column strips, dense blocks, percent of zeros in them, and sparse blocks.
@@ -673,6 +693,22 @@ def block_spmm_wide(spark: SparkSession, sf: str) -> DataFrame:
     return B.hybrid_spmm_wide(members, F.broadcast(B.densities(members, B.is_dense(0))), x, WEEKS)
 
 
+# A stream of entries that may be corrected ----------------------------------------------------------
+
+
+@_query("streamed_corrections", """WITH e AS (SELECT user_id AS i, CAST(extract(hour FROM ts) AS BIGINT) AS j, max_by(value, event_id) AS v FROM events GROUP BY 1, 2)
+SELECT i, sum(round(v * 100) * (1 + j % 5)) AS y FROM e GROUP BY i""")
+def streamed_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Users by hours of the day from the events as a stream: of each place the last event's value holds."""
+    schema = T.table(spark, sf, "events").schema
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
+    entries = events.select(F.col("user_id").alias("i"), F.hour("ts").cast("long").alias("j"), F.round(F.col("value") * 100).alias("v"), F.col("event_id").alias("nth"), F.col("ts").cast("timestamp").alias("ts"))
+    x = C.domain(spark, 24, "j").select("j", (1 + F.col("j") % 5).cast("double").alias("x"))
+    path = scratch(spark)
+    written_until_now(corrections(entries, x, "36500 days"), path)
+    return summed(spark, path)
+
+
 # Many matrices in one table -----------------------------------------------------------------------
 
 _FLAGS = "f AS (SELECT l_returnflag AS matrix_id, l_partkey AS i, l_suppkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3)"
@@ -807,11 +843,11 @@ def file_result(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
 
 
-@_query("file_timings", "SELECT event_type AS name, user_id % 3 AS rep, event_id + user_id % 3 + 0.5::DOUBLE AS t FROM events WHERE event_id % 2 = 0")
+@_query("file_timings", "SELECT event_type AS name, user_id % 3 AS rep, event_id + user_id % 3 + 0.5::DOUBLE AS t FROM events")
 def file_timings(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{scratch(spark)}/timings"
     at = (F.col("user_id") % 3).cast("int")
-    events = T.table(spark, sf, "events").where("event_id % 2 = 0")
+    events = T.table(spark, sf, "events")
     # the measurement stands in the field of its repetition; fields before it hold an error
     events.select(F.concat_ws(",", "event_type", F.array_repeat(F.lit("ERROR"), at), (F.col("event_id") + at + 0.5).cast("decimal(30,1)").cast("string")).alias("value")).write.text(path)
     return S.read_timings(spark, path)

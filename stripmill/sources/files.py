@@ -261,7 +261,7 @@ def write_result(y: DataFrame, path: str) -> None:
 def read_timings(spark: SparkSession, path: str) -> DataFrame:
     """(name, rep, t) of headerless lines name,t1,t2,... of any length."""
     fields = F.split("value", ",")
-    rows = spark.read.text(path).select(F.trim(fields[0]).alias("name"), F.posexplode(F.slice(fields, 2, 1 << 20)).alias("rep", "t"))
+    rows = spark.read.text(path).select(F.trim(fields[0]).alias("name"), F.posexplode(F.slice(fields, F.lit(2), F.size(fields))).alias("rep", "t"))
     return rows.select("name", F.col("rep").cast("long").alias("rep"), F.expr("try_cast(trim(t) as double)").alias("t")).where("t is not null")
 
 

@@ -1,8 +1,20 @@
-"""Products of a matrix whose entries arrive as a stream."""
+"""Products of a matrix whose entries arrive as a stream.
+
+Sums are associative, so plain entries need no more than a running aggregation. Where an entry may be corrected, delivered again or arrive
+out of order, each place (i, j) has its own state: the number of the last entry taken and what it gives to the result. An
+entry with a greater number takes its place and sends out the difference; one with the same or a smaller number changes nothing. The
+differences are appended to a table, written exactly once for each batch, and the product is their sum. State is a row for each place of the
+matrix, kept with the stream's checkpoint, so a stream that is stopped goes on where it was.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stripmill.operators.product import spmv
 
@@ -11,3 +23,37 @@ def running_spmv(entries: DataFrame, x: DataFrame) -> DataFrame:
     """(i, y) over a stream of entries (i, j, v), for update or complete output: sums are
     associative, so each batch adds to its rows. The state holds a row for each row of the matrix."""
     return spmv(entries, x)
+
+
+def _replaced(key: tuple[int, int], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The difference that a place's entries of one batch make."""
+    nth, held = state.get if state.exists else (None, 0.0)
+    limit = state.getCurrentWatermarkMs()
+    last = None
+    for rows in batches:
+        rows = rows[rows["ms"] >= limit]
+        if len(rows):
+            row = rows.sort_values(["nth", "y"]).iloc[-1]
+            if last is None or (row["nth"], row["y"]) > last:
+                last = int(row["nth"]), float(row["y"])
+    if last is not None and (nth is None or last[0] > nth):
+        state.update(last)
+        yield pd.DataFrame({"i": [key[0]], "dy": [last[1] - held]})
+
+
+def corrections(entries: DataFrame, x: DataFrame, delay: str) -> DataFrame:
+    """(i, dy) for append output: what the result of row i changes by, from a stream of entries (i, j, v, nth, ts) of which the one with the
+    greatest nth holds at each place, the greatest of equal ones. Entries that are `delay` or more older than the latest are dropped."""
+    timed = entries.withWatermark("ts", delay).join(x, "j").select("i", "j", (F.col("v") * F.col("x")).alias("y"), "nth", "ts", F.unix_millis("ts").alias("ms"))
+    return timed.groupBy("i", "j").applyInPandasWithState(_replaced, "i long, dy double", "nth long, y double", "append", GroupStateTimeout.NoTimeout)
+
+
+def written_until_now(changes: DataFrame, path: str) -> None:
+    """Appends what has arrived to the table at path/changes, from where the last call for this path ended."""
+    query = changes.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/changes")
+    query.awaitTermination()
+
+
+def summed(spark, path: str) -> DataFrame:
+    """(i, y) after all that written_until_now() has written."""
+    return spark.read.schema("i long, dy double").parquet(f"{path}/changes").groupBy("i").agg(F.sum("dy").alias("y"))
