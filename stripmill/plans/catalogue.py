@@ -22,7 +22,7 @@ from stripmill.operators.saved import chained, loads, product, saving
 from stripmill.sources import files as S
 from stripmill.sources import tables as T
 from stripmill.sources.scratch import kept, scratch
-from stripmill.streaming.products import corrections, summed, written_until_now
+from stripmill.streaming.products import latest, summed, written_until_now
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -701,11 +701,11 @@ SELECT i, sum(round(v * 100) * (1 + j % 5)) AS y FROM e GROUP BY i""")
 def streamed_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Users by hours of the day from the events as a stream: of each place the last event's value holds."""
     schema = T.table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet")
-    entries = events.select(F.col("user_id").alias("i"), F.hour("ts").cast("long").alias("j"), F.round(F.col("value") * 100).alias("v"), F.col("event_id").alias("nth"), F.col("ts").cast("timestamp").alias("ts"))
+    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")  # a pattern, as a stream's path, unlike a pattern, must be a folder
+    entries = events.select(F.col("user_id").alias("i"), F.hour("ts").cast("long").alias("j"), F.round(F.col("value") * 100).alias("v"), F.col("event_id").alias("nth"))
     x = C.domain(spark, 24, "j").select("j", (1 + F.col("j") % 5).cast("double").alias("x"))
     path = scratch(spark)
-    written_until_now(corrections(entries, x, "36500 days"), path)
+    written_until_now(latest(entries, x), path)
     return summed(spark, path)
 
 

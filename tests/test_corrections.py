@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stripmill.operators.coo import last_wins
 from stripmill.operators.product import spmv
-from stripmill.streaming.products import corrections, summed, written_until_now
+from stripmill.streaming.products import closed, latest, summed, written_until_now
 
 SCHEMA = "i long, j long, v double, nth long, ts timestamp"
 
@@ -32,17 +32,20 @@ def test_a_stream_with_corrections_goes_on_after_a_stop(spark, tmp_path):
         seen += part
         stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
         # each call is a new stream from the checkpoint; the last one finds nothing new
-        written_until_now(corrections(stream, x, "1 day"), f"{tmp_path}/out")
+        written_until_now(latest(stream, x), f"{tmp_path}/out")
         assert got() == want(seen)
 
 
-def test_what_is_too_late_is_dropped(spark, tmp_path):
+def test_periods_are_given_out_once_and_what_is_too_late_is_dropped(spark, tmp_path):
     x = spark.range(2).selectExpr("id as j", "1.0D as x")
-    for k, rows in enumerate(([(0, 0, 5.0, 10, 100_000)], [(0, 1, 7.0, 2, 100), (0, 0, 6.0, 11, 99_999)])):
+    parts = [(0, 0, 5.0, 10, 100), (0, 0, 6.0, 11, 3000), (1, 1, 2.0, 3, 200)], [(0, 0, 8.0, 12, 20_000)], [(0, 1, 7.0, 2, 150), (0, 0, 9.0, 13, 20_001)], [(0, 1, 1.0, 20, 90_000)]
+    for rows in parts:
         entries(spark, rows).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
-        written_until_now(corrections(stream, x, "1 hour"), f"{tmp_path}/out")
-    assert [tuple(r) for r in summed(spark, f"{tmp_path}/out").collect()] == [(0, 6.0)]
+        written_until_now(closed(stream, x, "1 hour", "1 hour"), f"{tmp_path}/out", "append")
+    got = summed(spark, f"{tmp_path}/out", "start timestamp, i long, j long, nth long, y double").select(F.unix_seconds("start"), "i", "y").collect()
+    # the entry of 150 s came when the first hour had been given out; the last hour is still open
+    assert sorted(map(tuple, got)) == [(0, 0, 6.0), (0, 1, 2.0), (18_000, 0, 9.0)]
 
 
 def test_query_equals_its_batch(spark, tmp_path):
