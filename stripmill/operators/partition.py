@@ -1,19 +1,21 @@
 """Cutting rows and columns into strips by the similarity of neighbours.
 
-A cut stands before slice k depending on slices k-1 and k only, so all cuts are one query: the three
-dot products of neighbours are an equi-join, after each entry of slice k-1 has been sent to the
-places i-1, i and i+1 of slice k; strips are a running sum of cuts.
+A cut stands before slice k depending on slices k-1 and k only, so all cuts are one query. Entries are dealt once to tiles of
+TILE slices by ACROSS places; those at a tile's border go to the tile beside it as well (the halo), so that each entry finds
+its neighbours in its own tile, where the next one along the slice's direction or a diagonal is one row away in order. A slice with
+most of the entries takes many tiles. Sums by slice follow; strips are a running sum of cuts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from stripmill.functions.scatter import scattered
 from stripmill.functions.similarity import Similarity, best_shift_or_zero
 from stripmill.operators.interval import Uniform
-from stripmill.operators.coo import Matrices, Matrix, counts, keys_of, slices
+from stripmill.operators.coo import Matrices, Matrix, keys_of, slices
 from stripmill.operators.running import running_sum
 
 
@@ -30,22 +32,35 @@ MANUAL_STRIPS = {
 }
 
 
+#: Slices, and places across them, of a tile.
+TILE, ACROSS = 32, 1 << 12
+
+
+def neighbours(entries: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, k, n, d0, df, db) of every slice k with entries (keys, k, p, v): how many they are, and their products with those of slice k+1 at the
+    same place, one before and one after. Entries of a slice must have places of their own."""
+    tile = lambda k, p: F.struct(F.expr(f"({k}) div {TILE}").alias("tk"), F.expr(f"({p}) div {ACROSS}").alias("tp"))
+    home = tile("k", "p")
+    # where the entries stand that this one is a neighbour of: only at a tile's border is that another tile
+    seen = F.array_distinct(F.array(home, *[tile("k - 1", f"p + {s}") for s in (-1, 0, 1)]))
+    dealt = entries.withColumn("home", home).withColumn("tile", F.explode(seen)).repartition(*keys, "tile")
+    dealt = dealt.select(*keys, "k", "p", "v", "tile", (F.col("tile") == F.col("home")).alias("own"))
+    for name, line in (("d0", F.col("p")), ("df", F.col("p") + F.col("k")), ("db", F.col("p") - F.col("k"))):
+        along = Window.partitionBy(*keys, "tile", line).orderBy("k")
+        dealt = dealt.withColumn(name, F.when(F.lead("k").over(along) == F.col("k") + 1, F.lead("v").over(along) * F.col("v")))
+    return dealt.where("own").groupBy(*keys, "k").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("d0", "df", "db")])
+
+
 def similarities(matrix: Matrix | Matrices, axis: str, similarity: Similarity) -> DataFrame:
     """(k, na, nb, sim) for every k from 1: slice k-1 against slice k; sim is null if undefined.
 
     Of Matrices, here and below, with their matrix_id: many are cut in one query."""
     keys, other = keys_of(matrix), "i" if axis == "j" else "j"
     entries = matrix.df.where("v <> 0").select(*keys, F.col(axis).alias("k"), F.col(other).alias("p"), "v")
-    near = F.explode(F.array(*[F.struct(F.lit(s).alias("shift"), (F.col("p") + s).alias("q")) for s in (-1, 0, 1)]))
-    left = entries.select(*keys, (F.col("k") + 1).alias("k"), F.col("v").alias("w"), near.alias("to")).select(*keys, "k", F.col("to.q").alias("p"), "w", "to.shift")
-    dot = lambda s: F.coalesce(F.sum(F.when(F.col("shift") == s, F.col("w") * F.col("v"))), F.lit(0.0))
-    dots = left.join(entries, [*keys, "k", "p"]).groupBy(*keys, "k").agg(dot(0).alias("d0"), dot(-1).alias("df"), dot(1).alias("db"))
-    size = counts(matrix.df, axis, keys)
-    before = size.select(*keys, (F.col("k") + 1).alias("k"), F.col("nnz").alias("na"))
-    here = size.select(*keys, "k", F.col("nnz").alias("nb"))
-    met = slices(matrix, axis).where("k > 0")
-    for found in (before, here, dots):
-        met = met.join(found, [*keys, "k"], "left")
+    found = neighbours(entries, keys)
+    before = found.select(*keys, (F.col("k") + 1).alias("k"), F.col("n").alias("na"), "d0", "df", "db")
+    here = found.select(*keys, "k", F.col("n").alias("nb"))
+    met = slices(matrix, axis).where("k > 0").join(before, [*keys, "k"], "left").join(here, [*keys, "k"], "left")
     met = met.fillna(0, ["d0", "df", "db", "na", "nb"])
     columns = [F.col(c) for c in ("d0", "df", "db", "na", "nb")]
     return met.select(*keys, "k", "na", "nb", similarity(*columns).alias("sim"))
