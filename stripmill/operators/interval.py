@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,12 +48,14 @@ def located(points: DataFrame, index: str, strips: DataFrame | Uniform, names: t
         k = F.expr(f"`{index}` div {max(1, strips.width)}")
         return points.where((at >= 0) & (at < strips.n)).select("*", k.alias(name), (k * strips.width).alias(low), ((k + 1) * strips.width).alias(high))
     strips = strips.where("lo < hi")
-    own = [F.col("strip").alias(name), F.col("lo").alias(low), F.col("hi").alias(high)]
     if not keys:
         edges = strips.select("strip", "lo", "hi").limit(few + 1).collect()
         if len(edges) <= few:
             bin_ = max(1, sum(e.hi - e.lo for e in edges) // max(1, len(edges)))
-            return _joined(points, index, F.broadcast(_bins(points.sparkSession.createDataFrame(edges, strips.select("strip", "lo", "hi").schema).select("lo", "hi", *own), list(names), bin_)), list(names), bin_)
+            rows = [(b, *e, e.lo, e.hi) for e in edges for b in range(e.lo // bin_, (e.hi - 1) // bin_ + 1)]
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 6
+            bins = points.sparkSession.createDataFrame(pa.table(columns, names=["_bin", name, "_lo", "_hi", low, high]))
+            return _joined(points, index, F.broadcast(bins), list(names), bin_)
     return binned(points, index, strips.select(*keys, "lo", "hi", F.col("strip").alias(name), F.col("lo").alias(low), F.col("hi").alias(high)), list(names), keys)
 
 

@@ -14,6 +14,7 @@ from stripmill.operators import product as M
 from stripmill.operators import synth as Y
 from stripmill.operators.running import running_sum
 
+# The example matrix by which the block format is defined; results below that name no computation are those it must give.
 F1 = """
  4  2  .  .  .  1  .  .  . -1  1
  1  5  .  .  .  2  .  .  .  . -1
