@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -62,7 +63,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-_scopes: list[list[str]] = []
+_of_thread = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Open scopes of this thread, with the tables made in each: queries in other threads have their own."""
+    if not hasattr(_of_thread, "scopes"):
+        _of_thread.scopes = []
+    return _of_thread.scopes
 
 
 def cut_table(df: DataFrame) -> DataFrame:
@@ -73,8 +81,8 @@ def cut_table(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     _at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(f"{path}/rows")
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes():
+        _scopes()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(f"{path}/rows")
     out._path = path
     return out
@@ -96,16 +104,16 @@ def scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         kept.append(table._path)
         return table
 
-    _scopes.append([])
+    _scopes().append([])
     try:
         yield keep
     finally:
-        for path in _scopes.pop():
+        for path in _scopes().pop():
             if path not in kept:
                 of, files = _files(spark, path)
                 files.delete(of, True)
-            elif _scopes:
-                _scopes[-1].append(path)
+            elif _scopes():
+                _scopes()[-1].append(path)
 
 
 def fresh(df: DataFrame, name: str) -> str:
