@@ -71,8 +71,8 @@ def main() -> None:
         found = measured(sf_dir, cpus, HEADLINE, RUNS)
         if "--no-scaling" not in sys.argv:
             # a JVM has one master, so each number of threads has a process of its own
-            runs = {c: subprocess.run([sys.executable, __file__, "--scaled"], env={**os.environ, "BENCH_CPUS": c}, capture_output=True, text=True, check=True) for c in SCALING}
-            found["scaling"] = {c: json.loads(run.stdout.strip().splitlines()[-1])["queries"] for c, run in runs.items()}
+            runs = {c: subprocess.run([sys.executable, __file__, "--scaled"], env={**os.environ, "BENCH_CPUS": c}, capture_output=True, text=True) for c in SCALING}
+            found["scaling"] = {c: json.loads(run.stdout.strip().splitlines()[-1])["queries"] if run.returncode == 0 else None for c, run in runs.items()}
     print(json.dumps(found))
 
 
