@@ -1,13 +1,15 @@
 """License scans, in DataFrame operations only.
 
-Every line of a document, as a header, and every whole text, as a license file, is compared with
-license templates, headers and whole license texts, by the cosine of sparse TF-IDF vectors. The
-document frequencies are counted over all documents. A line that shares none of a header's heaviest
-terms, those without which the cosine cannot reach the threshold, is not looked at further, and neither is a whole
-text, unless its terms hold the threshold's square of the squared weights of a license text, which by
-Cauchy and Schwarz the cosine asks for. Nothing else is left out.
-
-A document with a line, or a whole text, that reaches THRESHOLD has that license. A document whose
+Every line of a document and every run of consecutive lines of up to RUN_TERMS terms, as a header, and every whole
+text, as a license file, is compared with license templates, headers and whole license texts, by the cosine of sparse
+TF-IDF vectors. Runs find headers that are wrapped, at any column and with any comment marks; lines without terms don't
+count as lines in them. The document frequencies are counted over all documents. A line that shares none of a header's
+heaviest terms, those without which the cosine cannot reach the threshold, is not looked at further, neither is a
+run with fewer terms of each header than its cosine asks for, or one whose first or last line shares no term with any
+header, as it is better without that line, and neither is a whole text, unless its terms hold the threshold's
+square of the squared weights of a license text, which by Cauchy and Schwarz the cosine asks for. Nothing else is left out.
+
+A document with a line, a run of lines, or a whole text, that reaches THRESHOLD has that license. A document whose
 whole text does is a license file: its license holds for its directory and all below, and
 documents without a license of their own inherit from the nearest such directory above them. The
 directories' ancestors are joined with the licensed directories by path; documents join with
@@ -27,8 +29,9 @@ import json
 import math
 import re
 from collections import Counter
-from functools import cache
+from functools import cache, reduce
 from itertools import accumulate
+from operator import or_
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,6 +58,8 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Proprietary", "All rights reserved."),
 )
+#: Lines that runs are looked for in at once, besides those that the last of them may go on to.
+TILE = 64
 #: Whole license texts, a file for each in a folder, named as the license.
 TEXTS = Path(__file__).parent / "templates"
 _NOT_TERM = r"[^\p{L}\p{N}]+"
@@ -75,6 +80,10 @@ def templates() -> list[tuple[str, list[str]]]:
     return [(name, terms(text)) for name, text in [*TEMPLATES, *whole]]
 
 
+#: Terms that a run of several lines may have: those of the longest header and some around it on its first and last line.
+RUN_TERMS = max(len(terms(text)) for _, text in TEMPLATES) + 16
+
+
 def weights(documents: int, counts: dict[str, int]) -> tuple[dict[str, float], list[tuple[str, dict[str, float]]]]:
     """Weight of each template term by the number of documents that have it, and the templates as
     vectors of length 1."""
@@ -100,13 +109,36 @@ def heavy_terms(vectors: list[tuple[str, dict[str, float]]]) -> list[str]:
     return sorted(out)
 
 
-def least_terms(vectors: list[tuple[str, dict[str, float]]]) -> int:
-    """Different terms that a text must have at least to reach THRESHOLD with any of the templates."""
-    few = []
-    for _, vector in vectors:
-        held = list(accumulate(sorted((w * w for w in vector.values()), reverse=True)))
-        few.append(1 + sum(x < THRESHOLD**2 for x in held))
-    return min(few)
+def least_terms(vector: dict[str, float]) -> int:
+    """Different terms that a text must share with a template at least to reach THRESHOLD with it."""
+    held = accumulate(sorted((w * w for w in vector.values()), reverse=True))
+    return 1 + sum(x < THRESHOLD**2 - 1e-9 for x in held)
+
+
+def _words(spelt: list[str]) -> Column:
+    return F.split(F.lit(" ".join(spelt)), " ")
+
+
+def _runs(texts: DataFrame, headers: list[tuple[str, dict[str, float]]]) -> DataFrame:
+    """(key, part) of runs of several lines of texts (key, text) that may be a header, terms with spaces between. A text's lines are
+    gone through in tiles, so that long texts make many small rows."""
+    # a line with more terms than a run may have is in none
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.slice(_terms(x), 1, RUN_TERMS + 1)), lambda x: F.size(x) > 0)
+    found = texts.select("key", lines.alias("all"))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("all")), F.lit(TILE))
+    found = found.select("key", F.explode(F.transform(starts, lambda a: F.slice("all", a, TILE + RUN_TERMS))).alias("lines")).where(F.size("lines") > 1)
+    spelt = sorted({t for _, v in headers for t in v})
+    found = found.select("key", "lines", F.transform("lines", F.size).alias("n"), F.transform("lines", lambda x: F.arrays_overlap(x, _words(spelt))).alias("has"))
+    ends = F.transform(F.sequence(F.lit(1), F.size("n")), lambda b: F.aggregate(F.slice("n", 1, b), F.lit(0), lambda s, x: s + x))
+    found = found.select("key", "lines", "n", "has", ends.alias("ends"))
+    at = lambda c, k: F.element_at(c, k)
+    fits = lambda a, b: at("has", b) & (at("ends", b) - at("ends", a) + at("n", a) <= RUN_TERMS)
+    last = lambda a: F.least(a + RUN_TERMS - 1, F.size("n"))
+    heads = F.filter(F.sequence(F.lit(1), F.least(F.lit(TILE), F.size("n") - 1)), lambda a: at("has", a))
+    runs = F.transform(heads, lambda a: F.transform(F.filter(F.sequence(a + 1, F.greatest(a + 1, last(a))), lambda b: fits(a, b)), lambda b: F.flatten(F.slice("lines", a, b - a + 1))))
+    found = found.select("key", F.explode(F.flatten(runs)).alias("run"))
+    enough = [F.size(F.array_intersect("run", _words(sorted(v)))) >= least_terms(v) for _, v in headers]
+    return found.where(reduce(or_, enough)).select("key", F.array_join("run", " ").alias("part"))
 
 
 def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -117,23 +149,23 @@ def _table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 
 
 def _scores(rows: DataFrame) -> DataFrame:
-    """(key, whole, license, score) for the whole texts and lines of rows (key, text) that reach THRESHOLD."""
+    """(key, whole, license, score) for the whole texts, lines and runs of lines of rows (key, text) that reach THRESHOLD."""
     spark = rows.sparkSession
     spelt = sorted({t for _, found in templates() for t in found})
-    known = F.array_intersect(_terms(F.col("text")), F.split(F.lit(" ".join(spelt)), " "))
+    known = F.array_intersect(_terms(F.col("text")), _words(spelt))
     has = cut_table(rows.select("key", known.alias("has")))
     found = has.select(F.explode("has").alias("t")).groupBy("t").agg(F.count("*")).collect()  # a row for each template term
     idf, vectors = weights(has.count(), {t: n for t, n in found})
     headers, wholes = vectors[: len(TEMPLATES)], vectors[len(TEMPLATES) :]
     # whole texts that may be a license text
     share = _table(spark, [(k, t, w * w) for k, (_, v) in enumerate(wholes) for t, w in v.items()], "number:int, t:string, v:double")
-    held = has.where(F.size("has") >= least_terms(wholes)).select("key", F.explode("has").alias("term")).join(share, F.col("term") == F.col("t"))
+    held = has.where(F.size("has") >= min(least_terms(v) for _, v in wholes)).select("key", F.explode("has").alias("term")).join(share, F.col("term") == F.col("t"))
     held = held.groupBy("key", "number").agg(F.sum("v").alias("held")).where(F.col("held") >= THRESHOLD**2 - 1e-9)
     texts = rows.select("key", "text").join(cut_table(held.select(F.col("key").alias("of")).distinct()), F.col("key") == F.col("of"), "left_semi")
-    # lines, and whole texts, that may be a header
+    # lines, runs of them, and whole texts, that may be a header
     heavy = rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(heavy_terms(headers))})(?:$|[^\p{{L}}\p{{N}}])"
     likely = rows.select("key", "text").where(F.lower("text").rlike(heavy))
-    lines = likely.select("key", F.explode(F.split("text", "\n")).alias("part")).where(F.lower("part").rlike(heavy)).withColumn("whole", F.lit(False))
+    lines = likely.select("key", F.explode(F.split("text", "\n")).alias("part")).where(F.lower("part").rlike(heavy)).unionByName(_runs(likely, headers)).withColumn("whole", F.lit(False))
     parts = lines.unionByName(likely.unionByName(texts).select("key", F.col("text").alias("part"), F.lit(True).alias("whole"))).distinct()
     parts = cut(parts.select("key", "whole", F.xxhash64("part").alias("unit"), _terms(F.col("part")).alias("terms")))
     unit = ["key", "whole", "unit"]

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import math
 import random
+import textwrap
+
+import pytest
 
 from stripmill.llm import licenses
 
@@ -19,6 +22,10 @@ def corpus():
             lines.insert(rng.randrange(len(lines) + 1), rng.choice(licenses.TEMPLATES)[1] + rng.choice(["", " alpha", " beta gamma delta thé alpha beta"]))
         if k % 16 == 0:
             lines = [rng.choice(licenses.TEMPLATES)[1].upper()]
+        if k % 7 == 0:
+            mark = rng.choice(["", "# ", " * ", "// "])
+            wrapped = textwrap.wrap(rng.choice(["", "alpha beta "]) + rng.choice(licenses.TEMPLATES)[1], rng.randrange(20, 81))
+            lines[1:1] = [mark + x for x in wrapped[: rng.choice([1, 2, 99, 99])]]
         rows.append((k, "/".join(["ab"[k % 2], *[str(rng.randrange(2)) for _ in range(k % 4)], f"f{k}"]), "\n".join(lines), "x", 1))
     for k, path in enumerate(sorted(licenses.TEXTS.glob("*.txt"))):
         text = path.read_text().replace("<year>", "2020").replace("<copyright holders>", "Some One")
@@ -47,6 +54,12 @@ def slow(rows):
     own, dirs = [], {}
     for d, path, text, *_ in rows:
         whole, lines = best(text or ""), [x for line in (text or "").split("\n") for x in best(line)]
+        full = [words for line in (text or "").split("\n") if (words := licenses.terms(line))]
+        for a in range(len(full)):
+            for b in range(a + 2, len(full) + 1):
+                if len(run := sum(full[a:b], [])) > licenses.RUN_TERMS:
+                    break
+                lines += best(" ".join(run))
         s = min(whole + lines, default=None)
         own.append((s, bool(whole)))
         if whole:
@@ -79,6 +92,23 @@ def test_whole_license_texts_are_files_and_inherited(spark):
     assert got == {k: (n, "file") for k, n in enumerate(wanted)} | {10 + k: (n, "inherited") for k, n in enumerate(wanted)} | {20 + k: (None, None) for k in range(30)}
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * "])
+def test_wrapped_headers(spark, mark):
+    rows, want = [], {}
+    for name, text in licenses.TEMPLATES:
+        for width in range(30, 81, 10):
+            want[len(rows)] = name
+            lines = ["first words of code", "", *(mark + x for x in textwrap.wrap(text, width)), mark.strip(), "last words of code"]
+            rows.append((len(rows), f"d{len(rows)}/f", "\n".join(lines), "x", 1))
+    # in the midst of many lines, at the border of two tiles
+    for k in range(licenses.TILE - 7, licenses.TILE + 2):
+        want[len(rows)] = "GPL-3.0"
+        rows.append((len(rows), f"d{len(rows)}/f", "\n".join(["code"] * k + textwrap.wrap(licenses.TEMPLATES[9][1], 60) + ["code"] * 70), "x", 1))
+    rows += [(len(rows) + k, f"g{k}/f", f"plain words {k}\nof the code\nand more", "x", 1) for k in range(300)]
+    got = licenses.scanned(spark.createDataFrame(rows, SCHEMA)).where("license is not null").collect()
+    assert {r.doc_id: r.license for r in got} == want
+
+
 def test_documents_and_empty(spark):
     docs = spark.createDataFrame([(None, None, "All rights reserved.", 1), (12345, "s", "plain", 2)], "doc_id long, source string, text string, path int")
     got = sorted((r.path, r.license) for r in licenses.scanned(licenses.document_paths(docs)).collect())
