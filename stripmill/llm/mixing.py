@@ -12,8 +12,8 @@ A target is at most twice its source's size, so a source is passed over twice at
 is taken more than twice.
 
 Defined cases: a null text has size 0, and documents of size 0 are never taken; texts may be of any length; null is a
-source, after all others; repeated rows are mixed each for itself; with equal doc_ids, which of the rows
-comes first is fixed by their size; an empty table gives an empty result; other columns are ignored.
+source, after all others; repeated rows are mixed each for itself; with equal doc_ids, or none, which of the rows
+comes first is fixed by a hash of their size, so that they are spread; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stripmill.llm.common import cut, cut_table, fresh, mix, partitions, prefix_sums, row_keys, scope, small_batches, taken
+from stripmill.operators.running import spread
 
 BLOCK = 256
 SHARDS = 64
@@ -182,11 +183,16 @@ class Mixture:
         table = F.broadcast(table) if len(found) <= BROADCAST_SOURCES else table
         rows = rows.join(table, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "number", "source_size", "target", "size", *keys)
         n = 4 * partitions(spark)
-        placed = prefix_sums(rows.where("size > 0").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(n))), ["number"], "chunk", ["doc_id", "size", *keys], "size", "start")
+        # rows that nothing tells apart are one row until they have their places
+        alike = ["number", "doc_id", "size", "source_size", "target", *keys]
+        each = rows.where("size > 0").groupBy(*alike).agg(F.count("*").alias("_rows")).withColumn("_words", F.col("size") * F.col("_rows"))
+        each = each.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(n)))
+        each = prefix_sums(each, ["number"], "chunk", ["doc_id", "size", *keys], "_words", "_start_of")
+        placed = spread(each, F.lit(0).cast("long"), "_rows", "_nth").withColumn("start", F.col("_start_of") + F.col("_nth") * F.col("size")).select(*alike, "start")
         shared = spark.sparkContext.broadcast(plan)
         self.slots = spark.range(plan.total).mapInArrow(_slots(shared), "slot long, shard long, number long, block long, words long")
         first, last = F.expr(f"start div {BLOCK}"), F.expr(f"(start + size - 1) div {BLOCK}")
-        pieces = placed.drop("chunk").withColumn("b", F.explode(F.sequence(first, last)))
+        pieces = placed.withColumn("b", F.explode(F.sequence(first, last)))
         low = F.greatest(F.col("start") - F.col("b") * BLOCK, F.lit(0))
         high = F.least(F.col("start") + F.col("size") - F.col("b") * BLOCK, F.lit(BLOCK))
         pieces = pieces.withColumn("low", low).withColumn("high", high).withColumnRenamed("number", "n")

@@ -100,3 +100,23 @@ def test_rows_of_one_id_are_taken_each_for_itself(spark):
         want[of[r.k1, r.k2]] += r.copies
     got = Counter(tuple(r) for r in mixing.mixed_documents(docs).collect())
     assert got == +want and {n for r, n in got.items() if r[0] == 1} == {1, 2} and got[rows[60]] > 2
+
+
+def test_missing_and_repeated_ids_are_spread(spark, monkeypatch):
+    chunks = Counter()
+    sums = mixing.prefix_sums
+
+    def counted(rows, *rest):
+        chunks.update(r.chunk for r in rows.collect())
+        return sums(rows, *rest)
+
+    monkeypatch.setattr(mixing, "prefix_sums", counted)
+    rows = [(7, "the same row", "a", 0)] * 900 + [(None, "no id " * (k + 1), "a", 0) for k in range(900)] + [(10 + k, "x y", "b", 0) for k in range(900)]
+    got = mixing.Mixture(spark.createDataFrame(rows, SCHEMA)).rows.collect()
+    assert sum(chunks.values()) == 1801 and max(chunks.values()) < 200
+    assert sorted(r.size for r in got) == sorted(len(t.split()) for _, t, *_ in rows)
+    for source, n in (("a", 1800), ("b", 900)):
+        part = sorted((r.start, r.size, r.taken) for r in got if r.source_size == sum(len(t.split()) for _, t, s, _ in rows if s == source))
+        target = next(r.target for r in got if r.source_size == sum(size for _, size, _ in part))
+        assert len(part) == n and all(a + size == b for (a, size, _), (b, *_) in zip(part, part[1:]))
+        assert sum(taken for *_, taken in part) == min(round(target), 2 * sum(size for _, size, _ in part))
