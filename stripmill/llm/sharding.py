@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation, in DataFrame operations only.
 
-Documents of equal text are linked. All documents start in shards by a hash of doc_id, which knows no
+Documents of equal text are linked. All documents start in shards by a hash, which knows no
 links. Then, in rounds, the members of each group of links vote by bytes for a shard, and members
 elsewhere ask to move there. How many bytes may go from each shard to each other follows from what
 asks to and from the shards' capacity quotas for linked documents: moves out make room for moves in. So cut
@@ -14,7 +14,8 @@ however large, meets in one task. Groups above their share of the rows are fewer
 their results are broadcast, so that no join gathers such a group either.
 
 Defined cases: a null text counts as empty, and all such are equal texts; repeated rows each get a
-slot; rows without doc_id start in shards by their place and stand first in their chunk; of shards with equal
+slot; rows without doc_id and those of groups above their share, which may repeat one doc_id, start in shards by their
+place, all others by doc_id and text; of shards with equal
 votes a group takes one by a hash; equal sizes are told apart by doc_id, then by the text's hash; a text may be of any
 length; an empty table gives an empty result; a single document larger than a shard's share leaves that shard above
 the mean, and so does a group without room; other columns are ignored.
@@ -49,14 +50,15 @@ def _loads(rows: DataFrame, shards: int) -> list[int]:
 
 
 def _placed(nodes: DataFrame, chunks: int, shards: int) -> DataFrame:
-    """Nodes with `alone` (no equal text), `hot` (in a group above its share) and the shards they start in."""
+    """Nodes with `alone` (no equal text), `hot` (in a group above its share), `by`, by which they are spread, as ids may be
+    missing or repeated, and the shards they start in."""
     n = nodes.count()
     groups = cut_table(nodes.groupBy(F.col("g").alias("_g")).agg(F.count("*").alias("_n")).where("_n > 1"))
     hot = F.broadcast(groups.where(F.col("_n") > max(1000, n // chunks)).select(F.col("_g").alias("_h")))  # at most `chunks` rows
     rows = nodes.join(hot, F.col("g") == F.col("_h"), "left").withColumn("hot", F.col("_h").isNotNull()).drop("_h")
     rows = _keyed(rows).join(groups, (F.col("_k") == F.col("_g")) & ~F.col("hot"), "left").withColumn("alone", F.col("_g").isNull() & ~F.col("hot")).drop("_g", "_n", "_k")
-    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(F.col("doc_id"))
-    return rows.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), place), F.lit(shards)).cast("int"))
+    by = F.when(F.col("doc_id").isNull() | F.col("hot"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", "g"))
+    return rows.withColumn("by", by).withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "by"), F.lit(shards)).cast("int"))
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -106,8 +108,8 @@ def _propagate(rows: DataFrame, chunks: int, shards: int) -> DataFrame | None:
     wish = {(r[0], r[1]): int(r[2]) for r in asked.where("asks").groupBy("shard", "to").agg(F.sum("size")).collect()}  # a row for each two shards
     quota = [x for row in flows(wish, loads, (1 + SLACK) * total / shards) for x in row]
     # members of a group stand together, but for those of a hot one, so that groups move as a whole
-    movers = asked.where("asks").withColumn("chunk", F.pmod(F.xxhash64("g", F.when(F.col("hot"), F.col("doc_id"))), F.lit(chunks)))
-    movers = prefix_sums(movers, ["shard", "to"], "chunk", ["g", "size", "doc_id"], "size", "before")
+    movers = asked.where("asks").withColumn("chunk", F.pmod(F.xxhash64("g", F.when(F.col("hot"), F.col("by"))), F.lit(chunks)))
+    movers = prefix_sums(movers, ["shard", "to"], "chunk", ["g", "size", "doc_id", "by"], "size", "before")
     fits = F.col("before") + F.col("size") <= _lookup(quota, F.col("shard") * shards + F.col("to"))
     movers = movers.withColumn("shard", F.when(fits, F.col("to")).otherwise(F.col("shard")))
     return asked.where("not asks").select(*rows.columns).unionByName(movers.select(*rows.columns))
@@ -118,13 +120,13 @@ def _levelled(rows: DataFrame, shards: int) -> DataFrame:
     loads = _loads(rows, shards)
     mean = sum(loads) / shards
     over, gap = [max(0.0, x - mean) for x in loads], [max(0.0, mean - x) for x in loads]
-    # chunks ascend with the size; a size that many documents have is spread by doc_id
+    # chunks ascend with the size; a size that many documents have is spread
     step = F.floor(F.log2("size") * 8).cast("long")
-    chosen = rows.where("alone").withColumn("chunk", step * 64 + F.pmod(F.xxhash64("doc_id"), F.lit(64)))
-    chosen = prefix_sums(chosen, ["shard"], "chunk", ["size", "doc_id", "g"], "size", "before")
+    chosen = rows.where("alone").withColumn("chunk", step * 64 + F.pmod(F.xxhash64("by"), F.lit(64)))
+    chosen = prefix_sums(chosen, ["shard"], "chunk", ["size", "doc_id", "g", "by"], "size", "before")
     moves = F.col("before") + F.col("size") <= _lookup(over, F.col("shard"))
     chosen = cut(chosen.withColumn("moves", moves).drop("before"))
-    movers = prefix_sums(chosen.where("moves").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(256))), [], "chunk", ["doc_id", "size", "g"], "size", "before")
+    movers = prefix_sums(chosen.where("moves").withColumn("chunk", F.pmod(F.xxhash64("by"), F.lit(256))), [], "chunk", ["doc_id", "size", "g", "by"], "size", "before")
     ends, end = [], 0.0
     for x in gap:
         end += x
@@ -139,7 +141,7 @@ def _levelled(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def started(docs: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, size, crc, g, hot, alone, shard) of every row of docs, before any move; g is one for equal texts."""
+    """(doc_id, size, crc, g, hot, alone, by, shard) of every row of docs, before any move; g is one for equal texts."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     nodes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text).alias("g"))
     nodes = cut(nodes.withColumn("g", F.xxhash64("g", "crc", "size")))
@@ -157,8 +159,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
                 break
             rows = cut(moved)
         rows = cut(_levelled(rows, shards))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).withColumn("one", F.lit(1).cast("long"))
-    rows = prefix_sums(rows, ["shard"], "chunk", ["doc_id", "g"], "one", "slot")
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("by"), F.lit(chunks))).withColumn("one", F.lit(1).cast("long"))
+    rows = prefix_sums(rows, ["shard"], "chunk", ["doc_id", "g", "by"], "one", "slot")
     return rows.select("doc_id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -48,6 +48,20 @@ def test_group_larger_than_a_shard(spark):
     assert max(loads.values()) < 1.03 * min(loads.values())
 
 
+def test_missing_and_repeated_ids_are_spread(spark):
+    rows = [(7, "one row, repeated", 0, 0)] * 3000 + [(None, f"no id {k} " * (k % 9), 0, 0) for k in range(3000)]
+    rows += [(8, f"same id {k} " * 3, 0, 0) for k in range(1500)] + [(10 + k, f"plain {k} " * 4, 0, 0) for k in range(1500)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    by = Counter(r.by % 16 for r in sharding.started(docs, 6).collect())
+    assert max(by.values()) < 0.12 * len(rows)
+    got = sharding.sharded(docs, shards=6).collect()
+    check(rows, got, 6)
+    loads = Counter()
+    for r in got:
+        loads[r.shard] += r.size
+    assert max(loads.values()) < 1.03 * min(loads.values())
+
+
 def test_odd_rows(spark):
     assert sharding.sharded(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, None, 0, 0), (None, None, 0, 0), (1, "a", 0, 0)]
