@@ -8,12 +8,14 @@ from pyspark.sql.window import Window
 
 from stripmill.operators.coo import Matrix
 from stripmill.operators.interval import Uniform, located
-from stripmill.operators.kernel import block_products, by_columns, filled, nonzeros, unpacked, wide_rows
+from stripmill.operators.kernel import block_products, by_columns, entries_of_tiles, filled, nonzeros, tile_products, unpacked, wide_rows
 from stripmill.operators.running import running_sum
 from stripmill.sources.scratch import kept
 
 #: Cells of the largest array; larger blocks are stored as several.
 LARGEST = 1 << 22
+#: Rows and columns of the pieces that products work on.
+SIDE = 1 << 10
 
 
 def assigned(entries: DataFrame, rows: DataFrame | Uniform, columns: DataFrame | Uniform, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -116,30 +118,52 @@ def values(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) ->
     return unpacked(packed(members, chosen, keys))
 
 
+def tiled(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Dense blocks for products: (keys, r0, r1, c0, c1, _at, _v), pieces of SIDE rows and columns at most with the places and values of
+    their nonzeros, from which tasks fill tiles. Pieces without a nonzero are left out, as nothing comes of them."""
+    return _in_pieces(members.join(chosen.where("is_dense").select(*keys, "a", "b"), [*keys, "a", "b"], "left_semi"), keys)
+
+
+def _in_pieces(members: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Pieces of whatever blocks the members (keys, i, j, v, r0, r1, c0, c1) are in."""
+    corner = members.selectExpr(*keys, f"i - (i - r0) % {SIDE} AS r", f"j - (j - c0) % {SIDE} AS c", "r1", "c1", "i", "j", "v")
+    bound = corner.selectExpr(*keys, "r AS r0", f"least(r1, r + {SIDE}) AS r1", "c AS c0", f"least(c1, c + {SIDE}) AS c1", "i", "j", "v")
+    cell = F.struct(F.expr("cast((j - c0) * (r1 - r0) + i - r0 AS int)").alias("at"), F.col("v").cast("double").alias("v"))
+    met = bound.groupBy(*keys, "r0", "r1", "c0", "c1").agg(F.collect_list(cell).alias("_cells"))
+    return met.select(*keys, "r0", "r1", "c0", "c1", F.col("_cells.at").alias("_at"), F.col("_cells.v").alias("_v"))
+
+
+def ranges(chosen: DataFrame) -> DataFrame:
+    """(c0, c1) of the pieces in tiled()."""
+    cut = chosen.where("is_dense").select("c0", "c1").distinct().selectExpr("c1", f"explode(sequence(c0, c1 - 1, {SIDE}L)) AS c0")
+    return cut.selectExpr("c0", f"least(c1, c0 + {SIDE}) AS c1").distinct()
+
+
 def to_coo(blocks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, j, v) of the nonzeros in blocks with cells or vals."""
-    return nonzeros(blocks, keys)
+    """(keys, i, j, v) of the nonzeros in blocks with cells or vals, or in pieces as of tiled()."""
+    return entries_of_tiles(blocks, keys) if "_at" in blocks.columns else nonzeros(blocks, keys)
 
 
 def hybrid_entries(members: DataFrame, chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Nonzeros of dense blocks, read from their cells, and the residual's."""
-    return nonzeros(packed(members, chosen, keys), keys).unionByName(residual(members, chosen, keys))
+    """Nonzeros of dense blocks, read from their tiles, and the residual's."""
+    return to_coo(tiled(members, chosen, keys), keys).unionByName(residual(members, chosen, keys))
 
 
 def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, i, y): dense blocks are multiplied as blocks, the residual by a join; their partial sums meet in one aggregation."""
-    cut = pieces(chosen)
-    dense = block_products(packed(members, chosen, keys, cut), x, 1, keys, cut).select(*keys, "i", F.col("ys")[0].alias("y"))
+    dense = tile_products(tiled(members, chosen, keys), x, 1, keys, ranges(chosen)).select(*keys, "i", F.col("ys")[0].alias("y"))
     rest = residual(members, chosen, keys).join(x, "j").select(*keys, "i", (F.col("v") * F.col("x")).alias("y"))
     return dense.unionByName(rest).groupBy(*keys, "i").agg(F.sum("y").alias("y"))
 
 
 def hybrid_spmm_wide(members: DataFrame, chosen: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, k, y) for a right matrix whose rows are arrays (j, xs) of the given width, as hybrid_spmv()."""
-    cut = pieces(chosen)
-    dense = by_columns(block_products(packed(members, chosen, keys, cut), x, width, keys, cut), keys)
-    # a row for each column, and not a sum for each: code for many sums is too long to be compiled
-    rest = by_columns(residual(members, chosen, keys).join(x, "j").select(*keys, "i", F.transform(F.col("xs").cast("array<double>"), lambda e: e * F.col("v")).alias("ys")), keys)
+    """(keys, i, k, y) for a right matrix whose rows are arrays (j, xs) of the given width, as hybrid_spmv(). The residual meets x in pieces of the
+    matrix too, so that a row's sums within a piece are shuffled, and not a row of width numbers for each entry."""
+    dense = by_columns(tile_products(tiled(members, chosen, keys), x, width, keys, ranges(chosen)), keys)
+    low = lambda c: F.col(c) - F.col(c) % SIDE
+    rest = residual(members, chosen, keys).select(*keys, "i", "j", "v", low("i").alias("r0"), (low("i") + SIDE).alias("r1"), low("j").alias("c0"), (low("j") + SIDE).alias("c1"))
+    right = x.select(low("j").alias("c0"), (low("j") + SIDE).alias("c1")).distinct()
+    rest = by_columns(tile_products(_in_pieces(rest, keys), x, width, keys, right), keys)
     return dense.unionByName(rest).groupBy(*keys, "i", "k").agg(F.sum("y").alias("y"))
 
 
@@ -150,8 +174,8 @@ def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple
 
 
 def kernel_spmv(blocks: DataFrame, x: DataFrame, ranges: DataFrame | None = None) -> DataFrame:
-    """(i, y) of blocks with cells or vals, all treated as dense; ranges (c0, c1) of their columns, if they are known otherwise."""
-    return block_products(blocks, x, 1, (), ranges).groupBy("i").agg(F.sum(F.col("ys")[0]).alias("y"))
+    """(i, y) of blocks with cells or vals, or of pieces as of tiled(), all treated as dense; ranges (c0, c1) of their columns, if they are known otherwise."""
+    return (tile_products if "_at" in blocks.columns else block_products)(blocks, x, 1, (), ranges).groupBy("i").agg(F.sum(F.col("ys")[0]).alias("y"))
 
 
 def strip_work(chosen: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -3,6 +3,9 @@
 A block's row holds its bounds r0 r1 c0 c1 and its cells column by column. Blocks meet slices of the right side by an equi-join on their
 columns; each batch adds up what its blocks give to the same rows before it returns them. One row high and one column wide are shapes
 like any other.
+
+Products that need no stored zeros take pieces of blocks with the places and values of their nonzeros: a task fills those tiles of a piece that
+have a nonzero, so that the work grows with the nonzeros and not with the cells of blocks, and multiplies the tiles as dense ones.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ from stripmill.operators.running import spread
 
 #: Cells that are worked on together.
 CELLS = 1 << 22
+#: Rows and columns of a tile.
+TILE = 8
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -112,6 +117,93 @@ def nonzeros(blocks: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return blocks.select(*keys, "r0", "r1", "c0", _cells(blocks)).mapInArrow(run, schema)
 
 
+def _tiles(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, row, column, cells) of the tiles with a nonzero in pieces r0 r1 c0 c1 with places `_at`, column by column, and values `_v`: a tile's
+    first row and column in its piece, and its cells by column. Entries of one place add up."""
+    at, many = lists(rows, "_at")
+    v, _ = lists(rows, "_v")
+    high, wide = numbers(rows, "r1") - numbers(rows, "r0"), numbers(rows, "c1") - numbers(rows, "c0")
+    down = -(-high // TILE)
+    most = down * -(-wide // TILE)
+    base, of = np.cumsum(most) - most, np.repeat(np.arange(len(many)), many)
+    row, column = at % high[of], at // high[of]
+    tile, which = np.unique(base[of] + column // TILE * down[of] + row // TILE, return_inverse=True)
+    cells = np.bincount((which * TILE + column % TILE) * TILE + row % TILE, weights=v, minlength=len(tile) * TILE * TILE).reshape(-1, TILE, TILE)
+    piece = np.searchsorted(base, tile, side="right") - 1
+    return piece, (tile - base[piece]) % down[piece] * TILE, (tile - base[piece]) // down[piece] * TILE, cells
+
+
+def _held(batch: pa.RecordBatch, width: int = 0) -> np.ndarray:
+    """Numbers that working on each piece takes: tiles, their part of the right side and of the result."""
+    high, wide = numbers(batch, "r1") - numbers(batch, "r0"), numbers(batch, "c1") - numbers(batch, "c0")
+    _, many = lists(batch, "_at")
+    return np.minimum(many, -(-high // TILE) * -(-wide // TILE)) * TILE * (TILE + 2 * width) + wide * width
+
+
+def entries_of_tiles(pieces: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, j, v) of the nonzeros in the tiles of pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(_held(batch), CELLS):
+                rows = batch.slice(part.start, part.stop - part.start)
+                piece, row, column, cells = _tiles(rows)
+                tile, c, r = np.nonzero(cells)
+                of = piece[tile]
+                named = [rows.column(rows.schema.get_field_index(k)).take(pa.array(of)) for k in keys]
+                yield pa.RecordBatch.from_arrays([*named, pa.array(numbers(rows, "r0")[of] + row[tile] + r), pa.array(numbers(rows, "c0")[of] + column[tile] + c), pa.array(cells[tile, c, r])], names=[*keys, "i", "j", "v"])
+
+    schema = T.StructType([*[pieces.schema[k] for k in keys], T.StructField("i", T.LongType()), T.StructField("j", T.LongType()), T.StructField("v", T.DoubleType())])
+    return pieces.select(*keys, "r0", "r1", "c0", "c1", "_at", "_v").mapInArrow(run, schema)
+
+
+def _tile_sums(rows: pa.RecordBatch, width: int, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, i, y) of pieces against the rows of the right side that they have; only of rows with a nonzero that meets one."""
+    piece, row, column, cells = _tiles(rows)
+    wide = -(-(numbers(rows, "c1") - numbers(rows, "c0")) // TILE) * TILE
+    base = np.cumsum(wide) - wide
+    at, many = lists(rows, "_xat")
+    x, there = np.zeros((int(wide.sum()), width)), np.zeros(int(wide.sum()), bool)
+    place = np.repeat(base, many) + at
+    x[place], there[place] = lists(rows, "_xs")[0].reshape(-1, width), True
+    # tiles of one key and the same rows are added up
+    code, which = np.unique(np.stack([key[piece], numbers(rows, "r0")[piece] + row], axis=1), axis=0, return_inverse=True)
+    order = np.argsort(which.reshape(-1), kind="stable")
+    sums, met = np.zeros((len(code), TILE, width)), np.zeros((len(code), TILE), bool)
+    for begin in range(0, len(order), step := max(1, CELLS // (TILE * (TILE + 2 * width)))):
+        mine = order[begin : begin + step]
+        right = (base[piece[mine]] + column[mine])[:, None] + np.arange(TILE)
+        y = np.matmul(cells[mine].transpose(0, 2, 1), x[right])
+        here = ((cells[mine] != 0) & there[right][:, :, None]).any(axis=1)
+        to = which.reshape(-1)[mine]
+        cuts = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+        sums[to[cuts]] += np.add.reduceat(y, cuts)
+        met[to[cuts]] |= np.logical_or.reduceat(here, cuts)
+    one, r = np.nonzero(met)
+    return code[one, 0], code[one, 1] + r, sums[one, r]
+
+
+def tile_products(pieces: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = (), ranges: DataFrame | None = None) -> DataFrame:
+    """As block_products(), of pieces (keys, r0, r1, c0, c1, _at, _v)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in groups(_held(batch, width), CELLS):
+                rows = batch.slice(part.start, part.stop - part.start)
+                named = list(zip(*(rows.column(rows.schema.get_field_index(k)).to_pylist() for k in keys))) if keys else [()] * rows.num_rows
+                numbered = {name: k for k, name in enumerate(dict.fromkeys(named))}
+                names = list(numbered)
+                key, i, y = _tile_sums(rows, width, np.array([numbered[n] for n in named]))
+                ys = pa.ListArray.from_arrays(pa.array(np.arange(len(i) + 1) * width, pa.int32()), pa.array(y.reshape(-1)))
+                own = [pa.array([names[n][c] for n in key.tolist()], rows.schema.field(k).type) for c, k in enumerate(keys)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(i), ys], names=[*keys, "i", "ys"])
+
+    right = slices(pieces if ranges is None else ranges, x).withColumnRenamed("_at", "_xat")
+    met = pieces.select(*keys, "r0", "r1", "c0", "c1", "_at", "_v").join(right, ["c0", "c1"])
+    schema = T.StructType([*[pieces.schema[k] for k in keys], T.StructField("i", T.LongType()), T.StructField("ys", T.ArrayType(T.DoubleType()))])
+    return met.mapInArrow(run, schema)
+
+
 def _cells(blocks: DataFrame) -> Column:
     return F.col("cells" if "cells" in blocks.columns else "vals").alias("cells")
 

@@ -24,3 +24,15 @@ def test_blocks_over_the_largest_array_are_whole(spark, monkeypatch, tmp_path, l
     arrays = files.block_arrays(matrix, members, B.split(blocks, B.is_dense(80)), rows, rows)
     files.write_arrays(spark, arrays, files.VBRC, f"{tmp_path}/b")
     assert entries(files.read_blocks(spark, f"{tmp_path}/b")) == entries(matrix)
+
+
+def test_work_on_dense_blocks_grows_with_their_nonzeros(spark):
+    """A block of 10 ** 12 cells, all treated as dense, with a few nonzeros."""
+    found = [(0, 0, 2.0), (999_999, 7, 3.0), (512, 999_999, 5.0), (999_999, 999_999, 1.0)]
+    members = B.assigned(spark.createDataFrame(found, "i long, j long, v double"), *[spark.createDataFrame([(0, 0, 1_000_000)], "strip long, lo long, hi long")] * 2)
+    chosen = B.densities(members, B.is_dense(0))
+    x = spark.createDataFrame([(0, 1.0), (7, 2.0), (999_999, 10.0)], "j long, x double")
+    want = [(0, 2.0), (512, 50.0), (999_999, 16.0)]
+    assert sorted(map(tuple, B.kernel_spmv(B.tiled(members, chosen), x, B.ranges(chosen)).collect())) == want
+    assert sorted(map(tuple, B.hybrid_spmv(members, chosen, x).collect())) == want
+    assert sorted(map(tuple, B.to_coo(B.tiled(members, chosen)).collect())) == sorted(found)
