@@ -28,3 +28,13 @@ def test_entries_are_shuffled_once(spark):
     plan = P.neighbours(df)._jdf.queryExecution().executedPlan().toString()
     # the entries by tile, then partial sums by slice
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_tiles_are_dealt_to_more_tasks_where_there_are_more_entries(spark, monkeypatch):
+    from stripmill.operators import running
+
+    monkeypatch.setattr(running, "TASK_ROWS", 100)
+    entries = spark.range(2000).selectExpr("id div 4 AS k", "id % 4 AS p", "1D AS v")
+    found = P.neighbours(entries)
+    assert "Repartition" in (plan := found._jdf.queryExecution().logical().toString()) and ", 20" in plan
+    assert {(r.n, r.d0, r.df, r.db) for r in found.where("k < 499").collect()} == {(4, 4.0, 3.0, 3.0)}
