@@ -5,6 +5,8 @@ from test_files import entries
 from test_matrix import DENSE, blocked, column, sparse_variant, vector
 
 from stripmill.operators import blocks as B
+from stripmill.operators import coo as C
+from stripmill.operators import partition as P
 from stripmill.sources import files
 
 
@@ -36,3 +38,25 @@ def test_work_on_dense_blocks_grows_with_their_nonzeros(spark):
     assert sorted(map(tuple, B.kernel_spmv(B.tiled(members, chosen), x, B.ranges(chosen)).collect())) == want
     assert sorted(map(tuple, B.hybrid_spmv(members, chosen, x).collect())) == want
     assert sorted(map(tuple, B.to_coo(B.tiled(members, chosen)).collect())) == sorted(found)
+
+
+@pytest.mark.parametrize("chunk", [1, 4, 1 << 16])
+def test_cells_of_dense_blocks_are_whole_and_no_block_is_an_array(spark, monkeypatch, chunk):
+    matrix, rows, members, blocks = blocked(spark, DENSE)
+    for density in (0, 80, 100):
+        chosen = B.split(blocks, B.is_dense(density))
+        want = sorted((r.bid, r["first"] + k, v) for r in B.values(members, chosen).collect() for k, v in enumerate(r.vals))
+        monkeypatch.setattr(B, "CHUNK", chunk)
+        assert sorted(map(tuple, B.cells(members, chosen).collect())) == want
+
+
+def test_cells_take_no_python_and_tasks_grow_with_them(spark, monkeypatch):
+    """Two blocks of a million cells in all with four entries, two of them in one place."""
+    found = [(0, 0, 2.0), (999, 7, 3.0), (999, 7, 4.0), (512, 999, 5.0)]
+    cut = P.strips_at(spark, [0, 1000]), P.strips_at(spark, [0, 500, 1000])
+    members, blocks = B.blocked(C.Matrix(spark.createDataFrame(found, "i long, j long, v double"), 1000, 1000), *cut)
+    monkeypatch.setattr(B, "TASK_CELLS", 1 << 16)
+    cells = B.cells(members, B.split(blocks, B.is_dense(0)))
+    assert "MapInArrow" not in cells._jdf.queryExecution().toString() and cells.rdd.getNumPartitions() == 1_000_000 >> 16
+    assert cells.groupBy("bid").count().orderBy("bid").collect() == [(0, 500_000), (1, 500_000)]
+    assert sorted(map(tuple, cells.where("v <> 0").collect())) == [(0, 0, 2.0), (0, 7_999, 7.0), (1, 499_512, 5.0)]
