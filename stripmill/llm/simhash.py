@@ -8,8 +8,9 @@ carry-save counters of a few planes, and words are abandoned once all their pair
 The fingerprints of a bucket over BUCKET are dealt anew, in the same way, by blocks of the bits that the bucket leaves
 open, until the buckets are small or few bits are left open, which bounds their size.
 
-For near-duplicates by shingle sets at a similarity of SIMILAR, which prints of this width can't tell, documents meet by
-bands of min-hashes instead, and every link is verified on the sets: see similar_components() and one_of_each().
+For near-duplicates by shingle sets at a similarity of SIMILAR, fingerprints are linked in the same way; documents whose prints
+are farther apart, as those of many such pairs are, meet by bands of min-hashes besides. Every link is verified on the sets: see
+similar_components() and one_of_each().
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; rows
 with equal texts, or repeated rows, each keep their row; a null doc_id takes part in links but is
@@ -200,9 +201,14 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket:
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs."""
-    spark = docs.sparkSession
+    found = linked(cut(fingerprints(docs, width)), radius, blocks, bucket)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def linked(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
+    """(doc_id, fp, component_id) of every row of prints (doc_id, fp), which are written; component_id is the smallest doc_id reachable."""
+    spark = prints.sparkSession
     with scope(spark) as keep:
-        prints = cut(fingerprints(docs, width))
         share = hot_share(spark, prints.count())
         distinct = cut_table(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("many")))
         ids = components(links(distinct, radius, blocks, bucket))
@@ -210,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = R
         least = rooted.groupBy(F.col("root").alias("of")).agg(F.min("first").alias("component_id"), (F.count("*") > share).alias("hot"))
         by_print = joined(rooted, "root", cut_table(least), "of").select(F.col("fp").alias("of"), "component_id", (F.col("many") > share).alias("hot"))
         by_print = keep(cut_table(by_print))
-    return joined(prints, "fp", by_print, "of").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return joined(prints, "fp", by_print, "of").select("doc_id", "fp", "component_id")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -240,7 +246,8 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [shingle_set(x.as_py()) for x in batch.column(2)]
         nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         keys = pa.array([band_keys(x).view(np.int64) for x in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), keys], ["_row", "doc_id", "node", "n", "keys"])
+        prints = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), np.uint64, batch.num_rows).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes), pa.array(map(len, sets), pa.int64()), keys, pa.array(prints)], ["_row", "doc_id", "node", "n", "keys", "fp"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -355,11 +362,13 @@ def verified_links(sets: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return edges.unionByName(_compared(as_rows(across, 0).unionByName(as_rows(among, 0)).unionByName(as_rows(main, 1))))
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(node, root), roots included, of the nodes, with their array `keys`, that share band keys directly or through others."""
+def candidates(distinct: DataFrame, prints: DataFrame) -> DataFrame:
+    """(node, root), roots included, of the nodes whose fingerprints (node, fp) are linked within RADIUS, bit-sliced as linked() does, or
+    that share one of their array `keys` of band keys, directly or through others."""
+    near = linked(prints.select(F.col("node").alias("doc_id"), "fp")).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     banded = distinct.select("node", F.explode("keys").alias("key"))
     stars = cut_table(banded.groupBy(F.col("key").alias("of")).agg(F.min("node").alias("least"), F.count("*").alias("many")).where("many > 1").drop("many"))
-    found = components(banded.join(stars.hint("merge"), F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b")))
+    found = components(near.unionByName(banded.join(stars.hint("merge"), F.col("key") == F.col("of")).select(F.col("node").alias("a"), F.col("least").alias("b"))))
     return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
 
 
@@ -369,10 +378,11 @@ def _grouped(numbered: DataFrame, bucket: int) -> DataFrame:
     small_batches(spark)
     texts = numbered.select("_row", "doc_id", "text")
     with scope(spark) as keep:
-        rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>"))
+        rows = cut_table(texts.mapInArrow(_sketched, "_row long, doc_id long, node long, n long, keys array<long>, fp long"))
         share = hot_share(spark, rows.count())
         distinct = cut_table(rows.groupBy("node").agg(F.min(F.struct("_row", "n", "keys")).alias("s"), (F.count("*") > share).alias("hot")).select("node", "s.*", "hot"))
-        found = candidates(distinct).select(F.col("node").alias("_node"), "root")
+        # equal sets may have several prints, as these count repeated shingles: each of them links
+        found = candidates(distinct, cut_table(rows.select("node", "fp").distinct())).select(F.col("node").alias("_node"), "root")
         # what grows with the documents is never broadcast, not even where it is small: the plan is that of large inputs
         members = cut_table(distinct.join(found.hint("merge"), F.col("node") == F.col("_node")).select(F.col("root").alias("comp"), "node", "n", F.col("_row").alias("_of")))
         members = members.join(_blocks(members, "comp", bucket).hint("merge"), F.col("comp") == F.col("of")).drop("of")
@@ -393,8 +403,8 @@ def similar_components(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, component_id) of every row of docs, where documents are linked whose sets of
     WIDE_SHINGLE-word shingles have a Jaccard similarity of SIMILAR or more.
 
-    Candidates share all BAND_ROWS min-hashes of one of BANDS bands, which pairs at a similarity of s miss
-    with a chance of (1 - s ** BAND_ROWS) ** BANDS: 0.00005 at 0.8, less above. Every link is then verified
+    Candidates have fingerprints within RADIUS, as in near_duplicates(), or share all BAND_ROWS min-hashes of one of BANDS bands,
+    which pairs at a similarity of s miss with a chance of (1 - s ** BAND_ROWS) ** BANDS: 0.00005 at 0.8, less above. Every link is then verified
     on the shingle sets. No bucket is left out or cut: documents of a band key are joined to its least
     node, and the groups so joined are compared as verified_links() says."""
     rows = _grouped(_numbered(docs), bucket)

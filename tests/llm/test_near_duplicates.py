@@ -89,3 +89,22 @@ def test_similar_sets_against_all_pairs():
                 x, y = sorted((group[i], group[j]))
                 group = [x if g == y else g for g in group]
     assert list(label) == group
+
+
+def test_fingerprints_link_candidates_without_bands(spark):
+    """No node has a band key, so what is joined is joined by prints, directly or through others."""
+    prints = spark.createDataFrame([(1, 0b1111), (2, 0b1100), (3, 0b110000), (3, 5 << 40), (4, 7 << 40), (5, 0x0F0F0F0F << 20), (6, 5 << 40)], "node long, fp long")
+    distinct = prints.select("node").distinct().selectExpr("node", "array_remove(array(node), node) AS keys")
+    got = {tuple(r) for r in simhash.candidates(distinct, prints).collect()}
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 3), (6, 3)}
+
+
+def test_prints_are_compared_and_their_links_verified(spark, monkeypatch):
+    """Texts that repeat three words have one print whatever their ends, which the sets tell apart."""
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda prints, *more: asked.append(prints.count()) or links(prints, *more))
+    rng = random.Random(9)
+    rows = [(k, "u v w " * 200 + " ".join(fresh(rng, 12))) for k in range(4)] + [(9, "U v w " * 200 + "End"), (10, "u v w " * 200 + "end")]
+    assert len({simhash.fingerprint(t) for _, t in rows}) == 1
+    assert sorted(r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()) == [0, 1, 2, 3, 9]
+    assert asked == [1]
