@@ -3,6 +3,9 @@
 The plan is an equi-join on the inner index and a sum by row, which Spark aggregates partially before
 the shuffle. Products are linear, so entries of equal coordinates need not be added up before. Spark broadcasts a vector that it knows to be small and otherwise joins by shuffle; no
 side is broadcast unasked.
+
+With `parts`, a number of tasks that grows with the entries as of running.tasks(), entries meet the right side in as many tasks and rows are
+added up in as many, so that neither takes more of a task's memory on a larger matrix; there are no partial sums then.
 """
 
 from __future__ import annotations
@@ -13,9 +16,15 @@ from pyspark.sql import functions as F
 from stripmill.operators.coo import Matrix, domain
 
 
-def spmv(entries: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _dealt(df: DataFrame, parts: int | None, *by: str) -> DataFrame:
+    return df.repartition(parts, *by) if parts else df
+
+
+def spmv(entries: DataFrame, x: DataFrame, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """(keys, i, y) of the rows that meet x (j, x); keys, such as matrix_id, keep several matrices apart."""
-    return entries.where("v <> 0").join(x, "j").groupBy(*keys, "i").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
+    met = _dealt(entries.where("v <> 0"), parts, "j").join(_dealt(x, parts, "j"), "j")
+    terms = _dealt(met.select(*keys, "i", (F.col("v") * F.col("x")).alias("y")), parts, *keys, "i")
+    return terms.groupBy(*keys, "i").agg(F.sum("y").alias("y"))
 
 
 def zero_filled(y: DataFrame, rows: int) -> DataFrame:
@@ -24,8 +33,8 @@ def zero_filled(y: DataFrame, rows: int) -> DataFrame:
     return all_.join(y, all_["r"] == y["i"], "left").select(F.col("r").alias("i"), F.coalesce("y", F.lit(0.0)).alias("y"))
 
 
-def spmv_full(matrix: Matrix, x: DataFrame) -> DataFrame:
-    return zero_filled(spmv(matrix.df, x), matrix.rows)
+def spmv_full(matrix: Matrix, x: DataFrame, parts: int | None = None) -> DataFrame:
+    return zero_filled(spmv(matrix.df, x, parts=parts), matrix.rows)
 
 
 def spmm(entries: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

@@ -62,6 +62,21 @@ def test_products(spark):
     assert sorted(map(tuple, M.spmm_wide(matrix.df, wide, 2).collect())) == sorted((i, k, y * (k + 1.0)) for i, y in enumerate(want) for k in range(2))
 
 
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_products_in_parts(spark, broadcast):
+    """Entries meet the right side in as many tasks as asked for, whether or not it is broadcast."""
+    matrix = C.from_dense(spark, DENSE)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        y = M.spmv(matrix.df, vector(spark, range(1, 12)), parts=7)
+        assert column(y, "y") == [15, 12, 44, 39, 68, 184, 165, 154, 77, 299, 216]
+        assert ", 7)" in y._jdf.queryExecution().toString()
+        assert column(M.spmv_full(matrix, vector(spark, range(1, 12)), 7), "y") == [15, 12, 44, 39, 68, 184, 165, 154, 77, 299, 216]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_edge_products(spark):
     rect = C.from_dense(spark, [[2, 0, 0, 1], [0, 3, 0, 0], [0, 0, 0, 0]])
     assert column(M.spmv_full(rect, vector(spark, [1, 2, 3, 4])), "y") == [6, 6, 0]
