@@ -42,9 +42,14 @@ def spmm(entries: DataFrame, x: DataFrame, keys: tuple[str, ...] = ()) -> DataFr
     return entries.where("v <> 0").join(x, "j").groupBy(*keys, "i", "k").agg(F.sum(F.col("v") * F.col("x")).alias("y"))
 
 
-def spmm_wide(entries: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def spmm_wide(entries: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
     """As spmm, with the right matrix's rows as arrays (j, xs): the join moves each row once, and
-    one shuffled row for each i carries a sum per column."""
+    one shuffled row for each i carries a sum per column. With `parts`, entries of one place are added up where they
+    meet the right side, and each moves its row on to where its row of the matrix is added up."""
     sums = [F.sum(F.col("v") * F.element_at("xs", k + 1).cast("double")).alias(f"y{k}") for k in range(width)]
-    wide = entries.where("v <> 0").join(x, "j").groupBy(*keys, "i").agg(*sums)
+    entries = _dealt(entries.where("v <> 0"), parts, "j")
+    if parts:
+        entries = entries.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    met = entries.join(_dealt(x, parts, "j"), "j").select(*keys, "i", "v", "xs")
+    wide = _dealt(met, parts, *keys, "i").groupBy(*keys, "i").agg(*sums)
     return wide.select(*keys, "i", F.posexplode(F.array(*[f"y{k}" for k in range(width)])).alias("k", "y")).select(*keys, "i", F.col("k").cast("long").alias("k"), "y")

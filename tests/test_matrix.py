@@ -72,6 +72,10 @@ def test_products_in_parts(spark, broadcast):
         y = M.spmv(matrix.df, vector(spark, range(1, 12)), parts=7)
         assert column(y, "y") == [15, 12, 44, 39, 68, 184, 165, 154, 77, 299, 216]
         assert ", 7)" in y._jdf.queryExecution().toString()
+        wide = spark.range(11).selectExpr("id as j", "array(id + 1.0D, 2.0D * (id + 1)) as xs")
+        both = M.spmm_wide(matrix.df.unionByName(matrix.df), wide, 2, parts=7)
+        assert sorted(map(tuple, both.collect())) == sorted((r.i, k, 2 * r.y * (k + 1)) for r in y.collect() for k in range(2))
+        assert ", 7)" in both._jdf.queryExecution().toString()
         assert column(M.spmv_full(matrix, vector(spark, range(1, 12)), 7), "y") == [15, 12, 44, 39, 68, 184, 165, 154, 77, 299, 216]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
