@@ -97,3 +97,43 @@ def test_files_in_many_parts(spark, tmp_path, monkeypatch):
     again = files.read_matrix_market(spark, f"{tmp_path}/m/m.mtx")
     assert (entries(again), again.rows, again.columns) == (entries(matrix), 11, 11)
     assert entries(files.read_pattern(spark, f"{tmp_path}/p.smtx")) == [(i, j, 1) for i, j, _ in entries(matrix)]
+
+
+def test_zeros_of_dense_blocks_are_text_only(spark, tmp_path, monkeypatch):
+    """A block of a million cells with three entries: what is shuffled and read again is a row for each nonzero and each run, not for each cell."""
+    from stripmill.operators import partition as P
+
+    entries_ = [(0, 0, 2.0), (999, 7, 3.0), (512, 999, 1e20)]
+    matrix = C.Matrix(spark.createDataFrame(entries_, "i long, j long, v double"), 1000, 1000)
+    rows = P.strips_at(spark, [0, 1000])
+    members, blocks = B.blocked(matrix, rows, rows)
+    lines = files.block_lines(matrix, members, B.split(blocks, B.is_dense(0)), rows, rows)
+    assert lines["val"].count() <= 3 + -(-1_000_000 // files.CELLS)
+    monkeypatch.setattr(files, "TASK_CHARS", 1 << 19)
+    monkeypatch.setattr(files, "TEXT", 1 << 13)
+    files.write_lines(lines, files.VBR, f"{tmp_path}/b.vbr")
+    parts = sorted((tmp_path / "b.vbr").glob("part-*"))
+    text = "".join(p.read_text() for p in parts)
+    assert len(parts) > 3 and [len(line.split(",")) for line in text.split("\n")][0] == 1_000_000 and len(text.split("\n")) == len(files.VBR)
+    assert files.read_arrays(spark, f"{tmp_path}/b.vbr").where("name = 'val'").count() == 3
+    assert entries(files.read_blocks(spark, f"{tmp_path}/b.vbr")) == sorted(entries_)
+    # one file with lines as they are written elsewhere, looked at in pieces smaller than a line
+    monkeypatch.setattr(files, "PIECE", 1 << 10)
+    assert entries(files.read_blocks(spark, put(tmp_path, "one.vbr", text.replace("\t", "").replace(" ", "")))) == sorted(entries_)
+
+
+def test_block_text_is_cut_anywhere(monkeypatch):
+    """The same items and marks come of a text however it is cut into rows and pieces."""
+    import pyarrow as pa
+
+    text = "val = [1.0, -0.0,+2.5e-05,0.0]\nindx=[]\nrpntr=[0, 2]\n"
+
+    def found(rows):
+        batch = pa.RecordBatch.from_arrays([pa.array(["f"] * len(rows)), pa.array([0] * len(rows)), pa.array(rows)], ["file", "begin", "value"])
+        return [(r["at"], r["name"]) for b in files._counted(iter([batch])) for r in b.to_pylist()]
+
+    want = [(0, "val"), (5, ""), (6, "indx"), (7, ""), (8, "rpntr"), (11, ""), (12, None)]
+    assert found([text]) == want and found(text.split(",")) == want
+    for piece in (1, 7, 20):
+        monkeypatch.setattr(files, "PIECE", piece)
+        assert found([text]) == want and found(text.split(",")) == want
