@@ -48,21 +48,24 @@ def neighbours(entries: DataFrame, keys: tuple[str, ...] = (), parts: int | None
     home = tile("k", "p")
     # where the entries stand that this one is a neighbour of: only at a tile's border is that another tile
     seen = F.array_distinct(F.array(home, *[tile("k - 1", f"p + {s}") for s in (-1, 0, 1)]))
-    dealt = entries.withColumn("home", home).withColumn("tile", F.explode(seen)).repartition(parts, *keys, "tile")
-    dealt = dealt.select(*keys, "k", "p", "v", "tile", (F.col("tile") == F.col("home")).alias("own"))
+    # what is shuffled are numbers; whether an entry is at home follows from them
+    spread_ = entries.select(*keys, "k", "p", "v", F.explode(seen).alias("tile")).select(*keys, "k", "p", "v", "tile.tk", "tile.tp")
+    dealt = spread_.repartition(max(2, parts), *keys, "tk", "tp")
+    dealt = dealt.select("*", ((F.col("tk") == home["tk"]) & (F.col("tp") == home["tp"])).alias("own"))
     for name, line in (("d0", F.col("p")), ("df", F.col("p") + F.col("k")), ("db", F.col("p") - F.col("k"))):
-        along = Window.partitionBy(*keys, "tile", line).orderBy("k")
+        along = Window.partitionBy(*keys, "tk", "tp", line).orderBy("k")
         dealt = dealt.withColumn(name, F.when(F.lead("k").over(along) == F.col("k") + 1, F.lead("v").over(along) * F.col("v")))
     return dealt.where("own").groupBy(*keys, "k").agg(F.count("*").alias("n"), *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("d0", "df", "db")])
 
 
-def similarities(matrix: Matrix | Matrices, axis: str, similarity: Similarity) -> DataFrame:
-    """(k, na, nb, sim) for every k from 1: slice k-1 against slice k; sim is null if undefined.
+def similarities(matrix: Matrix | Matrices, axis: str, similarity: Similarity, parts: int | None = None) -> DataFrame:
+    """(k, na, nb, sim) for every k from 1: slice k-1 against slice k; sim is null if undefined. Here and below, `parts` tells the tasks for entries that
+    are cheap to read twice, which are then not written for being counted.
 
     Of Matrices, here and below, with their matrix_id: many are cut in one query."""
     keys, other = keys_of(matrix), "i" if axis == "j" else "j"
     entries = matrix.df.where("v <> 0").select(*keys, F.col(axis).alias("k"), F.col(other).alias("p"), "v")
-    found = neighbours(entries, keys)
+    found = neighbours(entries, keys, parts)
     before = found.select(*keys, (F.col("k") + 1).alias("k"), F.col("n").alias("na"), "d0", "df", "db")
     here = found.select(*keys, "k", F.col("n").alias("nb"))
     met = slices(matrix, axis).where("k > 0").join(before, [*keys, "k"], "left").join(here, [*keys, "k"], "left")
@@ -71,15 +74,15 @@ def similarities(matrix: Matrix | Matrices, axis: str, similarity: Similarity) -
     return met.select(*keys, "k", "na", "nb", similarity(*columns).alias("sim"))
 
 
-def cuts_everywhere(matrix: Matrix | Matrices, axis: str, threshold: float, similarity: Similarity) -> DataFrame:
+def cuts_everywhere(matrix: Matrix | Matrices, axis: str, threshold: float, similarity: Similarity, parts: int | None = None) -> DataFrame:
     """(k, cut): cut where neighbours are less similar than the threshold; never between two empty ones."""
-    found = similarities(matrix, axis, similarity)
+    found = similarities(matrix, axis, similarity, parts)
     return found.select(*keys_of(matrix), "k", F.coalesce(F.col("sim") < threshold, F.lit(False)).alias("cut"))
 
 
-def cuts_between_runs(matrix: Matrix | Matrices, axis: str, threshold: float, similarity: Similarity = best_shift_or_zero) -> DataFrame:
+def cuts_between_runs(matrix: Matrix | Matrices, axis: str, threshold: float, similarity: Similarity = best_shift_or_zero, parts: int | None = None) -> DataFrame:
     """As cuts_everywhere, but a run of empty slices is one strip of its own."""
-    found = similarities(matrix, axis, similarity)
+    found = similarities(matrix, axis, similarity, parts)
     begins = (F.col("na") == 0) & (F.col("nb") > 0)
     differs = (F.col("na") > 0) & (F.coalesce("sim", F.lit(0.0)) < threshold)
     return found.select(*keys_of(matrix), "k", (begins | differs).alias("cut"))
@@ -121,8 +124,9 @@ def strips_random(spark: SparkSession, n: int, parts: int, seed: int = 0) -> Dat
     return strips(marks, n)
 
 
-def partitioned(matrix: Matrix | Matrices, threshold: float = 0.2, similarity: Similarity = best_shift_or_zero, cutter=cuts_between_runs) -> tuple[DataFrame, DataFrame]:
+def partitioned(matrix: Matrix | Matrices, threshold: float = 0.2, similarity: Similarity = best_shift_or_zero, cutter=cuts_between_runs, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Row and column strips; the cutter and the similarity may be the user's."""
     keys = keys_of(matrix)
     size = lambda of: matrix.dims.select(*keys, F.col(of).alias("n")) if keys else getattr(matrix, of)
-    return tuple(strips(cutter(matrix, axis, threshold, similarity), size(of), keys) for axis, of in (("i", "rows"), ("j", "columns")))
+    known = {"parts": parts} if parts else {}
+    return tuple(strips(cutter(matrix, axis, threshold, similarity, **known), size(of), keys) for axis, of in (("i", "rows"), ("j", "columns")))

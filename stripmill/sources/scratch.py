@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether Spark removes what a query shuffled when the query ends; else it stays until the driver collects garbage.
+REMOVED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path below spark.checkpoint.dir where the cluster names one, else below the warehouse;
     it is removed when the session's JVM ends."""
@@ -23,9 +27,15 @@ def scratch(spark: SparkSession) -> str:
 def kept(df: DataFrame) -> DataFrame:
     """The rows, written as Parquet and read again: later branches read them instead of computing them, and a
     lost executor costs only the work since here. Spark knows the table's size and broadcasts it only
-    below spark.sql.autoBroadcastJoinThreshold."""
+    below spark.sql.autoBroadcastJoinThreshold. What was shuffled for the rows is removed as soon as they are written."""
     path = f"{scratch(df.sparkSession)}/rows"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(REMOVED, None)
+    conf.set(REMOVED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(REMOVED, before) if before is not None else conf.unset(REMOVED)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

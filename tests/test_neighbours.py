@@ -38,3 +38,16 @@ def test_tiles_are_dealt_to_more_tasks_where_there_are_more_entries(spark, monke
     found = P.neighbours(entries)
     assert "Repartition" in (plan := found._jdf.queryExecution().logical().toString()) and ", 20" in plan
     assert {(r.n, r.d0, r.df, r.db) for r in found.where("k < 499").collect()} == {(4, 4.0, 3.0, 3.0)}
+
+
+def test_entries_are_not_written_where_their_tasks_are_known(spark, monkeypatch):
+    from stripmill.operators.coo import Matrix
+
+    matrix = Matrix(spark.range(300).selectExpr("id div 5 AS i", "(id * 7) % 23 AS j", "1D AS v"), 60, 23)
+    want = [sorted(map(tuple, s.collect())) for s in P.partitioned(matrix, 0.5)]
+
+    def fail(df):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(P, "kept", fail)
+    assert [sorted(map(tuple, s.collect())) for s in P.partitioned(matrix, 0.5, parts=3)] == want
