@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from stripmill.operators.coo import Matrix
 from stripmill.operators.interval import Uniform, located
-from stripmill.operators.kernel import block_products, by_columns, entries_of_tiles, filled, nonzeros, tile_products, unpacked, wide_rows
+from stripmill.operators.kernel import block_products, by_columns, entries_of_tiles, filled, nonzeros, row_products, tile_products, unpacked, wide_rows
 from stripmill.operators.running import CHUNK, running_sum, spread
 from stripmill.sources.scratch import kept
 
@@ -187,14 +187,13 @@ def hybrid_spmv(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple
 
 
 def hybrid_spmm_wide(members: DataFrame, chosen: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, i, k, y) for a right matrix whose rows are arrays (j, xs) of the given width, as hybrid_spmv(). The residual meets x in pieces of the
-    matrix too, so that a row's sums within a piece are shuffled, and not a row of width numbers for each entry."""
-    dense = by_columns(tile_products(tiled(members, chosen, keys), x, width, keys, ranges(chosen)), keys)
-    low = lambda c: F.col(c) - F.col(c) % SIDE
-    rest = residual(members, chosen, keys).select(*keys, "i", "j", "v", low("i").alias("r0"), (low("i") + SIDE).alias("r1"), low("j").alias("c0"), (low("j") + SIDE).alias("c1"))
-    right = x.select(low("j").alias("c0"), (low("j") + SIDE).alias("c1")).distinct()
-    rest = by_columns(tile_products(_in_pieces(rest, keys), x, width, keys, right), keys)
-    return dense.unionByName(rest).groupBy(*keys, "i", "k").agg(F.sum("y").alias("y"))
+    """(keys, i, k, y) for a right matrix whose rows are arrays (j, xs) of the given width, as hybrid_spmv(). The residual is added up by row_products(),
+    partial sums of dense blocks meet it as rows of the width, and become a row for each column only in the result."""
+    dense = tile_products(tiled(members, chosen, keys), x, width, keys, ranges(chosen))
+    rest = row_products(residual(members, chosen, keys), x, width, keys)
+    sums = [F.sum(F.col("ys")[k]).alias(f"y{k}") for k in range(width)]
+    whole = dense.unionByName(rest).groupBy(*keys, "i").agg(*sums)
+    return by_columns(whole.select(*keys, "i", F.array(*[f"y{k}" for k in range(width)]).alias("ys")), keys)
 
 
 def hybrid_spmm(members: DataFrame, chosen: DataFrame, x: DataFrame, keys: tuple[str, ...] = (), width: int | None = None) -> DataFrame:

@@ -24,6 +24,8 @@ from stripmill.operators.running import spread
 CELLS = 1 << 22
 #: Rows and columns of a tile.
 TILE = 8
+#: Rows that one task adds up at a time.
+BAND = 1 << 14
 
 
 def ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -204,6 +206,52 @@ def tile_products(pieces: DataFrame, x: DataFrame, width: int, keys: tuple[str,
     return met.mapInArrow(run, schema)
 
 
+def row_products(entries: DataFrame, x: DataFrame, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, i, ys): the rows of entries (keys, i, j, v) times x, (j, xs) with arrays of the given width. Rows are added up in bands of BAND: a row of x
+    goes once to each band that has an entry for it, and not with each entry, and a band's sums are held by one task."""
+    band = F.expr(f"i div {BAND}").alias("_band")
+    entry = F.struct(F.expr(f"cast(i % {BAND} AS int)").alias("at"), F.col("v").cast("double").alias("v"))
+    lines = entries.groupBy(*keys, band, "j").agg(F.collect_list(entry).alias("_cells"))
+    met = lines.join(x.select("j", F.col("xs").cast("array<double>").alias("_xs")), "j").select(*keys, "_band", F.col("_cells.at").alias("_at"), F.col("_cells.v").alias("_v"), "_xs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums, there = None, np.zeros((BAND, width)), np.zeros(BAND, bool)
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            rows = np.flatnonzero(there)
+            for begin in range(0, len(rows), step := max(1, CELLS // width)):
+                mine = rows[begin : begin + step]
+                ys = pa.ListArray.from_arrays(pa.array(np.arange(len(mine) + 1) * width, pa.int32()), pa.array(sums[mine].reshape(-1)))
+                own = [pa.array([value] * len(mine), kind) for value, kind in zip(now, kinds)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(mine + now[-1] * BAND), ys], names=[*keys, "i", "ys"])
+            sums[there], there[:] = 0, False
+
+        for batch in batches:
+            kinds = [batch.column(k).type for k in range(len(keys))]
+            of = list(zip(*(column.to_pylist() for column in batch.columns[: len(keys) + 1])))
+            cuts = [k for k in range(len(of)) if k == 0 or of[k] != of[k - 1]]
+            for begin, end in zip(cuts, [*cuts[1:], len(of)]):
+                if of[begin] != now:
+                    if now is not None:
+                        yield from ended()
+                    now = of[begin]
+                same = batch.slice(begin, end - begin)
+                for part in groups(lists(same, "_at")[1] * width, CELLS // 4):
+                    rows = same.slice(part.start, part.stop - part.start)
+                    (at, many), (v, _), (right, _) = (lists(rows, name) for name in ("_at", "_v", "_xs"))
+                    order = np.argsort(at, kind="stable")
+                    line = np.repeat(np.arange(len(many)), many)[order]
+                    first = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+                    to = at[order][first]
+                    sums[to] += np.add.reduceat(v[order, None] * right.reshape(-1, width)[line], first)
+                    there[to] = True
+        if now is not None:
+            yield from ended()
+
+    schema = T.StructType([*[entries.schema[k] for k in keys], T.StructField("i", T.LongType()), T.StructField("ys", T.ArrayType(T.DoubleType()))])
+    return met.repartition(*keys, "_band").sortWithinPartitions(*keys, "_band").mapInArrow(run, schema)
+
+
 def _cells(blocks: DataFrame) -> Column:
     return F.col("cells" if "cells" in blocks.columns else "vals").alias("cells")
 

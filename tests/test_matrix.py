@@ -220,3 +220,27 @@ def test_labels_and_forest(spark, tmp_path):
     E.save_model(model, f"{tmp_path}/model")
     _, _, _, blocks = blocked(spark)
     assert E.classified(blocks, E.load_model(f"{tmp_path}/model")).where("is_dense").count() == 0
+
+
+@pytest.mark.parametrize("band", [1, 4, 1 << 14])
+def test_wide_rows_go_once_to_each_band(spark, monkeypatch, band):
+    """Entries of equal coordinates, rows that meet nothing, two matrices; the right side's rows move with bands of rows and not with entries."""
+    from stripmill.operators import kernel as N
+
+    monkeypatch.setattr(N, "BAND", band)
+    found = [(m, i, j, float(i + 2 * j + len(m))) for m in ("a", "bb") for i in range(11) for j in (i % 3, i % 3, 2, 7)]
+    entries = spark.createDataFrame(found, "m string, i long, j long, v double")
+    right = {j: [float(j + k) for k in range(5)] for j in range(7)}
+    x = spark.createDataFrame(list(right.items()), "j long, xs array<float>")
+    want = {}
+    for m, i, j, v in found:
+        if j in right:
+            want[m, i] = [y + v * r for y, r in zip(want.get((m, i), [0.0] * 5), right[j])]
+    got = N.row_products(entries, x, 5, ("m",))
+    assert {(r.m, r.i): r.ys for r in got.collect()} == want
+    plan = N.row_products(entries.where("m = 'a'"), x, 5)._jdf.queryExecution().logical().toString()
+    assert "RepartitionByExpression" in plan and "_band" in plan
+    members = entries.where("m = 'a'").selectExpr("i", "j", "v", "0L AS a", "0L AS b", "0L AS r0", "11L AS r1", "0L AS c0", "8L AS c1")
+    for dense in (True, False):
+        chosen = spark.createDataFrame([(0, 0, 0, 8, dense)], "a long, b long, c0 long, c1 long, is_dense boolean")
+        assert {(r.i, r.k): r.y for r in B.hybrid_spmm_wide(members, chosen, x, 5).collect()} == {(i, k): y for (m, i), ys in want.items() if m == "a" for k, y in enumerate(ys)}
